@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, mixing
+from tidewater.llm import chat, licenses, mixing, urls
 
 QUERIES = {
+    "op2_host_reputation": urls.op2,
+    "op5_license_digests": licenses.op5,
     "op8_chat_roundtrip": chat.op8,
     "op10_systematic_mix": mixing.op10,
 }
 SQL = {
+    "op5_license_digests": licenses.OP5_SQL,
     "op8_chat_roundtrip": chat.OP8_SQL,
     "op10_systematic_mix": mixing.OP10_SQL,
 }
