@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, licenses, mixing, urls
+from tidewater.llm import chat, licenses, mixing, pii, quality, urls
 
 QUERIES = {
     "op2_host_reputation": urls.op2,
+    "op3_adaptive_quality": quality.op3,
     "op5_license_digests": licenses.op5,
     "op8_chat_roundtrip": chat.op8,
+    "op9_pii_boosting": pii.op9,
     "op10_systematic_mix": mixing.op10,
 }
 SQL = {
+    "op3_adaptive_quality": quality.OP3_SQL,
     "op5_license_digests": licenses.OP5_SQL,
     "op8_chat_roundtrip": chat.OP8_SQL,
     "op10_systematic_mix": mixing.OP10_SQL,
