@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, licenses, mixing, pii, quality, urls
+from tidewater.llm import chat, licenses, mixing, ngram_join, pii, quality, urls
 
 QUERIES = {
+    "op1_signature_tree_join": ngram_join.op1,
     "op2_host_reputation": urls.op2,
     "op3_adaptive_quality": quality.op3,
     "op5_license_digests": licenses.op5,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_systematic_mix": mixing.op10,
 }
 SQL = {
+    "op1_signature_tree_join": ngram_join.OP1_SQL,
     "op3_adaptive_quality": quality.OP3_SQL,
     "op5_license_digests": licenses.OP5_SQL,
     "op8_chat_roundtrip": chat.OP8_SQL,
