@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, licenses, mixing, ngram_join, pii, quality, urls
+from tidewater.llm import chat, contamination, licenses, mixing, ngram_join, pii, quality, urls
 
 QUERIES = {
     "op1_signature_tree_join": ngram_join.op1,
     "op2_host_reputation": urls.op2,
     "op3_adaptive_quality": quality.op3,
     "op5_license_digests": licenses.op5,
+    "op6_minhash_containment": contamination.op6,
     "op8_chat_roundtrip": chat.op8,
     "op9_pii_boosting": pii.op9,
     "op10_systematic_mix": mixing.op10,
@@ -17,6 +18,7 @@ SQL = {
     "op1_signature_tree_join": ngram_join.OP1_SQL,
     "op3_adaptive_quality": quality.OP3_SQL,
     "op5_license_digests": licenses.OP5_SQL,
+    "op6_minhash_containment": contamination.OP6_SQL,
     "op8_chat_roundtrip": chat.OP8_SQL,
     "op10_systematic_mix": mixing.OP10_SQL,
 }
