@@ -111,19 +111,19 @@ def _document_rows(classes: list[int], known: np.ndarray | None):
                     rows.append(row.as_py())
                     keys.append(np.unique(np.concatenate(found)).view(np.int64).tolist())
                     tokens.append(np.unique(s).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))], ["row", "keys", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))], ["row", "keys", "tokens"])
 
     return run
 
 
 def row_key(text: str):
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(__row, item_id, n_shared, n_item): the items of which a document text
     holds at least `similar` hundredths of the distinct 5-word shingles; __row is
-    the text's hash (row_key).
+    the text's MD5 (row_key).
 
     Items are partitioned by size. For each size class, a document is cut into
     overlapping windows of about the items' size, so that a contained item fills
@@ -143,7 +143,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, text: str = "text", it
     if item.count() * HASHES <= LOOKUP:
         known = np.unique(np.array([r[0] for r in values.distinct().collect()], np.int64).view(np.uint64))
     texts = docs.select(row_key(text).alias("row"), F.col(text).cast("string").alias("text"))
-    near = stored(texts.mapInArrow(_document_rows(classes, known), "row long, keys array<long>, tokens array<long>").dropDuplicates(["row"]), "near")
+    near = stored(texts.mapInArrow(_document_rows(classes, known), "row string, keys array<long>, tokens array<long>").dropDuplicates(["row"]), "near")
     by_key = item.select("item", F.explode("keys").alias("key"))
     pairs = near.select("row", F.explode("keys").alias("key")).join(by_key, "key").select("row", "item").distinct()
     need = F.size("t2")

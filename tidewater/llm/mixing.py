@@ -33,10 +33,10 @@ def _unit(x):
 def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most: float = MOST_EPOCHS) -> DataFrame:
     """(key, is_null, source_size) -> the same and target.
 
-    Water filling in closed form: a source is capped at `most` epochs if the
-    level at which the rest share what is left reaches its cap. With the
-    sources in order of cap / weight, the capped ones come first, and the
-    level is the first that its own source does not reach."""
+    Water filling in closed form. With the sources in order of cap / weight, the
+    capped ones come first. Let the k first be capped and the rest share what is
+    left by weight: this level rises with k as long as the next source would be
+    over its cap, and falls after that, so the right one is the greatest."""
     order = Window.orderBy("__null", "__key")
     every = Window.partitionBy()
     by_level = Window.orderBy("__ratio", "__key").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,8 +49,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, mo
         .withColumn("__all", F.sum("source_size").over(every) * F.lit(float(epochs)))
         .withColumn("__sum_w", F.sum("__w").over(every))
         .withColumn("__level", (F.col("__all") - F.coalesce(F.sum("__cap").over(by_level), F.lit(0.0))) / (F.col("__sum_w") - F.coalesce(F.sum("__w").over(by_level), F.lit(0.0))))
-        .withColumn("__free", F.min(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(every))
-        .withColumn("target", F.when(F.col("__free").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__free") * F.col("__w"))))
+        .withColumn("__free", F.max("__level").over(every))
+        .withColumn("target", F.least(F.col("__cap"), F.col("__free") * F.col("__w")))
         .select("__key", "source_size", "target")
     )
 
@@ -136,7 +136,7 @@ w AS (SELECT *, (CASE row_number() OVER (ORDER BY last, k) % 3 WHEN 1 THEN 3 WHE
     source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS a FROM s),
 l AS (SELECT *, cap / w AS ratio, (a - coalesce(sum(cap) OVER q, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER q, 0)) AS level
     FROM w WINDOW q AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT k, source_size, least(cap, coalesce((min(level) FILTER (level <= ratio) OVER ()) * w, cap)) AS target FROM l),
+t AS (SELECT k, source_size, least(cap, (max(level) OVER ()) * w) AS target FROM l),
 e AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS x,
     ('0x' || substr(md5('mix-1' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r JOIN t USING (k))
 SELECT doc_id, size, source_size, target, CAST(floor(rank * x + u) - floor((rank - 1) * x + u) AS BIGINT) * size AS taken FROM e

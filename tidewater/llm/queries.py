@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, contamination, licenses, mixing, ngram_join, pii, quality, urls
+from tidewater.llm import chat, contamination, licenses, mixing, ngram_join, pii, quality, urls, warc
 
 QUERIES = {
     "op1_signature_tree_join": ngram_join.op1,
     "op2_host_reputation": urls.op2,
     "op3_adaptive_quality": quality.op3,
+    "op4_warc_index_merge": warc.op4,
     "op5_license_digests": licenses.op5,
     "op6_minhash_containment": contamination.op6,
     "op8_chat_roundtrip": chat.op8,
@@ -17,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_signature_tree_join": ngram_join.OP1_SQL,
     "op3_adaptive_quality": quality.OP3_SQL,
+    "op4_warc_index_merge": warc.OP4_SQL,
     "op5_license_digests": licenses.OP5_SQL,
     "op6_minhash_containment": contamination.OP6_SQL,
     "op8_chat_roundtrip": chat.OP8_SQL,
