@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, contamination, licenses, mixing, ngram_join, pii, quality, urls, warc
+from tidewater.llm import byte_dedup, chat, contamination, licenses, mixing, ngram_join, pii, quality, urls, warc
 
 QUERIES = {
     "op1_signature_tree_join": ngram_join.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_index_merge": warc.op4,
     "op5_license_digests": licenses.op5,
     "op6_minhash_containment": contamination.op6,
+    "op7_suffix_array_dedup": byte_dedup.op7,
     "op8_chat_roundtrip": chat.op8,
     "op9_pii_boosting": pii.op9,
     "op10_systematic_mix": mixing.op10,
