@@ -16,3 +16,12 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def _load() -> None:
+    from tidewater.plans import q_tables, q_text
+
+    assert q_tables and q_text
+
+
+_load()
