@@ -50,7 +50,7 @@ def phase(phases: Column) -> Column:
     norm = F.transform(phases, lambda p: F.regexp_replace(F.upper(p), r"\s", ""))
     number = lambda p: F.regexp_extract(p, r"^PHASE([1-4])\z", 1).try_cast("int")
     short = lambda p: F.regexp_replace(p, "^PHASE", "")
-    one = F.when(F.element_at(norm, 1).rlike("^PHASE"), F.concat(F.lit("Phase "), short(F.element_at(norm, 1)))).otherwise(F.element_at(norm, 1))
+    one = F.when(F.try_element_at(norm, F.lit(1)).rlike("^PHASE"), F.concat(F.lit("Phase "), short(F.try_element_at(norm, F.lit(1))))).otherwise(F.try_element_at(norm, F.lit(1)))
     label = F.when(F.coalesce(F.size(phases), F.lit(0)) <= 0, "N/A").when(F.size(norm) == 1, one).otherwise(F.concat(F.lit("Phase "), F.array_join(F.transform(norm, short), "/")))
     return F.struct(label.alias("label"), F.array_max(F.transform(norm, number)).alias("number"), (F.coalesce(F.size(phases), F.lit(0)) > 1).alias("combined"))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import rules as R
@@ -17,6 +17,11 @@ _END = r"\z"
 _SPACE = r"[\s\x{a0}]"
 
 
+def nth(c, i: int) -> Column:
+    """The i-th element of an array, counted from 1; null if there is none."""
+    return F.try_element_at(c, F.lit(i))
+
+
 def has(c: Column, pattern: str, case: bool = False) -> Column:
     """Whether the pattern is found; false for null."""
     return F.coalesce(c.rlike(pattern if case else f"(?i){pattern}"), F.lit(False))
@@ -173,19 +178,18 @@ def transaction_kind(c: Column) -> Column:
     """The kind whose rules weigh most; of equals the first; acquisition if none."""
     compound = has(c, R.COMPOUND, case=True)
     totals = []
-    for name, each in R.TRANSACTIONS:
+    for _, each in R.TRANSACTIONS:
         total = F.lit(0)
         for weight, patterns, needs in each:
             ok = F.lit(True) if needs is None else (compound if needs else ~compound)
             for p in patterns:
                 ok = ok & has(c, p)
             total = total + F.when(ok, weight).otherwise(0)
-        totals.append((name, total))
-    top = F.greatest(*[t for _, t in totals])
-    out = F.when(F.coalesce(c, F.lit("")) == "", "acquisition").when(top == 0, "acquisition")
-    for name, t in totals:
-        out = out.when(t == top, name)
-    return out
+        totals.append(total)
+    names = F.array(*[F.lit(n) for n, _ in R.TRANSACTIONS])
+    # an array of one array: the totals have a name and are made once
+    pick = lambda t: F.when(F.array_max(t) == 0, "acquisition").otherwise(F.get(names, (F.array_position(t, F.array_max(t)) - 1).cast("int")))
+    return F.when(F.coalesce(c, F.lit("")) == "", "acquisition").otherwise(nth(F.transform(F.array(F.array(*totals)), pick), 1))
 
 
 def agreement_kind(c: Column) -> Column:
@@ -245,12 +249,10 @@ def party(c: Column, filer: Column, patterns: tuple[str, ...], least: int = 3, m
     there is none. With cut, what follows a legal suffix goes and longer names
     don't count; else names are cut to `most`."""
     own = F.substring(F.lower(filer), 1, 10)
-    names = []
-    for p in patterns:
-        n = squeeze(F.regexp_extract(c, p, 1))
-        n = strip(F.regexp_replace(n, r"\s*(Inc\.|Corp\.|LLC|Ltd\.).*\z", "$1")) if cut else F.substring(n, 1, most)
-        names.append(F.when((F.length(n) >= least) & (F.length(n) <= most) & ~F.startswith(F.lower(n), own), n))
-    return F.coalesce(*names, F.lit(""))
+    found = F.array(*[F.regexp_extract(c, p, 1) for p in patterns])
+    plain = lambda n: strip(F.regexp_replace(squeeze(n), r"\s*(Inc\.|Corp\.|LLC|Ltd\.).*\z", "$1")) if cut else F.substring(squeeze(n), 1, most)
+    ok = lambda n: (F.length(n) >= least) & (F.length(n) <= most) & ~F.startswith(F.lower(n), own)
+    return F.coalesce(nth(F.filter(F.transform(found, plain), ok), 1), F.lit(""))
 
 
 def asset(c: Column) -> Column:
@@ -270,30 +272,33 @@ def amount_long(c: Column) -> Column:
     return F.coalesce(*out)
 
 
-def deal(c: Column, filer: Column) -> Column:
-    """A struct of what a filing says about a deal; who is who depends on its kind."""
-    kind = transaction_kind(c)
-    parent = party(c, filer, PARENT)
-    target, seller = party(c, filer, TARGET, cut=True), party(c, filer, SELLER)
+def with_deal(df: DataFrame, text: str, filer: str) -> DataFrame:
+    """df with what a filing says about a deal: transaction_type, acquirer_name,
+    acquired_name, acquired_asset, deal_value, deal_summary, snippet; who is who
+    depends on the type. Step by step, so that no step's patterns run twice."""
+    c, f = F.col(text), F.col(filer)
     none = lambda x: F.nullif(x, F.lit(""))
-    acquirer = F.when((kind == "merger") & (parent != ""), parent).otherwise(filer)
-    acquired = (
-        F.when(kind == "ipo", "").when((kind == "merger") & (parent != ""), filer).when(kind == "merger", target).when(kind == "product_acquisition", seller)
-        .when(kind == "acquisition", target).otherwise(F.coalesce(none(target), seller))
-    )
-    acquired = F.when((kind != "ipo") & (acquired == ""), party(F.substring(c, 1, 2000), filer, COUNTERPARTY)).otherwise(acquired)
-    what, value = F.when(kind != "ipo", asset(c)), amount(c)
+    col = F.col
+    df = df.withColumn("transaction_type", transaction_kind(c)).withColumn("deal_value", amount(c))
+    kind = col("transaction_type")
+    df = df.withColumn("__parent", F.when(kind == "merger", party(c, f, PARENT)).otherwise(""))
+    df = df.withColumn("__target", F.when(kind.isin("merger", "acquisition", "partnership") & (col("__parent") == ""), party(c, f, TARGET, cut=True)).otherwise(""))
+    df = df.withColumn("__seller", F.when((kind == "product_acquisition") | (kind == "partnership") & (col("__target") == ""), party(c, f, SELLER)).otherwise(""))
+    df = df.withColumn("acquirer_name", F.coalesce(none(col("__parent")), f))
+    df = df.withColumn("__acquired", F.when(col("__parent") != "", f).otherwise(F.coalesce(none(col("__target")), col("__seller"))))
+    df = df.withColumn("acquired_name", F.when(kind == "ipo", "").when(col("__acquired") != "", col("__acquired")).otherwise(party(F.substring(c, 1, 2000), f, COUNTERPARTY)))
+    df = df.withColumn("acquired_asset", F.when(kind != "ipo", asset(c)))
     with_ = lambda word, x: F.coalesce(F.concat(F.lit(word), none(x)), F.lit(""))
+    value, other, what = col("deal_value"), col("acquired_name"), col("acquired_asset")
     summary = (
-        F.when(kind == "ipo", F.concat(filer, F.lit(" announced a public offering"), with_(" valued at ", value), F.lit(".")))
-        .when((kind == "merger") & (parent != ""), F.concat(parent, F.lit(" is acquiring "), filer, with_(" for ", value), F.lit(".")))
-        .when(kind == "merger", F.concat(filer, F.lit(" announced a merger"), with_(" with ", acquired), with_(" valued at ", value), F.lit(".")))
-        .when(kind == "product_acquisition", F.concat(filer, F.lit(" is acquiring "), F.coalesce(what, F.lit("product rights")), with_(" from ", acquired), with_(" for ", value), F.lit(".")))
-        .when(kind == "partnership", F.concat(filer, F.lit(" announced a licensing/collaboration agreement"), with_(" with ", acquired), with_(" valued at ", value), F.lit(".")))
-        .otherwise(F.concat(filer, F.lit(" is acquiring "), F.coalesce(none(acquired), F.lit("a company")), with_(" for ", value), F.lit(".")))
+        F.when(kind == "ipo", F.concat(f, F.lit(" announced a public offering"), with_(" valued at ", value), F.lit(".")))
+        .when(col("__parent") != "", F.concat(col("__parent"), F.lit(" is acquiring "), f, with_(" for ", value), F.lit(".")))
+        .when(kind == "merger", F.concat(f, F.lit(" announced a merger"), with_(" with ", other), with_(" valued at ", value), F.lit(".")))
+        .when(kind == "product_acquisition", F.concat(f, F.lit(" is acquiring "), F.coalesce(what, F.lit("product rights")), with_(" from ", other), with_(" for ", value), F.lit(".")))
+        .when(kind == "partnership", F.concat(f, F.lit(" announced a licensing/collaboration agreement"), with_(" with ", other), with_(" valued at ", value), F.lit(".")))
+        .otherwise(F.concat(f, F.lit(" is acquiring "), F.coalesce(none(other), F.lit("a company")), with_(" for ", value), F.lit(".")))
     )
-    snippet = F.when(F.length(strip(c)) > 50, F.substring(strip(c), 1, 500))
-    return F.struct(kind.alias("transaction_type"), acquirer.alias("acquirer_name"), acquired.alias("acquired_name"), what.alias("acquired_asset"), value.alias("deal_value"), summary.alias("deal_summary"), snippet.alias("snippet"))
+    return df.withColumn("deal_summary", summary).withColumn("snippet", F.when(F.length(strip(c)) > 50, F.substring(strip(c), 1, 500))).drop("__parent", "__target", "__seller", "__acquired")
 
 
 def display_name(c: Column) -> Column:
@@ -322,7 +327,7 @@ def job_id(c: Column) -> Column:
 def email_domain(emails: Column) -> Column:
     """Domain of the first address that is not at a general provider."""
     domains = F.transform(emails, lambda e: F.lower(strip(F.when(F.contains(e, F.lit("@")), F.regexp_extract(e, "@(.*)", 1)))))
-    return F.element_at(F.filter(domains, lambda d: d.isNotNull() & (d != "") & ~d.isin(*R.GENERIC_DOMAINS)), 1)
+    return nth(F.filter(domains, lambda d: d.isNotNull() & (d != "") & ~d.isin(*R.GENERIC_DOMAINS)), 1)
 
 
 def slug(c: Column) -> Column:
@@ -351,19 +356,19 @@ def document_body(c: Column) -> Column:
     """Of a filing of several documents, the text of the first that is an 8-K."""
     docs = F.regexp_extract_all(c, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
     hit = F.filter(docs, lambda d: F.upper(strip(F.regexp_extract(d, r"(?i)<TYPE>\s*([^\n]*)", 1))).isin("8-K", "8-K/A"))
-    return F.nullif(F.element_at(F.transform(F.filter(hit, lambda d: F.regexp_like(d, F.lit("(?is)<TEXT>.*?</TEXT>"))), lambda d: F.regexp_extract(d, r"(?is)<TEXT>(.*?)</TEXT>", 1)), 1), F.lit(""))
+    return F.nullif(nth(F.transform(F.filter(hit, lambda d: F.regexp_like(d, F.lit("(?is)<TEXT>.*?</TEXT>"))), lambda d: F.regexp_extract(d, r"(?is)<TEXT>(.*?)</TEXT>", 1)), 1), F.lit(""))
 
 
 def item_summary(html: Column) -> Column:
     """First substantive paragraph after the heading of Item 1.01, else the first
     telling sentence before the next item."""
     head = r"(?is)Item[\s\x{a0}&#;0-9]*1\.01.*?Entry\s+into\s+a\s+Material\s+Definitive\s+Agreement"
-    after = F.when(F.regexp_like(html, F.lit(head)), F.element_at(F.split(html, head, 2), 2))
+    after = F.when(F.regexp_like(html, F.lit(head)), nth(F.split(html, head, 2), 2))
     ps = F.transform(F.regexp_extract_all(after, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: squeeze(decode_entities(strip_tags(p))))
-    first = F.substring(F.element_at(F.filter(ps, substantive), 1), 1, 5000)
-    section = F.element_at(F.split(after, r"(?i)Item[\s\x{a0}&#;0-9]*[0-9]+\.[0-9]+", 2), 1)
+    first = F.substring(nth(F.filter(ps, substantive), 1), 1, 5000)
+    section = nth(F.split(after, r"(?i)Item[\s\x{a0}&#;0-9]*[0-9]+\.[0-9]+", 2), 1)
     plain = squeeze(decode_entities(strip_tags(section)))
     told = r"\b(on|the|we|our|company|pursuant|entered|agreement|acquired|merger|offering)\b"
-    sentence = F.element_at(F.filter(F.split(plain, r"(?<=\.)\s+"), lambda s: (F.length(strip(s)) >= 40) & has(s, told)), 1)
+    sentence = nth(F.filter(F.split(plain, r"(?<=\.)\s+"), lambda s: (F.length(strip(s)) >= 40) & has(s, told)), 1)
     rest = strip(F.substring(F.substr(plain, F.position(sentence, plain)), 1, 5000))
     return F.coalesce(first, F.when(sentence.isNotNull(), rest))

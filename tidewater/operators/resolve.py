@@ -5,7 +5,7 @@ Declared order: of equal keys the largest company, then the least name."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import rules as R
@@ -50,13 +50,13 @@ def match_sponsor(sponsors: DataFrame, directory: DataFrame) -> DataFrame:
     with a test of the rest."""
     df = sponsors.withColumn("__d", T.email_domain(F.col("emails"))).withColumn("__e", T.clean_name(F.col("sponsor"), state=False))
     core = T.core_words(F.col("__e"))
-    df = df.withColumn("__w", F.element_at(core, 1)).withColumn("__n", F.size(core)).withColumn("__p", F.array_join(core, " "))
+    df = df.withColumn("__w", T.nth(core, 1)).withColumn("__n", F.size(core)).withColumn("__p", F.array_join(core, " "))
     d = directory.withColumn("__d", F.lower(F.trim("domain"))).withColumn("__e", T.clean_name(F.col("name"), state=False)).filter("__e <> ''")
     d = d.withColumn("__s", parse_size(F.col("size")))
     inside = F.exists(T.words(F.col("__e"), ()), lambda w: (F.length(w) >= 3) & F.contains(F.col("__d"), w))
     by_domain = d.filter("__d <> ''").groupBy("__d").agg(F.min(F.struct(-F.col("__s"), ~inside, "name")).alias("b")).select("__d", F.col("b.name").alias("__n1"))
     by_name = d.groupBy("__e").agg(F.min(F.struct(-F.col("__s"), "name")).alias("b")).select("__e", F.col("b.name").alias("__n2"))
-    entries = d.select(F.element_at(T.words(F.col("__e"), R.SPONSOR_STOP_WORDS), 1).alias("__w"), F.col("__e").alias("__c"), "__s", "name").filter("__w IS NOT NULL")
+    entries = d.select(T.nth(T.words(F.col("__e"), R.SPONSOR_STOP_WORDS), 1).alias("__w"), F.col("__e").alias("__c"), "__s", "name").filter("__w IS NOT NULL")
     # distinct by first word and cleaned name: the best of each, before the join
     entries = entries.groupBy("__w", "__c").agg(F.min(F.struct(-F.col("__s"), "name")).alias("b"))
     keys = df.select("__w", "__n", "__p").filter("__w IS NOT NULL").distinct()
@@ -178,7 +178,3 @@ def largest_by_domain(directory: DataFrame) -> DataFrame:
 
     w = F.min(F.struct(-size_rank(F.col("size")), "name"))
     return directory.filter("domain <> ''").groupBy(F.lower(F.trim("domain")).alias("domain")).agg(w.alias("b")).select("domain", F.col("b.name").alias("company_name"))
-
-
-def running(df: DataFrame, keys: list, order: list) -> Window:
-    return Window.partitionBy(*keys).orderBy(*order)

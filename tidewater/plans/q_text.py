@@ -211,7 +211,7 @@ def i22(spark, sf):
 @query("I24_I26_deal_details")
 def i24(spark, sf):
     f = read(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_FILING} AS t", "'Filer ' || o_custkey AS filer")
-    return f.select("id", T.deal(c("t"), c("filer")).alias("d")).select("id", "d.*")
+    return T.with_deal(f, "t", "filer").drop("t", "filer")
 
 
 _URLS = "CASE page_id % 4 WHEN 0 THEN url || '/' WHEN 1 THEN upper(url) ELSE url || '//' END"
@@ -317,8 +317,8 @@ def i64(spark, sf):
 def i65(spark, sf):
     old, new = F.from_json("props", "map<string,string>"), F.create_map(F.lit("source"), c("event_type"))
     kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    merged = F.from_json(F.to_json(F.map_concat(kept, new)), "struct<k: int, source: string>")
-    return read(spark, sf, "events").select("event_id", merged["k"].alias("k"), merged["source"].alias("source"))
+    merged = F.map_concat(kept, new)
+    return read(spark, sf, "events").select("event_id", merged["k"].cast("int").alias("k"), merged["source"].alias("source"))
 
 
 @query("I67_blank_to_null_array", "SELECT o_orderkey, nullif(array_to_string(list_filter([trim(' ' || o_orderstatus), '', trim(CASE WHEN o_orderkey % 2 = 0 THEN ' x ' ELSE ' ' END)], lambda v: v <> ''), ','), '') AS engagement FROM orders")

@@ -19,9 +19,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewater.plans import q_tables, q_text
+    from tidewater.plans import q_joins, q_tables, q_text
 
-    assert q_tables and q_text
+    assert q_joins and q_tables and q_text
 
 
 _load()
