@@ -4,10 +4,10 @@ The shards come from agreement on parts of a set. If two sets of at most M
 tokens have Jaccard similarity p/q or more, their symmetric difference has at
 most d = floor(2 M (q - p) / (q + p)) tokens. Deal the tokens by hash into K > d
 parts: at least K - d parts of the two sets are equal. So the two meet in the
-shard of an equal part (Arasu et al., 2006). A document goes to the shards of
-its parts that have at least as many tokens as its (K - d)-th smallest; equal
-parts are as large in both sets, and K - d of them are equal, so the largest of
-these is among both documents' shards: no link is lost, and parts of few tokens,
+shard of an equal part (Arasu et al., 2006). With its parts in order of size, and
+of a hash of their tokens, a document goes to the shards of all but its K - d - 1
+first. Equal parts stand alike in this order, so the last of the K - d is behind
+the K - d - 1 first in both documents: no link is lost, and parts of few tokens,
 which unrelated documents may share, are not used.
 
 In each shard a signature tree holds the sets' bitmaps, and its dual traversal
@@ -52,13 +52,13 @@ def parts_of(c: int, p: int, q: int) -> tuple[int, int]:
 
 
 def width_of(c: int) -> int:
-    """Bits of the bitmaps of class c: at least four a token, a power of two."""
-    return max(64, 1 << (4 * int(_STARTS[c + 1]) - 1).bit_length())
+    """Bits of the bitmaps of class c: at least two a token, a power of two."""
+    return max(64, 1 << (2 * int(_STARTS[c + 1]) - 1).bit_length())
 
 
-def shard_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """(key, class) of the shards of a set: of its own class, and of the next if
-    a set there can be similar to it."""
+def shard_keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Keys of the shards of a set: of its own class, and of the next if a set
+    there can be similar to it."""
     n = len(tokens)
     c = size_class(n)
     out = []
@@ -69,46 +69,75 @@ def shard_keys(tokens: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
         part = ((tokens >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         count = np.bincount(part, minlength=parts)
-        least = np.partition(count, parts - d - 1)[parts - d - 1]
         total = np.zeros(parts, np.uint64)
         full = np.flatnonzero(count)
         starts = np.cumsum(count) - count
         total[full] = np.add.reduceat(mixed(tokens[order] * np.uint64(0xD6E8FEB86659FD93)), starts[full])
-        use = np.flatnonzero(count >= least)
+        use = np.lexsort((total, count))[parts - d - 1 :]
         salt = np.uint64((k * 0x9E3779B97F4A7C15 + p * 1_000_003 + q) % 2**64)
         keys = mixed(mixed(total[use] + salt) * np.uint64(0x9FB21C651E98DF25) + use.astype(np.uint64))
-        out += [(int(x), k) for x in keys.view(np.int64)]
-    return out
+        out.append(keys.view(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _node(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-_TOKENS = "doc_id long, row long, n long, node binary, bits binary, shards array<struct<key: long, class: int>>"
+_TOKENS = "doc_id long, row long, n long, node binary, bits binary, keys array<long>"
 
 
 def _tokenise(k: int, p: int, q: int):
-    shards = pa.list_(pa.struct([("key", pa.int64()), ("class", pa.int32())]))
-
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in ("n", "node", "bits", "shards")}
+            out = {c: [] for c in ("n", "node", "bits", "keys")}
             for t in batch.column(2):
                 s = shingles(t.as_py(), k)
                 out["n"].append(len(s))
                 out["node"].append(_node(s))
-                if len(s):
-                    out["bits"].append(bitmap(s, width_of(size_class(len(s)) + 1)).tobytes())
-                    out["shards"].append([{"key": x, "class": c} for x, c in shard_keys(s, p, q)])
-                else:
-                    out["bits"].append(b"")
-                    out["shards"].append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.binary()), pa.array(out["bits"], pa.binary()), pa.array(out["shards"], shards)], ["doc_id", "row", "n", "node", "bits", "shards"])
+                out["bits"].append(bitmap(s, width_of(size_class(len(s)) + 1)).tobytes() if len(s) else b"")
+                out["keys"].append(shard_keys(s, p, q) if len(s) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.binary()), pa.array(out["bits"], pa.binary()), pa.array(out["keys"], pa.list_(pa.int64()))], ["doc_id", "row", "n", "node", "bits", "keys"])
 
     return run
 
 
+def _shared(batches):
+    """Of rows (key, node number) in order of key, those whose key several nodes
+    have, with the number of these and two sums that tell sets of nodes apart."""
+    rest = np.zeros((0, 2), np.int64)
+    for batch in _closed(batches):
+        last = batch is None
+        if not last:
+            rest = np.concatenate((rest, np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()), axis=1)))
+        if not len(rest):
+            continue
+        key = rest[:, 0]
+        # the last key may go on in the next batch
+        end = len(rest) if last else int(np.searchsorted(key, key[-1]))
+        now, rest = rest[:end], rest[end:]
+        if not len(now):
+            continue
+        now = now[np.lexsort((now[:, 1], now[:, 0]))]
+        now = now[np.concatenate(([True], (now[1:] != now[:-1]).any(axis=1)))]
+        start = np.flatnonzero(np.concatenate(([True], now[1:, 0] != now[:-1, 0])))
+        size = np.diff(np.append(start, len(now)))
+        number = now[:, 1].view(np.uint64)
+        x, y = np.bitwise_xor.reduceat(mixed(number), start), np.add.reduceat(mixed(number * np.uint64(0xD6E8FEB86659FD93)), start)
+        keep = np.repeat(size > 1, size)
+        if keep.any():
+            wide = lambda v: np.repeat(v, size)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(now[keep, 0]), pa.array(wide(size)), pa.array(wide(x).view(np.int64)), pa.array(wide(y).view(np.int64)), pa.array(now[keep, 1])], ["key", "n_members", "x", "y", "number"])
+
+
+def _closed(batches):
+    """The batches with rows, and None at the end."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
@@ -139,18 +168,23 @@ def _grouped(batches, key: list[str]):
         yield rest
 
 
-def _tree(t: pa.Table, groups: np.ndarray | None = None) -> SignatureTree:
-    width = width_of(t.column("class")[0].as_py())
-    bits = np.stack([folded(np.frombuffer(x.as_py(), np.uint64), width) for x in t.column("bits")])
+def _tree(t: pa.Table, width: int, groups: np.ndarray | None = None) -> SignatureTree:
+    bits = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("bits")]
+    bits = np.stack([folded(x, width) for x in bits])
     return SignatureTree(t.column("n").to_numpy(), bits, groups)
 
 
+def _width(t: pa.Table) -> int:
+    """Bits of the narrowest bitmap, to which the others are folded."""
+    return 8 * min(len(x.as_py()) for x in t.column("bits"))
+
+
 def _connecting(p: int, q: int):
     """Of each block, possible pairs that connect all that possible pairs do."""
 
     def run(batches):
         for t in _grouped(batches, ["key", "block"]):
-            tree = _tree(t)
+            tree = _tree(t, _width(t))
             up = list(range(t.num_rows))
 
             def root(i: int) -> int:
@@ -185,7 +219,8 @@ def _crossing(p: int, q: int):
             if not len(i) or not len(j):
                 continue
             node = t.column("node").to_pylist()
-            x, y = _tree(t.take(pa.array(i)), group[i]), _tree(t.take(pa.array(j)), group[j])
+            width = _width(t)
+            x, y = _tree(t.take(pa.array(i)), width, group[i]), _tree(t.take(pa.array(j)), width, group[j])
             for a, b in dual_traversal(x, y, p, q):
                 one, two = [node[k] for k in i[a]], [node[k] for k in j[b]]
                 yield pa.RecordBatch.from_arrays([pa.array([min(*x) for x in zip(one, two)], pa.binary()), pa.array([max(*x) for x in zip(one, two)], pa.binary())], ["a", "b"])
@@ -225,27 +260,27 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(text).cast("string").alias("text"))
     tokens = stored(rows.mapInArrow(_tokenise(words, p, q), _TOKENS), "tokens")
-    nodes = stored(
-        tokens.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("shards").alias("shards"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "nodes"
-    )
-    member = nodes.select("node", F.inline("shards"))
+    first_row = tokens.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
+    nodes = tokens.filter("n > 0").join(first_row, ["node", "row"], "left_semi").withColumn("number", _hash("node"))
+    keyed = nodes.select(F.explode("keys").alias("key"), "number").repartition("key").sortWithinPartitions("key")
+    shared = stored(keyed.mapInArrow(_shared, "key long, n_members long, x long, y long, number long"), "shared", reclaim=True)
     # shards with the same members are one
-    shards = (
-        member.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor(_hash("node")).alias("x"), F.bit_xor(_hash(F.lit(1), "node")).alias("y"))
-        .filter("n_members > 1").groupBy("n_members", "x", "y").agg(F.min("key").alias("key")).select("key", "n_members")
-    )
-    kept = member.join(shards, "key")
-    members = stored(kept.join(nodes.select("node", "n", "bits"), "node").select("key", "class", "n_members", "node", "n", "bits"), "members")
+    shards = shared.groupBy("n_members", "x", "y").agg(F.min("key").alias("key")).select("key")
+    # joined by sorting at every size: a broadcast of what grows would end in a shuffle later
+    kept = shared.join(shards.hint("merge"), "key", "left_semi").select("key", "n_members", "number")
+    about = nodes.select("number", "node", "row", "n", "bits").dropDuplicates(["node", "row"])
+    members = stored(kept.join(about, "number").drop("number"), "members", reclaim=True)
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     # a large shard's blocks each hold its least member too, which connects them
+    own = F.pmod(_hash("node"), blocks).cast("int")
     least = members.filter(F.col("n_members") > BLOCK).groupBy("key").agg(F.min("node").alias("node"))
-    first = members.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = members.withColumn("block", F.pmod(_hash("node"), blocks).cast("int")).unionByName(first).dropDuplicates(["key", "block", "node"])
+    first = members.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).filter(F.col("block") != own)
+    dealt = members.withColumn("block", own).unionByName(first)
     candidates = dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_connecting(p, q), "a binary, b binary")
-    tried = stored(candidates.distinct(), "tried")
+    tried = stored(candidates.distinct(), "tried", reclaim=True)
     # the exact sets of nodes in some shard, from one of their documents
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row").distinct()
-    sets = stored(rows.join(wanted, "row", "left_semi").select("text").mapInArrow(_sets(words), "node binary, tokens binary").dropDuplicates(["node"]), "sets")
+    wanted = members.select("row").distinct()
+    sets = stored(rows.join(wanted.hint("merge"), "row", "left_semi").select("text").mapInArrow(_sets(words), "node binary, tokens binary").dropDuplicates(["node"]), "sets", reclaim=True)
     links = stored(_verify(tried, sets, p, q), "links")
     roots = components(links)
     # what is left: shards with several components
@@ -302,11 +337,12 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = WORDS, similar: tuple[
     tokens, _, roots = link(docs, words, similar, doc_id, text)
     node = tokens.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("best"))
     node = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = node.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
-    stay = stay.union(tokens.filter("n = 0").select("row")).distinct()
-    kept = without(docs, "__row")
+    none = F.lit(-(2**63)).cast("long")
+    stay = node.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"), F.coalesce("best.doc_id", none).alias("__id"))
+    stay = stay.union(tokens.filter("n = 0").select("row", F.coalesce("doc_id", none))).distinct()
+    kept = without(docs, "__row", "__id").withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), none))
     row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")))
-    return kept.withColumn("__row", row).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return kept.withColumn("__row", row).join(stay, ["__row", "__id"], "left_semi").dropDuplicates(["__row", "__id"]).drop("__row", "__id")
 
 
 #: All pairs that share a shingle, and the least id by walking the links.
