@@ -19,9 +19,11 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewater.plans import q_joins, q_tables, q_text
+    """The modules register their queries as they are imported."""
+    import importlib
 
-    assert q_joins and q_tables and q_text
+    for name in ("q_feeds", "q_joins", "q_tables", "q_text"):
+        importlib.import_module(f"tidewater.plans.{name}")
 
 
 _load()
