@@ -4,7 +4,9 @@ intermediate tables, size-checked joins and column-name hygiene."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,13 +50,20 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, reclaim: bool = False) -> DataFrame:
     """Writes df as Parquet under the work folder and reads it back: cuts the
-    lineage, is computed once and outlives any executor."""
+    lineage, is computed once and outlives any executor. With reclaim, the driver
+    collects its garbage, on which Spark deletes shuffle files that no plan
+    refers to any more."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tidewater/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    if reclaim:
+        for _ in range(2):  # the listeners' queue lets go of the plan after a moment
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.4)
     return spark.read.schema(df.schema).parquet(path)
 
 
