@@ -34,7 +34,9 @@ LENGTH = 50
 PART = 18
 #: Text of a block, hashes of a shard, stretches of a shard and of a suffix array.
 BLOCK_BYTES, HASH_BYTES, SHARD_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20, 1 << 20, 1 << 20
-#: A hash with more documents than this in a shard is sent string by string.
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 19
+#: A hash that more stretches have than this is sent string by string.
 MANY = 4096
 LAST = 2**63 - 1
 OUT = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
@@ -48,11 +50,11 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(32))
 
 
-def filed_under(data: bytes) -> np.ndarray:
-    """For each string of 50 bytes of a text, the hash that it is filed under."""
+def filed_under(data: np.ndarray) -> np.ndarray:
+    """For each string of 50 bytes, the hash that it is filed under."""
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64)
-    h = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _P1
+    h = (data.astype(np.uint64) + np.uint64(1)) * _P1
     two = h = _joined(h[:-1], h[1:])
     for k in (2, 4, 8):
         h = _joined(h[:-k], h[k:])
@@ -63,89 +65,126 @@ def filed_under(data: bytes) -> np.ndarray:
 
 
 class _Block:
-    """The documents of a block in a fixed order, and their hashes by shard."""
+    """The documents of a block in a fixed order, and its stretches: runs of
+    strings of one document that are filed under one hash."""
 
     def __init__(self, t: pa.Table):
         keys = t.column("order").to_pylist()
         texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in t.column("text")]
         self.rows = sorted(range(len(keys)), key=lambda i: (keys[i], xxhash.xxh64_intdigest(texts[i])))
-        self.keys, self.texts = [keys[i] for i in self.rows], [texts[i] for i in self.rows]
-        self.filed = [filed_under(x) for x in self.texts]
-
-    def hashes(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, once for each document; their order by shard; where each
-        shard's begin)."""
-        each = [np.unique(f) for f in self.filed]
-        h = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        self.keys = np.array([keys[i] for i in self.rows], np.int64)
+        self.text = b"".join(texts[i] for i in self.rows)
+        sizes = np.array([len(texts[i]) for i in self.rows], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        data, parts = np.frombuffer(self.text, np.uint8), []
+        for at in range(0, len(data), CHUNK):
+            f = filed_under(data[at : at + CHUNK + LENGTH - 1])
+            if not len(f):
+                continue
+            # strings that cross into the next document count for nothing
+            doc = np.searchsorted(self.ends, np.arange(at, at + len(f)), "right")
+            valid = np.arange(at, at + len(f)) + LENGTH <= self.ends[doc]
+            new = np.concatenate(([True], (f[1:] != f[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1])) & valid
+            first = np.flatnonzero(new)
+            upto = np.cumsum(valid)
+            count = np.diff(np.append(upto[first] - 1, upto[-1]))
+            parts.append((f[first], first + at, count, doc[first]))
+        c = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
+        self.filed, self.start, self.count, self.doc = c
+
+    def hashes(self, shards: int):
+        """(distinct hashes by shard; how many stretches each has, 1 if all are in
+        one document, 255 if more; where each shard's begin)."""
+        by = np.argsort(self.filed)
+        h, doc = self.filed[by], self.doc[by]
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+        if not len(at):
+            return h, np.zeros(0, np.uint8), np.zeros(shards + 1, np.int64)
+        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+        n = np.where(several, np.minimum(np.diff(np.append(at, len(h))), 255), 1).astype(np.uint8)
+        h = h[at]
         shard = (h >> np.uint64(7)) % np.uint64(shards)
         by = np.argsort(shard, kind="stable")
-        return h, by, np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
+        return h[by], n[by], np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
 
     def flagged(self, flags: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The hashes that several documents have, in order, and which of them
         very many have."""
-        h, by, at = self.hashes(shards)
+        h, _, at = self.hashes(shards)
         flag = np.zeros(len(h), np.uint8)
         for s, x in flags.items():
-            flag[by[at[s] : at[s + 1]]] = np.frombuffer(x, np.uint8)
-        some = np.unique(h[flag > 0])
-        return some, np.isin(some, h[flag > 1])
-
-    def stretches(self, some: np.ndarray, many: np.ndarray, shards: int):
-        """(pieces: shard, bytes -> its place among the shard's; least: for each
-        shard the least key of each piece; uses: document, first string, strings,
-        shard, place)."""
-        pieces: list[dict[bytes, int]] = [{} for _ in range(shards)]
-        least: list[list[int]] = [[] for _ in range(shards)]
-        uses = []
-        if not len(some):
-            return pieces, least, uses
-        for d, (f, text, key) in enumerate(zip(self.filed, self.texts, self.keys)):
-            if not len(f):
-                continue
-            at = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-            value = f[at]
-            where = np.minimum(np.searchsorted(some, value), len(some) - 1)
-            hit = np.flatnonzero(some[where] == value)
-            ends = np.append(at[1:], len(f))
-            for i in hit.tolist():
-                a, b = int(at[i]), int(ends[i])
-                if many[where[i]]:
-                    cut = [(p, p + 1, xxhash.xxh64_intdigest(text[p : p + LENGTH]) % shards) for p in range(a, b)]
-                else:
-                    cut = [(a, b, int(value[i] >> np.uint64(9)) % shards)]
-                for p, q, s in cut:
-                    piece = text[p : q + LENGTH - 1]
-                    place = pieces[s].setdefault(piece, len(least[s]))
-                    if place == len(least[s]):
-                        least[s].append(key)
-                    uses.append((d, p, q - p, s, place))
-        return pieces, least, uses
+            flag[at[s] : at[s + 1]] = np.frombuffer(x, np.uint8)
+        some, flag = h[flag > 0], flag[flag > 0]
+        by = np.argsort(some)
+        return some[by], flag[by] > 1
+
+    def pieces(self, some: np.ndarray, many: np.ndarray, shards: int):
+        """The distinct byte strings of the block's flagged stretches, and their
+        uses: a _Pieces."""
+        where = np.minimum(np.searchsorted(some, self.filed), max(0, len(some) - 1))
+        hit = np.flatnonzero(some[where] == self.filed) if len(some) else np.zeros(0, np.int64)
+        start, count, doc, value, whole = self.start[hit], self.count[hit], self.doc[hit], self.filed[hit], ~many[where[hit]] if len(some) else np.zeros(0, bool)
+        # strings of very common hashes one by one
+        times = np.where(whole, 1, count)
+        start = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        start = np.where(np.repeat(whole, times), np.repeat(self.start[hit], times), start)
+        count, doc, value, whole = np.repeat(np.where(whole, count, 1), times), np.repeat(doc, times), np.repeat(value, times), np.repeat(whole, times)
+        found: dict[bytes, int] = {}
+        text = self.text
+        place = np.fromiter((found.setdefault(text[a : a + n], len(found)) for a, n in zip(start.tolist(), (count + LENGTH - 1).tolist())), np.int64, len(start))
+        first = np.full(len(found), len(start), np.int64)
+        np.minimum.at(first, place, np.arange(len(start)))
+        shard = ((value[first] >> np.uint64(9)) % np.uint64(shards)).astype(np.int64)
+        names = list(found)
+        for i in np.flatnonzero(~whole[first]).tolist():
+            shard[i] = xxhash.xxh64_intdigest(names[i]) % shards
+        return _Pieces(names, shard, self.keys[doc[first]], start, count, self.keys[doc], place, shards)
+
+
+class _Pieces:
+    """least: the least key of a document with the piece; order: pieces by shard;
+    at: where each shard's begin in it; begin: each piece's first string, counted
+    in this order."""
+
+    def __init__(self, names, shard, least, start, count, key, place, shards):
+        self.names, self.least, self.start, self.count, self.key, self.place = names, least, start, count, key, place
+        self.order = np.argsort(shard, kind="stable")
+        self.at = np.searchsorted(shard[self.order], np.arange(shards + 1))
+        self.strings = np.array([len(x) for x in names], np.int64) - LENGTH + 1
+        n = self.strings[self.order]
+        self.begin = np.empty(len(names), np.int64)
+        self.begin[self.order] = np.cumsum(n) - n
+
+
+def _table(rows: list[tuple], **kinds) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
 
 
 def _hash_rows(shards: int):
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
-        h, by, at = _Block(t).hashes(shards)
-        rows = [(block, s, h[by[at[s] : at[s + 1]]].tobytes()) for s in range(shards) if at[s] < at[s + 1]]
-        c = list(zip(*rows)) or [(), (), ()]
-        return pa.table({"block": pa.array(c[0], pa.int64()), "shard": pa.array(c[1], pa.int64()), "data": pa.array(c[2], pa.binary())})
+        h, n, at = _Block(t).hashes(shards)
+        rows = [(block, s, h[at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].tobytes()) for s in range(shards) if at[s] < at[s + 1]]
+        return _table(rows, block=pa.int64(), shard=pa.int64(), data=pa.binary(), counts=pa.binary())
 
     return run
 
 
 def _flag_rows(t: pa.Table) -> pa.Table:
+    """For each block's hashes: 0 if one document has it, 2 if very many, else 1."""
     parts = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("data")]
     h = np.concatenate(parts)
+    count = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]).astype(np.int64)
     by = np.argsort(h)
     start = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
-    size = np.diff(np.append(start, len(h)))
+    total = np.add.reduceat(count[by], start)
     flag = np.empty(len(h), np.uint8)
-    flag[by] = np.repeat((size > 1).astype(np.uint8) + (size > MANY).astype(np.uint8), size)
-    ends = np.cumsum([len(x) for x in parts])
-    cut = np.split(flag, ends[:-1])
-    keep = [i for i, x in enumerate(cut) if x.any()]
-    return pa.table({"block": t.column("block").combine_chunks().take(pa.array(keep, pa.int64())), "shard": t.column("shard").combine_chunks().take(pa.array(keep, pa.int64())), "data": pa.array([cut[i].tobytes() for i in keep], pa.binary()), "n": pa.array([int((cut[i] > 0).sum()) for i in keep], pa.int64())})
+    flag[by] = np.repeat((total > 1).astype(np.uint8) + (total > MANY).astype(np.uint8), np.diff(np.append(start, len(h))))
+    cut = np.split(flag, np.cumsum([len(x) for x in parts])[:-1])
+    rows = [(b, s, x.tobytes(), int((x > 0).sum())) for b, s, x in zip(t.column("block").to_pylist(), t.column("shard").to_pylist(), cut) if x.any()]
+    return _table(rows, block=pa.int64(), shard=pa.int64(), data=pa.binary(), n=pa.int64())
 
 
 def _answers(t: pa.Table, kind: int) -> dict[int, bytes]:
@@ -157,14 +196,13 @@ def _piece_rows(hash_shards: int, shards: int):
         rows = []
         if t.num_rows and answers.num_rows:
             block = _Block(t)
-            pieces, least, _ = block.stretches(*block.flagged(_answers(answers, 0), hash_shards), shards)
+            x = block.pieces(*block.flagged(_answers(answers, 0), hash_shards), shards)
             number = t.column("block")[0].as_py()
             for s in range(shards):
-                if pieces[s]:
-                    lengths = np.fromiter(map(len, pieces[s]), np.int64, len(pieces[s]))
-                    rows.append((number, s, b"".join(pieces[s]), lengths.tobytes(), np.array(least[s], np.int64).tobytes()))
-        c = list(zip(*rows)) or [()] * 5
-        return pa.table({"block": pa.array(c[0], pa.int64()), "shard": pa.array(c[1], pa.int64()), "data": pa.array(c[2], pa.binary()), "lengths": pa.array(c[3], pa.binary()), "least": pa.array(c[4], pa.binary())})
+                own = x.order[x.at[s] : x.at[s + 1]]
+                if len(own):
+                    rows.append((number, s, b"".join([x.names[i] for i in own.tolist()]), (x.strings[own] + LENGTH - 1).astype(np.int32).tobytes(), x.least[own].tobytes()))
+        return _table(rows, block=pa.int64(), shard=pa.int64(), data=pa.binary(), lengths=pa.binary(), least=pa.binary())
 
     return run
 
@@ -223,7 +261,7 @@ def _earlier_rows(t: pa.Table) -> pa.Table:
     least: list[int] = []
     blocks = []
     for data, lengths, keys in zip(t.column("data"), t.column("lengths"), t.column("least")):
-        data, lengths, keys = data.as_py(), np.frombuffer(lengths.as_py(), np.int64), np.frombuffer(keys.as_py(), np.int64)
+        data, lengths, keys = data.as_py(), np.frombuffer(lengths.as_py(), np.int32).astype(np.int64), np.frombuffer(keys.as_py(), np.int64)
         at, own = 0, []
         for n, key in zip(lengths.tolist(), keys.tolist()):
             place = known.setdefault(data[at : at + n], len(least))
@@ -256,37 +294,37 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _removed_rows(hash_shards: int, shards: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(t) if t.num_rows else None
-        starts: dict[int, list[int]] = {}
-        if block and answers.num_rows:
-            pieces, least, uses = block.stretches(*block.flagged(_answers(answers, 0), hash_shards), shards)
-            bits = {s: np.unpackbits(np.frombuffer(x, np.uint8)) for s, x in _answers(answers, 1).items()}
-            begin = [np.concatenate(([0], np.cumsum([len(x) - LENGTH + 1 for x in p]))) for p in pieces]
-            for d, p, n, s, place in uses:
-                a = begin[s][place]
-                # of equal pieces in a block, all but the first document's have it from there
-                hit = range(n) if block.keys[d] > least[s][place] else np.flatnonzero(bits[s][a : a + n]).tolist() if s in bits else ()
-                if len(hit):
-                    starts.setdefault(d, []).extend(p + x for x in hit)
-        order, spans, kept = [], [], []
-        for d in range(len(block.rows) if block else 0):
-            text = block.texts[d]
-            found = np.zeros((0, 2), np.int64)
-            if d in starts:
-                step = np.zeros(len(text) + 1, np.int64)
-                at = np.unique(starts[d])
-                step[at] += 1
-                np.subtract.at(step, at + LENGTH, 1)
-                found = spans_of(np.cumsum(step)[:-1] > 0)
-            left, at = [], 0
-            for a, b in found.tolist():
-                left.append(text[at:a])
-                at = b
-            left.append(text[at:])
-            order.append(block.rows[d])
-            spans.append([{"start": a, "end": b} for a, b in found.tolist()])
+        if not t.num_rows:
+            return pa.table({"row": pa.array([], t.schema.field("row").type), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary())})
+        block = _Block(t)
+        starts = np.zeros(len(block.text) + 1, np.int32)
+        if answers.num_rows:
+            x = block.pieces(*block.flagged(_answers(answers, 0), hash_shards), shards)
+            earlier = np.zeros(int(x.strings.sum()), bool)
+            for s, bits in _answers(answers, 1).items():
+                own = x.order[x.at[s] : x.at[s + 1]]
+                n, a = int(x.strings[own].sum()), int(x.begin[own[0]])
+                earlier[a : a + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+            # every string of every stretch
+            n = x.count
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = earlier[np.repeat(x.begin[x.place], n) + step]
+            # of equal pieces in a block, all but the first document's have it from there
+            hit |= np.repeat(x.key > x.least[x.place], n)
+            starts[(np.repeat(x.start, n) + step)[hit]] = 1
+        upto = np.concatenate((np.zeros(LENGTH, np.int32), np.cumsum(starts[:-1], dtype=np.int32)))
+        covered = upto[LENGTH:] > upto[:-LENGTH]
+        spans, kept = [], []
+        for a, b in zip(block.begins.tolist(), block.ends.tolist()):
+            found = spans_of(covered[a:b]).tolist() if covered[a:b].any() else []
+            left, at = [], a
+            for x, y in found:
+                left.append(block.text[at : a + x])
+                at = a + y
+            left.append(block.text[at:b])
+            spans.append([{"start": x, "end": y} for x, y in found])
             kept.append(b"".join(left))
-        rows = t.column("row").combine_chunks().take(pa.array(order, pa.int64())) if order else pa.array([], t.schema.field("row").type)
+        rows = t.column("row").combine_chunks().take(pa.array(block.rows, pa.int64()))
         return pa.table({"row": rows, "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.binary())})
 
     return run
@@ -311,8 +349,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     rows = rows.select(F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).alias("block"), F.coalesce("id", F.lit(LAST)).alias("order"), "text", "row")
     slim = rows.select("block", "order", "text")
-    hashes = slim.groupBy("block").applyInArrow(_hash_rows(hash_shards), "block long, shard long, data binary")
-    flags = stored(hashes.groupBy("shard").applyInArrow(_flag_rows, "block long, shard long, data binary, n long"), "flags")
+    hashes = slim.groupBy("block").applyInArrow(_hash_rows(hash_shards), "block long, shard long, data binary, counts binary")
+    flags = stored(hashes.groupBy("shard").applyInArrow(_flag_rows, "block long, shard long, data binary, n long"), "flags", reclaim=True)
     n = flags.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(n * (LENGTH + 17) / SHARD_BYTES))
     first = flags.select("block", F.lit(0).alias("kind"), "shard", "data")
