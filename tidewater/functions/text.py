@@ -170,8 +170,9 @@ def headline_company(c: Column) -> Column:
         r"^[A-Za-z\s]+(?:Fronts|Pays|Invests|Bets)[^f]+\s+for\s+([A-Z][A-Za-z]+(?:\s[A-Z][a-z]+)*)'s",
         r"(?i)^(.+?)\s+\b(?:Raises|Raised|Bets|Fronts|Nabs|Joins|Signs|Teams|Enters|Announces|Files|Completes|Closes|Acquires|Agrees|Inks|Secures|Lands|Wins|Dives|Keeps|Establishes|Pumps|Launches|Nets|Snags|Debuts|Goes|Steps|Forms|Jumps)\b",
     )
-    first = F.array_join(F.slice(F.split(t, r"\s+"), 1, 3), " ")
-    return F.coalesce(*[F.nullif(strip(F.regexp_extract(t, p, 1)), F.lit("")) for p in forms], first)
+    # an array of one text: it has a name and is made once
+    found = lambda x: F.filter(F.transform(F.array(*[F.regexp_extract(x, p, 1) for p in forms]), strip), lambda n: n != "")
+    return nth(F.transform(F.array(t), lambda x: F.coalesce(nth(found(x), 1), F.array_join(F.slice(F.split(x, r"\s+"), 1, 3), " "))), 1)
 
 
 def transaction_kind(c: Column) -> Column:
@@ -372,3 +373,63 @@ def item_summary(html: Column) -> Column:
     sentence = nth(F.filter(F.split(plain, r"(?<=\.)\s+"), lambda s: (F.length(strip(s)) >= 40) & has(s, told)), 1)
     rest = strip(F.substring(F.substr(plain, F.position(sentence, plain)), 1, 5000))
     return F.coalesce(first, F.when(sentence.isNotNull(), rest))
+
+
+#: Text before a dot in a profile that is a date or a length, not a company (fixed value).
+_SKIP = r"(?i)^\d{4}\z|present|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|\d+\s*(yr|mo|year|month)"
+
+
+def profile_company(html: Column) -> Column:
+    """Of a profile's paragraphs with a middle dot, the first part that can be a
+    company's name."""
+    ps = F.transform(F.regexp_extract_all(html, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: strip(strip_tags(p)))
+    heads = F.transform(F.filter(ps, lambda p: F.contains(p, F.lit(" · "))), lambda p: strip(F.substring_index(p, " · ", 1)))
+    return nth(F.filter(heads, lambda h: F.length(h).between(2, 50) & ~h.rlike(_SKIP)), 1)
+
+
+def employee_count(html: Column) -> Column:
+    """Lower bound of a company page's size range."""
+    p = r"""(?s)jobSearchUrl.{0,200}?employeeCountRange.{0,50}?start(?:&quot;|")\s*(?::|&#58;)\s*(\d+)"""
+    return F.regexp_extract(html, p, 1).try_cast("int")
+
+
+def page_company(html: Column) -> Column:
+    """A company page's name: of its title before a bar, else the first plain name
+    of its data."""
+    title = strip(F.regexp_extract(html, r"<title>\s*(?:\(\d+\)\s*)?([^|<]{2,80}?)\s*(?::\s*[^|<]{0,60})?\s*\|", 1))
+    names = F.concat(F.regexp_extract_all(html, F.lit("&quot;name&quot;:&quot;([^&]{2,100})&quot;"), F.lit(1)), F.regexp_extract_all(html, F.lit(r'"name"\s*:\s*"([^"]{2,100})"'), F.lit(1)))
+    plain = F.filter(F.transform(names, strip), lambda n: ~F.contains(n, F.lit(".")) & ~F.contains(F.lower(n), F.lit("linkedin")))
+    return F.coalesce(F.when((F.length(title) > 1) & (F.lower(title) != "linkedin"), title), nth(plain, 1))
+
+
+def display_case(c: Column) -> Column:
+    """A name without the places after its legal suffix, words capitalised; short
+    words in capitals that are no legal suffix stay."""
+    n = strip(F.coalesce(c, F.lit("")))
+    n = strip(F.regexp_replace(n, r"(?i)\b(Inc\.?|Corp\.?|LLC|Ltd\.?|L\.L\.C\.?|PLC|GmbH|AG|NV|BV|SA|Pty),\s+.+\z", "$1"))
+    n = F.regexp_replace(n, r",\s*\z", "")
+    keep = lambda w: (F.length(w) <= 3) & (w == F.upper(w)) & ~F.upper(w).isin("INC", "CORP", "LTD", "LLC", "LLP", "LP", "PLC")
+    words_, gaps = F.regexp_extract_all(n, F.lit("[A-Za-z]+"), F.lit(0)), F.split(n, "[A-Za-z]+", -1)
+    cased = F.transform(words_, lambda w: F.when(keep(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
+    return F.array_join(F.zip_with(gaps, cased, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+
+def post_deal(html: Column) -> Column:
+    """Kind of deal of a posts page: ipo, acquisition, merger, partnership, in this
+    order."""
+    t = F.lower(html)
+    return F.when(t.rlike(r"\bipo\b|initial public offering"), "ipo").when(t.rlike(r"acqui(re|sition)"), "acquisition").when(t.rlike(r"merg(e|er|ing)\b"), "merger").when(t.rlike(r"partner(ship)?|collaborat|licens"), "partnership")
+
+
+def lead_specialty(title: Column, specialty: Column) -> Column:
+    """Null for a blocked title (human resources), else the specialties, and
+    Talent Acquisition where the title says so."""
+    t = clean_title(title)
+    talent = F.contains(t, F.lit("talent acquisition"))
+    base = F.when((F.size(specialty) == 1) & (nth(specialty, 1) == "Other"), F.slice(specialty, 1, 0)).otherwise(specialty)
+    return F.when(F.contains(t, F.lit("human resources")) & ~talent, None).when(talent, F.array_union(base, F.array(F.lit("Talent Acquisition")))).otherwise(specialty)
+
+
+def company_url(c: Column) -> Column:
+    """Whether a url is a company's page, not one below it."""
+    return has(c, r"^https://www\.linkedin\.com/company/[^/?#]+/?\z")
