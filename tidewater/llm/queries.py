@@ -17,6 +17,7 @@ QUERIES = {
     "op10_systematic_mix": mixing.op10,
 }
 SQL = {
+    "op2_host_reputation": urls.OP2_SQL,
     "op1_signature_tree_join": ngram_join.OP1_SQL,
     "op3_adaptive_quality": quality.OP3_SQL,
     "op4_warc_index_merge": warc.OP4_SQL,

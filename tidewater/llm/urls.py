@@ -160,3 +160,55 @@ def op2(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     outcomes = stored(labelled_outcomes(pages, docs, labels), "outcomes")
     return filter_urls(pages.select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
+def _sql_rule(value: int) -> str:
+    """CASE over the rules, longest first: the rule (0) or its verdict (1)."""
+    whens = []
+    for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])):
+        whens.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def _sql_level(key: str, parents: list[str], parent: str) -> str:
+    by = ", ".join(parents)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in parents)
+    low, high = STRENGTH
+    return f"""
+g_{key} AS (SELECT {by}, {key}, sum(n)::BIGINT AS n, sum(x)::BIGINT AS x FROM every GROUP BY ALL),
+s_{key} AS (SELECT {by}, sum(n)::DOUBLE AS n, sum(x)::DOUBLE AS x, count(*) AS k, sum(n * n)::DOUBLE AS n2, sum(x * x / n::DOUBLE) AS x2n FROM g_{key} WHERE n > 0 GROUP BY ALL),
+r_{key} AS (SELECT *, CASE WHEN x / n * (1 - x / n) > 0 AND n - n2 / n > 0 THEN (x2n - x * (x / n) - (k - 1) * (x / n * (1 - x / n))) / ((n - n2 / n) * (x / n * (1 - x / n))) ELSE 0.0 END AS rho FROM s_{key}),
+m_{key} AS (SELECT g.*, p.p AS prior, coalesce(CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, {low}), {high}) ELSE {high} END, {high})::DOUBLE AS m
+  FROM g_{key} g JOIN {parent} p ON {on("g", "p")} LEFT JOIN r_{key} r ON {on("g", "r")}),
+p_{key} AS (SELECT * EXCLUDE (m, prior), (m * prior + x) / (m + n) AS p, m + n AS total FROM m_{key})"""
+
+
+def _sql_entities(x: str) -> str:
+    for a, b in _ENTITIES:
+        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+_SPACE = r"'[\x20\x09-\x0D]+'"
+_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_LABELS = "string_split(host, '.')"
+OP2_SQL = (
+    rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+bad AS (SELECT doc_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS bad FROM labels GROUP BY doc_id),
+t AS (SELECT md5(regexp_replace(text, {_SPACE}, '', 'g')) AS d, max(bad) AS bad FROM documents JOIN bad USING (doc_id) GROUP BY 1),
+a AS (SELECT host, md5(regexp_replace({_sql_entities("regexp_replace(regexp_extract(html, '(?s)<article><h1>[^<]*</h1>(.*?)</article>', 1), '<[^>]*>', '', 'g')")}, {_SPACE}, '', 'g')) AS d FROM h),
+o AS (SELECT host, bad FROM a JOIN t USING (d)),
+c AS (SELECT host, count(*) AS n, sum(bad)::BIGINT AS x FROM o GROUP BY host),
+e AS (SELECT DISTINCT h.host, coalesce(n, 0) AS n, coalesce(x, 0) AS x, array_to_string(list_reverse(list_reverse({_LABELS.replace('host', 'h.host')})[1:2]), '.') AS two FROM h LEFT JOIN c USING (host)),
+every AS (SELECT host, n, x, 1 AS one, CASE WHEN two IN ({_TWO}) THEN two ELSE {_LABELS}[-1] END AS suffix,
+  CASE WHEN two IN ({_TWO}) THEN array_to_string(list_reverse(list_reverse({_LABELS})[1:3]), '.') ELSE two END AS domain FROM e),
+p_one AS (SELECT one, CASE WHEN sum(n) > 0 THEN sum(x) / sum(n)::DOUBLE ELSE 0.0 END AS p FROM every GROUP BY one),"""
+    + ",".join((_sql_level("suffix", ["one"], "p_one"), _sql_level("domain", ["one", "suffix"], "p_suffix"), _sql_level("host", ["one", "suffix", "domain"], "p_domain")))
+    + f"""
+SELECT page_id, h.host, path, {_sql_rule(0)} AS rule,
+  coalesce({_sql_rule(1)}, CASE WHEN r.n > 0 AND r.p - {DEVIATIONS} * sqrt(r.p * (1 - r.p) / (r.total + 1)) > (SELECT coalesce(avg(bad), 0) FROM o) * {LIFT} THEN 'block' ELSE 'allow' END) AS verdict, r.n AS n_labelled
+FROM h JOIN p_host r ON r.host = h.host
+""".replace("host = '", "h.host = '").replace("ends_with(host", "ends_with(h.host").replace("AND h.host = r.host", "AND host = r.host")
+)
