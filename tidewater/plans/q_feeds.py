@@ -198,12 +198,20 @@ def l21(spark, sf):
     return t.select("id", F.array_join(T.specialties(c("title"), c("override")), ",").alias("specialty"))
 
 
-@query("A9_page_text")
+def _sql_text() -> str:
+    x = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"SELECT page_id, substr({sql_strip(f'regexp_replace({x}, {q(chr(92) + chr(115) + chr(43))}, {q(chr(32))}, {q(chr(103))})')}, 1, 4000) AS text FROM pages"
+
+
+@query("A9_page_text", _sql_text())
 def a9(spark, sf):
     return read(spark, sf, "pages").select("page_id", readers.plain_text(c("html"), 4000).alias("text"))
 
 
-@query("A10_A12_news_cards")
+@query("A10_A12_news_cards", "SELECT trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '\\s+', ' ', 'g')) AS title, url AS article_url, DATE '2026-04-01' + (page_id % 30)::INT AS article_date FROM pages")
 def a10(spark, sf):
     """Cards of listing pages that are put together from the pages table."""
     card = F.concat(F.lit('<div class="PagePromo-title"><a class="Link" href="'), "url", F.lit('">'), F.regexp_extract("html", "<title>([^<]*)", 1), F.lit('</a></div><div class="PagePromo-date">April '), (c("page_id") % 30 + 1), F.lit(", 2026</div>"))

@@ -127,7 +127,7 @@ def i32(spark, sf):
     return read(spark, sf, "part").select(c("p_partkey").alias("id"), T.job_id(u).alias("job_id"), role.alias("role"), h["company"].alias("company"), T.without_name(text, F.lit("acme")).alias("scrubbed"))
 
 
-@query("I36_A16_profile_pages")
+@query("I36_A16_profile_pages", "SELECT page_id, 'Acme ' || page_id AS page_name, 'Beta ' || page_id AS company, (page_id * 10)::INT AS members FROM pages")
 def i36(spark, sf):
     html = F.expr("'<title>(3) Acme ' || page_id || ': About | X</title><p>2019 · now</p><p>Beta ' || page_id || ' · Full-time</p>jobSearchUrl x employeeCountRange y start&quot;:' || (page_id * 10)")
     return read(spark, sf, "pages").select("page_id", T.page_company(html).alias("page_name"), T.profile_company(html).alias("company"), T.employee_count(html).alias("members"))
@@ -165,7 +165,19 @@ def l6(spark, sf):
     return read(spark, sf, "events").filter("event_type = 'click'").select("event_id", "event_type", "user_id")
 
 
-@query("L17_headline_signals")
+def _sql_l17() -> str:
+    from tidewater.plans.q_text import _HEADLINES, _sql_amount, _sql_headline, sql_cut, sql_strip
+
+    deal = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), {q(p)}) THEN {q(n)}" for n, p in R.HEADLINE_DEALS) + " END"
+    plain = f"lower({sql_strip(sql_cut('company_name', '(?i)' + R.EXCLUSION_SUFFIX + '$'))})"
+    return (
+        f"WITH h AS (SELECT {_HEADLINES} AS title, 'https://n/' || o_orderkey AS source_url FROM orders), d AS (SELECT *, {deal} AS deal, {_sql_headline('title')} AS company_name FROM h) "
+        f"SELECT company_name, source_url, deal, {_sql_amount('title')} AS amount FROM d WHERE deal <> 'ma' AND NOT {sql_has('title', R.NON_US_ENTITY, True)} AND NOT {sql_has('company_name', R.ACADEMIC_FUNDING)} "
+        f"AND NOT {sql_has('company_name', R.VC_FUND)} AND NOT ({plain} <> '' AND (starts_with({plain}, 'alpha') OR starts_with('alpha', {plain})))"
+    )
+
+
+@query("L17_headline_signals", _sql_l17())
 def l17(spark, sf):
     from tidewater.plans import agents
     from tidewater.plans.q_text import _HEADLINES
