@@ -103,6 +103,15 @@ def test_cards(spark):
     assert [(r.title, r.article_url, str(r.article_date)) for r in got.orderBy("article_url").collect()] == [("A & B", "/a", "2026-04-02"), ("C", "/b", "None")]
 
 
+def test_other_layouts(spark):
+    h = '<h3 class="element-title x"><a href="/p">One</a></h3><span class="date d-inline-block">Apr 20, 2026 10:15am</span><h3 class="element-title">none</h3><a href="/q">no</a>'
+    got = readers.news_cards(spark.createDataFrame([(h,)], "h string"), "h", "heading", "2026-05-01", "https://n.example")
+    assert [(r.title, r.article_url, str(r.article_date)) for r in got.collect()] == [("One", "https://n.example/p", "2026-04-20")]
+    h = '<div class="box epn_item"><h3><a href="u" title="Clean &amp; short">x</a></h3><div class="epn_time">3 days ago</div></div><div class="epn_item"><h3><a href="v"><b>Two</b></a></h3></div>'
+    got = readers.news_cards(spark.createDataFrame([(h,)], "h string"), "h", "relative", "2026-05-10")
+    assert sorted((r.title, r.article_url, str(r.article_date)) for r in got.collect()) == [("Clean & short", "u", "2026-05-07"), ("Two", "v", "None")]
+
+
 def test_sinks(spark, tmp_path):
     p = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")

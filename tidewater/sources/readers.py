@@ -86,22 +86,30 @@ def plain_text(html, chars: int):
     return F.substring(T.squeeze(T.decode_entities(T.strip_tags(x, " "))), 1, chars)
 
 
-#: Card layouts: the title's tag, the link in it, the date's tag (fixed values).
+#: Card layouts (fixed values): where a card begins, what its title's tag ends with,
+#: what its link's tag must have, the date's tag, whether dates are relative.
 CARDS = {
-    "promo": (r'(?is)<div\s+class="PagePromo-title"[^>]*>', r'(?is)<a\s+[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', r'(?is)<div\s+class="PagePromo-date"[^>]*>(.*?)</div>'),
-    "heading": (r"(?is)<h3[^>]*>", r'(?is)<a\s+[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', r'(?is)<span\s+class="date[^"]*"[^>]*>(.*?)</span>'),
-    "relative": (r'(?is)<div\s+class="epn_item"[^>]*>', r'(?is)<a\s+[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', r'(?is)<span\s+class="epn_time"[^>]*>(.*?)</span>'),
+    "promo": (r'(?is)<div\s+class="PagePromo-title"[^>]*>', "</div>", r'(?=[^>]*class="[^"]*\bLink\b)', r'(?is)<div\s+class="PagePromo-date"[^>]*>(.*?)</div>', False),
+    "heading": (r'(?is)<h3\s+class="element-title[^"]*"[^>]*>', "</h3>", "", r'(?is)<span\s+class="date\s+d-inline-block"[^>]*>(.*?)</span>', False),
+    "relative": (r'(?is)<div\s+class="[^"]*\bepn_item\b[^"]*"[^>]*>', "</h3>", "", r'(?is)<div\s+class="[^"]*\bepn_time\b[^"]*"[^>]*>(.*?)</div>', True),
 }
 
 
-def news_cards(pages: DataFrame, html: str, layout: str, as_of: str) -> DataFrame:
+def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str = "") -> DataFrame:
     """(title, article_url, article_date), one row for each url: the first on the
-    pages. A date is looked for between a title and the next."""
-    head, link, date = CARDS[layout]
+    pages. A date is looked for between a title and the next; a title attribute of
+    a link comes before its text, and links within the site get its origin."""
+    head, end, must, date, relative = CARDS[layout]
     parts = pages.select(F.posexplode(F.split(F.concat(F.lit(" "), c(html)), head)).alias("at", "part")).filter("at > 0")
-    raw = T.squeeze(T.decode_entities(T.strip_tags(F.regexp_extract("part", date, 1))))
-    day = D.relative_date(raw, F.lit(as_of).cast("date")) if layout == "relative" else D.named_date(raw)
-    cards = parts.select("at", T.squeeze(T.decode_entities(T.strip_tags(F.regexp_extract("part", link, 2)))).alias("title"), F.trim(F.regexp_extract("part", link, 1)).alias("article_url"), day.alias("article_date"))
+    clean = lambda x: T.squeeze(T.decode_entities(T.strip_tags(x)))
+    tag = rf"(?is)^(?:(?!{end}).)*?<a\s+{must}([^>]*)>(.*?)</a>"
+    attrs = F.regexp_extract("part", tag, 1)
+    href = F.trim(F.regexp_extract(attrs, r'(?i)href="([^"]+)"', 1))
+    named = F.regexp_extract(attrs, r'(?i)\btitle="([^"]+)"', 1) if relative else F.lit("")
+    title = F.coalesce(F.nullif(F.trim(T.decode_entities(named)), F.lit("")), clean(F.regexp_extract("part", tag, 2)))
+    raw = clean(F.regexp_extract("part", date, 1))
+    day = D.relative_date(raw, F.lit(as_of).cast("date")) if relative else D.named_date(raw)
+    cards = parts.select("at", title.alias("title"), F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(origin), href)).otherwise(href).alias("article_url"), day.alias("article_date"))
     first = Window.partitionBy("article_url").orderBy("at", "title")
     return cards.filter("title <> '' AND article_url <> ''").withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "at")
 
