@@ -112,6 +112,13 @@ def test_other_layouts(spark):
     assert sorted((r.title, r.article_url, str(r.article_date)) for r in got.collect()) == [("Clean & short", "u", "2026-05-07"), ("Two", "v", "None")]
 
 
+def test_job_cards(spark):
+    card = '<div class="base-card x"><a class="base-card__full-link" href="/jobs/view/cra-1?t=2">x</a><h3 class="base-search-card__title"> CRA &amp; co </h3><h4 class="base-search-card__subtitle"><a>Acme</a></h4><span class="job-search-card__location">Boston</span><time datetime="2026-04-01">1 month ago</time></div>'
+    pages = spark.createDataFrame([(f"<ul><li>{card}</li><li>no title</li></ul>",), ('<div class="base-card"><h3>Lead</h3><time>2 weeks ago</time></div>',)], "h string")
+    got = sorted(map(tuple, readers.job_cards(pages, "h", "2026-05-01", "https://j.example", "Given").collect()))
+    assert got == [("CRA & co", "Acme", "Boston", "https://j.example/jobs/view/cra-1", 30), ("Lead", "Given", "", "", 14)]
+
+
 def test_sinks(spark, tmp_path):
     p = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")

@@ -114,16 +114,28 @@ def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str
     return cards.filter("title <> '' AND article_url <> ''").withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "at")
 
 
-def job_cards(pages: DataFrame, html: str, as_of: str) -> DataFrame:
+#: Cards that one listing page gives at most: part of the feature.
+CARDS_PER_PAGE = 25
+
+
+def job_cards(pages: DataFrame, html: str, as_of: str, origin: str = "", company: str = "") -> DataFrame:
     """Job cards of listing pages: title, company, location, url without query and
-    age in days."""
-    parts = pages.select(F.explode(F.slice(F.split(c(html), r'(?is)<div[^>]*class="[^"]*base-card[^"]*"[^>]*>'), 2, 10_000)).alias("p"))
-    tag = lambda cls: T.squeeze(T.decode_entities(T.strip_tags(F.regexp_extract("p", rf'(?is)class="[^"]*{cls}[^"]*"[^>]*>(.*?)</(?:h3|h4|span|a)>', 1))))
+    age in days. A card is a list item, or where a page has none a card's div; one
+    without a title is none."""
+    by_item, by_card = F.split(c(html), r"(?i)<li\b[^>]*>"), F.split(c(html), r'(?i)<div[^>]*class="(?:[^"]*\s)?base-card(?:\s[^"]*)?"[^>]*>')
+    parts = pages.select(F.explode(F.slice(F.when(F.size(by_item) > 1, by_item).otherwise(by_card), 2, 100_000)).alias("p"), F.monotonically_increasing_id().alias("page"))
+    text = lambda p: T.squeeze(T.decode_entities(T.strip_tags(F.regexp_extract("p", p, 1))))
+    either = lambda *ps: F.coalesce(*[F.nullif(text(p), F.lit("")) for p in ps])
+    of = lambda cls: rf'(?is)<(?:h3|h4|span|a|div)[^>]*class="[^"]*{cls}[^"]*"[^>]*>(.*?)</(?:h3|h4|span|a|div)>'
+    link = F.coalesce(*[F.nullif(F.regexp_extract("p", p, 1), F.lit("")) for p in (r'(?is)<a\b[^>]*href="([^"]*/jobs/view/[^"]*)"', r'(?is)<a\b[^>]*href="([^"]+)"')], F.lit(""))
     when = F.try_to_timestamp(F.nullif(F.regexp_extract("p", r'(?is)<time[^>]*datetime="([^"]+)"', 1), F.lit("")))
-    return parts.select(
-        tag("card__title").alias("title"), tag("card__subtitle").alias("company"), tag("card__location").alias("location"), T.job_url(F.regexp_extract("p", r'(?is)href="([^"]+)"', 1)).alias("job_url"),
-        F.coalesce(D.age_days(when, F.lit(as_of).cast("timestamp")), F.lit(0)).alias("days_posted"),
+    age = F.coalesce(F.when(when.isNotNull(), D.age_days(when, F.lit(as_of).cast("timestamp"))), D.days_posted(text(r"(?is)<time[^>]*>(.*?)</time>")))
+    cards = parts.select(
+        "page", either(of("base-search-card__title"), r"(?is)<h3[^>]*>(.*?)</h3>").alias("title"), F.coalesce(either(of("base-search-card__subtitle"), r"(?is)<h4[^>]*>(.*?)</h4>"), F.lit(company)).alias("company"),
+        F.coalesce(either(of("job-search-card__location"), of("location")), F.lit("")).alias("location"), T.job_url(F.when(F.startswith(link, F.lit("/")), F.concat(F.lit(origin), link)).otherwise(link)).alias("job_url"), age.alias("days_posted"),
     )
+    kept = cards.filter("title IS NOT NULL").groupBy("page").agg(F.slice(F.collect_list(F.struct("title", "company", "location", "job_url", "days_posted")), 1, CARDS_PER_PAGE).alias("j"))
+    return kept.select(F.inline("j"))
 
 
 def directory_csv(spark: SparkSession, path: str) -> DataFrame:
