@@ -64,7 +64,23 @@ def stored(df: DataFrame, tag: str, reclaim: bool = False) -> DataFrame:
             gc.collect()
             spark._jvm.System.gc()
             time.sleep(0.4)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that no later plan reads."""
+    for i, (spark, path) in enumerate(_written):
+        if path == df._stored_at:
+            _delete(spark, path)
+            del _written[i]
+            return
 
 
 def release() -> None:
@@ -73,9 +89,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: nothing can be deleted
             return
 

@@ -11,9 +11,12 @@ the K - d - 1 first in both documents: no link is lost, and parts of few tokens,
 which unrelated documents may share, are not used.
 
 In each shard a signature tree holds the sets' bitmaps, and its dual traversal
-gives the pairs that can be similar; they are verified on the exact sets. First
-only as many as connect the possible pairs; then, in shards that still hold
-several components, all pairs between different components.
+gives the pairs that can be similar; they are verified on the exact sets. A first
+round takes some shards, and of their possible pairs only as many as connect them
+all; near copies are then mostly in one component. The second round takes all
+shards that still hold several components, and all pairs between different ones.
+Shards with the same main component are taken together, so that a set that many
+of them hold is shipped once.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored, table, without
+from tidewater.llm.common import discard, stored, table, without
 from tidewater.llm.components import components
 from tidewater.llm.shingles import mixed, shingles
 from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal, folded
@@ -33,6 +36,8 @@ from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal,
 WORDS, SIMILAR = 5, (80, 100)
 #: Members of one task's share of a shard.
 BLOCK = 512
+#: The first round takes one in so many shards; the second misses none.
+FIRST = 8
 OUT = ("n_shingles", "component_id")
 #: Size classes grow by half.
 _STARTS = [1]
@@ -158,7 +163,7 @@ def _grouped(batches, key: list[str]):
             t = pa.concat_tables([rest, t]).combine_chunks()
         change = np.zeros(t.num_rows - 1, bool)
         for c in key:
-            v = t.column(c).to_numpy()
+            v = t.column(c).to_numpy(zero_copy_only=False) if pa.types.is_primitive(t.column(c).type) else np.array(t.column(c).to_pylist(), object)
             change |= v[1:] != v[:-1]
         at = [0, *(np.flatnonzero(change) + 1).tolist()]
         for a, b in zip(at, at[1:]):
@@ -210,7 +215,7 @@ def _crossing(p: int, q: int):
     """Of each pair of blocks, all possible pairs between components."""
 
     def run(batches):
-        for t in _grouped(batches, ["key", "left_block", "block"]):
+        for t in _grouped(batches, ["key", "main", "left_block", "block"]):
             side = t.column("left").to_numpy(zero_copy_only=False)
             roots = t.column("root").to_pylist()
             number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
@@ -259,9 +264,10 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     p, q = similar
     row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(text).cast("string").alias("text"))
-    tokens = stored(rows.mapInArrow(_tokenise(words, p, q), _TOKENS), "tokens")
+    wide = stored(rows.mapInArrow(_tokenise(words, p, q), _TOKENS), "wide")
+    tokens = stored(wide.select("doc_id", "row", "n", "node"), "tokens")
     first_row = tokens.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
-    nodes = tokens.filter("n > 0").join(first_row, ["node", "row"], "left_semi").withColumn("number", _hash("node"))
+    nodes = wide.filter("n > 0").join(first_row, ["node", "row"], "left_semi").withColumn("number", _hash("node"))
     keyed = nodes.select(F.explode("keys").alias("key"), "number").repartition("key").sortWithinPartitions("key")
     shared = stored(keyed.mapInArrow(_shared, "key long, n_members long, x long, y long, number long"), "shared", reclaim=True)
     # shards with the same members are one
@@ -269,33 +275,41 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     # joined by sorting at every size: a broadcast of what grows would end in a shuffle later
     kept = shared.join(shards.hint("merge"), "key", "left_semi").select("key", "n_members", "number")
     about = nodes.select("number", "node", "row", "n", "bits").dropDuplicates(["node", "row"])
-    members = stored(kept.join(about, "number").drop("number"), "members", reclaim=True)
+    about = stored(about.join(kept.select("number").distinct().hint("merge"), "number", "left_semi"), "about", reclaim=True)
+    members = stored(kept.join(about.select("number", "node").hint("merge"), "number").select("key", "n_members", "node"), "members", reclaim=True)
+    discard(wide)
+    discard(shared)
+    bits = about.select("node", "n", "bits")
+    # first round: links of some shards; a large one's blocks each hold its least member too, which connects them
+    some = members.filter(F.pmod(_hash("key"), F.lit(FIRST)) == 0)
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    # a large shard's blocks each hold its least member too, which connects them
     own = F.pmod(_hash("node"), blocks).cast("int")
-    least = members.filter(F.col("n_members") > BLOCK).groupBy("key").agg(F.min("node").alias("node"))
-    first = members.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).filter(F.col("block") != own)
-    dealt = members.withColumn("block", own).unionByName(first)
+    least = some.filter(F.col("n_members") > BLOCK).groupBy("key").agg(F.min("node").alias("node"))
+    first = some.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).filter(F.col("block") != own)
+    dealt = some.withColumn("block", own).unionByName(first).join(bits, "node")
     candidates = dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_connecting(p, q), "a binary, b binary")
     tried = stored(candidates.distinct(), "tried", reclaim=True)
     # the exact sets of nodes in some shard, from one of their documents
-    wanted = members.select("row").distinct()
+    wanted = about.select("row").distinct()
     sets = stored(rows.join(wanted.hint("merge"), "row", "left_semi").select("text").mapInArrow(_sets(words), "node binary, tokens binary").dropDuplicates(["node"]), "sets", reclaim=True)
-    links = stored(_verify(tried, sets, p, q), "links")
+    links = stored(_verify(tried, sets, p, q), "links", reclaim=True)
     roots = components(links)
-    # what is left: shards with several components
-    state = members.filter("n_members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # second round: of the shards that hold several components, all those with one main component together
+    state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed_shards = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("n_left")).filter("n_roots > 1").select("key", "main", "n_left")
-    open_ = stored(state.join(mixed_shards, "key"), "open")
+    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("n_roots > 1").select("key", "main")
+    open_ = stored(state.join(several, "key").select("main", "node", "root").distinct(), "open")
     if not open_.isEmpty():
-        # members outside the largest component (left) against all members
-        n_left, n_all = F.ceil(F.col("n_left") / BLOCK).cast("int"), F.ceil(F.col("n_members") / BLOCK).cast("int")
-        left = open_.filter("root <> main").withColumn("left", F.lit(True)).withColumn("left_block", F.pmod(_hash("node"), n_left).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_all - 1)))
-        right = open_.withColumn("left", F.lit(False)).withColumn("block", F.pmod(_hash("node"), n_all).cast("int")).withColumn("left_block", F.explode(F.sequence(F.lit(0), n_left - 1)))
-        both = left.unionByName(right).repartition("key", "left_block", "block").sortWithinPartitions("key", "left_block", "block")
-        more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        found = stored(_verify(more, sets, p, q), "links")
+        # members outside the main component (left) against all members, in blocks of both
+        sizes = open_.groupBy("main").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("root") != F.col("main")).alias("n_left"))
+        dealt = open_.join(sizes, "main")
+        n_left, n_all = F.ceil(F.col("n_left") / BLOCK).cast("int"), F.ceil(F.col("n_all") / BLOCK).cast("int")
+        left = dealt.filter("root <> main").withColumn("left", F.lit(True)).withColumn("left_block", F.pmod(_hash("node"), n_left).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_all - 1)))
+        right = dealt.withColumn("left", F.lit(False)).withColumn("block", F.pmod(_hash("node"), n_all).cast("int")).withColumn("left_block", F.explode(F.sequence(F.lit(0), n_left - 1)))
+        both = left.unionByName(right).join(bits, "node").withColumn("key", _hash("main"))
+        both = both.repartition("main", "left_block", "block").sortWithinPartitions("key", "main", "left_block", "block")
+        more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more", reclaim=True)
+        found = stored(_verify(more, sets, p, q), "links", reclaim=True)
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links)
