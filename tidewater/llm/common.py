@@ -50,6 +50,14 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices of few rows: what is made of one at a time stays
+    small, however many rows Spark sends."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def stored(df: DataFrame, tag: str, reclaim: bool = False) -> DataFrame:
     """Writes df as Parquet under the work folder and reads it back: cuts the
     lineage, is computed once and outlives any executor. With reclaim, the driver

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored, table, without
+from tidewater.llm.common import small, stored, table, without
 from tidewater.llm.shingles import mixed, shingles, word_hashes
 
 #: Words of a shingle, and the share of an item's shingles that a document must
@@ -89,7 +89,7 @@ def _document_rows(classes: list[int], known: np.ndarray | None):
         bits = np.zeros(FILTER_BITS, bool)
         if known is not None:
             bits[(known & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-        for batch in batches:
+        for batch in small(batches):
             rows, keys, tokens = [], [], []
             for row, text in zip(batch.column(0), batch.column(1)):
                 s = _sequence(text.as_py())

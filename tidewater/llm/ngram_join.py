@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, stored, table, without
+from tidewater.llm.common import discard, small, stored, table, without
 from tidewater.llm.components import components
 from tidewater.llm.shingles import mixed, shingles
 from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal, folded
@@ -94,7 +94,7 @@ _TOKENS = "doc_id long, row long, n long, node binary, bits binary, keys array<l
 
 def _tokenise(k: int, p: int, q: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = {c: [] for c in ("n", "node", "bits", "keys")}
             for t in batch.column(2):
                 s = shingles(t.as_py(), k)
@@ -145,7 +145,7 @@ def _closed(batches):
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [shingles(t.as_py(), k) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "tokens"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import join_small, stored, table, without
+from tidewater.llm.common import join_small, small, stored, table, without
 
 #: Base rules of the contract.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -70,7 +70,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def _with_stats(batches):
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column(batch.schema.get_field_index("__text"))
         stats = [text_stats(t.as_py()) for t in texts]
         keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]

@@ -13,7 +13,7 @@ class _Words(dict):
     """Hashes of words; forgets them all when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 1 << 16:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
