@@ -18,14 +18,15 @@ SYMBOLS = b"#*$%&|<>"
 #: A sketch keeps a count for each bucket; a value's bucket is the value with
 #: all but its first 6 binary digits cleared, so a quantile is at most 1/32 low.
 DIGITS = 6
-#: A group with fewer documents takes its language's sketch, and a language with
-#: fewer that of all documents.
+#: A group takes its language's sketch, and a language that of all documents, if
+#: fewer than a quarter of LEAST_DOCS documents stand above the quantile.
 LEAST_DOCS = 50
-#: A measure's cutoff: the third quartile, and REACH times the distance from the
-#: median to it; at least the floor, which stands for no visible fault.
-REACH = 6
-#: Measures (per mille, word_length in hundredths of a code point) and floors.
-MEASURES = {"symbols": 100, "dup_lines": 500, "repeated": 250, "word_length": 1000}
+#: Measures (per mille, word_length in hundredths of a code point): the upper
+#: quantile in percent, how often its distance from the median is added to it, the
+#: least distance (as most documents may have the same value), a floor.
+RULES = {"symbols": (75, 6, 1, 0), "dup_lines": (98, 2, 50, 0), "repeated": (98, 2, 50, 0), "word_length": (75, 6, 16, 0)}
+#: The rules of OP3_SQL, with floors that decide wherever they are above the sketches.
+SQL_RULES = {"symbols": (75, 6, 0, 100), "dup_lines": (75, 6, 0, 500), "repeated": (75, 6, 0, 250), "word_length": (75, 6, 0, 1000)}
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 OUT = (*STATS, "base_failed", "kept", "reason")
@@ -109,28 +110,30 @@ def sketch(stats: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cutoffs(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, n_docs, cutoff) from sketches: of each group the buckets
+def _cutoffs(merged: DataFrame, keys: list[str], rules: dict) -> DataFrame:
+    """(keys, measure, enough, cutoff) from sketches: of each group the buckets
     and counts stand in one array, whose length the digits bound."""
     groups = merged.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("n_docs"))
-    quantile = "element_at(filter(aggregate(b, named_struct('t', 0L, 'o', CAST(array() AS array<struct<bucket: bigint, t: bigint>>)), (a, x) -> named_struct('t', a.t + x.n, 'o', concat(a.o, array(named_struct('bucket', x.bucket, 't', a.t + x.n))))).o, y -> y.t * 100 >= n_docs * %d), 1).bucket"
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
+    for i, name in enumerate(("__percent", "__reach", "__least", "__floor")):
+        groups = groups.withColumn(name, F.element_at(F.create_map(*[F.lit(x) for m, rule in rules.items() for x in (m, rule[i])]), F.col("measure")).cast("long"))
+    quantile = "element_at(filter(aggregate(b, named_struct('t', 0L, 'o', CAST(array() AS array<struct<bucket: bigint, t: bigint>>)), (a, x) -> named_struct('t', a.t + x.n, 'o', concat(a.o, array(named_struct('bucket', x.bucket, 't', a.t + x.n))))).o, y -> y.t * 100 >= n_docs * %s), 1).bucket"
     return (
-        groups.withColumn("__q2", F.expr(quantile % 50)).withColumn("__q3", F.expr(quantile % 75))
-        .select(*keys, "measure", "n_docs", F.greatest(F.col("__q3") + REACH * (F.col("__q3") - F.col("__q2")), floor.cast("long")).alias("cutoff"))
+        groups.withColumn("__mid", F.expr(quantile % "50")).withColumn("__high", F.expr(quantile % "__percent"))
+        .withColumn("__spread", F.greatest(F.col("__high") - F.col("__mid"), F.col("__least")))
+        .select(*keys, "measure", (F.col("n_docs") * (100 - F.col("__percent")) >= 25 * LEAST_DOCS).alias("enough"), F.greatest(F.col("__high") + F.col("__reach") * F.col("__spread"), F.col("__floor")).alias("cutoff"))
     )
 
 
-def thresholds(stats: DataFrame) -> DataFrame:
+def thresholds(stats: DataFrame, rules: dict = RULES) -> DataFrame:
     """(__lang, __source, cutoffs map measure -> cutoff) for each language and
     source, from the sketch of the smallest group that is large enough."""
     fine = sketch(stats, ["__lang", "__source"])
     by_lang = fine.groupBy("__lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    a = _cutoffs(fine, ["__lang", "__source"])
-    b = _cutoffs(by_lang, ["__lang"]).select("__lang", "measure", F.col("n_docs").alias("__n_b"), F.col("cutoff").alias("__c_b"))
-    c = _cutoffs(by_all, []).select("measure", F.col("cutoff").alias("__c_c"))
-    pick = F.when(F.col("n_docs") >= LEAST_DOCS, F.col("cutoff")).when(F.col("__n_b") >= LEAST_DOCS, F.col("__c_b")).otherwise(F.col("__c_c"))
+    a = _cutoffs(fine, ["__lang", "__source"], rules)
+    b = _cutoffs(by_lang, ["__lang"], rules).select("__lang", "measure", F.col("enough").alias("__enough_b"), F.col("cutoff").alias("__c_b"))
+    c = _cutoffs(by_all, [], rules).select("measure", F.col("cutoff").alias("__c_c"))
+    pick = F.when(F.col("enough"), F.col("cutoff")).when(F.col("__enough_b"), F.col("__c_b")).otherwise(F.col("__c_c"))
     chosen = a.join(b, ["__lang", "measure"]).join(F.broadcast(c), "measure").withColumn("__pick", pick)
     return chosen.groupBy("__lang", "__source").agg(F.map_from_entries(F.collect_list(F.struct("measure", "__pick"))).alias("__cutoffs"))
 
@@ -139,15 +142,15 @@ def _key(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
 
 
-def judge_quality(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judge_quality(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", rules: dict = RULES) -> DataFrame:
     """All rows of docs with STATS, base_failed, kept and reason (the first rule
     that a document breaks, else null); input columns of these names are
     replaced.
 
     base_failed: fewer than 20 words, or more than 30% of the words in repeated
     windows of 8. Of the others, a document is not kept if one of its measures
-    is above its language and source's cutoff. All documents are in the
-    sketches.
+    is above its language and source's cutoff. The documents that aren't
+    base_failed are in the sketches; with SQL_RULES all are.
 
     Null text: no words, so base_failed. Null language or source: a group of its
     own. Repeated rows are judged alike. No rows: no rows.
@@ -155,8 +158,8 @@ def judge_quality(docs: DataFrame, *, text: str = "text", lang: str = "lang", so
     docs = without(docs, *OUT)
     rows = with_stats(docs, text).withColumn("__lang", _key(lang)).withColumn("__source", _key(source))
     slim = with_stats(docs.select(F.col(text).alias("__t"), _key(lang).alias("__lang"), _key(source).alias("__source")), "__t").drop("__t")
-    limits = stored(thresholds(slim), "cutoffs")
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    limits = stored(thresholds(slim if rules is SQL_RULES else slim.filter(~base), rules), "cutoffs")
     reason = F.when(base, "base")
     for m, v in measures().items():
         reason = reason.when(v > F.element_at("__cutoffs", m), m)
@@ -168,7 +171,7 @@ def judge_quality(docs: DataFrame, *, text: str = "text", lang: str = "lang", so
 
 
 def op3(spark, sf_dir):
-    out = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), rules=SQL_RULES)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
