@@ -1,6 +1,6 @@
 """Cases that the first review found missing."""
 
-from tidewater.llm import common, quality
+from tidewater.llm import common, pii, quality
 
 
 def test_quality_cutoffs_come_from_the_sketches(spark):
@@ -21,3 +21,26 @@ def test_quality_cutoffs_differ_by_group(spark):
     stats = quality.with_stats(docs.selectExpr("text", "concat('s', lang) AS __lang", "concat('s', source) AS __source"))
     got = [r["__cutoffs"] for r in quality.thresholds(stats.filter("n_words >= 20")).collect()]
     assert len({c["word_length"] for c in got}) > 3 and all(c["word_length"] < 1000 for c in got)
+
+
+FORMS = {
+    "please write to john at example.com today": "john at example.com",
+    "tel 06 12 34 56 78 today": "06 12 34 56 78",
+    "call 5551234567 today": "5551234567",
+    "from 2001:db8::1 today": "2001:db8::1",
+    "server fe80::1 today": "fe80::1",
+}
+
+
+def test_pii_wide_forms(spark):
+    docs = spark.createDataFrame([(t,) for t in FORMS], "text string")
+    proposed = docs.selectExpr("text", f"transform({pii.candidates('text')}, c -> c.s) AS s").collect()
+    assert all(FORMS[r.text] in r.s for r in proposed)
+    for r in pii.find_pii(docs).collect():
+        assert FORMS[r.text] in [r.text[s.start : s.end] for s in r.spans]
+
+
+def test_pii_plain_numbers_and_prose_stay(spark):
+    texts = ["order 5551234567 came", "they arrived at noon. then it rained", "use bad::add here", "more at example.com and elsewhere"]
+    out = pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all(r.redacted == r.text for r in out)

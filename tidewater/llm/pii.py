@@ -32,10 +32,14 @@ _DIGIT = "%s RLIKE '[0-9]'"
 
 #: Generators of candidates: wide patterns, which overlap one another.
 CANDIDATES = (
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:[(\[{](?:at|@)[)\]}]| at ) ?[a-z0-9-]{1,63}+(?: ?(?:[.]|[(\[{](?:dot|[.])[)\]}]| dot ) ?[a-z0-9-]{2,63}+)++", "%s RLIKE '(?i)[(\\\\[{] ?(at|@)|dot'"),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:[(\[{](?:at|@)[)\]}]| at ) ?[a-z0-9-]{1,63}+(?: ?(?:[.]|[(\[{](?:dot|[.])[)\]}]| dot ) ?[a-z0-9-]{2,63}+)++", "%s RLIKE '(?i)[(\\\\[{](at|@)[)\\\\]}]| at '"),
     ("phone", r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ .-]?)?[(]?[0-9]{2,5}[)]?[ .-][0-9]{2,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])", _DIGIT),
+    # in pairs, after an area or country code or not; without separators
+    ("phone", r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ .-]?)?[(]?[0-9]{1,5}[)]?[ ./-]{1,2}[0-9]{2}(?:[ .-]?[0-9]{2}){2,4}(?![0-9A-Za-z])", _DIGIT),
+    ("phone", r"(?<![0-9A-Za-z+.-])(?:[(]?0[0-9]{1,4}[)]?[ /-]{1,2})?[0-9]{7,15}+(?![0-9A-Za-z]|[.,][0-9])", _DIGIT),
     ("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", _DIGIT),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])", "contains(%s, ':')"),
+    ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+::(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+|::[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)(?![0-9A-Za-z:])", "contains(%s, '::')"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _DIGIT),
     ("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+", _DIGIT),
     ("ssn", r"(?<![0-9-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9-])", _DIGIT),
@@ -84,7 +88,7 @@ def base_spans(text: str) -> dict[str, str]:
 
 #: Features of a candidate c (kind, s, start, end) with the text before and after.
 _CONTEXT = {
-    "contact": "(?:tel|phone|call|fax|mobil|mail|contact|whatsapp|reach|sms|appel|ruf)",
+    "contact": "(?:write to|tel|phone|call|fax|mobil|mail|contact|whatsapp|reach|sms|appel|ruf)",
     "identity": "(?:ssn|social|iban|account|konto|compte|cuenta|card|visa|carte|karte|tarjeta|passport|credit|bank)",
     "credential": "(?:token|key|secret|passw|pwd|bearer|api|auth|credential)",
     "number": "(?:order|invoice|isbn|version|page|ref|sku|part|model|serial|total|build|commit|sha|hash|md5|lot|year|doi)",
@@ -102,6 +106,12 @@ FEATURES = {
     "luhn": f"CAST(length({_digits('c.s')}) BETWEEN 13 AND 19 AND {luhn(_digits('c.s'))} AS INT)",
     "three_three_four": r"CAST(c.s RLIKE '^[(]?[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}$' AS INT)",
     "bracketed": r"CAST(c.s RLIKE '[(\\[{](at|dot|@|[.])[)\\]}]' AS INT)",
+    "spaced_dot": "CAST(c.s RLIKE '[.] ' AS INT)",
+    "plain_dot": "CAST(c.s RLIKE '[A-Za-z0-9][.][A-Za-z]+$' AS INT)",
+    "colons": "length(regexp_replace(c.s, '[^:]', ''))",
+    "compressed": "CAST(contains(c.s, '::') AS INT)",
+    "national": "CAST(c.s RLIKE '^[(]?0[1-9]' AS INT)",
+    "in_pairs": "CAST(c.s RLIKE '([ .-][0-9]{2}){3,}$' AS INT)",
     "before_word": "CAST(c.before RLIKE '[A-Za-z0-9]$' AS INT)",
     "after_word": "CAST(c.after RLIKE '^[A-Za-z0-9]' AS INT)",
     "assigned": r"CAST(c.before RLIKE '[=:] ?[\"\']?$' AS INT)",
@@ -156,6 +166,22 @@ def sample(n: int = SAMPLE, seed: int = 7) -> list[tuple[str, str, int]]:
         lambda: (pick('token = "', 'api_key: ', "secret=", "password: ", 'auth_token = "', "Bearer "), pick(hexa(40), hexa(32), "AKIA" + token(16), token(36), "ghp_" + token(36))),
         lambda: (pick("ssn ", "social security ", "ssn: "), f"{d(3)}-{d(2)}-{d(4)}"),
     )
+    def pairs(k: int) -> str:
+        sep = pick(" ", " ", ".", "-")
+        return sep.join(d(2) for _ in range(k))
+
+    def compressed() -> str:
+        head = pick("2001:db8", "fe80", f"2a{hexa(2)}:{hexa(4)}", f"2001:{hexa(3)}:{hexa(4)}", f"fd{hexa(2)}")
+        return f"{head}::{pick(d(1), hexa(4), hexa(4) + ':' + hexa(4))}"
+
+    yes += (
+        lambda: (pick("mail ", "contact ", "write to ", "reach me: "), f"{name()} at {name()}.{pick('com', 'org', 'net', 'de')}"),
+        lambda: (pick("tel ", "appel ", "mobile ", "call ", "phone: ", ""), f"0{r.randint(1, 9)}{(sep := pick(' ', ' ', '.', '-'))}{sep.join(d(2) for _ in range(4))}"),
+        lambda: (pick("tel ", "phone: ", "call ", "fax "), f"{pick('0' + d(2) + ' ', '0' + d(3) + '/', '', '00' + d(2) + ' ' + d(1) + ' ')}{pairs(4)}"),
+        lambda: (pick("tel ", "call ", "phone: ", "mobile ", "sms ", "whatsapp "), f"{pick('', '0')}{r.randint(2, 9)}{d(pick(8, 9))}"),
+        lambda: (pick("ip ", "from ", "server ", "host ", ""), compressed()),
+    )
+
     def not_card() -> str:
         while True:
             t = d(pick(16, 16, 15, 14))
@@ -176,6 +202,12 @@ def sample(n: int = SAMPLE, seed: int = 7) -> list[tuple[str, str, int]]:
         lambda: (pick("lot ", "model ", ""), f"{pick('AB', 'XY')}{d(2)}{d(4)}{d(4)}{d(4)}"),
         lambda: ("we met ", f"{name()} at {name()} dot {name()}"),
         lambda: ("years ", f"20{d(2)} 20{d(2)}-20{d(2)}"),
+        lambda: (pick("", "we met ", "he was ", "she "), f"{name()} at {name()}. {name()}"),
+        lambda: (pick("", "see ", "more ", "read it "), f"{name()} at {name()}.{pick('com', 'org', 'net', 'de')}"),
+        lambda: (pick("row ", "scores ", "numbers ", "values ", "total ", ""), f"{r.randint(1, 9)}{d(1)} {pairs(pick(3, 4))}"),
+        lambda: (pick("on ", "dated ", ""), f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}"),
+        lambda: (pick("order ", "total ", "ref ", "serial ", "build ", "version ", ""), f"{r.randint(1, 9)}{d(pick(6, 7, 8, 9, 9))}"),
+        lambda: (pick("use ", "in ", ""), f"{pick('add', 'dead', 'bad', 'cafe', 'face', 'fade', 'ace')}::{pick('add', 'bed', 'bad', 'dad', 'feed', 'ee')}"),
     )
     out = []
     for i in range(n):
@@ -254,7 +286,7 @@ def find_pii(docs: DataFrame, *, text: str = "text", fitted: dict | None = None)
     better = "o.start < c.end AND c.start < o.end AND (o.p > c.p OR (o.p = c.p AND (o.start < c.start OR (o.start = c.start AND (o.end > c.end OR (o.end = c.end AND o.kind < c.kind))))))"
     chosen = f"transform(filter(coalesce(__likely, array()), c -> NOT exists(__likely, o -> {better})), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))"
     by_kind = f"transform(array_sort(transform(%s, x -> named_struct('k', {_ORDER}, 'start', x.start, 'end', x.end, 'kind', x.kind))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
-    df = df.selectExpr("*", f"CASE WHEN __likely IS NULL THEN base_spans ELSE {by_kind % f'concat(base_spans, {chosen})'} END AS spans")
+    df = df.selectExpr("*", f"CASE WHEN __likely IS NULL THEN base_spans ELSE {by_kind % f'concat(base_spans, array_distinct({chosen}))'} END AS spans")
     # redaction: spans by start; the part of one that an earlier one covers is gone
     by_start = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
     cut = f"substr({t}, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT))"
