@@ -44,3 +44,12 @@ def test_pii_plain_numbers_and_prose_stay(spark):
     texts = ["order 5551234567 came", "they arrived at noon. then it rained", "use bad::add here", "more at example.com and elsewhere"]
     out = pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert all(r.redacted == r.text for r in out)
+
+
+def test_pii_overlap_with_a_dropped_candidate(spark, monkeypatch):
+    # A (0-6) is likelier than B (4-10), B than C (8-14): C overlaps only B, which goes
+    monkeypatch.setattr(pii, "CANDIDATES", (("iban", "^.{6}", "length(%s) > 0"), ("ssn", "(?<=^.{4}).{6}", "length(%s) > 0"), ("secret", "(?<=^.{8}).{6}", "length(%s) > 0")))
+    monkeypatch.setattr(pii.boosting, "to_sql", lambda trees, names: f"(3 * {names[list(pii.FEATURES).index('is_iban')]} + 2 * {names[list(pii.FEATURES).index('is_ssn')]} + {names[list(pii.FEATURES).index('is_secret')]})")
+    docs = spark.createDataFrame([("abcdefghijklmn",)], "text string")
+    got = pii.find_pii(docs, fitted={"trees": [], "a": 1.0, "b": 0.0, "cut": 0.5}).first()
+    assert [(s.kind, s.start, s.end) for s in got.spans] == [("iban", 0, 6), ("secret", 8, 14)]

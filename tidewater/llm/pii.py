@@ -262,7 +262,7 @@ def find_pii(docs: DataFrame, *, text: str = "text", fitted: dict | None = None)
     Base patterns find what they find. Beyond them, wide patterns propose spans
     that may overlap; boosted trees give each a calibrated probability from its
     form and context; those over the threshold stay unless they overlap a base
-    span or a likelier candidate.
+    span or a likelier candidate that stays.
 
     Null text: no spans, and a null redacted text. Empty text: none. Repeated
     rows are treated alike. No rows: no rows.
@@ -283,10 +283,12 @@ def find_pii(docs: DataFrame, *, text: str = "text", fitted: dict | None = None)
     rated = f"transform(__raw, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', {vector}))"
     rated = f"transform({rated}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'p', transform(array(c.f), f -> {chance})[0]))"
     df = df.selectExpr("*", f"CASE WHEN size(__raw) = 0 THEN NULL ELSE filter({rated}, c -> c.p >= {fitted['cut']!r}D) END AS __likely")
-    better = "o.start < c.end AND c.start < o.end AND (o.p > c.p OR (o.p = c.p AND (o.start < c.start OR (o.start = c.start AND (o.end > c.end OR (o.end = c.end AND o.kind < c.kind))))))"
-    chosen = f"transform(filter(coalesce(__likely, array()), c -> NOT exists(__likely, o -> {better})), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))"
+    # from the likeliest down, one stays unless it overlaps one that stays
+    ranked = "array_sort(transform(coalesce(__likely, array()), c -> named_struct('p', -c.p, 'start', c.start, 'back', -c.end, 'kind', c.kind, 'end', c.end)))"
+    none = "CAST(array() AS array<struct<kind: string, start: bigint, end: bigint>>)"
+    chosen = f"aggregate({ranked}, {none}, (a, c) -> CASE WHEN exists(a, o -> o.start < c.end AND c.start < o.end) THEN a ELSE concat(a, array(named_struct('kind', c.kind, 'start', c.start, 'end', c.end))) END)"
     by_kind = f"transform(array_sort(transform(%s, x -> named_struct('k', {_ORDER}, 'start', x.start, 'end', x.end, 'kind', x.kind))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
-    df = df.selectExpr("*", f"CASE WHEN __likely IS NULL THEN base_spans ELSE {by_kind % f'concat(base_spans, array_distinct({chosen}))'} END AS spans")
+    df = df.selectExpr("*", f"CASE WHEN __likely IS NULL THEN base_spans ELSE {by_kind % f'concat(base_spans, {chosen})'} END AS spans")
     # redaction: spans by start; the part of one that an earlier one covers is gone
     by_start = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
     cut = f"substr({t}, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT))"
