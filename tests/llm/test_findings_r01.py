@@ -1,6 +1,11 @@
 """Cases that the first review found missing."""
 
-from tidewater.llm import common, pii, quality
+from pathlib import Path
+
+import pytest
+
+from tidewater.llm import common, licenses, pii, quality
+from tidewater.llm.license_texts import KNOWN
 
 
 def test_quality_cutoffs_come_from_the_sketches(spark):
@@ -53,3 +58,23 @@ def test_pii_overlap_with_a_dropped_candidate(spark, monkeypatch):
     docs = spark.createDataFrame([("abcdefghijklmn",)], "text string")
     got = pii.find_pii(docs, fitted={"trees": [], "a": 1.0, "b": 0.0, "cut": 0.5}).first()
     assert [(s.kind, s.start, s.end) for s in got.spans] == [("iban", 0, 6), ("secret", 8, 14)]
+
+
+def test_full_license_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "GPL-3").exists():
+        pytest.skip("the full texts are not on this machine")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {name: (folder / name).read_text() for name in want}
+    rows = [(i, t) for n, i in want.items() for t in (texts[n], texts[n].upper())]
+    rows += [("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Foo")), (None, texts["GPL-3"][:30000])]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert [r.license_id for r in out] == [r.want for r in out]
+
+
+def test_holder_without_year(spark):
+    mit = KNOWN[0][2]
+    rows = [("MIT", f"{head}{mit}") for head in ("Copyright Node.js contributors. All rights reserved.\n\n", "MIT License\n\nCopyright The Foo Authors\n\n", "Copyright Foo\nAll rights reserved.\n\n")]
+    rows += [(None, "Copyright is a hard subject\n\n" + mit), (None, "Some words of\ncopyright prose\n\n" + mit)]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert [r.license_id for r in out] == [r.want for r in out]

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import table, without
-from tidewater.llm.license_texts import EQUIVALENT, KNOWN
+from tidewater.llm.license_texts import EQUIVALENT, FULL, KNOWN
 
 OUT = ("license_id", "notice_ids", "n_notices", "text_digest")
 
 #: A line that only states who holds the copyright, or that rights are reserved.
 _COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*(copyright|[0-9]{4})|©|all rights reserved)[^\n]*"
+#: A paragraph of one line that names the holder only.
+_HOLDER = r"(^[ \t\r\n]*|\n[ \t\r]*\n)[^a-z0-9\n]*copyright[ \t]+(?!notice|and |law|license|holder|owner|is |in |of |statement)[^\n]*(?=\n[ \t\r]*\n|\s*\z)"
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
@@ -23,6 +25,7 @@ def normal_lines(text: Column) -> Column:
     # twice: two such lines in a row share a line feed
     for _ in range(2):
         x = F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("all rights reserved")), F.regexp_replace(x, _COPYRIGHT, "$1")).otherwise(x)
+    x = F.when(F.contains(x, F.lit("copyright")), F.regexp_replace(x, _HOLDER, "$1")).otherwise(x)
     x = F.regexp_replace(x, r"[^a-z0-9\n]+", " ")
     for a, b in EQUIVALENT:
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -38,7 +41,9 @@ def known_digests(spark) -> DataFrame:
     """(digest, license): a table of fixed size, one row for each wording."""
     each = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("wording")) for i, _, t in KNOWN])
     rows = spark.range(1).select(F.inline(each))
-    return rows.select(digest(normal_lines(F.col("wording"))).alias("__digest"), "license").dropDuplicates(["__digest"])
+    rows = rows.select(digest(normal_lines(F.col("wording"))).alias("__digest"), "license")
+    full = F.array(*[F.struct(F.lit(d).alias("__digest"), F.lit(i).alias("license")) for i, d in FULL])
+    return rows.union(spark.range(1).select(F.inline(full))).dropDuplicates(["__digest"])
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
