@@ -4,9 +4,7 @@ intermediate tables, size-checked joins and column-name hygiene."""
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +32,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df if len(kept) == len(df.columns) else df.select(*[F.col(f"`{c}`") for c in kept])
 
 
+#: One column holds all of an operator's input columns, so that none can clash with
+#: the names that it uses itself.
+_IN = "__in"
+
+
+def packed(df: DataFrame, out: tuple[str, ...], **named: Column) -> DataFrame:
+    """The named columns, made from df's, and one struct of all of df's columns but
+    those that `out` names."""
+    kept = without(df, *out).columns
+    return df.select(*[v.alias(k) for k, v in named.items()], F.struct(*[F.col(f"`{c}`") for c in kept]).alias(_IN))
+
+
+def unpacked(df: DataFrame, like: DataFrame, out: tuple[str, ...]) -> DataFrame:
+    """The columns of `like` but those that `out` names, and those of df that it
+    names."""
+    return df.select(*[F.col(f"{_IN}.`{c}`").alias(c) for c in without(like, *out).columns], *out)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -41,10 +57,13 @@ def n_words(text: Column) -> Column:
 
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: what the cluster names in
-    spark.checkpoint.dir, or, where that is unset (tests on one machine), a
-    temporary folder that the setting then names."""
+    spark.checkpoint.dir, or, where that is unset on a single machine (tests), a
+    temporary folder that the setting then names. A cluster without the setting
+    has no folder that all its machines see: that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -58,20 +77,23 @@ def small(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
-def stored(df: DataFrame, tag: str, reclaim: bool = False) -> DataFrame:
+#: With it, Spark deletes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet under the work folder and reads it back: cuts the
-    lineage, is computed once and outlives any executor. With reclaim, the driver
-    collects its garbage, on which Spark deletes shuffle files that no plan
-    refers to any more."""
+    lineage, is computed once and outlives any executor. The shuffle files of the
+    writing go with it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tidewater/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    if reclaim:
-        for _ in range(2):  # the listeners' queue lets go of the plan after a moment
-            gc.collect()
-            spark._jvm.System.gc()
-            time.sleep(0.4)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

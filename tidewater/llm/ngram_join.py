@@ -14,9 +14,8 @@ In each shard a signature tree holds the sets' bitmaps, and its dual traversal
 gives the pairs that can be similar; they are verified on the exact sets. A first
 round takes some shards, and of their possible pairs only as many as connect them
 all; near copies are then mostly in one component. The second round takes all
-shards that still hold several components, and all pairs between different ones.
-Shards with the same main component are taken together, so that a set that many
-of them hold is shipped once.
+shards that still hold several components, and in each all pairs between different
+ones. No shard is taken by one task: its members are dealt to blocks.
 """
 
 from __future__ import annotations
@@ -28,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, small, stored, table, without
+from tidewater.llm.common import discard, packed, small, stored, table, unpacked
 from tidewater.llm.components import components
 from tidewater.llm.shingles import mixed, shingles
 from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal, folded
 
 WORDS, SIMILAR = 5, (80, 100)
-#: Members of one task's share of a shard.
-BLOCK = 512
+#: Members of one task's share of a shard; a join takes so many blocks at a time.
+BLOCK, BLOCKS = 512, 8
 #: The first round takes one in so many shards; the second misses none.
 FIRST = 8
 OUT = ("n_shingles", "component_id")
@@ -107,42 +106,6 @@ def _tokenise(k: int, p: int, q: int):
     return run
 
 
-def _shared(batches):
-    """Of rows (key, node number) in order of key, those whose key several nodes
-    have, with the number of these and two sums that tell sets of nodes apart."""
-    rest = np.zeros((0, 2), np.int64)
-    for batch in _closed(batches):
-        last = batch is None
-        if not last:
-            rest = np.concatenate((rest, np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()), axis=1)))
-        if not len(rest):
-            continue
-        key = rest[:, 0]
-        # the last key may go on in the next batch
-        end = len(rest) if last else int(np.searchsorted(key, key[-1]))
-        now, rest = rest[:end], rest[end:]
-        if not len(now):
-            continue
-        now = now[np.lexsort((now[:, 1], now[:, 0]))]
-        now = now[np.concatenate(([True], (now[1:] != now[:-1]).any(axis=1)))]
-        start = np.flatnonzero(np.concatenate(([True], now[1:, 0] != now[:-1, 0])))
-        size = np.diff(np.append(start, len(now)))
-        number = now[:, 1].view(np.uint64)
-        x, y = np.bitwise_xor.reduceat(mixed(number), start), np.add.reduceat(mixed(number * np.uint64(0xD6E8FEB86659FD93)), start)
-        keep = np.repeat(size > 1, size)
-        if keep.any():
-            wide = lambda v: np.repeat(v, size)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(now[keep, 0]), pa.array(wide(size)), pa.array(wide(x).view(np.int64)), pa.array(wide(y).view(np.int64)), pa.array(now[keep, 1])], ["key", "n_members", "x", "y", "number"])
-
-
-def _closed(batches):
-    """The batches with rows, and None at the end."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
-
-
 def _sets(k: int):
     def run(batches):
         for batch in small(batches):
@@ -215,7 +178,7 @@ def _crossing(p: int, q: int):
     """Of each pair of blocks, all possible pairs between components."""
 
     def run(batches):
-        for t in _grouped(batches, ["key", "main", "left_block", "block"]):
+        for t in _grouped(batches, ["key", "left_block", "block"]):
             side = t.column("left").to_numpy(zero_copy_only=False)
             roots = t.column("root").to_pylist()
             number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
@@ -268,17 +231,21 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     tokens = stored(wide.select("doc_id", "row", "n", "node"), "tokens")
     first_row = tokens.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
     nodes = wide.filter("n > 0").join(first_row, ["node", "row"], "left_semi").withColumn("number", _hash("node"))
-    keyed = nodes.select(F.explode("keys").alias("key"), "number").repartition("key").sortWithinPartitions("key")
-    shared = stored(keyed.mapInArrow(_shared, "key long, n_members long, x long, y long, number long"), "shared", reclaim=True)
+    keyed = nodes.select(F.explode("keys").alias("key"), "number")
+    # shards of several nodes; then each one's size, and two sums that tell sets of nodes apart
+    several = keyed.groupBy("key").agg(F.min("number").alias("low"), F.max("number").alias("high")).filter("low <> high").select("key")
+    shared = stored(keyed.join(several.hint("merge"), "key", "left_semi").distinct(), "shared")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor("number").alias("x"), F.sum(_hash("number").cast("decimal(20)")).alias("y"))
     # shards with the same members are one
-    shards = shared.groupBy("n_members", "x", "y").agg(F.min("key").alias("key")).select("key")
+    shards = sizes.groupBy("n_members", "x", "y").agg(F.min("key").alias("key")).select("key", "n_members")
     # joined by sorting at every size: a broadcast of what grows would end in a shuffle later
-    kept = shared.join(shards.hint("merge"), "key", "left_semi").select("key", "n_members", "number")
+    kept = stored(shared.join(shards.hint("merge"), "key").select("key", "n_members", "number"), "kept")
     about = nodes.select("number", "node", "row", "n", "bits").dropDuplicates(["node", "row"])
-    about = stored(about.join(kept.select("number").distinct().hint("merge"), "number", "left_semi"), "about", reclaim=True)
-    members = stored(kept.join(about.select("number", "node").hint("merge"), "number").select("key", "n_members", "node"), "members", reclaim=True)
+    about = stored(about.join(kept.select("number").distinct().hint("merge"), "number", "left_semi"), "about")
+    members = stored(kept.join(about.select("number", "node").hint("merge"), "number").select("key", "n_members", "node"), "members")
     discard(wide)
     discard(shared)
+    discard(kept)
     bits = about.select("node", "n", "bits")
     # first round: links of some shards; a large one's blocks each hold its least member too, which connects them
     some = members.filter(F.pmod(_hash("key"), F.lit(FIRST)) == 0)
@@ -288,28 +255,30 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     first = some.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).filter(F.col("block") != own)
     dealt = some.withColumn("block", own).unionByName(first).join(bits, "node")
     candidates = dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_connecting(p, q), "a binary, b binary")
-    tried = stored(candidates.distinct(), "tried", reclaim=True)
+    tried = stored(candidates.distinct(), "tried")
     # the exact sets of nodes in some shard, from one of their documents
     wanted = about.select("row").distinct()
-    sets = stored(rows.join(wanted.hint("merge"), "row", "left_semi").select("text").mapInArrow(_sets(words), "node binary, tokens binary").dropDuplicates(["node"]), "sets", reclaim=True)
-    links = stored(_verify(tried, sets, p, q), "links", reclaim=True)
+    sets = stored(rows.join(wanted.hint("merge"), "row", "left_semi").select("text").mapInArrow(_sets(words), "node binary, tokens binary").dropDuplicates(["node"]), "sets")
+    links = stored(_verify(tried, sets, p, q), "links")
     roots = components(links)
-    # second round: of the shards that hold several components, all those with one main component together
+    # second round: of each shard that holds several components, members outside
+    # its main one (left) against all members, in blocks of both
     state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("n_roots > 1").select("key", "main")
-    open_ = stored(state.join(several, "key").select("main", "node", "root").distinct(), "open")
+    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n_all"), F.max("c").alias("n_main")).filter("n_roots > 1")
+    # a large shard's members are dealt over salts, for which its row is repeated
+    salts = lambda n: F.ceil(F.col(n) / (BLOCK * BLOCKS)).cast("int")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), salts("n_all") - 1))).select("key", "salt", "main", (F.col("n_all") - F.col("n_main")).alias("n_left"))
+    open_ = state.withColumn("salt", F.pmod(_hash("node"), salts("n_members")).cast("int")).join(several, ["key", "salt"])
+    open_ = stored(open_.select("key", "node", "root", (F.col("root") != F.col("main")).alias("other"), "n_left", F.col("n_members").alias("n_all")), "open")
     if not open_.isEmpty():
-        # members outside the main component (left) against all members, in blocks of both
-        sizes = open_.groupBy("main").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("root") != F.col("main")).alias("n_left"))
-        dealt = open_.join(sizes, "main")
         n_left, n_all = F.ceil(F.col("n_left") / BLOCK).cast("int"), F.ceil(F.col("n_all") / BLOCK).cast("int")
-        left = dealt.filter("root <> main").withColumn("left", F.lit(True)).withColumn("left_block", F.pmod(_hash("node"), n_left).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_all - 1)))
-        right = dealt.withColumn("left", F.lit(False)).withColumn("block", F.pmod(_hash("node"), n_all).cast("int")).withColumn("left_block", F.explode(F.sequence(F.lit(0), n_left - 1)))
-        both = left.unionByName(right).join(bits, "node").withColumn("key", _hash("main"))
-        both = both.repartition("main", "left_block", "block").sortWithinPartitions("key", "main", "left_block", "block")
-        more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more", reclaim=True)
-        found = stored(_verify(more, sets, p, q), "links", reclaim=True)
+        left = open_.filter("other").withColumn("left", F.lit(True)).withColumn("left_block", F.pmod(_hash("node"), n_left).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_all - 1)))
+        right = open_.withColumn("left", F.lit(False)).withColumn("block", F.pmod(_hash("node"), n_all).cast("int")).withColumn("left_block", F.explode(F.sequence(F.lit(0), n_left - 1)))
+        both = left.unionByName(right).select("key", "left_block", "block", "left", "node", "root").join(bits, "node")
+        both = both.repartition("key", "left_block", "block").sortWithinPartitions("key", "left_block", "block")
+        more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        found = stored(_verify(more, sets, p, q), "links")
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links)
@@ -327,7 +296,7 @@ def ngram_join(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int]
     and one of white space have none and link with nothing. Repeated rows and
     equal sets are in one component. Null doc_id: the row is linked like others,
     but gives no component its id; where all are null, component_id is null.
-    Other columns are left out. No rows: no rows.
+    Very long texts are taken whole. Other columns are left out. No rows: no rows.
     """
     tokens, _, roots = link(docs, words, similar, doc_id, text)
     return _labelled(tokens, roots).select(F.col("doc_id").alias(doc_id), "n_shingles", "component_id")
@@ -347,16 +316,20 @@ def op1(spark, sf_dir):
 def drop_near_duplicates(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: the row with the least doc_id (null
     last), of ties one. Rows without words are components of their own; rows
-    that are equal in doc_id and text are one."""
+    that are equal in doc_id and text are one, the first in order of the other
+    columns as JSON. Null text: as an empty one. Very long texts are taken whole.
+    No rows: no rows."""
     tokens, _, roots = link(docs, words, similar, doc_id, text)
     node = tokens.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("best"))
     node = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     none = F.lit(-(2**63)).cast("long")
     stay = node.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"), F.coalesce("best.doc_id", none).alias("__id"))
     stay = stay.union(tokens.filter("n = 0").select("row", F.coalesce("doc_id", none))).distinct()
-    kept = without(docs, "__row", "__id").withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), none))
-    row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")))
-    return kept.withColumn("__row", row).join(stay, ["__row", "__id"], "left_semi").dropDuplicates(["__row", "__id"]).drop("__row", "__id")
+    row = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), none))
+    kept = packed(docs, (), __row=row, __id=F.coalesce(F.col(doc_id).cast("long"), none)).join(stay, ["__row", "__id"], "left_semi")
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+    first = F.to_json(F.struct(*[F.col(f"__in.`{c}`") for c in others])) if others else F.lit("")
+    return unpacked(kept.groupBy("__row", "__id").agg(F.min_by("__in", first).alias("__in")), docs, ())
 
 
 #: All pairs that share a shingle, and the least id by walking the links.
