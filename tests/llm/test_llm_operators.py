@@ -188,13 +188,36 @@ def test_contamination(spark):
     assert not contamination.decontaminate(df, items.limit(0)).filter("contaminated").count()
 
 
-def test_contamination_without_lookup(spark, sf, monkeypatch):
+def test_contamination_with_a_full_filter(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     a = sorted(map(tuple, contamination.contained_items(docs, items).collect()))
-    monkeypatch.setattr(contamination, "LOOKUP", 0)
+    monkeypatch.setattr(contamination, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(contamination, "BITS", 0)
     assert sorted(map(tuple, contamination.contained_items(docs, items).collect())) == a
 
 
+def test_contamination_repeated_and_scattered(spark):
+    """Against brute force: items of many repeated shingles, and such whose
+    shingles stand far apart in a document."""
+    r = random.Random(3)
+    noise = lambda n: [f"n{r.randrange(4000)}" for _ in range(n)]
+    items, docs = {}, {}
+    for i in range(40):
+        n = r.choice((5, 6, 9, 20, 60, 200))
+        words = [f"i{i}w{j}" for j in range(n)]
+        if i % 4 == 0:
+            words = words[:5] * 12 + words
+        items[i] = words
+        pieces = [words[j : j + 14] for j in range(0, len(words), 10)] if i % 3 == 0 else [words[: max(5, int(len(words) * r.choice((0.6, 0.85, 1.0))))]]
+        docs[100 + i] = sum((noise(r.choice((10, 700))) + p for p in pieces), []) + noise(50)
+    gram = lambda w: {" ".join(w[j : j + 5]) for j in range(len(w) - 4)}
+    want = sorted((d, i, len(gram(x) & gram(w)), len(gram(w))) for d, x in docs.items() for i, w in items.items() if 100 * len(gram(x) & gram(w)) >= 80 * len(gram(w)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = contamination.contained_items(df, it).join(df.select("doc_id", contamination.row_key("text").alias("row")), "row")
+    assert sorted((x.doc_id, x.item_id, x.n_shared, x.n_item) for x in found.collect()) == want and len(want) > 20
+
+
 def test_quality_cutoffs_adapt(spark):
     r = random.Random(1)
     clean = lambda extra="": " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) + extra for _ in range(60))

@@ -1,4 +1,12 @@
-"""Benchmark decontamination: short test items inside long documents."""
+"""Benchmark decontamination: short test items inside long documents.
+
+Items are partitioned by size. Each partition has its length of sketch: an item's
+bottom-k MinHash sketch holds the k least of its shingles' hash values, k being a
+few more than the shingles that a document may lack. A document is a superset of an
+item, however long it is, so it is not sketched: containment is estimated by how
+many of the sketch's minima it holds, and a document that holds enough of the item
+holds at least k less those that it may lack. No contained item is missed, wherever
+its shingles stand in the document."""
 
 from __future__ import annotations
 
@@ -7,110 +15,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small, stored, table, without
-from tidewater.llm.shingles import mixed, shingles, word_hashes
+from tidewater.llm.common import join_small, packed, small, stored, table, unpacked
+from tidewater.llm.shingles import shingles
 
 #: Words of a shingle, and the share of an item's shingles that a document must
 #: hold, in hundredths.
 WORDS, SIMILAR = 5, 80
-#: Hash functions of a MinHash signature.
-HASHES = 64
-#: The most signature values of items that are sent to the executors, to look
-#: documents' values up in; with more, all of these go to the join.
-LOOKUP = 1 << 20
-#: Bits of a filter before the lookup.
-FILTER_BITS = 1 << 22
-#: Shingles that are hashed at a time: a power of two.
-CHUNK = 1 << 13
+#: Minima of a sketch beyond those that may be lacking: so many must be found.
+HITS = 3
+#: Bits of a filter for each value in it, and the most that it has (16 MB).
+BITS, MOST_BITS = 16, 1 << 27
 OUT = ("item_ids", "contaminated")
 
-_SEEDS = mixed((np.arange(1, HASHES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
 
 def size_class(n: int) -> int:
     """Items of 2**c to 2**(c+1) - 1 shingles are of class c."""
     return n.bit_length() - 1
 
 
-def value_keys(c: int, values: np.ndarray) -> np.ndarray:
-    """One number for each (class, hash function, minimum): hash functions along
-    the first axis."""
-    salt = mixed(np.arange(c * HASHES + 1, (c + 1) * HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return mixed(values + salt[:, None])
+def lacking(n: int, similar: int) -> int:
+    """Shingles of n that a document may lack."""
+    return n - -(-similar * n // 100)
 
 
-def minima(tokens: np.ndarray, step: int) -> np.ndarray:
-    """The least value of each hash function in each run of `step` tokens; step
-    is a power of two."""
-    base = min(step, CHUNK)
-    parts = []
-    for i in range(0, len(tokens), CHUNK):
-        hashed = mixed(tokens[None, i : i + CHUNK] * _SEEDS[:, None])
-        parts.append(np.minimum.reduceat(hashed, np.arange(0, hashed.shape[1], base), axis=1))
-    return coarser(np.concatenate(parts, axis=1), step // base)
+def sketch_length(c: int, similar: int) -> int:
+    """k of a size class: as its largest item needs."""
+    return lacking((2 << c) - 1, similar) + HITS
 
 
-def coarser(least: np.ndarray, times: int) -> np.ndarray:
-    return np.minimum.reduceat(least, np.arange(0, least.shape[1], times), axis=1) if times > 1 else least
+def _item_rows(similar: int):
+    """(item, unit, n, need, keys, tokens): unit tells wordings apart; need is how
+    many of the keys a document must hold."""
 
+    def run(batches):
+        for batch in small(batches):
+            out = {"item": [], "n": [], "need": [], "keys": [], "tokens": []}
+            for i, t in zip(batch.column(0), batch.column(1)):
+                s = shingles(t.as_py(), WORDS, short=False)
+                if len(s):
+                    k = min(len(s), sketch_length(size_class(len(s)), similar))
+                    out["item"].append(i.as_py())
+                    out["n"].append(len(s))
+                    out["need"].append(max(1, k - lacking(len(s), similar)))
+                    out["keys"].append(s[:k].view(np.int64).tolist())
+                    out["tokens"].append(s.view(np.int64).tolist())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-def _sequence(text: str | None) -> np.ndarray:
-    """Hashes of a text's shingles in order of the text, repeats included."""
-    h = word_hashes(text)
-    if len(h) < WORDS:
-        return h[:0]
-    m = len(h) - WORDS + 1
-    out = np.full(m, WORDS, np.uint64)
-    for j in range(WORDS):
-        out = mixed((out + h[j : m + j]) * np.uint64(0x9E3779B97F4A7C15))
-    return out
+    return run
 
 
-def _item_rows(batches):
-    for batch in batches:
-        out = {"item": [], "class": [], "keys": [], "tokens": []}
-        for i, t in zip(batch.column(0), batch.column(1)):
-            s = shingles(t.as_py(), WORDS, short=False)
-            if len(s):
-                c = size_class(len(s))
-                out["item"].append(i.as_py())
-                out["class"].append(c)
-                out["keys"].append(value_keys(c, minima(s, CHUNK).min(axis=1, keepdims=True)).ravel().view(np.int64).tolist())
-                out["tokens"].append(s.view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.int64()), pa.array(out["class"], pa.int32()), pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.list_(pa.int64()))], ["item", "class", "keys", "tokens"])
+def _filter(values: DataFrame):
+    """A bit table of the values (long), broadcast: a value's low bits are its
+    place. Its size follows the values up to MOST_BITS; beyond, more of what is not
+    among the values passes, and nothing is lost."""
+    spark = values.sparkSession
+    bits = min(max(1 << 16, 1 << (BITS * values.count()).bit_length()), MOST_BITS)
+    place = F.col("value").bitwiseAND(bits - 1)
+    words = values.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((value & {bits - 1}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    return spark.sparkContext.broadcast(out.view(np.uint8))
 
 
-def _document_rows(classes: list[int], known: np.ndarray | None):
-    """(row, keys, tokens) of documents with a window that shares a signature
-    value with an item of the window's class; known has the items' values in
-    order, or all of a document's values are returned."""
+def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _document_rows(sketches, every):
+    """(row, keys, tokens) of documents with a shingle that may be in a sketch;
+    tokens are those that may be in some item."""
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        if known is not None:
-            bits[(known & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+        first, second = sketches.value, every.value
         for batch in small(batches):
             rows, keys, tokens = [], [], []
             for row, text in zip(batch.column(0), batch.column(1)):
-                s = _sequence(text.as_py())
-                found, least, step = [], None, 0
-                for c in classes if len(s) else ():
-                    # windows of twice the class's longest item, half overlapping: any
-                    # stretch as long as an item is inside one of them
-                    least = minima(s, 2 << c) if least is None else coarser(least, (2 << c) // step)
-                    step = 2 << c
-                    pairs = np.minimum(least[:, :-1], least[:, 1:]) if least.shape[1] > 1 else least
-                    v = value_keys(c, pairs).ravel()
-                    if known is not None:
-                        v = v[bits[(v & np.uint64(FILTER_BITS - 1)).astype(np.int64)]]
-                        at = np.searchsorted(known, v)
-                        v = v[known[np.minimum(at, len(known) - 1)] == v]
-                    if len(v):
-                        found.append(v)
-                if found:
+                s = shingles(text.as_py(), WORDS, short=False)
+                hit = s[_passes(first, s)]
+                if len(hit):
                     rows.append(row.as_py())
-                    keys.append(np.unique(np.concatenate(found)).view(np.int64).tolist())
-                    tokens.append(np.unique(s).view(np.int64).tolist())
+                    keys.append(hit.view(np.int64).tolist())
+                    tokens.append(s[_passes(second, s)].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))], ["row", "keys", "tokens"])
 
     return run
@@ -121,38 +108,29 @@ def row_key(text: str):
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", similar: int = SIMILAR) -> DataFrame:
-    """(__row, item_id, n_shared, n_item): the items of which a document text
-    holds at least `similar` hundredths of the distinct 5-word shingles; __row is
-    the text's MD5 (row_key).
-
-    Items are partitioned by size. For each size class, a document is cut into
-    overlapping windows of about the items' size, so that a contained item fills
-    a good part of a window and their Jaccard similarity is high, however long
-    the document is. A window with a MinHash value of an item of its class is a
-    candidate (64 hash functions, one row to a band): at a containment of 0.8 in
-    a window of four times the least item, similarity is at least 0.19, and no
-    value in common has a chance of 0.81 ** 64, about one in a million. Candidate
-    pairs are verified by exact counts over the whole document.
-
-    An item with less than five words has no shingle and is found nowhere.
+    """(row, item_id, n_shared, n_item): the items of which a document text holds at
+    least `similar` hundredths of the distinct 5-word shingles; row is the text's
+    MD5 (row_key). Counts are exact, over the whole document.
+
+    Documents are sent on only if one of their shingles passes a filter of the
+    sketches, and of these only the shingles that pass a filter of all items'; a
+    candidate pair must share enough of the sketch before its shingles are counted.
+
+    An item with less than five words has no shingle and is found nowhere. Rows
+    with one item id and several texts are items of their own.
     """
-    item = stored(items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).mapInArrow(_item_rows, "item long, class int, keys array<long>, tokens array<long>"), "items")
-    classes = sorted(r[0] for r in item.select("class").distinct().collect())  # at most 40
-    values = item.select(F.explode("keys").alias("key"))
-    known = None
-    if item.count() * HASHES <= LOOKUP:
-        known = np.unique(np.array([r[0] for r in values.distinct().collect()], np.int64).view(np.uint64))
+    wordings = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).distinct()
+    made = wordings.mapInArrow(_item_rows(similar), "item long, n long, need long, keys array<long>, tokens array<long>")
+    item = stored(made.withColumn("unit", F.xxhash64("item", "tokens")).dropDuplicates(["unit"]), "items")
+    sketches, every = (_filter(item.select(F.explode(c).alias("value")).distinct()) for c in ("keys", "tokens"))
     texts = docs.select(row_key(text).alias("row"), F.col(text).cast("string").alias("text"))
-    near = stored(texts.mapInArrow(_document_rows(classes, known), "row string, keys array<long>, tokens array<long>").dropDuplicates(["row"]), "near")
-    by_key = item.select("item", F.explode("keys").alias("key"))
-    pairs = near.select("row", F.explode("keys").alias("key")).join(by_key, "key").select("row", "item").distinct()
-    need = F.size("t2")
-    return (
-        pairs.join(near.select("row", F.col("tokens").alias("t1")), "row").join(item.select("item", F.col("tokens").alias("t2")), "item")
-        .withColumn("n_shared", F.size(F.array_intersect("t1", "t2")).cast("long")).withColumn("n_item", need.cast("long"))
-        .filter(100 * F.col("n_shared") >= similar * F.col("n_item"))
-        .select(F.col("row").alias("__row"), F.col("item").alias(item_id), "n_shared", "n_item").distinct()
-    )
+    near = stored(texts.mapInArrow(_document_rows(sketches, every), "row string, keys array<long>, tokens array<long>").dropDuplicates(["row"]), "near")
+    by_key = item.select("unit", "need", F.explode("keys").alias("key"))
+    hits = near.select("row", F.explode("keys").alias("key")).join(by_key, "key").groupBy("row", "unit").agg(F.count(F.lit(1)).alias("found"), F.max("need").alias("need"))
+    pairs = hits.filter("found >= need").select("row", "unit")
+    both = pairs.join(near.select("row", F.col("tokens").alias("t1")), "row").join(item.select("unit", "item", "n", F.col("tokens").alias("t2")), "unit")
+    shared = F.size(F.array_intersect("t1", "t2")).cast("long")
+    return both.select("row", F.col("item").alias(item_id), shared.alias("n_shared"), F.col("n").alias("n_item")).filter(100 * F.col("n_shared") >= similar * F.col("n_item")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -162,22 +140,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null or
     empty text: contains nothing. Null item text or id: no item. Repeated rows
-    and items are found alike. No items or no rows: nothing is contaminated.
+    and items are found alike. Very long texts are searched whole. No items or no
+    rows: nothing is contaminated.
     """
-    docs = without(docs, *OUT)
     found = contained_items(docs, items.filter(F.col(item_id).isNotNull()), text=text, item_id=item_id, item_text=item_text, similar=similar)
-    by_row = found.groupBy("__row").agg(F.array_sort(F.collect_set(item_id)).alias("item_ids"))
-    out = docs.withColumn("__row", row_key(text)).join(by_row, "__row", "left")
+    by_row = stored(found.groupBy("row").agg(F.array_sort(F.collect_set(item_id)).alias("item_ids")), "leaks")
+    out = join_small(packed(docs, OUT, row=row_key(text)), by_row, ["row"])
     out = out.withColumn("item_ids", F.coalesce("item_ids", F.expr("CAST(array() AS array<bigint>)")))
-    return out.withColumn("contaminated", F.size("item_ids") > 0).select(*[F.col(f"`{c}`") for c in docs.columns], *OUT)
+    return unpacked(out.withColumn("contaminated", F.size("item_ids") > 0), docs, OUT)
 
 
 def op6(spark, sf_dir):
     """(doc_id, item_id, n_shared, n_item): a row for each contained item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    found = contained_items(docs, items)
-    return docs.select("doc_id", row_key("text").alias("__row")).join(found, "__row").select("doc_id", "item_id", "n_shared", "n_item")
+    found = contained_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    by_row = stored(found.groupBy("row").agg(F.collect_list(F.struct("item_id", "n_shared", "n_item")).alias("found")), "leaks")
+    return join_small(docs.select("doc_id", row_key("text").alias("row")), by_row, ["row"], "inner").select("doc_id", F.inline("found"))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
