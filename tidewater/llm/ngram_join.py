@@ -13,9 +13,10 @@ which unrelated documents may share, are not used.
 In each shard a signature tree holds the sets' bitmaps, and its dual traversal
 gives the pairs that can be similar; they are verified on the exact sets. A first
 round takes some shards, and of their possible pairs only as many as connect them
-all; near copies are then mostly in one component. The second round takes all
-shards that still hold several components, and in each all pairs between different
-ones. No shard is taken by one task: its members are dealt to blocks.
+all; the second does so with all shards that still hold several components. Near
+copies are then mostly in one component. The third round takes the shards that
+still hold several, and in each all pairs between different ones. No shard is taken
+by one task: its members are dealt to blocks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal,
 WORDS, SIMILAR = 5, (80, 100)
 #: Members of one task's share of a shard; a join takes so many blocks at a time.
 BLOCK, BLOCKS = 512, 8
-#: The first round takes one in so many shards; the second misses none.
+#: The first round takes one in so many shards; the later ones miss none.
 FIRST = 8
 OUT = ("n_shingles", "component_id")
 #: Size classes grow by half.
@@ -148,12 +149,15 @@ def _width(t: pa.Table) -> int:
 
 
 def _connecting(p: int, q: int):
-    """Of each block, possible pairs that connect all that possible pairs do."""
+    """Of each block, possible pairs that connect all that possible pairs do, and
+    that known components (roots) don't yet."""
 
     def run(batches):
         for t in _grouped(batches, ["key", "block"]):
             tree = _tree(t, _width(t))
-            up = list(range(t.num_rows))
+            roots = t.column("root").to_pylist()
+            place = {r: i for i, r in reversed(list(enumerate(roots)))}
+            up = [place[r] for r in roots]
 
             def root(i: int) -> int:
                 while up[i] != i:
@@ -174,6 +178,30 @@ def _connecting(p: int, q: int):
     return run
 
 
+def _connect(rows: DataFrame, bits: DataFrame, p: int, q: int) -> DataFrame:
+    """Candidate pairs that connect shards: rows (key, n_members, node, root). A
+    large shard's blocks each hold its least member too, which connects them."""
+    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
+    own = F.pmod(_hash("node"), blocks).cast("int")
+    least = rows.filter(F.col("n_members") > BLOCK).groupBy("key").agg(F.min("node").alias("node"))
+    first = rows.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).filter(F.col("block") != own)
+    dealt = rows.withColumn("block", own).unionByName(first).select("key", "block", "node", "root").join(bits, "node")
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_connecting(p, q), "a binary, b binary").distinct()
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, other, n_left, n_members): of the shards that hold several
+    components all members; other: outside the shard's main component, as n_left are."""
+    state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n_all"), F.max("c").alias("n_main")).filter("n_roots > 1")
+    # a large shard's members are dealt over salts, for which its row is repeated
+    salts = lambda n: F.ceil(F.col(n) / (BLOCK * BLOCKS)).cast("int")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), salts("n_all") - 1))).select("key", "salt", "main", (F.col("n_all") - F.col("n_main")).alias("n_left"))
+    out = state.withColumn("salt", F.pmod(_hash("node"), salts("n_members")).cast("int")).join(several, ["key", "salt"])
+    return stored(out.select("key", "node", "root", (F.col("root") != F.col("main")).alias("other"), "n_left", "n_members"), "open")
+
+
 def _crossing(p: int, q: int):
     """Of each pair of blocks, all possible pairs between components."""
 
@@ -247,41 +275,38 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     discard(shared)
     discard(kept)
     bits = about.select("node", "n", "bits")
-    # first round: links of some shards; a large one's blocks each hold its least member too, which connects them
-    some = members.filter(F.pmod(_hash("key"), F.lit(FIRST)) == 0)
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    own = F.pmod(_hash("node"), blocks).cast("int")
-    least = some.filter(F.col("n_members") > BLOCK).groupBy("key").agg(F.min("node").alias("node"))
-    first = some.join(least, ["key", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).filter(F.col("block") != own)
-    dealt = some.withColumn("block", own).unionByName(first).join(bits, "node")
-    candidates = dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_connecting(p, q), "a binary, b binary")
-    tried = stored(candidates.distinct(), "tried")
+    # first round: links of some shards
+    some = members.filter(F.pmod(_hash("key"), F.lit(FIRST)) == 0).withColumn("root", F.col("node"))
+    tried = stored(_connect(some, bits, p, q), "tried")
     # the exact sets of nodes in some shard, from one of their documents
     wanted = about.select("row").distinct()
     sets = stored(rows.join(wanted.hint("merge"), "row", "left_semi").select("text").mapInArrow(_sets(words), "node binary, tokens binary").dropDuplicates(["node"]), "sets")
     links = stored(_verify(tried, sets, p, q), "links")
     roots = components(links)
-    # second round: of each shard that holds several components, members outside
-    # its main one (left) against all members, in blocks of both
-    state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("n_roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n_all"), F.max("c").alias("n_main")).filter("n_roots > 1")
-    # a large shard's members are dealt over salts, for which its row is repeated
-    salts = lambda n: F.ceil(F.col(n) / (BLOCK * BLOCKS)).cast("int")
-    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), salts("n_all") - 1))).select("key", "salt", "main", (F.col("n_all") - F.col("n_main")).alias("n_left"))
-    open_ = state.withColumn("salt", F.pmod(_hash("node"), salts("n_members")).cast("int")).join(several, ["key", "salt"])
-    open_ = stored(open_.select("key", "node", "root", (F.col("root") != F.col("main")).alias("other"), "n_left", F.col("n_members").alias("n_all")), "open")
-    if not open_.isEmpty():
-        n_left, n_all = F.ceil(F.col("n_left") / BLOCK).cast("int"), F.ceil(F.col("n_all") / BLOCK).cast("int")
-        left = open_.filter("other").withColumn("left", F.lit(True)).withColumn("left_block", F.pmod(_hash("node"), n_left).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_all - 1)))
-        right = open_.withColumn("left", F.lit(False)).withColumn("block", F.pmod(_hash("node"), n_all).cast("int")).withColumn("left_block", F.explode(F.sequence(F.lit(0), n_left - 1)))
-        both = left.unionByName(right).select("key", "left_block", "block", "left", "node", "root").join(bits, "node")
-        both = both.repartition("key", "left_block", "block").sortWithinPartitions("key", "left_block", "block")
-        more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        found = stored(_verify(more, sets, p, q), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
+    # second round: the same for all shards that still hold several components
+    open_ = _open(members, roots)
+    if open_.isEmpty():
+        return tokens, links, roots
+    more = stored(_connect(open_, bits, p, q).join(tried, ["a", "b"], "left_anti"), "more")
+    found = stored(_verify(more, sets, p, q), "links")
+    if not found.isEmpty():
+        tried, links = tried.union(more), links.union(found)
+        roots = components(links)
+        discard(open_)
+        open_ = _open(members, roots)
+        if open_.isEmpty():
+            return tokens, links, roots
+    # third round: members outside a shard's main component (left) against all, in blocks of both
+    n_left, n_all = F.ceil(F.col("n_left") / BLOCK).cast("int"), F.ceil(F.col("n_members") / BLOCK).cast("int")
+    left = open_.filter("other").withColumn("left", F.lit(True)).withColumn("left_block", F.pmod(_hash("node"), n_left).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_all - 1)))
+    right = open_.withColumn("left", F.lit(False)).withColumn("block", F.pmod(_hash("node"), n_all).cast("int")).withColumn("left_block", F.explode(F.sequence(F.lit(0), n_left - 1)))
+    both = left.unionByName(right).select("key", "left_block", "block", "left", "node", "root").join(bits, "node")
+    both = both.repartition("key", "left_block", "block").sortWithinPartitions("key", "left_block", "block")
+    more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    found = stored(_verify(more, sets, p, q), "links")
+    if not found.isEmpty():
+        links = links.union(found)
+        roots = components(links)
     return tokens, links, roots
 
 
