@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import arrays
+
 #: The template: START role LF text END LF for each turn.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Roles whose texts are under the loss mask.
@@ -56,13 +58,15 @@ def format_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     as the parser always undoes escapes.
 
     Turns stand in order of (turn, role, text), nulls first, so that ties and
-    repeated rows have one order. Null role or text: empty. A null conversation
-    id is a conversation of its own. Extra columns are left out.
+    repeated rows have one order. Null role or text: empty. Rows without a
+    conversation id are conversations of their own, equal ones one together. Very
+    long texts are taken whole. Extra columns are left out. No rows: no rows.
     """
+    key = F.when(F.col(conv).isNull(), F.xxhash64(F.col(turn), F.col(role).cast("string"), F.col(text).cast("string")))
     src = rows.select(
-        F.col(conv).alias("__c"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("__t")
+        F.col(conv).alias("__c"), key.alias("__null"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("__t")
     )
-    grouped = src.groupBy("__c").agg(F.array_sort(F.collect_list("__t")).alias("__rows"))
+    grouped = src.groupBy("__c", "__null").agg(F.array_sort(F.collect_list("__t")).alias("__rows"))
     df = grouped.selectExpr("__c", "transform(__rows, t -> named_struct('role', t.role, 'text', t.text)) AS __turns")
     df = df.selectExpr("*", f"array_join({_render('__turns', 0)}, '') AS __f0")
     df = df.selectExpr("*", f"{_parse('__f0')} <=> __turns AS __ok0")
@@ -75,8 +79,7 @@ def format_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     parts = _BODIES % "formatted"
     df = df.selectExpr("*", f"transform({parts}, x -> named_struct('head', length(split(x, '\\n', 2)[0]) + 1, 'whole', length(x))) AS __parts")
     gap = len(START) + len(END) + 1
-    step = f"named_struct('at', a.at + p.whole + {gap}, 'spans', concat(a.spans, array(named_struct('start', a.at + p.head, 'end', a.at + p.whole))))"
-    all_spans = f"aggregate(__parts, named_struct('at', {len(START)}L, 'spans', CAST(array() AS array<struct<start: bigint, end: bigint>>)), (a, p) -> {step}).spans"
+    all_spans = arrays.scan("__parts", f"{len(START)}L", f"c + x.whole + {gap}", "named_struct('start', c + x.head, 'end', c + x.whole)", "struct<start: bigint, end: bigint>")
     df = df.selectExpr("*", f"{all_spans} AS __spans")
     df = df.selectExpr("*", f"filter(__spans, (s, i) -> turns[i].role IN ({names})) AS spans", "turns <=> __turns AS round_trip")
     return df.select(F.col("__c").alias(conv), "formatted", "turns", "spans", "escape_level", "round_trip")
@@ -92,7 +95,8 @@ def op8(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(f"SELECT -1L AS conv_id, stack(2, 0L, 'user', '{TRICKY}', 1L, 'assistant', '{TRICKY}') AS (turn, role, text)")
     out = format_chats(rows.unionByName(extra))
-    learnt = f"array_join(transform(spans, s -> {_UNESCAPE % 'substr(formatted, CAST(s.start + 1 AS INT), CAST(s.end - s.start AS INT))'}), '')"
+    texts = f"transform(spans, s -> {_UNESCAPE % ('(' + arrays.cut('tb', 's.start', 's.end') + ')')})"
+    learnt = f"array_join({arrays.let('tb', arrays.text_blocks('formatted'), texts)}, '')"
     df = out.selectExpr("*", f"{learnt} AS __loss")
     return df.selectExpr(
         "conv_id",

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm import boosting
-from tidewater.llm.common import table, without
+from tidewater.llm import arrays, boosting
+from tidewater.llm.common import packed, table, unpacked
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn")
@@ -30,6 +30,8 @@ BASE_PATTERN = {
 _GATE = {"email": "contains(%s, '@')", "phone": "contains(%s, '+')"}
 _DIGIT = "%s RLIKE '[0-9]'"
 
+#: Code points of context before and after a candidate.
+BEFORE, AFTER = 24, 4
 #: Generators of candidates: wide patterns, which overlap one another.
 CANDIDATES = (
     ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:[(\[{](?:at|@)[)\]}]| at ) ?[a-z0-9-]{1,63}+(?: ?(?:[.]|[(\[{](?:dot|[.])[)\]}]| dot ) ?[a-z0-9-]{2,63}+)++", "%s RLIKE '(?i)[(\\\\[{](at|@)[)\\\\]}]| at '"),
@@ -50,15 +52,22 @@ def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find(text: str, pattern: str, gate: str) -> str:
+def find(text: str, pattern: str, gate: str, context: bool = False) -> str:
     """SQL for the leftmost matches of a pattern: an array of (s, start, end) in
-    code points. The gaps between matches and the matches' lengths give the
-    places."""
+    code points, with the text before and after each if context is true. The gaps
+    between matches and the matches' lengths give the places."""
     p = _q(pattern)
-    zero = "CAST(array() AS array<struct<s: string, start: bigint, end: bigint>>)"
-    steps = f"zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, g) -> named_struct('m', m, 'gap', length(g), 'n', length(m)))"
-    fold = f"aggregate(filter({steps}, x -> x.m IS NOT NULL), named_struct('at', 0L, 'o', {zero}), (a, x) -> named_struct('at', a.at + x.gap + x.n, 'o', concat(a.o, array(named_struct('s', x.m, 'start', a.at + x.gap, 'end', a.at + x.gap + x.n))))).o"
-    return f"CASE WHEN {gate % text} THEN {fold} ELSE {zero} END"
+    kind = "struct<s: string, start: bigint, end: bigint" + (", before: string, after: string>" if context else ">")
+    zero = f"CAST(array() AS array<{kind}>)"
+    near = ""
+    if context:
+        # two matches back and one ahead: as far as the context goes
+        near = f", 'before', right(concat(coalesce(get(ms, i - 2), ''), coalesce(get(gs, i - 1), ''), coalesce(get(ms, i - 1), ''), gs[i]), {BEFORE}), 'after', left(concat(left(gs[i + 1], {AFTER}), left(coalesce(get(ms, i + 1), ''), {AFTER})), {AFTER})"
+    steps = f"transform(ms, (m, i) -> named_struct('m', m, 'gap', length(gs[i]), 'n', length(m){near}))"
+    steps = arrays.let("ms", f"regexp_extract_all({text}, {p}, 0)", arrays.let("gs", f"split({text}, {p}, -1)", steps))
+    more = ", 'before', x.before, 'after', x.after" if context else ""
+    found = arrays.scan(steps, "0L", "c + x.gap + x.n", f"named_struct('s', x.m, 'start', c + x.gap, 'end', c + x.gap + x.n{more})", kind)
+    return f"CASE WHEN {gate % text} THEN {found} ELSE {zero} END"
 
 
 def _digits(s: str) -> str:
@@ -117,17 +126,11 @@ FEATURES = {
     "assigned": r"CAST(c.before RLIKE '[=:] ?[\"\']?$' AS INT)",
     **{f"near_{k}": f"CAST(c.before RLIKE '(?i){v}' AS INT)" for k, v in _CONTEXT.items()},
 }
-#: Code points of context before and after a candidate.
-BEFORE, AFTER = 24, 4
-
-
 def candidates(text: str) -> str:
     """SQL for all candidates: (kind, s, start, end, before, after)."""
     each = []
     for kind, pattern, gate in CANDIDATES:
-        near = f"substr({text}, CAST(greatest(x.start - {BEFORE}, 0) + 1 AS INT), CAST(least(x.start, {BEFORE}) AS INT))"
-        after = f"substr({text}, CAST(x.end + 1 AS INT), {AFTER})"
-        each.append(f"transform({find(text, pattern, gate)}, x -> named_struct('kind', '{kind}', 's', x.s, 'start', x.start, 'end', x.end, 'before', {near}, 'after', {after}))")
+        each.append(f"transform({find(text, pattern, gate, context=True)}, x -> named_struct('kind', '{kind}', 's', x.s, 'start', x.start, 'end', x.end, 'before', x.before, 'after', x.after))")
     return f"concat({', '.join(each)})"
 
 
@@ -219,11 +222,17 @@ def sample(n: int = SAMPLE, seed: int = 7) -> list[tuple[str, str, int]]:
 
 
 @lru_cache(maxsize=4)
-def _model(session_id: str, n: int, seed: int, precision: float) -> dict:
+def _invented(session_id: str, n: int, seed: int, precision: float) -> dict:
+    del session_id  # one model a session
+    return _fit([(i, *x) for i, x in enumerate(sample(n, seed))], precision)
+
+
+def _fit(labelled: list[tuple], precision: float) -> dict:
+    """Trees, calibration and threshold from rows (number, text, personal part, 1 or
+    0); two in four are held out."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(sample(n, seed))], "i int, t string, what string, good int")
+    rows = SparkSession.getActiveSession().createDataFrame(labelled, "i int, t string, what string, good int")
     found = rows.coalesce(1).selectExpr("i", "t", "what", f"inline({candidates('t')})").selectExpr("i", "instr(t, what) - 1 AS at", "length(what) AS n", "start", "end", f"inline(transform(array(named_struct('kind', kind, 's', s, 'before', before, 'after', after)), c -> named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in FEATURES.items())})))")
     got = np.array([[float(v) for v in row] for row in found.collect()])
     # a candidate is personal if it covers most of what is, and little else
@@ -242,11 +251,17 @@ def _model(session_id: str, n: int, seed: int, precision: float) -> dict:
     return {"trees": trees, "a": a, "b": b, "cut": cut, "precision": float(y[held][kept].mean()), "recall": float(y[held][kept].sum() / y[held].sum()), "brier": float(np.mean((p - y[held]) ** 2))}
 
 
-def model(spark, n: int = SAMPLE, seed: int = 7, precision: float = PRECISION) -> dict:
-    """The boosted trees, their calibration and threshold, fitted once a session
-    on `n` invented labelled texts (a bounded sample: there is no labelled
-    personal data in the corpus)."""
-    return _model(spark.sparkContext.applicationId, n, seed, precision)
+def model(spark, n: int = SAMPLE, seed: int = 7, precision: float = PRECISION, labelled: DataFrame | None = None) -> dict:
+    """The boosted trees, their calibration and threshold. They are fitted on
+    `labelled`, if given: rows (text, what: the personal part, empty if there is
+    none), of which n are taken, those with the least hash (a bounded sample). Else,
+    as there is no labelled personal data in the corpus, once a session on n
+    invented texts."""
+    if labelled is None:
+        return _invented(spark.sparkContext.applicationId, n, seed, precision)
+    rows = labelled.select(F.col("text").cast("string"), F.coalesce(F.col("what").cast("string"), F.lit(""))).filter("text IS NOT NULL").toDF("text", "what")
+    rows = rows.orderBy(F.xxhash64("text", "what"), "text", "what").limit(n).collect()
+    return _fit([(i, r.text, r.what, int(r.what != "")) for i, r in enumerate(rows)], precision)
 
 
 _ORDER = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
@@ -265,17 +280,16 @@ def find_pii(docs: DataFrame, *, text: str = "text", fitted: dict | None = None)
     span or a likelier candidate that stays.
 
     Null text: no spans, and a null redacted text. Empty text: none. Repeated
-    rows are treated alike. No rows: no rows.
+    rows are treated alike. Very long texts are taken whole, in time that grows
+    with length and matches alone. No rows: no rows.
     """
-    docs = without(docs, *OUT)
     fitted = fitted or model(docs.sparkSession)
     t = "__t"
-    df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    df = packed(docs, OUT, __t=F.coalesce(F.col(text).cast("string"), F.lit("")), __text=F.col(text).cast("string"))
     df = df.selectExpr("*", *[f"{sql} AS __{k}" for k, sql in base_spans(t).items()])
     tag = lambda k: f"transform(__{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))"
-    df = df.selectExpr("*", f"concat({', '.join(tag(k) for k in BASE)}) AS base_spans")
-    clear = "filter(%s, c -> NOT exists(base_spans, b -> b.start < c.end AND c.start < b.end))"
-    df = df.selectExpr("*", f"{clear % candidates(t)} AS __raw")
+    df = df.selectExpr("*", f"concat({', '.join(tag(k) for k in BASE)}) AS base_spans", f"{candidates(t)} AS __all")
+    df = df.selectExpr("*", f"CASE WHEN size(base_spans) = 0 OR size(__all) = 0 THEN __all ELSE {_clear('__all', 'base_spans')} END AS __raw")
     names = list(FEATURES)
     vector = f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in FEATURES.items())})"
     score = boosting.to_sql(fitted["trees"], [f"f.{k}" for k in names])
@@ -283,18 +297,44 @@ def find_pii(docs: DataFrame, *, text: str = "text", fitted: dict | None = None)
     rated = f"transform(__raw, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', {vector}))"
     rated = f"transform({rated}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'p', transform(array(c.f), f -> {chance})[0]))"
     df = df.selectExpr("*", f"CASE WHEN size(__raw) = 0 THEN NULL ELSE filter({rated}, c -> c.p >= {fitted['cut']!r}D) END AS __likely")
-    # from the likeliest down, one stays unless it overlaps one that stays
-    ranked = "array_sort(transform(coalesce(__likely, array()), c -> named_struct('p', -c.p, 'start', c.start, 'back', -c.end, 'kind', c.kind, 'end', c.end)))"
-    none = "CAST(array() AS array<struct<kind: string, start: bigint, end: bigint>>)"
-    chosen = f"aggregate({ranked}, {none}, (a, c) -> CASE WHEN exists(a, o -> o.start < c.end AND c.start < o.end) THEN a ELSE concat(a, array(named_struct('kind', c.kind, 'start', c.start, 'end', c.end))) END)"
     by_kind = f"transform(array_sort(transform(%s, x -> named_struct('k', {_ORDER}, 'start', x.start, 'end', x.end, 'kind', x.kind))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
-    df = df.selectExpr("*", f"CASE WHEN __likely IS NULL THEN base_spans ELSE {by_kind % f'concat(base_spans, {chosen})'} END AS spans")
-    # redaction: spans by start; the part of one that an earlier one covers is gone
-    by_start = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
-    cut = f"substr({t}, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT))"
-    fold = f"aggregate({by_start}, named_struct('at', 0L, 'o', ''), (a, x) -> CASE WHEN x.start < a.at THEN named_struct('at', greatest(a.at, x.end), 'o', a.o) ELSE named_struct('at', x.end, 'o', concat(a.o, {cut}, '[', upper(x.kind), ']')) END, a -> concat(a.o, substr({t}, CAST(a.at + 1 AS INT))))"
-    df = df.selectExpr("*", f"CASE WHEN `{text}` IS NULL OR size(spans) = 0 THEN CAST(`{text}` AS STRING) ELSE {fold} END AS redacted")
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE], "base_spans", "spans", "redacted")
+    df = df.selectExpr("*", f"CASE WHEN size(__likely) > 0 THEN {by_kind % f'concat(base_spans, {_chosen("__likely")})'} ELSE base_spans END AS spans")
+    # redaction: spans by start; the part of one that an earlier one covers is gone; an empty one at the end brings the rest
+    by_start = f"concat(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))), array(named_struct('start', CAST(length({t}) AS BIGINT), 'end', CAST(length({t}) AS BIGINT), 'kind', '')))"
+    parts = arrays.scan(by_start, "0L", "greatest(c, x.end)", f"concat({arrays.cut('tb', 'c', 'x.start')}, CASE WHEN x.kind = '' THEN '' ELSE concat('[', upper(x.kind), ']') END)", "string", "x.start >= a.c")
+    parts = arrays.let("tb", arrays.text_blocks(t), parts)
+    df = df.selectExpr("*", f"CASE WHEN size(spans) > 0 THEN array_join({parts}, '') ELSE __text END AS redacted", *[f"CAST(size(__{k}) AS BIGINT) AS n_{k}" for k in BASE])
+    return unpacked(df, docs, OUT)
+
+
+def _clear(found: str, base: str) -> str:
+    """SQL for the candidates that overlap no base span. In order of start, one
+    overlaps a span before it if the greatest end so far is behind its start, and
+    one after it if the next span's start is before its end."""
+    fields = ("kind", "s", "start", "end", "before", "after")
+    own = ", ".join(f"'{k}', x.{k}" for k in fields)
+    kind = "struct<at: bigint, t: int, kind: string, s: string, start: bigint, end: bigint, before: string, after: string>"
+    spans = f"transform({base}, x -> named_struct('at', x.start, 't', 0, 'kind', x.kind, 's', '', 'start', x.start, 'end', x.end, 'before', '', 'after', ''))"
+    both = f"array_sort(concat({spans}, transform({found}, x -> named_struct('at', x.start, 't', 1, {own}))))"
+    ahead = arrays.scan(both, "0L", "CASE WHEN x.t = 0 THEN greatest(c, x.end) ELSE c END", "x", kind, "x.t = 0 OR a.c <= x.start")
+    back = arrays.scan(f"reverse({ahead})", f"{2**63 - 1}L", "CASE WHEN x.t = 0 THEN x.start ELSE c END", "x", kind, "x.t = 1 AND a.c >= x.end")
+    return f"transform({back}, x -> named_struct({own}))"
+
+
+def _chosen(likely: str) -> str:
+    """SQL for the candidates that stay: from the likeliest down, one stays unless
+    it overlaps one that stays. This is settled in each run of candidates that
+    overlap one another."""
+    kind = "struct<p: double, start: bigint, back: bigint, kind: string, end: bigint>"
+    none = f"CAST(array() AS array<{kind}>)"
+    item = "named_struct('p', -x.p, 'start', x.start, 'back', -x.end, 'kind', x.kind, 'end', x.end)"
+    last = f"array(named_struct('start', {2**63 - 1}L, 'end', {2**63 - 1}L, 'kind', '', 'p', 0D))"
+    by_start = f"concat(array_sort(transform({likely}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'p', x.p))), {last})"
+    after = f"CASE WHEN x.start >= c.end THEN named_struct('end', x.end, 'run', array({item})) ELSE named_struct('end', greatest(c.end, x.end), 'run', concat(c.run, array({item}))) END"
+    runs = arrays.scan(by_start, f"named_struct('end', 0L, 'run', {none})", after, "c.run", f"array<{kind}>", "x.start >= a.c.end AND size(a.c.run) > 0")
+    out = "struct<kind: string, start: bigint, end: bigint>"
+    greedy = f"aggregate(array_sort(run), CAST(array() AS array<{out}>), (a, c) -> CASE WHEN exists(a, o -> o.start < c.end AND c.start < o.end) THEN a ELSE concat(a, array(named_struct('kind', c.kind, 'start', c.start, 'end', c.end))) END)"
+    return f"flatten(transform({runs}, run -> {greedy}))"
 
 
 def _joined(spans: str) -> str:
