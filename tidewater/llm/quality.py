@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import join_small, small, stored, table, without
+from tidewater.llm.common import join_small, packed, small, stored, table, unpacked
 
 #: Base rules of the contract.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -23,10 +23,8 @@ DIGITS = 6
 LEAST_DOCS = 50
 #: Measures (per mille, word_length in hundredths of a code point): the upper
 #: quantile in percent, how often its distance from the median is added to it, the
-#: least distance (as most documents may have the same value), a floor.
-RULES = {"symbols": (75, 6, 1, 0), "dup_lines": (98, 2, 50, 0), "repeated": (98, 2, 50, 0), "word_length": (75, 6, 16, 0)}
-#: The rules of OP3_SQL, with floors that decide wherever they are above the sketches.
-SQL_RULES = {"symbols": (75, 6, 0, 100), "dup_lines": (75, 6, 0, 500), "repeated": (75, 6, 0, 250), "word_length": (75, 6, 0, 1000)}
+#: least distance (as most documents may have the same value).
+RULES = {"symbols": (75, 6, 1), "dup_lines": (98, 2, 50), "repeated": (98, 2, 50), "word_length": (75, 6, 16)}
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 OUT = (*STATS, "base_failed", "kept", "reason")
@@ -80,9 +78,10 @@ def _with_stats(batches):
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with STATS, their text column left in place."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in STATS]])
-    return docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(_with_stats, schema)
+    """docs with STATS; a column __text is not kept."""
+    rows = docs.withColumn("__text", F.col(text).cast("string"))
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__text"], *[T.StructField(c, T.LongType()) for c in STATS]])
+    return rows.mapInArrow(_with_stats, schema)
 
 
 def bucket(value: Column) -> Column:
@@ -114,13 +113,13 @@ def _cutoffs(merged: DataFrame, keys: list[str], rules: dict) -> DataFrame:
     """(keys, measure, enough, cutoff) from sketches: of each group the buckets
     and counts stand in one array, whose length the digits bound."""
     groups = merged.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("n_docs"))
-    for i, name in enumerate(("__percent", "__reach", "__least", "__floor")):
+    for i, name in enumerate(("__percent", "__reach", "__least")):
         groups = groups.withColumn(name, F.element_at(F.create_map(*[F.lit(x) for m, rule in rules.items() for x in (m, rule[i])]), F.col("measure")).cast("long"))
     quantile = "element_at(filter(aggregate(b, named_struct('t', 0L, 'o', CAST(array() AS array<struct<bucket: bigint, t: bigint>>)), (a, x) -> named_struct('t', a.t + x.n, 'o', concat(a.o, array(named_struct('bucket', x.bucket, 't', a.t + x.n))))).o, y -> y.t * 100 >= n_docs * %s), 1).bucket"
     return (
         groups.withColumn("__mid", F.expr(quantile % "50")).withColumn("__high", F.expr(quantile % "__percent"))
         .withColumn("__spread", F.greatest(F.col("__high") - F.col("__mid"), F.col("__least")))
-        .select(*keys, "measure", (F.col("n_docs") * (100 - F.col("__percent")) >= 25 * LEAST_DOCS).alias("enough"), F.greatest(F.col("__high") + F.col("__reach") * F.col("__spread"), F.col("__floor")).alias("cutoff"))
+        .select(*keys, "measure", (F.col("n_docs") * (100 - F.col("__percent")) >= 25 * LEAST_DOCS).alias("enough"), (F.col("__high") + F.col("__reach") * F.col("__spread")).alias("cutoff"))
     )
 
 
@@ -150,28 +149,25 @@ def judge_quality(docs: DataFrame, *, text: str = "text", lang: str = "lang", so
     base_failed: fewer than 20 words, or more than 30% of the words in repeated
     windows of 8. Of the others, a document is not kept if one of its measures
     is above its language and source's cutoff. The documents that aren't
-    base_failed are in the sketches; with SQL_RULES all are.
+    base_failed are in the sketches.
 
     Null text: no words, so base_failed. Null language or source: a group of its
-    own. Repeated rows are judged alike. No rows: no rows.
+    own. Repeated rows are judged alike. Very long texts are counted whole. No
+    rows: no rows.
     """
-    docs = without(docs, *OUT)
-    rows = with_stats(docs, text).withColumn("__lang", _key(lang)).withColumn("__source", _key(source))
-    slim = with_stats(docs.select(F.col(text).alias("__t"), _key(lang).alias("__lang"), _key(source).alias("__source")), "__t").drop("__t")
+    named = {"__lang": _key(lang), "__source": _key(source), "__text": F.col(text).cast("string")}
+    rows, slim = with_stats(packed(docs, OUT, **named), "__text"), with_stats(docs.select(*[v.alias(k) for k, v in named.items()]), "__text")
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    limits = stored(thresholds(slim if rules is SQL_RULES else slim.filter(~base), rules), "cutoffs")
+    limits = stored(thresholds(slim.filter(~base), rules), "cutoffs")
     reason = F.when(base, "base")
     for m, v in measures().items():
         reason = reason.when(v > F.element_at("__cutoffs", m), m)
-    return (
-        join_small(rows, limits, ["__lang", "__source"])
-        .withColumn("base_failed", base).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
-        .select(*[F.col(f"`{c}`") for c in docs.columns], *OUT)
-    )
+    out = join_small(rows, limits, ["__lang", "__source"])
+    return unpacked(out.withColumn("base_failed", base).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull()), docs, OUT)
 
 
 def op3(spark, sf_dir):
-    out = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), rules=SQL_RULES)
+    out = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -188,17 +184,19 @@ cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8))
 s AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines,
     coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN ln USING (r) LEFT JOIN cov ON cov.r = d.r),
-m AS (SELECT r, lang, source, measure, value FROM s, LATERAL (VALUES ('symbols', 1000 * n_symbols // greatest(word_chars, 1)),
+f AS (SELECT s.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM s),
+m AS (SELECT r, lang, source, measure, value FROM f, LATERAL (VALUES ('symbols', 1000 * n_symbols // greatest(word_chars, 1)),
     ('dup_lines', 1000 * n_dup_lines // greatest(n_lines, 1)), ('repeated', 1000 * n_repeat_words // greatest(n_words, 1)),
-    ('word_length', 100 * word_chars // greatest(n_words, 1))) v(measure, value)),
+    ('word_length', 100 * word_chars // greatest(n_words, 1))) v(measure, value) WHERE NOT base_failed),
 b AS (SELECT lang, source, measure, value - value % greatest(1, (2 ** (length(bin(value)) - 6))::BIGINT) AS bucket FROM m),
-q AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(bucket, 0.5) AS q2, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-ql AS (SELECT lang, measure, count(*) AS n, quantile_disc(bucket, 0.5) AS q2, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-qa AS (SELECT measure, quantile_disc(bucket, 0.5) AS q2, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-cut AS (SELECT q.lang, q.source, q.measure, greatest(CASE WHEN q.n >= 50 THEN q.q3 + 6 * (q.q3 - q.q2) WHEN ql.n >= 50 THEN ql.q3 + 6 * (ql.q3 - ql.q2) ELSE qa.q3 + 6 * (qa.q3 - qa.q2) END,
-    CASE q.measure WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 WHEN 'repeated' THEN 250 ELSE 1000 END) AS cutoff
-    FROM q JOIN ql USING (lang, measure) JOIN qa ON qa.measure = q.measure),
-bad AS (SELECT DISTINCT r FROM m JOIN cut USING (lang, source, measure) WHERE value > cutoff),
-f AS (SELECT s.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM s)
+u(measure, percent, reach, least) AS (VALUES ('symbols', 75, 6, 1), ('dup_lines', 98, 2, 50), ('repeated', 98, 2, 50), ('word_length', 75, 6, 16)),
+q AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(bucket, [0.5, 0.75, 0.98]) AS q FROM b GROUP BY ALL),
+ql AS (SELECT lang, measure, count(*) AS n, quantile_disc(bucket, [0.5, 0.75, 0.98]) AS q FROM b GROUP BY ALL),
+qa AS (SELECT measure, quantile_disc(bucket, [0.5, 0.75, 0.98]) AS q FROM b GROUP BY ALL),
+g AS (SELECT q.lang, q.source, q.measure, percent, reach, least, CASE WHEN q.n * (100 - percent) >= 25 * 50 THEN q.q WHEN ql.n * (100 - percent) >= 25 * 50 THEN ql.q ELSE qa.q END AS q
+    FROM q JOIN ql USING (lang, measure) JOIN qa ON qa.measure = q.measure JOIN u ON u.measure = q.measure),
+h AS (SELECT *, q[1] AS mid, CASE percent WHEN 75 THEN q[2] ELSE q[3] END AS high FROM g),
+cut AS (SELECT lang, source, measure, high + reach * greatest(high - mid, least) AS cutoff FROM h),
+bad AS (SELECT DISTINCT r FROM m JOIN cut USING (lang, source, measure) WHERE value > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM f
 """
