@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table, without
+from tidewater.llm.common import join_small, packed, table, unpacked
 from tidewater.llm.license_texts import EQUIVALENT, FULL, KNOWN
 
 OUT = ("license_id", "notice_ids", "n_notices", "text_digest")
@@ -46,36 +46,42 @@ def known_digests(spark) -> DataFrame:
     return rows.union(spark.range(1).select(F.inline(full))).dropDuplicates(["__digest"])
 
 
-def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, text: str = "text", more: DataFrame | None = None) -> DataFrame:
     """All rows of docs with license_id (the known licence that the entire text
     is, or null), notice_ids (the licences that entire lines of it name, each
     once, in order, comma-joined; empty if none), n_notices (such lines) and
     text_digest; input columns of these names are replaced.
 
+    more: (license, wording) rows of further full texts, of any number. Of equal
+    wordings the built-in one counts, then the least license.
+
     Texts are compared in canonical form: case, punctuation, white space,
     copyright lines and equivalent spellings don't count. Null text: as an empty
-    one, which is no licence. Repeated rows are scanned alike. No rows: no rows.
+    one, which is no licence. Repeated rows are scanned alike. Very long texts are
+    taken whole. No rows: no rows.
 
-    The known digests are a table of fixed size, broadcast; documents are not
-    shuffled: the lines' digests are looked up in an array of the document.
+    The lines' digests are looked up in a map of the built-in digests, which are
+    few and fixed; only the entire texts' digests are joined.
     """
-    docs = without(docs, *OUT)
-    spark = docs.sparkSession
-    known = known_digests(spark)
-    # one row: digests and licences, for the lines; its size is fixed
-    by_line = known.agg(F.map_from_entries(F.collect_list(F.struct("__digest", "license"))).alias("__known"))
-    rows = docs.withColumn("__lines", normal_lines(F.col(text)))
-    rows = rows.withColumn("__digest", digest(F.col("__lines"))).join(F.broadcast(known), "__digest", "left").join(F.broadcast(by_line))
+    fixed = known_digests(docs.sparkSession)
+    by_line = F.create_map(*[F.lit(x) for r in fixed.collect() for x in (r["__digest"], r.license)])
+    known = fixed.select("__digest", "license")
+    if more is not None:
+        own = more.select(digest(normal_lines(F.col("wording"))).alias("__digest"), F.col("license").cast("string").alias("license")).filter("license IS NOT NULL")
+        both = known.withColumn("z", F.lit(0)).unionByName(own.withColumn("z", F.lit(1)))
+        known = both.groupBy("__digest").agg(F.min(F.struct("z", "license"))["license"].alias("license"))
+    rows = packed(docs, OUT, __lines=normal_lines(F.col(text)))
+    rows = join_small(rows.withColumn("__digest", digest(F.col("__lines"))), known, ["__digest"])
     empty = F.trim(F.regexp_replace(F.col("__lines"), r"\n", " ")) == ""
-    found = F.filter(F.transform(F.filter(F.split("__lines", "\n"), lambda x: F.length(x) > 8), lambda x: F.element_at(F.col("__known"), digest(x))), lambda x: x.isNotNull())
-    return (
+    found = F.filter(F.transform(F.filter(F.split("__lines", "\n"), lambda x: F.length(x) > 8), lambda x: F.element_at(by_line, digest(x))), lambda x: x.isNotNull())
+    out = (
         rows.withColumn("__found", found)
         .withColumn("license_id", F.when(~empty, F.col("license")))
         .withColumn("notice_ids", F.array_join(F.array_sort(F.array_distinct("__found")), ","))
         .withColumn("n_notices", F.size("__found").cast("long"))
         .withColumn("text_digest", F.col("__digest"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], *OUT)
-    )
+    )
+    return unpacked(out, docs, OUT)
 
 
 def op5(spark, sf_dir):
