@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import n_words, without
+from tidewater.llm.common import n_words, packed, table, unpacked, without
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -77,18 +77,18 @@ def mix_sources(
     copies, taken = copies * size (long); input columns of these names are
     replaced. Null text: size 0. Null source: a source of its own, last. Null
     doc_id: ordered first. A source without words: target 0, nothing taken.
-    Repeated rows are documents of their own. No rows: no rows.
+    Repeated rows are documents of their own. Very long texts are counted whole.
+    No rows: no rows.
     """
-    docs = without(docs, *OUT)
-    rows = docs.withColumn("size", n_words(F.col(text))).withColumn("__key", _key(source))
+    rows = packed(docs, OUT, size=n_words(F.col(text)), __key=_key(source), __id=F.col(doc_id), __hash=F.xxhash64(F.col(text)))
     n = docs.count()
     salts = max(1, math.ceil(math.sqrt(n) / 16))
     sized = (
         rows.withColumn("__class", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log2(F.col("size").cast("double")) * CLASSES)).cast("int"))
-        .withColumn("__salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(salts)).cast("int"))
+        .withColumn("__salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(salts)).cast("int"))
     )
     block = ["__key", "__class", "__salt"]
-    inside = Window.partitionBy(*block).orderBy("size", F.col(doc_id).asc_nulls_first(), F.xxhash64(F.col(text)))
+    inside = Window.partitionBy(*block).orderBy("size", F.col("__id").asc_nulls_first(), "__hash")
     ranked = sized.withColumn("__rank", F.row_number().over(inside))
     blocks = sized.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words"))
     sizes = blocks.groupBy("__key").agg(F.sum("__words").alias("source_size")).withColumn("__null", (F.col("__key") == "n").cast("int"))
@@ -102,22 +102,18 @@ def mix_sources(
     start = _unit(F.concat(F.lit(seed), F.col("__key")))
     rank = F.col("__before") + F.col("__rank")
     copies = (F.floor(rank * each + start) - F.floor((rank - 1) * each + start)).cast("long")
-    return (
-        ranked.join(offsets, block)
-        .withColumn("copies", copies)
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], *OUT)
-    )
+    out = ranked.join(offsets, block).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return unpacked(out, docs, OUT)
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken, numbered from 1 in copy_no."""
+    """One row of `mixed` for each copy taken, numbered from 1 in copy_no, which
+    replaces an input column of that name. A null number of copies or one below 1
+    gives no row; repeated rows are copied alike. No rows: no rows."""
     return without(mixed, "copy_no").filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
 def op10(spark, sf_dir):
-    from tidewater.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
