@@ -12,8 +12,10 @@ stretch of them (its strings share a hash) is shipped as one piece.
    answers which strings an earlier document has.
 3. Each block removes the bytes that these cover.
 
-Hashes that very many documents have would fill a shard; their strings are sent
-one by one, to shards by a hash of the string itself.
+A shard's stretches are more than one suffix array takes (ARRAY_BYTES), so that runs
+are merged in every shard of usual size. Hashes that very many documents have would
+fill a shard; their strings are sent one by one, to shards by a hash of the string
+itself.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import stored, table, without
 from tidewater.llm.suffix_array import longest_starts
@@ -33,7 +36,10 @@ LENGTH = 50
 #: Bytes of a part; LENGTH - PART + 1 parts make a string.
 PART = 18
 #: Text of a block, hashes of a shard, stretches of a shard and of a suffix array.
-BLOCK_BYTES, HASH_BYTES, SHARD_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20, 1 << 20, 1 << 20
+BLOCK_BYTES, HASH_BYTES, SHARD_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20, 1 << 20, 1 << 18
+#: Blocks or shards of one task: more partitions than Spark's setting where the
+#: setting would give a task more.
+PER_TASK = 32
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 19
 #: A hash that more stretches have than this is sent string by string.
@@ -330,6 +336,12 @@ def _removed_rows(hash_shards: int, shards: int):
     return run
 
 
+def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """df dealt by key to tasks of at most about PER_TASK groups."""
+    n = math.ceil(groups / PER_TASK)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of docs with n_bytes, n_removed, n_spans (long), spans (start and
     end of each maximal removed run, in bytes, end exclusive) and kept (the other
@@ -339,7 +351,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     which also starts in a document with a smaller doc_id; strings are judged on
     the input and don't cross documents. Null text: empty. Null doc_id: after all
     others, so nothing is removed for its sake. Rows with equal doc_id don't
-    remove from one another. Texts under 50 bytes lose nothing. No rows: no rows.
+    remove from one another. Texts under 50 bytes lose nothing. Very long texts are
+    taken whole, each by one task. No rows: no rows.
     """
     docs = without(docs, *OUT)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0))).first()[0]
@@ -348,19 +361,21 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     hash_shards = max(1, math.ceil(size / 17 * 8 / HASH_BYTES))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     rows = rows.select(F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).alias("block"), F.coalesce("id", F.lit(LAST)).alias("order"), "text", "row")
-    slim = rows.select("block", "order", "text")
+    slim = _dealt(rows.select("block", "order", "text"), "block", blocks)
     hashes = slim.groupBy("block").applyInArrow(_hash_rows(hash_shards), "block long, shard long, data binary, counts binary")
-    flags = stored(hashes.groupBy("shard").applyInArrow(_flag_rows, "block long, shard long, data binary, n long"), "flags")
+    flags = stored(_dealt(hashes, "shard", hash_shards).groupBy("shard").applyInArrow(_flag_rows, "block long, shard long, data binary, n long"), "flags")
     n = flags.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(n * (LENGTH + 17) / SHARD_BYTES))
     first = flags.select("block", F.lit(0).alias("kind"), "shard", "data")
-    pieces = rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_piece_rows(hash_shards, shards), "block long, shard long, data binary, lengths binary, least binary")
-    earlier = pieces.groupBy("shard").applyInArrow(_earlier_rows, "block long, shard long, data binary")
+    both = lambda x, y: _dealt(x, "block", blocks).groupBy("block").cogroup(_dealt(y, "block", blocks).groupBy("block"))
+    pieces = both(rows, first).applyInArrow(_piece_rows(hash_shards, shards), "block long, shard long, data binary, lengths binary, least binary")
+    earlier = _dealt(pieces, "shard", shards).groupBy("shard").applyInArrow(_earlier_rows, "block long, shard long, data binary")
     answers = first.unionByName(earlier.select("block", F.lit(1).alias("kind"), "shard", "data"))
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed_rows(hash_shards, shards), f"row {rows.schema['row'].dataType.simpleString()}, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    out = both(rows, answers).applyInArrow(_removed_rows(hash_shards, shards), T.StructType([rows.schema["row"], T.StructField("spans", spans), T.StructField("kept", T.BinaryType())]))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(
-        *[F.col(f"row.`{c}`") for c in docs.columns if c != text],
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text],
         (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept",
     )
 
