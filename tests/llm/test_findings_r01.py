@@ -1,10 +1,13 @@
 """Cases that the first review found missing."""
 
+import random
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewater.llm import common, licenses, pii, quality
+from tidewater.llm import byte_dedup, chat, common, contamination, licenses, mixing, ngram_join, pii, quality, urls
 from tidewater.llm.license_texts import KNOWN
 
 
@@ -78,3 +81,111 @@ def test_holder_without_year(spark):
     rows += [(None, "Copyright is a hard subject\n\n" + mit), (None, "Some words of\ncopyright prose\n\n" + mit)]
     out = licenses.scan_licenses(spark.createDataFrame(rows, "want string, text string")).collect()
     assert [r.license_id for r in out] == [r.want for r in out]
+
+
+CLASHES = {
+    "licenses": (lambda d: licenses.scan_licenses(d), ("license", "__lines", "z")),
+    "quality": (lambda d: quality.judge_quality(d), ("__text", "__cutoffs", "__lang", "bucket")),
+    "mixing": (lambda d: mixing.mix_sources(d), ("__before", "__key", "__rank", "__salt")),
+    "pii": (lambda d: pii.find_pii(d), ("__email", "__t", "__all", "c")),
+    "leaks": (lambda d: contamination.decontaminate(d, d.selectExpr("doc_id AS item_id", "text")), ("row", "__row", "found", "__salt")),
+    "near duplicates": (lambda d: ngram_join.drop_near_duplicates(d), ("__row", "__id", "best")),
+    "repeats": (lambda d: byte_dedup.remove_repeats(d), ("block", "order", "row", "shard")),
+    "urls": (lambda d: urls.filter_urls(d.withColumnRenamed("text", "url"), d.selectExpr("'a.b' AS host", "1 AS bad")), ("__n", "__bare", "two", "n")),
+}
+
+
+@pytest.mark.parametrize("name", list(CLASHES))
+def test_internal_names_as_columns(spark, name):
+    run, names = CLASHES[name]
+    rows = spark.createDataFrame([(1, "one two three four five six seven", "en", "a"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    for i, c in enumerate((*names, "__in", "a b.c")):
+        rows = rows.withColumn(c, F.lit(i))
+    out = run(rows).orderBy("doc_id").collect()
+    assert [r.doc_id for r in out] == [1, 2]
+    assert all(r[c] == i for r in out for i, c in enumerate((*names, "__in", "a b.c")))
+
+
+def test_work_folder_on_a_cluster():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError):
+        common.work_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert common.work_dir(Session()) == "hdfs://x/y"
+
+
+def test_many_matches_in_one_text(spark):
+    n = 30_000
+    text = " ".join(f"a{i}@b{i}.com" for i in range(n))
+    r = pii.find_pii(spark.createDataFrame([(text,)], "text string")).first()
+    assert r.n_email == n and r.redacted == " ".join(["[EMAIL]"] * n)
+    at = 0
+    for i, s in enumerate(r.base_spans):
+        assert (s.start, s.end) == (at, at + len(f"a{i}@b{i}.com"))
+        at = s.end + 1
+
+
+def test_clear_and_chosen_against_brute_force(spark):
+    """Candidates that overlap no base span; those that stay."""
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        base = []
+        at = 0
+        for _ in range(r.randrange(6)):
+            at += r.randrange(12)
+            base.append(("email", at, at + r.randint(1, 9)))
+            at = base[-1][2]
+        found = [("ssn", "s", a, a + r.randint(1, 12), "", "") for a in (r.randrange(60) for _ in range(r.randrange(8)))]
+        rows.append((k, base, found, [(f[0], f[2], f[3], r.random()) for f in found]))
+    df = spark.createDataFrame(rows, "k int, base array<struct<kind: string, start: bigint, end: bigint>>, found array<struct<kind: string, s: string, start: bigint, end: bigint, before: string, after: string>>, likely array<struct<kind: string, start: bigint, end: bigint, p: double>>")
+    for x in df.selectExpr("*", f"{pii._clear('found', 'base')} AS clear", f"{pii._chosen('likely')} AS chosen").collect():
+        assert sorted(c.start * 1000 + c.end for c in x.clear) == sorted(c.start * 1000 + c.end for c in x.found if not any(b.start < c.end and c.start < b.end for b in x.base))
+        stay = []
+        for c in sorted(x.likely, key=lambda c: (-c.p, c.start, -c.end, c.kind)):
+            if not any(o.start < c.end and c.start < o.end for o in stay):
+                stay.append(c)
+        assert sorted((c.start, c.end) for c in x.chosen) == sorted((c.start, c.end) for c in stay)
+
+
+def test_rows_without_conversation(spark):
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "user", "b"), (7, 1, "assistant", "x")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, len(r.turns)) for r in out) == [(0, 1), (0, 2), (7, 1)] and all(r.round_trip for r in out)
+
+
+def test_more_licenses(spark):
+    more = spark.createDataFrame([("House-1", "You may do what you like, in this house."), ("Other", KNOWN[0][2]), (None, "x y z")], "license string, wording string")
+    docs = spark.createDataFrame([("Copyright 2020 Foo\nyou may DO what you like - in this house",), (KNOWN[0][2],), ("x y z",)], "text string")
+    assert [r.license_id for r in licenses.scan_licenses(docs, more=more).collect()] == ["House-1", "MIT", None]
+
+
+def test_domains(spark):
+    hosts = ["u:p@a.b.example.com:8080", "10.0.0.1", "10.0.0.2:80", "[::1]:443", "x.y.co.uk", "com", "a.b.kobe.jp"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.with_domains(df).collect()}
+    assert got == {hosts[0]: ("example.com", "com"), "10.0.0.1": ("10.0.0.1",) * 2, "10.0.0.2:80": ("10.0.0.2",) * 2, "[::1]:443": ("[::1]",) * 2, "x.y.co.uk": ("y.co.uk", "co.uk"), "com": ("com", "com"), "a.b.kobe.jp": ("kobe.jp", "jp")}
+    table = spark.createDataFrame([("com",), ("Kobe.jp",), ("jp",), ("uk",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.with_domains(df, table).collect()}
+    assert got["a.b.kobe.jp"] == ("b.kobe.jp", "kobe.jp") and got["x.y.co.uk"] == ("co.uk", "uk") and got["com"] == ("com", "com")
+
+
+def test_bound_is_a_beta_quantile(spark):
+    rng = np.random.default_rng(5)
+    laws = [(0.4, 6.0), (1.0, 1.0), (3.0, 40.0), (30.0, 10.0), (200.0, 300.0)]
+    got = spark.createDataFrame(laws, "a double, b double").select(urls.lower_bound(F.col("a"), F.col("b")).alias("q")).collect()
+    for (a, b), r in zip(laws, got):
+        assert abs(float((rng.beta(a, b, 200_000) < r.q).mean()) - 0.1) < 0.04
+
+
+def test_reputation_decides(spark):
+    """A host over the lift is blocked, a host with as bad a rate on few pages isn't."""
+    seen = [("bad.spam.com", 1)] * 45 + [("bad.spam.com", 0)] * 5 + [("few.shop.com", 1)] + [("good.org.uk", 0)] * 150 + [("mid.fair.com", 0)] * 600
+    pages = spark.createDataFrame([(f"http://{h}/x",) for h in ("bad.spam.com", "few.shop.com", "good.org.uk", "new.spam.com", "mid.fair.com")], "url string")
+    got = {r.host: r.verdict for r in urls.filter_urls(pages, spark.createDataFrame(seen, "host string, bad int"), rules=(), lift=1.5).collect()}
+    assert got == {"bad.spam.com": "block", "few.shop.com": "allow", "good.org.uk": "allow", "new.spam.com": "allow", "mid.fair.com": "allow"}
