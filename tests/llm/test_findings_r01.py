@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_dedup, chat, common, contamination, licenses, mixing, ngram_join, pii, quality, urls
+from tidewater.llm import byte_dedup, chat, common, contamination, licenses, mixing, ngram_join, pii, quality, urls, warc
 from tidewater.llm.license_texts import KNOWN
 
 
@@ -189,3 +189,48 @@ def test_reputation_decides(spark):
     pages = spark.createDataFrame([(f"http://{h}/x",) for h in ("bad.spam.com", "few.shop.com", "good.org.uk", "new.spam.com", "mid.fair.com")], "url string")
     got = {r.host: r.verdict for r in urls.filter_urls(pages, spark.createDataFrame(seen, "host string, bad int"), rules=(), lift=1.5).collect()}
     assert got == {"bad.spam.com": "block", "few.shop.com": "allow", "good.org.uk": "allow", "new.spam.com": "allow", "mid.fair.com": "allow"}
+
+
+def test_archives_can_be_sought(spark, tmp_path, monkeypatch):
+    """Files end by bytes; an entry's offset leads to its record, also of a long page."""
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    rng = random.Random(6)
+    html = {i: "".join(rng.choice("abcdefgh <>é") for _ in range(rng.choice((0, 900, 5000)))) for i in range(40)}
+    html[7] = "<p>long</p>" * 1_600_000
+    pages = spark.createDataFrame([(i, f"http://h{i % 5}.org/{i}", h) for i, h in html.items()], "page_id long, url string, html string").repartition(1)
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path)
+    files = {"/".join(str(f).rsplit("/", 2)[1:]): f.read_bytes() for f in (tmp_path / "w").glob("*/part*")}
+    seen = 0
+    for e in warc.merge_index(warc.read_archives(spark, path)).collect():
+        head, payload = warc.parse_record(warc.read_record(files[e.archive], e.offset)[0])
+        assert head["warc-record-id"] == f"<urn:page:{e.page_id}>" and payload.decode() == html[e.page_id]
+        seen += 1
+    assert seen == 40
+
+
+def test_archive_bytes(monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3 << 20)
+    made = list(warc._members(iter([warc.pa.RecordBatch.from_arrays([warc.pa.array([random.Random(i).randbytes(500_000).hex() for i in range(12)])], ["value"])])))
+    numbers = [n for b in made for n in b.column(0).to_pylist()]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 1
+
+
+def test_external_merge(spark):
+    """Waves of few entries against one sort; ranges that cut a url's captures."""
+    rng = random.Random(9)
+    entry = lambda i, run: (f"k{rng.randrange(4)}", rng.randrange(5), rng.choice((None, rng.randrange(3))), "response", 0, "d", None, run, i)
+    runs = {f"r{k}": sorted((entry(i, f"r{k}") for i in range(rng.randrange(40))), key=warc._key) for k in range(9)}
+    every = sorted((r for run in runs.values() for r in run), key=warc._key)
+    borders = [warc._key(every[len(every) // 3]), warc._key(every[len(every) // 2])]
+    pieces = []
+    for run in runs.values():
+        for batch in warc._batches(run):
+            for b in warc._pieces(borders)([batch]):
+                pieces += [(x["range"], warc._key((x["url_key"], x["captured"], x["page_id"])), x["run"], warc._rows(warc.pa.ipc.read_record_batch(warc.pa.py_buffer(x["entries"]), warc._SCHEMA))) for x in b.to_pylist()]
+    pieces.sort(key=lambda x: x[:3])
+    for wave in (1, 7, 1000):
+        got = list(warc.merged(pieces, wave))
+        assert list(map(warc._key, got)) == list(map(warc._key, every)) and sorted(map(str, got)) == sorted(map(str, every))
+    df = spark.createDataFrame([r for run in runs.values() for r in run], warc._ENTRY).coalesce(1)
+    assert [warc._key(tuple(r)) for r in warc.merge_index(df).collect()] == list(map(warc._key, every))
