@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_dedup, chat, components, contamination, licenses, loser_tree, mixing, ngram_join, pii, quality, shingles, signature_tree, suffix_array, urls, warc
+from tidewater.llm import byte_dedup, chat, common, components, contamination, licenses, loser_tree, mixing, ngram_join, pii, quality, shingles, signature_tree, suffix_array, urls, warc
 from tidewater.llm.license_texts import KNOWN
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -191,8 +191,8 @@ def test_contamination(spark):
 def test_contamination_with_a_full_filter(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     a = sorted(map(tuple, contamination.contained_items(docs, items).collect()))
-    monkeypatch.setattr(contamination, "MOST_BITS", 1 << 10)
-    monkeypatch.setattr(contamination, "BITS", 0)
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(common, "BITS", 0)
     assert sorted(map(tuple, contamination.contained_items(docs, items).collect())) == a
 
 

@@ -7,6 +7,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a broadcast side may have at most; a larger side is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
+#: Bits of a bit table for each value in it, and the most that it has (16 MB).
+BITS, MOST_BITS = 16, 1 << 27
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -127,6 +131,25 @@ def release() -> None:
 atexit.register(release)
 
 
+def bit_table(values: DataFrame):
+    """A bit table of few or many values (value long), broadcast: a value's low bits
+    are its place. Its size follows the values up to MOST_BITS; beyond, more of what
+    is not among the values passes, and nothing is lost. Only the bits are sent to
+    the driver."""
+    bits = min(max(1 << 16, 1 << (BITS * values.count()).bit_length()), MOST_BITS)
+    place = F.col("value").bitwiseAND(bits - 1)
+    words = values.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((value & {bits - 1}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    return values.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values (uint64) may be in a bit table."""
+    at = (values & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a table of few rows, unique in `on`, to a large one whose keys may
     be hot. It is broadcast if it has at most `limit` rows (counted first);

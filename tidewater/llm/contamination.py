@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import join_small, packed, small, stored, table, unpacked
+from tidewater.llm.common import bit_table, in_table, join_small, packed, small, stored, table, unpacked
 from tidewater.llm.shingles import shingles
 
 #: Words of a shingle, and the share of an item's shingles that a document must
@@ -23,8 +23,6 @@ from tidewater.llm.shingles import shingles
 WORDS, SIMILAR = 5, 80
 #: Minima of a sketch beyond those that may be lacking: so many must be found.
 HITS = 3
-#: Bits of a filter for each value in it, and the most that it has (16 MB).
-BITS, MOST_BITS = 16, 1 << 27
 OUT = ("item_ids", "contaminated")
 
 
@@ -65,24 +63,6 @@ def _item_rows(similar: int):
     return run
 
 
-def _filter(values: DataFrame):
-    """A bit table of the values (long), broadcast: a value's low bits are its
-    place. Its size follows the values up to MOST_BITS; beyond, more of what is not
-    among the values passes, and nothing is lost."""
-    spark = values.sparkSession
-    bits = min(max(1 << 16, 1 << (BITS * values.count()).bit_length()), MOST_BITS)
-    place = F.col("value").bitwiseAND(bits - 1)
-    words = values.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((value & {bits - 1}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bit").to_numpy()
-    return spark.sparkContext.broadcast(out.view(np.uint8))
-
-
-def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values & np.uint64(8 * len(table) - 1)).astype(np.int64)
-    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 def _document_rows(sketches, every):
     """(row, keys, tokens) of documents with a shingle that may be in a sketch;
     tokens are those that may be in some item."""
@@ -93,11 +73,11 @@ def _document_rows(sketches, every):
             rows, keys, tokens = [], [], []
             for row, text in zip(batch.column(0), batch.column(1)):
                 s = shingles(text.as_py(), WORDS, short=False)
-                hit = s[_passes(first, s)]
+                hit = s[in_table(first, s)]
                 if len(hit):
                     rows.append(row.as_py())
                     keys.append(hit.view(np.int64).tolist())
-                    tokens.append(s[_passes(second, s)].view(np.int64).tolist())
+                    tokens.append(s[in_table(second, s)].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))], ["row", "keys", "tokens"])
 
     return run
@@ -122,7 +102,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, text: str = "text", it
     wordings = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).distinct()
     made = wordings.mapInArrow(_item_rows(similar), "item long, n long, need long, keys array<long>, tokens array<long>")
     item = stored(made.withColumn("unit", F.xxhash64("item", "tokens")).dropDuplicates(["unit"]), "items")
-    sketches, every = (_filter(item.select(F.explode(c).alias("value")).distinct()) for c in ("keys", "tokens"))
+    sketches, every = (bit_table(item.select(F.explode(c).alias("value")).distinct()) for c in ("keys", "tokens"))
     texts = docs.select(row_key(text).alias("row"), F.col(text).cast("string").alias("text"))
     near = stored(texts.mapInArrow(_document_rows(sketches, every), "row string, keys array<long>, tokens array<long>").dropDuplicates(["row"]), "near")
     by_key = item.select("unit", "need", F.explode("keys").alias("key"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, packed, small, stored, table, unpacked
+from tidewater.llm.common import bit_table, discard, in_table, packed, small, stored, table, unpacked
 from tidewater.llm.components import components
 from tidewater.llm.shingles import mixed, shingles
 from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal, folded
@@ -107,6 +107,20 @@ def _tokenise(k: int, p: int, q: int):
     return run
 
 
+def _passing(common):
+    """(key, number) for each key that the table may hold."""
+
+    def run(batches):
+        table = common.value
+        for batch in small(batches):
+            keys = batch.column(1).flatten().to_numpy()
+            numbers = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            keep = in_table(table, (keys >> 32).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(numbers[keep])], ["key", "number"])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches):
         for batch in small(batches):
@@ -259,11 +273,13 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     tokens = stored(wide.select("doc_id", "row", "n", "node"), "tokens")
     first_row = tokens.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
     nodes = wide.filter("n > 0").join(first_row, ["node", "row"], "left_semi").withColumn("number", _hash("node"))
-    keyed = nodes.select(F.explode("keys").alias("key"), "number")
-    # shards of several nodes; then each one's size, and two sums that tell sets of nodes apart
-    several = keyed.groupBy("key").agg(F.min("number").alias("low"), F.max("number").alias("high")).filter("low <> high").select("key")
-    shared = stored(keyed.join(several.hint("merge"), "key", "left_semi").distinct(), "shared")
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor("number").alias("x"), F.sum(_hash("number").cast("decimal(20)")).alias("y"))
+    # keys that several rows may have, by a table of their high halves; a very common key is one count for each partition
+    high = nodes.select(F.explode("keys").alias("key")).groupBy(F.shiftright("key", 32).cast("int").alias("high")).agg(F.count(F.lit(1)).alias("n"))
+    common = stored(high.filter("n > 1").select(F.col("high").cast("long").alias("value")), "common")
+    passing = nodes.select("number", "keys").mapInArrow(_passing(bit_table(common)), "key long, number long")
+    shared = stored(passing.distinct(), "shared")
+    # each shard's size, and two sums that tell sets of nodes apart
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"), F.bit_xor("number").alias("x"), F.sum(_hash("number").cast("decimal(20)")).alias("y")).filter("n_members > 1")
     # shards with the same members are one
     shards = sizes.groupBy("n_members", "x", "y").agg(F.min("key").alias("key")).select("key", "n_members")
     # joined by sorting at every size: a broadcast of what grows would end in a shuffle later
