@@ -15,6 +15,8 @@ from tidewater.functions import rules as R
 _END = r"\z"
 #: White space as browsers see it: with the no-break space.
 _SPACE = r"[\s\x{a0}]"
+#: A word break is one between ASCII characters.
+WORD_CHAR = "[A-Za-z0-9_]"
 
 
 def nth(c, i: int) -> Column:
@@ -349,8 +351,9 @@ def without_name(c: Column, name: Column) -> Column:
 
 
 def substantive(c: Column) -> Column:
+    """Twenty characters at least, and eighty or a word that filings use."""
     t = squeeze(F.coalesce(c, F.lit("")))
-    return (F.length(t) >= 20) & ((F.length(t) >= 80) | has(t, r"\b(on|the|we|our|company|pursuant)\b"))
+    return (F.length(t) >= 20) & ((F.length(t) >= 80) | has(t, rf"(?<!{WORD_CHAR})({'|'.join(R.FILING_WORDS)})(?!{WORD_CHAR})"))
 
 
 def document_body(c: Column) -> Column:

@@ -40,7 +40,12 @@ def fuzzy_deals(deals: DataFrame, newest: int = NEWEST) -> DataFrame:
 
 def near_richest(df: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
     """(id): rows within `days` of the kept row of their key, the richest and then
-    newest one."""
-    w = Window.partitionBy(*keys).orderBy(F.col("rich").desc(), F.col("at").desc(), "id")
-    kept = df.withColumn("first_at", F.first("at").over(w)).withColumn("n", F.row_number().over(w))
-    return kept.filter((F.col("n") > 1) & (D.days_between(F.col("first_at"), F.col("at")) <= days)).select("id")
+    newest one. A null key is a key of its own."""
+    rank = F.struct(-F.col("rich"), -F.unix_micros("at"), "id")
+    best = df.groupBy(*keys).agg(F.min_by(F.struct("at", "id"), rank).alias("__best"))
+    on = None
+    for k in keys:
+        e = F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}"))
+        on = e if on is None else on & e
+    both = df.alias("d").join(best.alias("b"), on)
+    return both.filter((F.col("d.id") != F.col("__best.id")) & (D.days_between(F.col("__best.at"), F.col("d.at")) <= days)).select("d.id")

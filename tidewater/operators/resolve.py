@@ -108,25 +108,52 @@ def _words_in(kw: Column, words: Column, plain: Column) -> Column:
     return (F.size(kw) > 0) & (F.size(words) > 0) & F.forall(kw, lambda k: F.when(F.length(k) <= 4, short(k)).otherwise(F.array_contains(words, k)))
 
 
-def match_clients(names: DataFrame, clients: DataFrame, name: str = "name", most: int = 10_000) -> DataFrame:
+def _terms(words: Column, plain: Column, whole: bool) -> Column:
+    """What a name is filed under. A long word is filed as it is. A short one may
+    stand between any marks of the other name: it is filed under its first run of
+    letters and digits, and the other name under all of its runs."""
+    runs = lambda x: F.regexp_extract_all(x, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    tag = lambda t: lambda x: F.concat(F.lit(t), x)
+    if whole:
+        return F.array_distinct(F.concat(F.transform(words, tag("w")), F.transform(runs(plain), tag("r"))))
+    return F.array_distinct(F.transform(words, lambda k: F.when(F.length(k) > 4, F.concat(F.lit("w"), k)).when(F.size(runs(k)) > 0, F.concat(F.lit("r"), F.get(runs(k), F.lit(0)))).otherwise("-")))
+
+
+def _all_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): numbers of rows (n, plain, words) where all of left's words are in
+    right's name. Joined on the rarest of left's terms among right's names; names
+    without such a term (marks only) are tested against those that have marks."""
+    filed = right.select("n", F.explode(_terms(F.col("words"), F.col("plain"), True)).alias("term"))
+    marks = right.filter(F.exists("words", lambda w: ~w.rlike("[A-Za-z0-9_]"))).select("n", F.lit("-").alias("term"))
+    filed = filed.union(marks).distinct()
+    common = filed.groupBy("term").agg(F.count(F.lit(1)).alias("names"))
+    asked = left.select(F.col("n").alias("l"), F.explode(_terms(F.col("words"), F.col("plain"), False)).alias("term"))
+    asked = asked.join(common, "term", "left").groupBy("l").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "term")).alias("t")).filter("t.names > 0").select("l", F.col("t.term").alias("term"))
+    pairs = asked.join(filed.withColumnRenamed("n", "r"), "term").select("l", "r")
+    x = left.select(F.col("n").alias("l"), F.col("words").alias("kw"))
+    y = right.select(F.col("n").alias("r"), "words", "plain")
+    return pairs.join(x, "l").join(y, "r").filter(_words_in(F.col("kw"), F.col("words"), F.col("plain"))).select("l", "r")
+
+
+def match_clients(names: DataFrame, clients: DataFrame, name: str = "name") -> DataFrame:
     """(name, client, rank, boost): of each distinct name the first layer's client
     of the least rank: equal, equal without suffixes, all words of one in the
     other.
 
-    The first two layers are equality joins. The third tests every name that they
-    leave against the list of clients, which is broadcast: it must have at most
-    `most` rows."""
+    All layers are joins on equal keys: the third on the rarest word, with a test
+    of the rest."""
     c = past_clients(clients)
-    if c.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} clients")
     n = names.select(F.col(name).alias("name")).filter("name <> ''").distinct()
     n = n.withColumn("n_exact", F.lower(F.trim("name"))).withColumn("n_plain", T.client_name(F.col("name"))).withColumn("n_words", F.filter(F.split("n_plain", r"\s+"), lambda w: w != ""))
     pick = lambda key: c.filter(f"{key} <> ''").groupBy(key).agg(F.min(F.struct("rank", F.col("name").alias("client"), "boost")).alias("b"))
     a, b = pick("c_exact").withColumnsRenamed({"c_exact": "n_exact", "b": "b1"}), pick("c_plain").withColumnsRenamed({"c_plain": "n_plain", "b": "b2"})
     both = n.join(a, "n_exact", "left").join(b, "n_plain", "left").withColumn("b", F.coalesce("b1", "b2"))
-    left = both.filter("b IS NULL AND n_plain <> ''").select("name", "n_plain", "n_words")
-    fuzzy = left.join(F.broadcast(c.select(F.col("name").alias("client"), "rank", "boost", "c_plain", "c_words")), _words_in(F.col("c_words"), F.col("n_words"), F.col("n_plain")) | _words_in(F.col("n_words"), F.col("c_words"), F.col("c_plain")))
-    third = fuzzy.groupBy("name").agg(F.min(F.struct("rank", "client", "boost")).alias("b"))
+    left = both.filter("b IS NULL AND n_plain <> ''").select(F.col("name").alias("n"), F.col("n_plain").alias("plain"), F.col("n_words").alias("words"))
+    # clients that are alike in all but rank and name are one to the third layer
+    best = c.filter("c_plain <> ''").groupBy("c_plain").agg(F.min(F.struct("rank", F.col("name").alias("client"), "boost")).alias("b"), F.first("c_words").alias("words"))
+    right = best.select(F.col("c_plain").alias("n"), F.col("c_plain").alias("plain"), "words")
+    pairs = _all_words(right, left).select(F.col("r").alias("name"), F.col("l").alias("c_plain")).union(_all_words(left, right).select(F.col("l"), F.col("r")))
+    third = pairs.join(best.select("c_plain", "b"), "c_plain").groupBy("name").agg(F.min("b").alias("b"))
     return both.filter("b IS NOT NULL").select("name", "b").union(third).select("name", "b.client", "b.rank", "b.boost")
 
 

@@ -59,6 +59,20 @@ def like_any_case(c: Column, pattern: str) -> Column:
     return c.ilike(pattern)
 
 
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with each row's place in a total order, from 1. Rows are dealt by ranges of
+    the order and sorted there; a part's first place comes from the sizes of those
+    before it, one number a part. No task sees all rows. The sorted rows are kept
+    (in memory or on the executors' disks), as sizes and rows must agree."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    parts = parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    out = parts.join(F.broadcast(sizes.select("__part", "__before")), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
 def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     """All rows, each with its part's name; columns that a part lacks are null."""
     out = None

@@ -292,32 +292,22 @@ def f11(spark, sf):
 # sorts: the rank shows the order
 
 
-@query("G1_score_order", cte("signals") + "SELECT id, priority_score, row_number() OVER (ORDER BY priority_score DESC NULLS FIRST, id) AS rank FROM signals WHERE status = 'new' ORDER BY rank LIMIT 500")
+@query("G1_score_order", cte("signals") + "SELECT id, priority_score, row_number() OVER (ORDER BY priority_score DESC NULLS FIRST, id) AS rank FROM signals WHERE status = 'new'")
 def g1(spark, sf):
-    from pyspark.sql import Window
-
-    order = [c("priority_score").desc_nulls_first(), c("id")]
-    top = view(spark, sf, "signals").filter("status = 'new'").orderBy(*order).limit(500)
-    return top.select("id", "priority_score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+    new = view(spark, sf, "signals").filter("status = 'new'").select("id", "priority_score")
+    return O.ranked(new, [c("priority_score").desc_nulls_first(), c("id")])
 
 
 @query("G2_news_order", """WITH n AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS d, ts FROM events)
-SELECT id, row_number() OVER (ORDER BY d IS NULL, d DESC, CASE WHEN d IS NULL THEN ts END DESC, id) AS rank FROM n ORDER BY rank LIMIT 300""")
+SELECT id, row_number() OVER (ORDER BY d IS NULL, d DESC, CASE WHEN d IS NULL THEN ts END DESC, id) AS rank FROM n""")
 def g2(spark, sf):
-    from pyspark.sql import Window
-
     n = read(spark, sf, "events").select(c("event_id").alias("id"), F.when(c("event_id") % 3 != 0, c("ts").cast("date")).alias("d"), "ts")
-    order = [c("d").isNull(), c("d").desc(), F.when(c("d").isNull(), c("ts")).desc(), c("id")]
-    top = n.orderBy(*order).limit(300)
-    return top.select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+    return O.ranked(n, [c("d").isNull(), c("d").desc(), F.when(c("d").isNull(), c("ts")).desc(), c("id")]).select("id", "rank")
 
 
-@query("G6_names_in_order", cte("directory") + "SELECT name, row_number() OVER (ORDER BY name) AS rank FROM (SELECT DISTINCT name FROM directory) ORDER BY name LIMIT 1000")
+@query("G6_names_in_order", cte("directory") + "SELECT name, row_number() OVER (ORDER BY name) AS rank FROM (SELECT DISTINCT name FROM directory)")
 def g6(spark, sf):
-    from pyspark.sql import Window
-
-    top = view(spark, sf, "directory").select("name").distinct().orderBy("name").limit(1000)
-    return top.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("rank"))
+    return O.ranked(view(spark, sf, "directory").select("name").distinct(), ["name"])
 
 
 @query("G8_oldest", "SELECT source, min(doc_id) AS oldest FROM documents GROUP BY source")

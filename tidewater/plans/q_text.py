@@ -156,10 +156,13 @@ def c12(spark, sf):
     return read(spark, sf, "supplier").filter(firm.isin(*R.COMPETITORS)).select("s_suppkey")
 
 
-@query("C24_substantive", f"WITH x AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, length(t) >= 20 AND (length(t) >= 80 OR {sql_has('t', chr(92) + 'b(on|the|we|our|company|pursuant)' + chr(92) + 'b')} AND NOT regexp_matches(t, '[^\\x00-\\x7F]')) AS ok FROM x WHERE NOT regexp_matches(t, '[^\\x00-\\x7F]')")
+# every line of every text is a paragraph; white space and word breaks are ASCII in both dialects
+@query("C24_substantive", r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+t AS (SELECT doc_id, place, trim(regexp_replace(p, '[ \t\n\f\r\v]+', ' ', 'g')) AS t FROM x)
+SELECT doc_id, place::INT AS place, length(t) >= 20 AND (length(t) >= 80 OR regexp_matches(lower(t), '\b(on|the|we|our|company|pursuant)\b')) AS ok FROM t""")
 def c24(spark, sf):
-    t = F.substring_index("text", "\n", 1)
-    return read(spark, sf, "documents").filter(~t.rlike(r"[^\x00-\x7F]")).select("doc_id", T.substantive(t).alias("ok"))
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "p"))
+    return lines.select("doc_id", (c("at") + 1).alias("place"), T.substantive(c("p")).alias("ok"))
 
 
 _HEADLINES = "CASE o_orderkey % 9 WHEN 0 THEN 'Acme Raises $' || (o_orderkey % 90) || 'M in Series B' WHEN 1 THEN 'Roche-Partnered Zeta Bio Nabs $20M' WHEN 2 THEN 'China''s Gamma Files for IPO' WHEN 3 THEN 'Pfizer Bets $1.2 billion on Delta' WHEN 4 THEN 'Merck Pays $50M for SmallBio''s drug' WHEN 5 THEN 'Beta &amp; Sons in licensing pact' WHEN 6 THEN 'Alpha acquires Omega for $3,400 million' WHEN 7 THEN 'Weekly digest of the industry' ELSE 'Epsilon Joins Forces' END"

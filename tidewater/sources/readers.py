@@ -116,26 +116,79 @@ def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str
 
 #: Cards that one listing page gives at most: part of the feature.
 CARDS_PER_PAGE = 25
+#: Class names of a job card's parts and of a posting's parts, in the order in which
+#: they are tried (fixed values).
+CARD_TITLE, CARD_COMPANY, CARD_PLACES = "base-search-card__title", "base-search-card__subtitle", ("job-search-card__location", "location")
+DESCRIPTIONS = ("description__text", "show-more-less-html__markup", "core-section-container__content", "description")
+HIRING_TEAMS = ("posting-extras__hiring-team", "hiring-team", "hirer-card__hirer-information", "base-main-card--link")
+MEMBER_NAME = "base-main-card__title"
+POSTED_BY = r"(?i)(?:posted by|meet the hiring team)[^<]{0,30}<[^>]+>([A-Z][a-zA-Z\s\-']{2,40})</[^>]+>"
 
 
 def job_cards(pages: DataFrame, html: str, as_of: str, origin: str = "", company: str = "") -> DataFrame:
     """Job cards of listing pages: title, company, location, url without query and
-    age in days. A card is a list item, or where a page has none a card's div; one
-    without a title is none."""
+    age in days; of each page the first 25 in its order. A card is a list item, or
+    where a page has none a card's div; one without a title is none."""
     by_item, by_card = F.split(c(html), r"(?i)<li\b[^>]*>"), F.split(c(html), r'(?i)<div[^>]*class="(?:[^"]*\s)?base-card(?:\s[^"]*)?"[^>]*>')
-    parts = pages.select(F.explode(F.slice(F.when(F.size(by_item) > 1, by_item).otherwise(by_card), 2, 100_000)).alias("p"), F.monotonically_increasing_id().alias("page"))
-    text = lambda p: T.squeeze(T.decode_entities(T.strip_tags(F.regexp_extract("p", p, 1))))
-    either = lambda *ps: F.coalesce(*[F.nullif(text(p), F.lit("")) for p in ps])
+    parts = F.when(F.size(by_item) > 1, by_item).otherwise(by_card)
     of = lambda cls: rf'(?is)<(?:h3|h4|span|a|div)[^>]*class="[^"]*{cls}[^"]*"[^>]*>(.*?)</(?:h3|h4|span|a|div)>'
-    link = F.coalesce(*[F.nullif(F.regexp_extract("p", p, 1), F.lit("")) for p in (r'(?is)<a\b[^>]*href="([^"]*/jobs/view/[^"]*)"', r'(?is)<a\b[^>]*href="([^"]+)"')], F.lit(""))
-    when = F.try_to_timestamp(F.nullif(F.regexp_extract("p", r'(?is)<time[^>]*datetime="([^"]+)"', 1), F.lit("")))
-    age = F.coalesce(F.when(when.isNotNull(), D.age_days(when, F.lit(as_of).cast("timestamp"))), D.days_posted(text(r"(?is)<time[^>]*>(.*?)</time>")))
-    cards = parts.select(
-        "page", either(of("base-search-card__title"), r"(?is)<h3[^>]*>(.*?)</h3>").alias("title"), F.coalesce(either(of("base-search-card__subtitle"), r"(?is)<h4[^>]*>(.*?)</h4>"), F.lit(company)).alias("company"),
-        F.coalesce(either(of("job-search-card__location"), of("location")), F.lit("")).alias("location"), T.job_url(F.when(F.startswith(link, F.lit("/")), F.concat(F.lit(origin), link)).otherwise(link)).alias("job_url"), age.alias("days_posted"),
-    )
-    kept = cards.filter("title IS NOT NULL").groupBy("page").agg(F.slice(F.collect_list(F.struct("title", "company", "location", "job_url", "days_posted")), 1, CARDS_PER_PAGE).alias("j"))
-    return kept.select(F.inline("j"))
+
+    def card(part):
+        text = lambda p: T.squeeze(T.decode_entities(T.strip_tags(F.regexp_extract(part, p, 1))))
+        either = lambda *ps: F.coalesce(*[F.nullif(text(p), F.lit("")) for p in ps])
+        link = F.coalesce(*[F.nullif(F.regexp_extract(part, p, 1), F.lit("")) for p in (r'(?is)<a\b[^>]*href="([^"]*/jobs/view/[^"]*)"', r'(?is)<a\b[^>]*href="([^"]+)"')], F.lit(""))
+        when = F.try_to_timestamp(F.nullif(F.regexp_extract(part, r'(?is)<time[^>]*datetime="([^"]+)"', 1), F.lit("")))
+        age = F.coalesce(F.when(when.isNotNull(), D.age_days(when, F.lit(as_of).cast("timestamp"))), D.days_posted(text(r"(?is)<time[^>]*>(.*?)</time>")))
+        return F.struct(
+            either(of(CARD_TITLE), r"(?is)<h3[^>]*>(.*?)</h3>").alias("title"), F.coalesce(either(of(CARD_COMPANY), r"(?is)<h4[^>]*>(.*?)</h4>"), F.lit(company)).alias("company"),
+            F.coalesce(either(*map(of, CARD_PLACES)), F.lit("")).alias("location"), T.job_url(F.when(F.startswith(link, F.lit("/")), F.concat(F.lit(origin), link)).otherwise(link)).alias("job_url"), age.alias("days_posted"),
+        )
+
+    cards = F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), card), lambda x: x["title"].isNotNull())
+    return pages.select(F.inline(F.slice(cards, 1, CARDS_PER_PAGE)))
+
+
+def _element(html, cls: str):
+    """What stands in the first element of a class, up to the next end of its tag;
+    elements of the same tag inside it are not counted."""
+    return F.regexp_extract(html, rf'(?is)<([a-z][a-z0-9]*)\b[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</\1>', 2)
+
+
+def job_description(html):
+    """A posting's description: of the places that may hold it the first with 50
+    characters or more, else the whole page's text; cut at 2000 characters."""
+    text = lambda x: T.squeeze(T.decode_entities(T.strip_tags(x)))
+    found = F.filter(F.array(*[text(_element(html, cls)) for cls in DESCRIPTIONS]), lambda t: F.length(t) >= 50)
+    rest = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|form|aside)\b[^>]*>.*?</\1>", "")
+    return F.substring(F.coalesce(T.nth(found, 1), text(rest)), 1, 2000)
+
+
+def hiring_name(html):
+    """Who hires: a name in the hiring team's card, a poster's name, or one after
+    "posted by"; else Unknown."""
+    text = lambda x: F.trim(T.decode_entities(T.strip_tags(x)))
+    # the team's element may hold others, so its name is looked for behind its beginning
+    team = [text(_element(F.regexp_extract(html, rf'(?is)class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"(.*)', 1), MEMBER_NAME)) for cls in HIRING_TEAMS]
+    poster, posted = F.trim(F.regexp_extract(html, r'(?i)data-poster-name="([^"]*)"', 1)), F.trim(F.regexp_extract(html, POSTED_BY, 1))
+    return F.coalesce(T.nth(F.filter(F.array(*team, poster, posted), lambda n: F.length(n) > 1), 1), F.lit("Unknown"))
+
+
+def article_links(html, origin: str, site: str):
+    """An array of (title, url) of a listing page: links with a label of ten
+    characters or more, label first, then those with the address first; if there
+    are none, plain links to the site with a text of twenty. Each url once, at its
+    first place."""
+    plain = lambda t, more: F.trim(F.replace(F.replace(t, F.lit("&amp;"), F.lit("&")), F.lit("&#039;"), F.lit("'")) if more else F.replace(t, F.lit("&amp;"), F.lit("&")))
+    full = lambda u: F.when(F.startswith(u, F.lit("http")), u).otherwise(F.concat(F.lit(origin), u))
+
+    def links(pattern, title, url, more=True):
+        every = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
+        return F.zip_with(every(title), every(url), lambda t, u: F.struct(plain(t, more).alias("title"), full(u).alias("url")))
+
+    labelled = F.concat(links(r'<a[^>]+aria-label="([^"]{10,})"[^>]+href="([^"]+)"', 1, 2), links(r'href="([^"]+)"[^>]*aria-label="([^"]{10,})"', 2, 1))
+    fallback = links(rf'<a[^>]+href="(https?://{site.replace(".", "[.]")}/[^"]+)"[^>]*>([^<]{{20,}})</a>', 2, 1, more=False)
+    once = lambda x: F.filter(x, lambda e, i: F.array_position(F.transform(x, lambda y: y["url"]), e["url"]) == i + 1)
+    return F.when(F.size(labelled) > 0, once(labelled)).otherwise(once(fallback))
 
 
 def directory_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from tidewater.operators.tables import insert_new
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    p = _path(spark, path)
+    return _fs(spark, p).exists(p)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], order: list) -> int:
@@ -29,14 +37,28 @@ def append_new(df: DataFrame, path: str, keys: list[str], order: list) -> int:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Replaces a table, also one that df reads: written beside it, then swapped."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    """Replaces a table, also one that df reads. The new rows are written beside it
+    first; the old table is set aside, not deleted, until the new one stands in its
+    place, and recover() finishes what a crash has left."""
+    new, old, aside = (_path(df.sparkSession, path + x) for x in (".new", "", ".old"))
     df.write.mode("overwrite").parquet(path + ".new")
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
+    fs = _fs(df.sparkSession, old)
+    fs.delete(aside, True)
+    if fs.exists(old):
+        fs.rename(old, aside)
     fs.rename(new, old)
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Brings a table back that a crash during replace() has set aside: the new rows
+    if they are whole, else the old ones. Call it before a table is first read."""
+    new, old, aside = (_path(spark, path + x) for x in (".new", "", ".old"))
+    fs = _fs(spark, old)
+    if not fs.exists(old) and fs.exists(aside):
+        whole = fs.exists(_path(spark, path + ".new/_SUCCESS"))
+        fs.rename(new if whole else aside, old)
+    fs.delete(aside, True)
 
 
 def log_run(spark: SparkSession, path: str, agent: str, started: str, completed: str, status: str, found: int, detail: str = "{}") -> None:
