@@ -188,7 +188,7 @@ def labelled_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> D
     document: bad if one such document is toxic or of low quality."""
     bad = labels.groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
     texts = docs.select("doc_id", text_digest(F.col("text")).alias("__d")).join(bad, "doc_id").groupBy("__d").agg(F.max("bad").alias("bad"))
-    return pages.select(host_of(F.col("url")).alias("host"), article_digest(F.col("html")).alias("__d")).join(texts, "__d").select("host", "bad")
+    return pages.select(host_of(F.col("url")).alias("host"), article_digest(F.col("html")).alias("__d")).transform(lambda p: join_small(p, texts, ["__d"], "inner")).select("host", "bad")
 
 
 def op2(spark, sf_dir):
