@@ -177,11 +177,11 @@ def headline_company(c: Column) -> Column:
     return nth(F.transform(F.array(t), lambda x: F.coalesce(nth(found(x), 1), F.array_join(F.slice(F.split(x, r"\s+"), 1, 3), " "))), 1)
 
 
-def transaction_kind(c: Column) -> Column:
+def transaction_kind(c: Column, rules: tuple = R.TRANSACTIONS) -> Column:
     """The kind whose rules weigh most; of equals the first; acquisition if none."""
     compound = has(c, R.COMPOUND, case=True)
     totals = []
-    for _, each in R.TRANSACTIONS:
+    for _, each in rules:
         total = F.lit(0)
         for weight, patterns, needs in each:
             ok = F.lit(True) if needs is None else (compound if needs else ~compound)
@@ -189,7 +189,7 @@ def transaction_kind(c: Column) -> Column:
                 ok = ok & has(c, p)
             total = total + F.when(ok, weight).otherwise(0)
         totals.append(total)
-    names = F.array(*[F.lit(n) for n, _ in R.TRANSACTIONS])
+    names = F.array(*[F.lit(n) for n, _ in rules])
     # an array of one array: the totals have a name and are made once
     pick = lambda t: F.when(F.array_max(t) == 0, "acquisition").otherwise(F.get(names, (F.array_position(t, F.array_max(t)) - 1).cast("int")))
     return F.when(F.coalesce(c, F.lit("")) == "", "acquisition").otherwise(nth(F.transform(F.array(F.array(*totals)), pick), 1))
@@ -229,6 +229,7 @@ SELLER = (
     rf"(?i)(?:purchased?|acquired?)\s+from\s+{_NAME}(?:\s*\(|\s*,|\.)",
     rf"(?i)(?:in-?licens\w+|licens\w+)\s+from\s+{_NAME}(?:\s*\(|\s*,|\.)",
 )
+SELLER_BACKFILL = (SELLER[0], rf"(?i)acquiring.{{0,300}}rights?\s+to.{{0,200}}from\s+{_NAME}(?:\s*\(|\s*,|\.)", SELLER[3], SELLER[4])
 COUNTERPARTY = (
     rf"""{_NAME}\s*\(["']?(?:the\s+)?["']?(?:Seller|Purchaser|Buyer|Licensor|Counterparty)["']?\)""",
     rf"entered\s+into\s+[^.]{{0,120}}with\s+{_NAME}(?:\s*\(|\s*,|\.)",
@@ -275,21 +276,37 @@ def amount_long(c: Column) -> Column:
     return F.coalesce(*out)
 
 
-def with_deal(df: DataFrame, text: str, filer: str) -> DataFrame:
+#: Sums in words, tried in turn, each with its unit or where it stands (fixed values).
+SUMS = (
+    (r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*billion", "billion"), (r"(?i)\$\s*([\d,]+(?:\.\d+)?)\s*million", "million"), (r"(?i)([\d,]+(?:\.\d+)?)\s*billion\s+(?:USD|dollars)", "billion"),
+    (r"(?i)([\d,]+(?:\.\d+)?)\s*million\s+(?:USD|dollars)", "million"), (r"(?i)approximately\s+\$\s*([\d,]+(?:\.\d+)?)\s*(billion|million)", None),
+    (r"(?i)aggregate\s+(?:consideration|value|purchase price)\s+of\s+\$\s*([\d,]+(?:\.\d+)?)\s*(billion|million)", None),
+)
+
+
+def amount_words(c: Column) -> Column:
+    """A sum as "$45 million": any in billions of dollars before any in millions."""
+    one = lambda p, unit: F.when(c.rlike(p), F.concat(F.lit("$"), F.replace(F.regexp_extract(c, p, 1), F.lit(","), F.lit("")), F.lit(" "), F.lit(unit) if unit else F.lower(F.regexp_extract(c, p, 2))))
+    return F.coalesce(*[one(p, unit) for p, unit in SUMS])
+
+
+def with_deal(df: DataFrame, text: str, filer: str, backfill: bool = False) -> DataFrame:
     """df with what a filing says about a deal: transaction_type, acquirer_name,
     acquired_name, acquired_asset, deal_value, deal_summary, snippet; who is who
-    depends on the type. Step by step, so that no step's patterns run twice."""
+    depends on the type. Step by step, so that no step's patterns run twice.
+    With backfill, by the rules of the second pass: fewer rules of product deals,
+    fewer sellers, sums in words and no other counterparty."""
     c, f = F.col(text), F.col(filer)
     none = lambda x: F.nullif(x, F.lit(""))
     col = F.col
-    df = df.withColumn("transaction_type", transaction_kind(c)).withColumn("deal_value", amount(c))
+    df = df.withColumn("transaction_type", transaction_kind(c, R.TRANSACTIONS_BACKFILL if backfill else R.TRANSACTIONS)).withColumn("deal_value", amount_words(c) if backfill else amount(c))
     kind = col("transaction_type")
     df = df.withColumn("__parent", F.when(kind == "merger", party(c, f, PARENT)).otherwise(""))
     df = df.withColumn("__target", F.when(kind.isin("merger", "acquisition", "partnership") & (col("__parent") == ""), party(c, f, TARGET, cut=True)).otherwise(""))
-    df = df.withColumn("__seller", F.when((kind == "product_acquisition") | (kind == "partnership") & (col("__target") == ""), party(c, f, SELLER)).otherwise(""))
+    df = df.withColumn("__seller", F.when((kind == "product_acquisition") | (kind == "partnership") & (col("__target") == ""), party(c, f, SELLER_BACKFILL if backfill else SELLER)).otherwise(""))
     df = df.withColumn("acquirer_name", F.coalesce(none(col("__parent")), f))
     df = df.withColumn("__acquired", F.when(col("__parent") != "", f).otherwise(F.coalesce(none(col("__target")), col("__seller"))))
-    df = df.withColumn("acquired_name", F.when(kind == "ipo", "").when(col("__acquired") != "", col("__acquired")).otherwise(party(F.substring(c, 1, 2000), f, COUNTERPARTY)))
+    df = df.withColumn("acquired_name", F.when(kind == "ipo", "").when(col("__acquired") != "", col("__acquired")).otherwise(F.lit("") if backfill else party(F.substring(c, 1, 2000), f, COUNTERPARTY)))
     df = df.withColumn("acquired_asset", F.when(kind != "ipo", asset(c)))
     with_ = lambda word, x: F.coalesce(F.concat(F.lit(word), none(x)), F.lit(""))
     value, other, what = col("deal_value"), col("acquired_name"), col("acquired_asset")

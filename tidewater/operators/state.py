@@ -76,6 +76,35 @@ def update_contacts(contacts: DataFrame, incoming: DataFrame, as_of: str) -> Dat
     )
 
 
+_STATE = ("original_title", "original_company", "current_title", "current_company", "current_location", "job_history", "last_change_type", "last_enrichment_date")
+
+
+def update_contacts_in_turn(contacts: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
+    """contacts after all updates (linkedin_url, title, company, location,
+    received_at) of each, one after another in order of arrival: a fold over the
+    contact's updates, as update_contacts applies one."""
+    turns = incoming.groupBy(normal(F.col("linkedin_url")).alias("__k")).agg(F.array_sort(F.collect_list(F.struct("received_at", "title", "company", "location"))).alias("__turns"))
+    rows = contacts.withColumn("__k", normal(F.col("linkedin_url"))).join(turns, "__k", "left")
+    history = "array<struct<role: string, company: string>>"
+    kinds = {"job_history": history, "last_enrichment_date": "date"}
+    start = F.struct(*[F.col(x).cast(kinds.get(x, "string")).alias(x) for x in _STATE])
+
+    def turn(s, i):
+        role, company = normal(i["title"]) != normal(s["current_title"]), normal(i["company"]) != normal(s["current_company"])
+        place, moved = normal(i["location"]) != normal(s["current_location"]), role | company
+        shift = moved | (normal(s["original_title"]) != normal(s["current_title"])) | (normal(s["original_company"]) != normal(s["current_company"]))
+        pick = lambda when, new, old: F.when(when, new).otherwise(s[old])
+        return F.struct(
+            pick(shift, s["current_title"], "original_title").alias("original_title"), pick(shift, s["current_company"], "original_company").alias("original_company"),
+            pick(moved, i["title"], "current_title").alias("current_title"), pick(moved, i["company"], "current_company").alias("current_company"),
+            pick(place, i["location"], "current_location").alias("current_location"), pick(shift, add_history(s["job_history"], s["original_title"], s["original_company"]), "job_history").alias("job_history"),
+            F.when(role & company, "both_changed").when(role, "role_changed").when(company, "company_changed").alias("last_change_type"), F.lit(as_of).cast("date").alias("last_enrichment_date"),
+        )
+
+    after = F.aggregate(F.coalesce("__turns", F.expr("CAST(array() AS array<struct<received_at: timestamp, title: string, company: string, location: string>>)")), start, turn)
+    return rows.withColumn("__s", after).select("linkedin_url", *[F.col(f"__s.{x}").alias(x) for x in _STATE], *[x for x in contacts.columns if x not in ("linkedin_url", *_STATE)])
+
+
 def move_rows(source: DataFrame, target: DataFrame, ids: DataFrame, rename: dict[str, str], key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(source, target) after the rows of these ids have moved; rows whose key the
     target has stay away from it."""

@@ -58,10 +58,14 @@ def grants(spark: SparkSession, path: str, project_url: str = "https://grants.ex
     )
 
 
-def recent_grants(df: DataFrame, as_of: str, days: int, codes: tuple[str, ...] = ()) -> DataFrame:
+def recent_grants(df: DataFrame, as_of: str, days: int, codes: tuple[str, ...] = (), years: tuple[int, ...] = (), org_type: str = "") -> DataFrame:
+    """Grants of the last days, of these activity codes, fiscal years and kind of
+    organisation where given; newest first."""
     day = F.lit(as_of).cast("date")
     df = df.filter(c("award_notice_date").between(F.date_sub(day, days), day))
     df = df.filter(c("activity_code").isin(*codes)) if codes else df
+    df = df.filter(c("fiscal_year").isin(*years)) if years else df
+    df = df.filter(F.upper("org_type") == org_type.upper()) if org_type else df
     return df.orderBy(c("date_added").desc(), "appl_id")
 
 

@@ -19,3 +19,4 @@ CONTACTS = "person_name string, linkedin_url string, original_title string, orig
 JOBS = "job_title string, company_name string, location string, company_domain string, job_url string, date_posted string, received_at timestamp"
 CONTACT_UPDATES = "linkedin_url string, title string, company string, location string, received_at timestamp"
 COMPANIES = "name string, domain string, company_size string, linkedin_url string, received_at timestamp"
+LEAD_CONTACTS = "full_name string, job_title string, location string, company_name string, linkedin_url string, received_at timestamp"

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.functions import text as T
 from tidewater.operators import resolve
-from tidewater.operators.state import update_contacts
+from tidewater.operators.state import update_contacts_in_turn
 from tidewater.sources import schemas, sinks
 
 
@@ -44,23 +44,35 @@ def ingest_jobs(spark: SparkSession, folder: str, table: str, directory: str, ch
 
 def ingest_contacts(spark: SparkSession, folder: str, table: str, checkpoint: str, as_of: str) -> StreamingQuery:
     """Contact updates into a snapshot. A batch with several updates of a contact
-    applies them one after another, in order of arrival."""
+    applies them one after another, in order of arrival, in one pass. A batch that
+    comes again after a crash changes nothing more: by its updates' second turn the
+    contact is as they say."""
     updates = records(spark, folder, schemas.CONTACT_UPDATES).filter("linkedin_url <> ''")
 
     def each(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
-        from pyspark.sql import Window
-
-        turn = F.row_number().over(Window.partitionBy(F.lower(F.trim("linkedin_url"))).orderBy("received_at", "title", "company"))
-        rows = batch.withColumn("turn", turn).cache()
-        most = rows.agg(F.max("turn")).first()[0] or 0
-        for n in range(1, most + 1):  # as many as one contact has updates in a batch
-            sinks.replace(update_contacts(s.read.parquet(table), rows.filter(F.col("turn") == n).drop("turn"), as_of), table)
-        rows.unpersist()
+        sinks.recover(s, table)
+        sinks.replace(update_contacts_in_turn(s.read.parquet(table), batch, as_of), table)
 
     return _run(updates, each, checkpoint)
 
 
+def ingest_competitor_jobs(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Jobs of competing firms into a table: with a title and a url, each url once;
+    no matching."""
+    jobs = records(spark, folder, schemas.JOBS).filter("job_title <> '' AND job_url <> ''").withColumn("job_url", T.job_url(F.col("job_url"))).dropDuplicatesWithinWatermark(["job_url"])
+    return _run(jobs, lambda batch, _: sinks.append_new(batch, table, ["job_url"], ["received_at", "job_title"]), checkpoint)
+
+
+def ingest_lead_contacts(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Contacts of leads into a table: with a name and a company, each profile once
+    (those without one by name and company), with specialties of their titles."""
+    rows = records(spark, folder, schemas.LEAD_CONTACTS).filter("full_name <> '' AND company_name <> ''")
+    key = F.coalesce(F.nullif(T.plain_url(F.col("linkedin_url")), F.lit("")), F.concat_ws("|", F.lower(F.trim("full_name")), F.lower(F.trim("company_name"))))
+    rows = rows.withColumn("contact_key", key).withColumn("specialty", T.specialties(F.col("job_title"), None))
+    return _run(rows, lambda batch, _: sinks.append_new(batch, table, ["contact_key"], ["received_at", "full_name"]), checkpoint)
+
+
 def ingest_companies(spark: SparkSession, folder: str, directory: str, jobs: str, checkpoint: str) -> StreamingQuery:
     """Companies into the directory, then stored jobs without a match are matched
     again."""
