@@ -114,7 +114,11 @@ def l18(spark, sf):
     return _cards(spark, sf).groupBy(F.coalesce(agents.reject_reason(), F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("L18_stale_jobs")
+@query("L18_stale_jobs", f"""WITH j AS (SELECT p_partkey % 40 AS query_no, p_partkey AS position, p_partkey % 900 AS u, {_CARDS} AS title, {_FIRMS} AS company, CASE WHEN p_size % 6 = 0 THEN 'Toronto, Canada' ELSE 'Boston, MA' END AS location, p_size * 2 AS d FROM part),
+f AS (SELECT * FROM j WHERE u NOT IN (SELECT u FROM j WHERE position % 13 = 0) QUALIFY row_number() OVER (PARTITION BY u ORDER BY query_no, position) = 1),
+g AS (SELECT * FROM f WHERE d >= 30 AND {sql_has('title', T.role_pattern())} AND NOT {sql_has('title', R.EXCLUDED_ROLES)} AND starts_with(company, 'Omega Therapeutics') AND company <> 'Omega Therapeutics 3' AND location <> 'Toronto, Canada'),
+h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY position) <= 5)
+SELECT query_no, position, title, company, CASE WHEN d >= 60 THEN 18 ELSE 17 END AS priority_score FROM h ORDER BY query_no, position LIMIT 100""")
 def l18b(spark, sf):
     cards = _cards(spark, sf)
     seen = cards.filter("position % 13 = 0").select("job_url")

@@ -264,7 +264,11 @@ def j6(spark, sf):
     return state.exclusion_update(old, s.filter("s_suppkey % 3 = 0").select(c("s_name").alias("name"), (c("s_suppkey") * 500).cast("int").alias("members")))
 
 
-@query("J5_contact_update")
+@query("J5_contact_update", """WITH t AS (SELECT conv_id, turn, role, substring(text, 1, 10) AS x FROM conversations), a AS (SELECT * FROM t WHERE turn = 0), b AS (SELECT * FROM t WHERE turn = 1),
+j AS (SELECT a.conv_id, a.role AS r0, a.x AS x0, b.conv_id IS NOT NULL AS hit, b.role AS r1, b.x AS x1, lower(trim(coalesce(b.role, ''))) <> lower(trim(coalesce(a.role, ''))) AS role, lower(trim(coalesce(b.x, ''))) <> lower(trim(coalesce(a.x, ''))) AS company, lower(trim(coalesce(a.x, ''))) <> 'old co' AS differ FROM a LEFT JOIN b ON a.conv_id = b.conv_id)
+SELECT conv_id::VARCHAR AS linkedin_url, r0 AS original_title, CASE WHEN hit AND (role OR company OR differ) THEN x0 ELSE 'Old Co' END AS original_company, CASE WHEN hit AND (role OR company) THEN r1 ELSE r0 END AS current_title, CASE WHEN hit AND (role OR company) THEN x1 ELSE x0 END AS current_company,
+'X' AS current_location, CASE WHEN hit AND (role OR company OR differ) AND trim(coalesce(r0, '')) <> '' THEN '[{"role":"' || r0 || '","company":"Old Co"}]' ELSE '[]' END AS job_history, CASE WHEN hit THEN CASE WHEN role AND company THEN 'both_changed' WHEN role THEN 'role_changed' WHEN company THEN 'company_changed' END END AS last_change_type,
+CASE WHEN hit THEN DATE '1998-08-01' END AS last_enrichment_date FROM j""")
 def j5(spark, sf):
     t = read(spark, sf, "conversations")
     first = lambda n: t.filter(c("turn") == n)
