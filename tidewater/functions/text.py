@@ -142,14 +142,23 @@ def role_pattern(strict: bool = False) -> str:
     return "|".join([*names, *(rf"\b{a}\b" for a in R.ROLE_ABBREVIATIONS), *R.ROLE_PARTS])
 
 
-def decode_entities(c: Column) -> Column:
-    for a, b in (("&#8220;", '"'), ("&#8221;", '"'), ("&#8217;", "'"), ("&#8216;", "'"), ("&#8211;", "–"), ("&#8212;", "—"), ("&#160;", " "), ("&#8201;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&ldquo;", '"'), ("&rdquo;", '"'), ("&lsquo;", "'"), ("&rsquo;", "'")):
+def _numeric(c: Column, pattern: str, base: int) -> Column:
+    """Numeric entities as their characters: the text between them and the
+    characters are put together again."""
+    gaps, codes = F.split(c, pattern.replace("(", "(?:"), -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    point = (lambda n: F.conv(n, 16, 10).cast("int")) if base == 16 else (lambda n: n.cast("int"))
+    chars = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(point(n)), 8, "0")), "UTF-32"))
+    return F.array_join(F.zip_with(gaps, chars, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+
+def decode_entities(c: Column, table: str = "filing") -> Column:
+    """Entities of a source's table in its order, then numeric ones."""
+    for a, b in R.ENTITIES[table]:
         c = F.replace(c, F.lit(a), F.lit(b))
-    # numeric entities: the text between them and their characters, put together again
-    gaps = F.split(c, "&#[0-9]{1,6};", -1)
-    codes = F.regexp_extract_all(c, F.lit("&#([0-9]{1,6});"), F.lit(1))
-    chars = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32"))
-    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.zip_with(gaps, chars, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")).otherwise(c)
+    if table == "relative":
+        c = F.regexp_replace(c, "\u00ad|&#0*173;", "")
+    c = F.when(F.contains(c, F.lit("&#")), _numeric(c, "&#([0-9]{1,6});", 10)).otherwise(c)
+    return F.when(F.contains(c, F.lit("&#x")), _numeric(c, "&#x([0-9a-fA-F]{1,5});", 16)).otherwise(c)
 
 
 def strip_tags(c: Column, to: str = "") -> Column:
@@ -166,14 +175,8 @@ def headline_deal(c: Column) -> Column:
 def headline_company(c: Column) -> Column:
     """Whom a headline is about: four forms, else its first three words."""
     t = F.replace(F.replace(F.replace(c, F.lit("&amp;"), F.lit("&")), F.lit("&#039;"), F.lit("'")), F.lit("&quot;"), F.lit('"'))
-    forms = (
-        r"(?i)^[A-Za-z\s]+-Partnered\s+(.+?)\s+(?:Raises|Nabs|Secures|Closes|Files|Completes|Nets|Snags|Debuts)\b",
-        r"(?i)^(?:China|US|UK|EU|Japan|Korea|Israel|Germany|France)'s\s+(.+?)\s+(?:Raises|Nabs|Secures|Closes|Files|Joins|Signs|Nets)\b",
-        r"^[A-Za-z\s]+(?:Fronts|Pays|Invests|Bets)[^f]+\s+for\s+([A-Z][A-Za-z]+(?:\s[A-Z][a-z]+)*)'s",
-        r"(?i)^(.+?)\s+\b(?:Raises|Raised|Bets|Fronts|Nabs|Joins|Signs|Teams|Enters|Announces|Files|Completes|Closes|Acquires|Agrees|Inks|Secures|Lands|Wins|Dives|Keeps|Establishes|Pumps|Launches|Nets|Snags|Debuts|Goes|Steps|Forms|Jumps)\b",
-    )
     # an array of one text: it has a name and is made once
-    found = lambda x: F.filter(F.transform(F.array(*[F.regexp_extract(x, p, 1) for p in forms]), strip), lambda n: n != "")
+    found = lambda x: F.filter(F.transform(F.array(*[F.regexp_extract(x, p, 1) for p in R.HEADLINE_FORMS]), strip), lambda n: n != "")
     return nth(F.transform(F.array(t), lambda x: F.coalesce(nth(found(x), 1), F.array_join(F.slice(F.split(x, r"\s+"), 1, 3), " "))), 1)
 
 
@@ -389,8 +392,7 @@ def item_summary(html: Column) -> Column:
     first = F.substring(nth(F.filter(ps, substantive), 1), 1, 5000)
     section = nth(F.split(after, r"(?i)Item[\s\x{a0}&#;0-9]*[0-9]+\.[0-9]+", 2), 1)
     plain = squeeze(decode_entities(strip_tags(section)))
-    told = r"\b(on|the|we|our|company|pursuant|entered|agreement|acquired|merger|offering)\b"
-    sentence = nth(F.filter(F.split(plain, r"(?<=\.)\s+"), lambda s: (F.length(strip(s)) >= 40) & has(s, told)), 1)
+    sentence = nth(F.filter(F.split(plain, r"(?<=\.)\s+"), lambda s: (F.length(strip(s)) >= 40) & has(s, R.TELLING_WORDS)), 1)
     rest = strip(F.substring(F.substr(plain, F.position(sentence, plain)), 1, 5000))
     return F.coalesce(first, F.when(sentence.isNotNull(), rest))
 
@@ -426,9 +428,9 @@ def display_case(c: Column) -> Column:
     """A name without the places after its legal suffix, words capitalised; short
     words in capitals that are no legal suffix stay."""
     n = strip(F.coalesce(c, F.lit("")))
-    n = strip(F.regexp_replace(n, r"(?i)\b(Inc\.?|Corp\.?|LLC|Ltd\.?|L\.L\.C\.?|PLC|GmbH|AG|NV|BV|SA|Pty),\s+.+\z", "$1"))
+    n = strip(F.regexp_replace(n, R.PLACE_AFTER_SUFFIX, "$1"))
     n = F.regexp_replace(n, r",\s*\z", "")
-    keep = lambda w: (F.length(w) <= 3) & (w == F.upper(w)) & ~F.upper(w).isin("INC", "CORP", "LTD", "LLC", "LLP", "LP", "PLC")
+    keep = lambda w: (F.length(w) <= 3) & (w == F.upper(w)) & ~F.upper(w).isin(*R.CASED_SUFFIXES)
     words_, gaps = F.regexp_extract_all(n, F.lit("[A-Za-z]+"), F.lit(0)), F.split(n, "[A-Za-z]+", -1)
     cased = F.transform(words_, lambda w: F.when(keep(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
     return F.array_join(F.zip_with(gaps, cased, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
@@ -438,7 +440,10 @@ def post_deal(html: Column) -> Column:
     """Kind of deal of a posts page: ipo, acquisition, merger, partnership, in this
     order."""
     t = F.lower(html)
-    return F.when(t.rlike(r"\bipo\b|initial public offering"), "ipo").when(t.rlike(r"acqui(re|sition)"), "acquisition").when(t.rlike(r"merg(e|er|ing)\b"), "merger").when(t.rlike(r"partner(ship)?|collaborat|licens"), "partnership")
+    out = F.when(F.lit(False), None)
+    for name, pattern in R.POST_DEALS:
+        out = out.when(t.rlike(pattern), name)
+    return out
 
 
 def lead_specialty(title: Column, specialty: Column) -> Column:

@@ -199,3 +199,12 @@ def a4(spark, sf):
 def a5(spark, sf):
     g = read(spark, sf, "orders").selectExpr("o_orderkey AS appl_id", "CAST(o_orderdate AS DATE) AS award_notice_date", "CAST(o_orderdate AS DATE) AS date_added", "CASE o_orderkey % 4 WHEN 0 THEN 'R43' WHEN 1 THEN 'R44' ELSE 'R01' END AS activity_code", "year(o_orderdate) AS fiscal_year", "CASE WHEN o_orderkey % 3 = 0 THEN 'SCHOOLS' ELSE 'SMALL BUSINESS' END AS org_type")
     return readers.recent_grants(g, "1998-08-01", 180, ("R43", "R44"), years=(1997, 1998), org_type="SMALL BUSINESS").select(c("appl_id").alias("id"))
+
+
+_TEXT = "'a&amp;b &#39;q&#39; &#039;r&#039; x&hellip; s&shy;t u&#173;v &#8217;w&#8217; &#x41;&#66; n' || page_id"
+
+
+@query("I16_entities", """SELECT page_id, 'a&b ''q'' ''r'' x&hellip; s&shy;t u' || chr(173) || 'v ''w'' AB n' || page_id AS filing, 'a&b ''q'' ''r'' x… s&shy;t u' || chr(173) || 'v ’w’ AB n' || page_id AS promo,
+'a&b ''q'' ''r'' x… s&shy;t u' || chr(173) || 'v ’w’ AB n' || page_id AS heading, 'a&b ''q'' ''r'' x… st uv ’w’ AB n' || page_id AS relative FROM pages""")
+def i16(spark, sf):
+    return read(spark, sf, "pages").select("page_id", *[T.decode_entities(F.expr(_TEXT), k).alias(k) for k in ("filing", "promo", "heading", "relative")])

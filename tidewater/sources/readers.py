@@ -105,12 +105,12 @@ def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str
     a link comes before its text, and links within the site get its origin."""
     head, end, must, date, relative = CARDS[layout]
     parts = pages.select(F.posexplode(F.split(F.concat(F.lit(" "), c(html)), head)).alias("at", "part")).filter("at > 0")
-    clean = lambda x: T.squeeze(T.decode_entities(T.strip_tags(x)))
+    clean = lambda x: T.squeeze(T.decode_entities(T.strip_tags(x), layout))
     tag = rf"(?is)^(?:(?!{end}).)*?<a\s+{must}([^>]*)>(.*?)</a>"
     attrs = F.regexp_extract("part", tag, 1)
     href = F.trim(F.regexp_extract(attrs, r'(?i)href="([^"]+)"', 1))
     named = F.regexp_extract(attrs, r'(?i)\btitle="([^"]+)"', 1) if relative else F.lit("")
-    title = F.coalesce(F.nullif(F.trim(T.decode_entities(named)), F.lit("")), clean(F.regexp_extract("part", tag, 2)))
+    title = F.coalesce(F.nullif(F.trim(T.decode_entities(named, layout)), F.lit("")), clean(F.regexp_extract("part", tag, 2)))
     raw = clean(F.regexp_extract("part", date, 1))
     day = D.relative_date(raw, F.lit(as_of).cast("date")) if relative else D.named_date(raw)
     cards = parts.select("at", title.alias("title"), F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(origin), href)).otherwise(href).alias("article_url"), day.alias("article_date"))
