@@ -170,3 +170,40 @@ def patch_signals(signals: DataFrame, patches: DataFrame) -> DataFrame:
     old = F.map_filter(F.coalesce("detail", F.expr("CAST(map() AS map<string, string>)")), lambda k, _: ~F.array_contains(F.map_keys(new), k))
     detail = F.when(F.size(new) > 0, F.map_concat(old, new)).otherwise(c("detail"))
     return both.select(*[{"status": F.coalesce("p_status", "status"), "claimed_by": F.coalesce("p_claimed_by", "claimed_by"), "detail": detail}.get(x, c(x)).alias(x) for x in signals.columns])
+
+
+def contacts_summary(people: DataFrame) -> DataFrame:
+    """(total, last_enrichment_date, company_changes, role_changes) of a list of
+    people."""
+    other = lambda x: normal(c(f"original_{x}")) != normal(c(f"current_{x}"))
+    return people.agg(F.count(F.lit(1)).alias("total"), F.max("last_enrichment_date").alias("last_enrichment_date"), F.count_if(other("company")).alias("company_changes"), F.count_if(other("title")).alias("role_changes"))
+
+
+def assign_news(articles: DataFrame, assignments: DataFrame) -> DataFrame:
+    """articles (article_url, matched_names) with the names of assignments
+    (article_url, company_names), one for each url at most: trimmed, without blank
+    ones, null if none is left."""
+    names = F.filter(F.transform("company_names", lambda n: F.trim(F.coalesce(n, F.lit("")))), lambda n: n != "")
+    new = assignments.select("article_url", F.when(F.size(names) > 0, names).alias("__names"), F.lit(True).alias("__new"))
+    out = articles.join(new, "article_url", "left")
+    return out.select(*[(F.when(c("__new"), c("__names")).otherwise(c(x)) if x == "matched_names" else c(x)).alias(x) for x in articles.columns])
+
+
+def upsert_alternates(alternates: DataFrame, entries: DataFrame) -> DataFrame:
+    """alternates (alternate_name, directory_name, matched_via) with entries
+    (alternate_name, directory_name) from the news page, by alternate name, trimmed;
+    entries without either name are passed over, of several the least counts."""
+    new = entries.select(F.trim("alternate_name").alias("alternate_name"), F.trim("directory_name").alias("directory_name")).filter("alternate_name <> '' AND directory_name <> ''")
+    new = new.groupBy("alternate_name").agg(F.min("directory_name").alias("directory_name")).withColumn("matched_via", F.lit("news_page_entry"))
+    return alternates.join(new.select("alternate_name"), "alternate_name", "left_anti").select("alternate_name", "directory_name", "matched_via").unionByName(new)
+
+
+def submission_checks(urls: DataFrame, directory: DataFrame) -> DataFrame:
+    """urls (url) with outcome: invalid_url, already_exists (and the company, of
+    several the least name) or accepted; urls are compared in lower case and without
+    slashes at the end."""
+    plain = F.regexp_replace(F.lower(F.trim("url")), r"/+\z", "")
+    valid = F.trim("url").rlike(R.COMPANY_PAGE)
+    known = directory.select(F.regexp_replace(F.lower(F.trim("linkedin_url")), r"/+\z", "").alias("k"), "name").groupBy("k").agg(F.min("name").alias("company_name"))
+    out = urls.withColumn("k", F.when(valid, plain)).join(known, "k", "left")
+    return out.select("url", F.when(~F.coalesce(valid, F.lit(False)), "invalid_url").when(c("company_name").isNotNull(), "already_exists").otherwise("accepted").alias("outcome"), "company_name")

@@ -208,3 +208,29 @@ _TEXT = "'a&amp;b &#39;q&#39; &#039;r&#039; x&hellip; s&shy;t u&#173;v &#8217;w&
 'a&b ''q'' ''r'' x… s&shy;t u' || chr(173) || 'v ’w’ AB n' || page_id AS heading, 'a&b ''q'' ''r'' x… st uv ’w’ AB n' || page_id AS relative FROM pages""")
 def i16(spark, sf):
     return read(spark, sf, "pages").select("page_id", *[T.decode_entities(F.expr(_TEXT), k).alias(k) for k in ("filing", "promo", "heading", "relative")])
+
+
+@query("A14_trade_deals", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '$45M' WHEN 1 THEN '$2B' END AS deal_value, CASE page_id % 3 WHEN 0 THEN 'Omega Bio' WHEN 1 THEN '' END AS counterparty, CASE page_id % 3 WHEN 0 THEN 'Acme acquires Omega Bio for $45 million & more' WHEN 1 THEN 'A licensing pact' END AS deal_summary,
+CASE page_id % 3 WHEN 0 THEN 'https://t.example/a' || page_id WHEN 1 THEN 'https://o.example/b' END AS source_url FROM pages""")
+def a14b(spark, sf):
+    """The first card that fits: others tell of no deal or are too old."""
+    no, old = '<article><h2>Weekly digest</h2><a href="/w">x</a></article>', '<article><h3>Old merger</h3><a href="/o">x</a>2023-01-01</article>'
+    one = "'<article><h3>Acme acquires Omega Bio for $45 million &amp; more</h3><a href=\"/a' || page_id || '\">x</a>January 5, 2024</article>'"
+    two = "'<article><span class=\"c title\">A licensing pact</span><a href=\"https://o.example/b\">x</a><p class=\"summary\">It is worth two or $2 billion at most</p></article>'"
+    html = F.expr(f"'{no}{old}' || CASE page_id % 3 WHEN 0 THEN {one} WHEN 1 THEN {two} ELSE '' END")
+    return read(spark, sf, "pages").select("page_id", readers.trade_deal(html, "dive", "https://t.example", F.lit("2024-01-01").cast("date")).alias("d")).select("page_id", "d.*")
+
+
+@query("A14_investor_deals", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '$7M' WHEN 1 THEN '$3B' END AS deal_value, CASE page_id % 3 WHEN 0 THEN 'Beta Labs' WHEN 1 THEN '' END AS counterparty, CASE page_id % 3 WHEN 0 THEN 'We have acquired Beta Labs, a firm' WHEN 1 THEN '' END AS deal_summary,
+CASE page_id % 3 WHEN 0 THEN 'https://www.a.example/news' WHEN 1 THEN 'https://ir.a.example/' END AS source_url FROM pages""")
+def a14c(spark, sf):
+    html = F.concat(F.expr("CASE page_id % 3 WHEN 0 THEN '<a href=\"/x\">Our careers page is here</a><a href=\"news\">We have acquired Beta Labs, a firm</a> for $7 million' WHEN 1 THEN 'A transaction of $3 billion <a href=\"/y\">Something else at all</a>' ELSE 'nothing $1 million ' END"), F.repeat(F.lit("<p>filler</p>"), 60))
+    return read(spark, sf, "pages").select("page_id", readers.investor_deal(html, "a.example", F.lit("https://ir.a.example/")).alias("d")).select("page_id", "d.*")
+
+
+@query("A14_search_deals", """SELECT page_id, '$9M' AS deal_value, '' AS counterparty, CASE WHEN page_id % 2 = 0 THEN 'Big Acme News of the day' ELSE 'Some other article' END AS deal_summary, CASE WHEN page_id % 2 = 0 THEN 'https://n.example/2' ELSE 'https://n.example/1' END AS source_url FROM pages""")
+def a14d(spark, sf):
+    html = F.lit('<a aria-label="Some other article" href="/1">x</a><a aria-label="Big Acme News of the day" href="/2">x</a>')
+    company = F.expr("CASE WHEN page_id % 2 = 0 THEN 'ACME NEWS CORP' ELSE 'Nobody' END")
+    choice = readers.search_choice(html, company, "https://n.example", "n.example")
+    return read(spark, sf, "pages").select("page_id", readers.search_deal(choice, F.lit("<p>It paid</p> <b>$9</b>M <b>$9 million</b>")).alias("d")).select("page_id", "d.*")

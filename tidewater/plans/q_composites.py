@@ -139,3 +139,35 @@ def l9c(spark, sf):
     )
     pairs = F.transform(F.array_sort(F.map_entries("detail")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return feeds.patch_signals(s, p).select("id", "status", "claimed_by", F.array_join(pairs, ",").alias("detail"))
+
+
+@query("L10_contacts_summary", cte("buyers") + """SELECT count(*) AS total, max(DATE '2024-01-01' + (id % 28)::INT) AS last_enrichment_date, count(*) FILTER (lower(trim(coalesce(original_company, ''))) <> lower(trim(coalesce(current_company, '')))) AS company_changes,
+count(*) FILTER (lower(trim(coalesce(original_title, ''))) <> lower(trim(coalesce(current_title, '')))) AS role_changes FROM buyers""")
+def l10(spark, sf):
+    return feeds.contacts_summary(view(spark, sf, "buyers").withColumn("last_enrichment_date", F.expr("date_add(DATE '2024-01-01', CAST(id % 28 AS INT))")))
+
+
+@query("L11_submission_check", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'invalid_url' WHEN 1 THEN 'already_exists' ELSE 'accepted' END AS outcome, CASE WHEN p_partkey % 4 = 1 THEN 'Firm ' || p_partkey END AS company_name FROM part""")
+def l11b(spark, sf):
+    """Bad addresses, known ones in another case with slashes, longer and new ones."""
+    url = "CASE p_partkey % 4 WHEN 0 THEN 'https://www.linkedin.com/in/' || p_partkey WHEN 1 THEN ' HTTPS://www.linkedin.com/company/Firm' || p_partkey || '/ ' WHEN 2 THEN 'https://www.linkedin.com/company/firm' || (p_partkey - 1) || 'x' ELSE 'https://www.linkedin.com/company/new' || p_partkey END"
+    parts = view(spark, sf, "trials").sparkSession.read.parquet(f"{sf}/part.parquet")
+    known = parts.filter("p_partkey % 4 = 1").selectExpr("'https://www.linkedin.com/company/firm' || p_partkey || '//' AS linkedin_url", "'Firm ' || p_partkey AS name")
+    urls = parts.selectExpr("p_partkey AS id", f"{url} AS url")
+    return urls.join(feeds.submission_checks(urls, known), "url").select("id", "outcome", "company_name")
+
+
+@query("L12_news_names", cte("news_a") + "SELECT id, CASE id % 4 WHEN 0 THEN 'A|B' WHEN 1 THEN NULL ELSE names END AS names FROM news_a")
+def l12(spark, sf):
+    n = _tables(spark, sf, "news_a")["news_a"].select(c("id").alias("article_url"), "matched_names")
+    new = n.filter("article_url % 4 < 2").select("article_url", F.when(c("article_url") % 4 == 0, F.expr("array(' A', '', NULL, 'B ')")).otherwise(F.expr("array(' ')")).alias("company_names"))
+    return feeds.assign_news(n, new).select(c("article_url").alias("id"), F.array_join("matched_names", "|").alias("names"))
+
+
+@query("L12_alternate_upsert", """SELECT 'alt ' || s_suppkey AS alternate_name, CASE WHEN s_suppkey % 3 = 0 THEN 'New ' || s_suppkey ELSE 'Old ' || s_suppkey END AS directory_name, CASE WHEN s_suppkey % 3 = 0 THEN 'news_page_entry' ELSE 'exact_name' END AS matched_via FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0""")
+def l12b(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    old = s.filter("s_suppkey % 2 = 0").selectExpr("'alt ' || s_suppkey AS alternate_name", "'Old ' || s_suppkey AS directory_name", "'exact_name' AS matched_via")
+    new = s.filter("s_suppkey % 3 <> 2").selectExpr("CASE WHEN s_suppkey % 3 = 0 THEN ' alt ' || s_suppkey || ' ' ELSE '  ' END AS alternate_name", "'New ' || s_suppkey AS directory_name")
+    twice = new.unionByName(new.withColumn("directory_name", F.concat("directory_name", F.lit(" later"))))
+    return feeds.upsert_alternates(old, twice)

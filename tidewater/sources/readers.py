@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import dates as D
+from tidewater.functions import rules as R
 from tidewater.functions import text as T
 from tidewater.functions.scores import phase
 from tidewater.sources import schemas
@@ -195,6 +196,63 @@ def article_links(html, origin: str, site: str):
     return F.when(F.size(labelled) > 0, once(labelled)).otherwise(once(fallback))
 
 
+def _deal(value, party, summary, url):
+    return F.struct(value.alias("deal_value"), F.trim(party).alias("counterparty"), summary.alias("deal_summary"), url.alias("source_url"))
+
+
+def _absolute(href, origin: str):
+    return F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(origin), href))
+
+
+def trade_deal(html, site: str, origin: str, since):
+    """The first card of a search page that tells of a deal and is not dated before
+    `since`: (deal_value, counterparty, deal_summary, source_url), or null."""
+    words, cards, classes = R.TRADE_SITES[site]
+    first = lambda x, *ps: F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in ps], F.lit(""))
+    title = lambda x: F.replace(F.trim(first(x, r"<h[23][^>]*>([^<]+)</h[23]>", r'class="[^"]*title[^"]*"[^>]*>([^<]+)<')), F.lit("&amp;"), F.lit("&"))
+
+    def fits(x):
+        dated = F.coalesce(D.iso_date(F.regexp_extract(x, r"(\d{4}-\d{2}-\d{2})", 1)), D.named_date(x))
+        return T.has(title(x), words) & F.coalesce(dated >= since, F.lit(True))
+
+    def deal(x):
+        t = title(x)
+        snippet = F.coalesce(F.nullif(F.trim(F.regexp_extract(x, rf'class="[^"]*(?:{classes})[^"]*"[^>]*>([^<]{{20,300}})', 1)), F.lit("")), t)
+        return _deal(F.coalesce(T.amount(t), T.amount(snippet)), F.regexp_extract(t, R.TRADE_PARTY, 1), t, _absolute(F.regexp_extract(x, 'href="([^"]+)"', 1), origin))
+
+    return T.nth(F.transform(F.filter(F.regexp_extract_all(html, F.lit(cards), F.lit(1)), fits), deal), 1)
+
+
+def investor_deal(html, domain: str, url):
+    """Of an investors' page the first link that tells of a deal, else a sum that the
+    page names; null for a short page, or one without words of a deal."""
+    text = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " ")
+    pattern = r'(?i)<a[^>]+href="([^"]+)"[^>]*>([^<]{15,200})</a>'
+    every = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
+    links = F.zip_with(every(1), every(2), lambda h, t: F.struct(h.alias("h"), F.trim(F.replace(t, F.lit("&amp;"), F.lit("&"))).alias("t")))
+    full = lambda h: F.when(F.startswith(h, F.lit("http")), h).otherwise(F.concat(F.lit(f"https://www.{domain}"), F.when(F.startswith(h, F.lit("/")), "").otherwise("/"), h))
+    deal = lambda x: _deal(F.coalesce(T.amount(x["t"]), T.amount(F.substring(text, 1, 2000))), F.regexp_extract(x["t"], R.INVESTOR_PARTY, 1), F.substring(x["t"], 1, 200), full(x["h"]))
+    found = T.nth(F.transform(F.filter(links, lambda x: T.has(x["t"], R.INVESTOR_DEAL)), deal), 1)
+    value = T.amount(F.substring(text, 1, 3000))
+    rest = F.when(value.isNotNull(), _deal(value, F.lit(""), F.lit(""), url))
+    return F.when((F.length(html) >= 500) & T.has(text, R.INVESTOR_DEAL), F.coalesce(found, rest))
+
+
+def search_choice(html, company, origin: str, site: str):
+    """The article of a search page to be read: the first whose title has the first
+    eight letters of the company, else the first."""
+    links = article_links(html, origin, site)
+    own = F.filter(links, lambda x: F.contains(F.lower(x["title"]), F.substring(F.lower(company), 1, 8)))
+    return F.coalesce(T.nth(own, 1), T.nth(links, 1))
+
+
+def search_deal(choice, page):
+    """What an article (title, url) that was chosen tells: its page's sum, if the
+    page was read."""
+    text = F.substring(F.regexp_replace(F.regexp_replace(page, "<[^>]+>", " "), r"\s+", " "), 1, 3000)
+    return F.when(choice.isNotNull(), _deal(T.amount(text), F.lit(""), choice["title"], choice["url"]))
+
+
 def directory_csv(spark: SparkSession, path: str) -> DataFrame:
     """Companies of CSV files with a header: blanks are null, the first of each
     (name, plain url) stays."""

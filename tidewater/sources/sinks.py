@@ -61,6 +61,14 @@ def recover(spark: SparkSession, path: str) -> None:
     fs.delete(aside, True)
 
 
+def refresh(rollup: DataFrame, path: str) -> DataFrame:
+    """Stores a rollup anew, whole, and reads it back: readers see the old one or
+    the new one."""
+    recover(rollup.sparkSession, path)
+    replace(rollup, path)
+    return rollup.sparkSession.read.schema(rollup.schema).parquet(path)
+
+
 def log_run(spark: SparkSession, path: str, agent: str, started: str, completed: str, status: str, found: int, detail: str = "{}") -> None:
     row = spark.range(1).select(F.lit(agent).alias("agent_name"), F.lit(status).alias("status"), F.lit(started).cast("timestamp").alias("started_at"), F.lit(completed).cast("timestamp").alias("completed_at"), F.lit(found).alias("signals_found"), F.lit(detail).alias("run_detail"))
     row.write.mode("append").parquet(path)
