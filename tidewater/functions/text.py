@@ -181,21 +181,27 @@ def headline_company(c: Column) -> Column:
 
 
 def transaction_kind(c: Column, rules: tuple = R.TRANSACTIONS) -> Column:
-    """The kind whose rules weigh most; of equals the first; acquisition if none."""
+    """The kind whose rules weigh most; of equals the first; acquisition if none.
+    The text is put in lower case once, so that the patterns need not tell cases."""
     compound = has(c, R.COMPOUND, case=True)
-    totals = []
-    for _, each in rules:
-        total = F.lit(0)
-        for weight, patterns, needs in each:
-            ok = F.lit(True) if needs is None else (compound if needs else ~compound)
-            for p in patterns:
-                ok = ok & has(c, p)
-            total = total + F.when(ok, weight).otherwise(0)
-        totals.append(total)
     names = F.array(*[F.lit(n) for n, _ in rules])
-    # an array of one array: the totals have a name and are made once
-    pick = lambda t: F.when(F.array_max(t) == 0, "acquisition").otherwise(F.get(names, (F.array_position(t, F.array_max(t)) - 1).cast("int")))
-    return F.when(F.coalesce(c, F.lit("")) == "", "acquisition").otherwise(nth(F.transform(F.array(F.array(*totals)), pick), 1))
+
+    def pick(t, named):
+        totals = []
+        for _, each in rules:
+            total = F.lit(0)
+            for weight, patterns, needs in each:
+                ok = F.lit(True) if needs is None else (named if needs else ~named)
+                for p in patterns:
+                    ok = ok & t.rlike(p.replace("[A-Z]", "[a-z]"))
+                total = total + F.when(ok, weight).otherwise(0)
+            totals.append(total)
+        best = lambda x: F.when(F.array_max(x) == 0, "acquisition").otherwise(F.get(names, (F.array_position(x, F.array_max(x)) - 1).cast("int")))
+        return nth(F.transform(F.array(F.array(*totals)), best), 1)
+
+    # an array of one: what is in it has a name and is made once
+    kind = F.transform(F.array(F.struct(F.lower(c).alias("t"), compound.alias("named"))), lambda x: pick(x["t"], x["named"]))
+    return F.when(F.coalesce(c, F.lit("")) == "", "acquisition").otherwise(nth(kind, 1))
 
 
 def agreement_kind(c: Column) -> Column:

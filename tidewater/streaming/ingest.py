@@ -45,14 +45,14 @@ def ingest_jobs(spark: SparkSession, folder: str, table: str, directory: str, ch
 def ingest_contacts(spark: SparkSession, folder: str, table: str, checkpoint: str, as_of: str) -> StreamingQuery:
     """Contact updates into a snapshot. A batch with several updates of a contact
     applies them one after another, in order of arrival, in one pass. A batch that
-    comes again after a crash changes nothing more: by its updates' second turn the
-    contact is as they say."""
+    comes again after a crash is passed over: its number is kept with the table."""
     updates = records(spark, folder, schemas.CONTACT_UPDATES).filter("linkedin_url <> ''")
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
         sinks.recover(s, table)
-        sinks.replace(update_contacts_in_turn(s.read.parquet(table), batch, as_of), table)
+        if sinks.last_batch(s, table) < number:
+            sinks.replace(update_contacts_in_turn(s.read.parquet(table), batch, as_of), table, number)
 
     return _run(updates, each, checkpoint)
 
