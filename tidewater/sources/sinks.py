@@ -36,22 +36,29 @@ def append_new(df: DataFrame, path: str, keys: list[str], order: list) -> int:
     return n
 
 
-def last_batch(spark: SparkSession, path: str) -> int:
-    """The number of the last batch that replace() has put into a table, -1 if none."""
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a streaming query with its checkpoint."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def last_batch(spark: SparkSession, path: str, query: str) -> int:
+    """The number of a query's last batch that replace() has put into a table, -1 if
+    none."""
     p = _path(spark, path)
-    fs = _fs(spark, p)
+    fs, begin = _fs(spark, p), f"_batch-{query}-"
     names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-    return max((int(n.removeprefix("_batch-")) for n in names if n.startswith("_batch-")), default=-1)
+    return max((int(n.removeprefix(begin)) for n in names if n.startswith(begin)), default=-1)
 
 
-def replace(df: DataFrame, path: str, batch: int | None = None) -> None:
-    """Replaces a table, also one that df reads; `batch` is kept with the new rows. The new rows are written beside it
+def replace(df: DataFrame, path: str, batch: str = "") -> None:
+    """Replaces a table, also one that df reads; `batch`, a query's id
+    and number, is kept with the new rows. The new rows are written beside it
     first; the old table is set aside, not deleted, until the new one stands in its
     place, and recover() finishes what a crash has left."""
     new, old, aside = (_path(df.sparkSession, path + x) for x in (".new", "", ".old"))
     df.write.mode("overwrite").parquet(path + ".new")
     fs = _fs(df.sparkSession, old)
-    if batch is not None:
+    if batch:
         fs.create(_path(df.sparkSession, f"{path}.new/_batch-{batch}")).close()
     fs.delete(aside, True)
     if fs.exists(old):

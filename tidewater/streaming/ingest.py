@@ -51,8 +51,9 @@ def ingest_contacts(spark: SparkSession, folder: str, table: str, checkpoint: st
     def each(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
         sinks.recover(s, table)
-        if sinks.last_batch(s, table) < number:
-            sinks.replace(update_contacts_in_turn(s.read.parquet(table), batch, as_of), table, number)
+        query = sinks.query_id(s, checkpoint)
+        if sinks.last_batch(s, table, query) < number:
+            sinks.replace(update_contacts_in_turn(s.read.parquet(table), batch, as_of), table, f"{query}-{number}")
 
     return _run(updates, each, checkpoint)
 
