@@ -117,6 +117,21 @@ def discard(df: DataFrame) -> None:
             return
 
 
+def mark() -> int:
+    """Where the tables stand that are stored from now on; see discard_since."""
+    return len(_written)
+
+
+def discard_since(place: int, *kept: DataFrame) -> None:
+    """Deletes the tables stored since mark(), but those kept: what was made of the
+    others is stored by now."""
+    stay = {df._stored_at for df in kept}
+    for spark, path in _written[place:]:
+        if path not in stay:
+            _delete(spark, path)
+    _written[place:] = [x for x in _written[place:] if x[1] in stay]
+
+
 def release() -> None:
     """Deletes the intermediate tables written so far. Call it once their
     readers' results are written."""

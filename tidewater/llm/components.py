@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored
+from tidewater.llm.common import discard, stored
+
+#: Rows of a task where a table has fewer than Spark's partitions would take.
+ROWS = 50_000
+
+
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by its keys to as few tasks as its rows need; a table that is large
+    enough is left to Spark, which splits a hot key."""
+    n = rows // ROWS + 1
+    return df.repartition(n, *keys) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,19 +25,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     becomes a star after about log n rounds. No node's neighbours are gathered:
     a step is a minimum by node and a join."""
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    n = e.count()
     while True:
         # large star: neighbours greater than u go to the least of u's neighbours and u
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _dealt(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n, "u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: neighbours not greater than u, and u, go to the least of them
-        large = stored(large.filter("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        large = stored(_dealt(large, n, "u", "v").distinct(), "large")
+        mine = _dealt(large, n, "u")
+        low = mine.groupBy("u").agg(F.min("v").alias("m"))
+        small = mine.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v")))
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        after = stored(_dealt(small, n, "u", "v").distinct(), "edges")
+        discard(large)
+        discard(e)
         # a star forest: each greater node has one edge, and no least node is a greater one
         n, greater = after.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if n == greater and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = after
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of the links that gave roots and of more links (a, b): nodes go to
+    their root first, so that few steps are left."""
+    stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.union(links.select("a", "b")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bit_table, discard, in_table, packed, small, stored, table, unpacked
-from tidewater.llm.components import components
+from tidewater.llm.components import components, joined
 from tidewater.llm.shingles import mixed, shingles
 from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal, folded
 
@@ -307,7 +307,7 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     found = stored(_verify(more, sets, p, q), "links")
     if not found.isEmpty():
         tried, links = tried.union(more), links.union(found)
-        roots = components(links)
+        roots = joined(roots, found)
         discard(open_)
         open_ = _open(members, roots)
         if open_.isEmpty():
@@ -320,9 +320,11 @@ def link(docs: DataFrame, words: int, similar: tuple[int, int], doc_id: str, tex
     both = both.repartition("key", "left_block", "block").sortWithinPartitions("key", "left_block", "block")
     more = stored(both.mapInArrow(_crossing(p, q), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"), "more")
     found = stored(_verify(more, sets, p, q), "links")
+    discard(open_)
+    discard(more)
     if not found.isEmpty():
         links = links.union(found)
-        roots = components(links)
+        roots = joined(roots, found)
     return tokens, links, roots
 
 
