@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents table."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages over the documents table. Once a stage is stored, what it was made
+    of goes, the stage before included."""
+    docs, place = common.table(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        common.discard_since(place, docs)
     return docs
