@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import n_words, packed, table, unpacked, without
+from tidewater.llm.common import n_words, packed, stored, table, unpacked, without
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -90,7 +90,8 @@ def mix_sources(
     block = ["__key", "__class", "__salt"]
     inside = Window.partitionBy(*block).orderBy("size", F.col("__id").asc_nulls_first(), "__hash")
     ranked = sized.withColumn("__rank", F.row_number().over(inside))
-    blocks = sized.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words"))
+    # stored, as offsets and sources' sizes both come from it: texts are counted here and for the ranks only
+    blocks = stored(sized.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words")), "blocks")
     sizes = blocks.groupBy("__key").agg(F.sum("__words").alias("source_size")).withColumn("__null", (F.col("__key") == "n").cast("int"))
     before = Window.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
