@@ -234,3 +234,13 @@ def test_external_merge(spark):
         assert list(map(warc._key, got)) == list(map(warc._key, every)) and sorted(map(str, got)) == sorted(map(str, every))
     df = spark.createDataFrame([r for run in runs.values() for r in run], warc._ENTRY).coalesce(1)
     assert [warc._key(tuple(r)) for r in warc.merge_index(df).collect()] == list(map(warc._key, every))
+
+
+def test_join_small_in_both_ways(spark):
+    big = spark.range(200).select((F.col("id") % 3).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"), F.struct("id").alias("s"))
+    few = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
+    rows = lambda limit, how: sorted((r.k, r.m["a"], r.v or "") for r in common.join_small(big, few, ["k"], how, limit=limit).collect())
+    for how in ("left", "inner"):
+        assert rows(10, how) == rows(0, how) and len(rows(0, how)) == (200 if how == "left" else 134)
+    keys = big.select("k")
+    assert common.join_small(keys, few, ["k"], "left", limit=0).count() == 200

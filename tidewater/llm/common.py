@@ -173,5 +173,8 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if c not in on][:8]), F.lit(salts)).cast("int"))
+    # maps have no hash; a row's salt must be the same whenever it is made again
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    rest = [plain(f) for f in big.schema.fields if f.name not in on][:8]
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*rest) if rest else F.lit(0).cast("long"), F.lit(salts)).cast("int"))
     return dealt.join(salted, [*on, "__salt"], how).drop("__salt")
