@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, stored
 
-#: Rows of a task where a table has fewer than Spark's partitions would take.
-ROWS = 50_000
+#: Rows of a task, and the most such tasks, of a table with few rows.
+ROWS, TASKS = 50_000, 16
 
 
 def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df dealt by its keys to as few tasks as its rows need; a table that is large
     enough is left to Spark, which splits a hot key."""
     n = rows // ROWS + 1
-    return df.repartition(n, *keys) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(n, *keys) if n < min(TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
