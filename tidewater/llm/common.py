@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,27 @@ def small(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+def grouped(batches, key: list[str]):
+    """Runs of rows with equal key in batches that are sorted by it, as tables."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        if rest is not None:
+            t = pa.concat_tables([rest, t]).combine_chunks()
+        change = np.zeros(t.num_rows - 1, bool)
+        for c in key:
+            v = t.column(c).to_numpy(zero_copy_only=False) if pa.types.is_primitive(t.column(c).type) else np.array(t.column(c).to_pylist(), object)
+            change |= v[1:] != v[:-1]
+        at = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(at, at[1:]):
+            yield t.slice(a, b - a)
+        rest = t.slice(at[-1])
+    if rest is not None:
+        yield rest
+
+
 #: With it, Spark deletes a query's shuffle files when the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -29,17 +29,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: neighbours greater than u go to the least of u's neighbours and u
         both = _dealt(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n, "u")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are stored before the joins: where both sides are read by key, Spark splits a hot node
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: neighbours not greater than u, and u, go to the least of them
         large = stored(_dealt(large, n, "u", "v").distinct(), "large")
         mine = _dealt(large, n, "u")
-        low = mine.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(mine.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = mine.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         after = stored(_dealt(small, n, "u", "v").distinct(), "edges")
-        discard(large)
-        discard(e)
+        for used in (large, least, low, e):
+            discard(used)
         # a star forest: each greater node has one edge, and no least node is a greater one
         n, greater = after.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if n == greater and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bit_table, discard, in_table, packed, small, stored, table, unpacked
+from tidewater.llm.common import bit_table, discard, grouped, in_table, packed, small, stored, table, unpacked
 from tidewater.llm.components import components, joined
 from tidewater.llm.shingles import mixed, shingles
 from tidewater.llm.signature_tree import SignatureTree, bitmap, dual_traversal, folded
@@ -130,27 +130,6 @@ def _sets(k: int):
     return run
 
 
-def _grouped(batches, key: list[str]):
-    """Runs of rows with equal key in batches that are sorted by it, as tables."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        if rest is not None:
-            t = pa.concat_tables([rest, t]).combine_chunks()
-        change = np.zeros(t.num_rows - 1, bool)
-        for c in key:
-            v = t.column(c).to_numpy(zero_copy_only=False) if pa.types.is_primitive(t.column(c).type) else np.array(t.column(c).to_pylist(), object)
-            change |= v[1:] != v[:-1]
-        at = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for a, b in zip(at, at[1:]):
-            yield t.slice(a, b - a)
-        rest = t.slice(at[-1])
-    if rest is not None:
-        yield rest
-
-
 def _tree(t: pa.Table, width: int, groups: np.ndarray | None = None) -> SignatureTree:
     bits = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("bits")]
     bits = np.stack([folded(x, width) for x in bits])
@@ -167,7 +146,7 @@ def _connecting(p: int, q: int):
     that known components (roots) don't yet."""
 
     def run(batches):
-        for t in _grouped(batches, ["key", "block"]):
+        for t in grouped(batches, ["key", "block"]):
             tree = _tree(t, _width(t))
             roots = t.column("root").to_pylist()
             place = {r: i for i, r in reversed(list(enumerate(roots)))}
@@ -220,7 +199,7 @@ def _crossing(p: int, q: int):
     """Of each pair of blocks, all possible pairs between components."""
 
     def run(batches):
-        for t in _grouped(batches, ["key", "left_block", "block"]):
+        for t in grouped(batches, ["key", "left_block", "block"]):
             side = t.column("left").to_numpy(zero_copy_only=False)
             roots = t.column("root").to_pylist()
             number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
@@ -347,8 +326,9 @@ def ngram_join(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int]
 
 def _labelled(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     by_node = tokens.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("__least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = by_node.groupBy("root").agg(F.min("__least").alias("__component"))
-    label = by_node.join(by_root, "root").select("node", "__component")
+    # stored, so that both sides of the join are read by key: Spark splits the key of a large component
+    by_root = stored(by_node.groupBy("root").agg(F.min("__least").alias("__component")), "by-root")
+    label = stored(by_node.join(by_root, "root").select("node", "__component"), "labels")
     return tokens.join(label, "node", "left").select("doc_id", "row", "node", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("__component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

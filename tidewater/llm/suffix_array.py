@@ -25,10 +25,14 @@ def suffix_array(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     Sorted by eight bytes first; then, as the suffix h bytes on is ranked by h
     bytes already, each step sorts the groups that are not yet single by that rank
     and so doubles h. Groups that are single are never touched again."""
-    n = len(s)
+    return refined(_words(s), FIRST, depth)
+
+
+def refined(key: np.ndarray, h: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As suffix_array(), from keys that order the suffixes by their first h elements."""
+    n = len(key)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = _words(s)
     order = np.argsort(key)
     key = key[order]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -37,7 +41,6 @@ def suffix_array(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     # places in the order that are in groups of several
     size = np.diff(np.append(start, n))
     open_ = np.flatnonzero(np.repeat(size > 1, size))
-    h = FIRST
     while h < depth and len(open_):
         at = order[open_]
         after = at + h
