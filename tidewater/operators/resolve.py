@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import rules as R
 from tidewater.functions import text as T
 from tidewater.functions.scores import client_boost, parse_size
+from tidewater.operators.lookup import lookup, prefixes_in
 
 
 def best_by(directory: DataFrame, key: Column, alias: str, *more: str) -> DataFrame:
@@ -28,11 +29,11 @@ def match_company(names: DataFrame, directory: DataFrame, name: str = "company_n
     df = names.withColumn("__e", cleaned).withColumn("__k", T.word_key(cleaned))
     exact = best_by(directory, T.clean_name(F.col("name")), "__e")
     keyed = best_by(directory, T.word_key(T.clean_name(F.col("name"))), "__k")
-    df = df.join(exact, "__e", "left").join(keyed, "__k", "left")
+    df = lookup(lookup(df, exact, ["__e"]), keyed, ["__k"])
     layers = [("exact_name", "__e_name"), ("keyword", "__k_name")]
     if alternates is not None:
         alt = alternates.groupBy(F.lower(F.trim("alternate_name")).alias("__a")).agg(F.min("directory_name").alias("__a_name"))
-        df = df.withColumn("__a", F.lower(F.trim(F.col(name)))).join(alt, "__a", "left")
+        df = lookup(df.withColumn("__a", F.lower(F.trim(F.col(name)))), alt, ["__a"])
         layers.insert(0, ("alternate_name", "__a_name"))
     via = F.when(F.lit(False), None)
     for label, c in layers:
@@ -46,50 +47,76 @@ def match_sponsor(sponsors: DataFrame, directory: DataFrame) -> DataFrame:
     as no_match.
 
     Of a domain's largest companies, one with a word of three letters or more
-    inside the domain comes first. The prefix layer is an equality of first words
-    with a test of the rest."""
+    inside the domain comes first. All layers are lookups of equal keys: for the
+    prefixes, entries are filed under each prefix as long as some sponsor's words."""
     df = sponsors.withColumn("__d", T.email_domain(F.col("emails"))).withColumn("__e", T.clean_name(F.col("sponsor"), state=False))
     core = T.core_words(F.col("__e"))
     df = df.withColumn("__w", T.nth(core, 1)).withColumn("__n", F.size(core)).withColumn("__p", F.array_join(core, " "))
+    # a single short word must be the whole name
+    short = (F.col("__n") == 1) & (F.length("__w") <= 4)
+    df = df.withColumn("__p", F.when(~short, F.col("__p"))).withColumn("__x", F.when(short, F.col("__w"))).withColumn("__w", F.when(~short, F.col("__w")))
     d = directory.withColumn("__d", F.lower(F.trim("domain"))).withColumn("__e", T.clean_name(F.col("name"), state=False)).filter("__e <> ''")
     d = d.withColumn("__s", parse_size(F.col("size")))
     inside = F.exists(T.words(F.col("__e"), ()), lambda w: (F.length(w) >= 3) & F.contains(F.col("__d"), w))
     by_domain = d.filter("__d <> ''").groupBy("__d").agg(F.min(F.struct(-F.col("__s"), ~inside, "name")).alias("b")).select("__d", F.col("b.name").alias("__n1"))
     by_name = d.groupBy("__e").agg(F.min(F.struct(-F.col("__s"), "name")).alias("b")).select("__e", F.col("b.name").alias("__n2"))
-    entries = d.select(T.nth(T.words(F.col("__e"), R.SPONSOR_STOP_WORDS), 1).alias("__w"), F.col("__e").alias("__c"), "__s", "name").filter("__w IS NOT NULL")
-    # distinct by first word and cleaned name: the best of each, before the join
-    entries = entries.groupBy("__w", "__c").agg(F.min(F.struct(-F.col("__s"), "name")).alias("b"))
-    keys = df.select("__w", "__n", "__p").filter("__w IS NOT NULL").distinct()
-    short = (F.col("__n") == 1) & (F.length("__w") <= 4)
-    fits = F.when(short, F.col("__c") == F.col("__w")).otherwise(F.startswith(F.col("__c"), F.col("__w")))
-    hit = keys.join(entries, "__w").filter(fits)
+    entries = d.select(T.nth(T.words(F.col("__e"), R.SPONSOR_STOP_WORDS), 1).alias("__w"), F.col("__e").alias("__c"), "__s", "name").filter("__w IS NOT NULL AND startswith(__c, __w)")
+    best = F.min(F.struct(-F.col("__s"), "name")).alias("b")
+    whole = entries.filter("__c = __w").groupBy(F.col("__w").alias("__x")).agg(best).select("__x", F.col("b.name").alias("__n3"))
     # an entry that begins with both core words counts before one with the first only
-    both = F.when(short, True).otherwise(F.startswith(F.col("__c"), F.col("__p")))
-    by_prefix = hit.groupBy("__w", "__p").agg(F.min(F.struct(~both, "b")).alias("x")).select("__w", "__p", F.col("x.b.name").alias("__n3"))
-    out = df.join(by_domain, "__d", "left").join(by_name, "__e", "left").join(by_prefix, ["__w", "__p"], "left")
-    via = F.when(F.col("__n1").isNotNull(), "email_domain").when(F.col("__n2").isNotNull(), "exact_name").when(F.col("__n3").isNotNull(), "keyword").otherwise("no_match")
-    return out.select(*[sponsors[c] for c in sponsors.columns], F.coalesce("__n1", "__n2", "__n3", "sponsor").alias("matched_name"), via.alias("matched_via"))
+    filed = prefixes_in(entries, "__c", df.select("__w", "__p").filter("__p <> ''").distinct(), "__p", (F.col("__w"), F.col("__w")))
+    both = filed.groupBy("__w", F.col("__prefix").alias("__p")).agg(best).select("__w", "__p", F.col("b.name").alias("__n4"))
+    one = entries.groupBy("__w").agg(best).select("__w", F.col("b.name").alias("__n5"))
+    out = lookup(lookup(df, by_domain, ["__d"]), by_name, ["__e"])
+    out = lookup(lookup(lookup(out, whole, ["__x"]), both, ["__w", "__p"]), one, ["__w"])
+    word = F.coalesce("__n3", "__n4", "__n5")
+    via = F.when(F.col("__n1").isNotNull(), "email_domain").when(F.col("__n2").isNotNull(), "exact_name").when(word.isNotNull(), "keyword").otherwise("no_match")
+    return out.select(*[sponsors[c] for c in sponsors.columns], F.coalesce("__n1", "__n2", word, F.col("sponsor")).alias("matched_name"), via.alias("matched_via"))
+
+
+#: From a name's first letter or digit on; what stands before is tested when it is found.
+def _core(x: Column) -> Column:
+    return F.regexp_replace(x, "^[^a-z0-9]+", "")
+
+
+def title_spans(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """The span index: (__id, __t, __at, __core) for each stretch of a title (__t, its
+    words with their places in __words) that begins with a word, ends before something
+    else than a letter or digit, and is as long as a name (__w, __core) that begins with
+    that word. A word has as many stretches as there are such lengths, however many
+    names there are."""
+    sizes = names.groupBy("__w").agg(F.collect_set(F.length("__core")).alias("__sizes"))
+    found = lookup(titles.select("__id", "__t", F.explode("__words").alias("__o")).select("__id", "__t", F.col("__o.word").alias("__w"), F.col("__o.place").alias("__at")), sizes, ["__w"])
+    fits = F.filter("__sizes", lambda n: ~F.substr("__t", F.col("__at") + n, F.lit(1)).rlike("[a-z0-9]") & (F.col("__at") + n - 1 <= F.length("__t")))
+    return found.withColumn("__n", F.explode(fits)).select("__id", "__t", "__at", "__w", F.substr("__t", "__at", "__n").alias("__core"))
 
 
 def match_titles(titles: DataFrame, directory: DataFrame, alternates: DataFrame, key: str = "id", title: str = "title") -> DataFrame:
     """(key, matched_names): directory names that a title starts with, longest
     first, then those of alternate names anywhere in it, in order of the title's
-    words; null if none. Titles are exploded into words and joined on the first
-    word of a name, so that only few names are tested."""
+    words; null if none. Titles are exploded into stretches of words that are as long
+    as some name, which are joined to whole names: what comes out is matches, and names
+    whose first place in the title breaks a word."""
     t = titles.select(F.col(key).alias("__id"), F.lower(F.col(title)).alias("__t")).filter("__t <> ''")
+    # each run of letters and digits with its place
+    letter = lambda x: x.between("0", "9") | x.between("a", "z")
+    t = t.withColumn("__c", F.split("__t", ""))
+    begins = F.filter(F.sequence(F.lit(1), F.size("__c")), lambda i: letter(F.get("__c", i - 1)) & ~F.coalesce(letter(F.get("__c", i - 2)), F.lit(False)))
+    t = t.select("__id", "__t", F.zip_with(F.regexp_extract_all("__t", F.lit("[a-z0-9]+"), F.lit(0)), begins, lambda w, i: F.struct(w.alias("word"), i.alias("place"))).alias("__words"))
     names = directory.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
     one = names.withColumn("__x", F.lower(T.news_name(F.col("name")))).filter((F.length("__x") >= 3) & ~F.col("__x").isin(*R.GENERIC_TERMS))
-    one = one.withColumn("__w", T.first_word(F.col("__x"))).filter("__w <> ''")
-    starts = t.withColumn("__w", T.first_word(F.col("__t"))).join(one, "__w").filter(F.startswith("__t", "__x") & ~F.substr("__t", F.length("__x") + 1, F.lit(1)).rlike("[a-z0-9]"))
+    one = one.withColumn("__w", T.first_word(F.col("__x"))).filter("__w <> ''").withColumn("__core", _core(F.col("__x")))
+    starts = title_spans(t.withColumn("__words", F.slice("__words", 1, 1)), one).join(one, ["__w", "__core"]).filter(F.startswith("__t", "__x"))
     starts = starts.select("__id", F.lit(1).alias("layer"), F.lit(0).alias("at"), (-F.length("__x")).alias("long"), "name")
     two = alternates.select(F.lower(F.trim("alternate_name")).alias("__x"), F.trim("directory_name").alias("name")).filter((F.length("__x") >= 3) & (F.col("name") != "")).distinct()
-    two = two.withColumn("__w", T.first_word(F.col("__x"))).filter("__w <> ''")
-    worded = t.select("__id", "__t", F.posexplode(T.word_set(F.col("__t"))).alias("at", "__w"))
+    two = two.withColumn("__w", T.first_word(F.col("__x"))).filter("__w <> ''").withColumn("__core", _core(F.col("__x")))
     # only the first place is tested for word breaks
     place = F.expr("locate(__x, __t)")
     before, after = F.substr("__t", F.greatest(place - 1, F.lit(1)), F.lit(1)), F.substr("__t", place + F.length("__x"), F.lit(1))
-    anywhere = worded.join(two, "__w").filter((place > 0) & ~((place > 1) & before.rlike("[a-z0-9]")) & ~after.rlike("[a-z0-9]"))
-    anywhere = anywhere.select("__id", F.lit(2).alias("layer"), "at", (-F.length("__x")).alias("long"), "name")
+    anywhere = title_spans(t, two).join(two, ["__w", "__core"]).filter((place > 0) & ~((place > 1) & before.rlike("[a-z0-9]")) & ~after.rlike("[a-z0-9]"))
+    # once for each title and name, in order of the first places of the names' first words
+    at = F.regexp_instr("__t", F.concat(F.lit("(?<![a-z0-9])"), "__w", F.lit("(?![a-z0-9])")))
+    anywhere = anywhere.select("__id", F.lit(2).alias("layer"), at.alias("at"), (-F.length("__x")).alias("long"), "name")
     every = starts.union(anywhere)
     first = every.groupBy("__id", F.lower("name").alias("__l")).agg(F.min(F.struct("layer", "at", "long", "name")).alias("b"))
     found = first.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["name"]).alias("matched_names"))
@@ -161,19 +188,15 @@ def excluded(names: DataFrame, excluded_names: DataFrame, name: str = "name", ex
     """Distinct names of which an excluded one is a prefix, or the other way
     round, after suffixes are off; exempt names (past clients) are not.
 
-    As either is a prefix of the other, they share their first letters, up to the
-    shorter one's length: the join is on these, for each length that occurs up to
-    eight, with a test of the rest."""
+    Either name is filed under each of its prefixes that is as long as one on the other
+    side, and joined on equality: what comes out is matches only."""
     n = names.select(F.col(name).alias("name")).distinct().withColumn("a", T.exclusion_name(F.col("name"))).filter("a <> ''")
     if exempt is not None:
         n = n.join(exempt.select("name").distinct(), "name", "left_anti")
     e = excluded_names.select(T.exclusion_name(F.col("name")).alias("b")).filter("b <> ''").distinct()
-    parts = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(8))), lambda i: F.concat(i, F.lit(":"), F.substr(c, F.lit(1), i)))
-    # names of eight letters or more meet on eight, shorter ones on their own length
-    key = lambda c: F.when(F.length(c) >= 8, F.concat(F.lit("8:"), F.substring(c, 1, 8))).otherwise(F.concat(F.length(c), F.lit(":"), c))
-    x = n.withColumn("k", F.explode(parts(F.col("a")))).join(e.withColumn("k", key(F.col("b"))), "k").filter(F.startswith("a", "b"))
-    y = n.withColumn("k", key(F.col("a"))).join(e.withColumn("k", F.explode(parts(F.col("b")))), "k").filter(F.startswith("b", "a"))
-    return x.select("name").union(y.select("name")).distinct()
+    x = prefixes_in(n, "a", e, "b").join(e.withColumnRenamed("b", "__prefix"), "__prefix", "left_semi").select("name")
+    short = prefixes_in(e, "b", n, "a").select(F.col("__prefix").alias("a")).distinct()
+    return x.union(n.join(short, "a", "left_semi").select("name")).distinct()
 
 
 def dismissed(items: DataFrame, rules: DataFrame, key: str, signal_type: str) -> DataFrame:
@@ -185,6 +208,16 @@ def dismissed(items: DataFrame, rules: DataFrame, key: str, signal_type: str) ->
     return values.filter("v <> ''").join(r, ["signal_type", "rule_type", "v"], "left_semi").select(key).distinct()
 
 
+def without_dismissed(items: DataFrame, rules: DataFrame, signal_type: Column, **values: Column) -> DataFrame:
+    """items but those whose value of some kind (company, role_title, location) a rule of
+    their signal type names, in any case; a blank value fits no rule."""
+    r = rules.filter("auto_exclude").select("signal_type", "rule_type", F.lower("rule_value").alias("__value")).distinct()
+    for kind, value in values.items():
+        mine = r.filter(F.col("rule_type") == kind).select(F.col("signal_type").alias("__type"), "__value", F.lit(True).alias("__gone"))
+        items = lookup(items.withColumns({"__type": signal_type, "__value": F.lower(value)}), mine, ["__type", "__value"]).filter("__gone IS NULL").drop("__type", "__value", "__gone")
+    return items
+
+
 def match_past_to_directory(clients: DataFrame, directory: DataFrame, alternates: DataFrame) -> DataFrame:
     """(client, matched_name, layer): exact directory name, exact alternate,
     directory without suffix, alternate without suffix; of equal keys the last by

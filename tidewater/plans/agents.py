@@ -10,6 +10,7 @@ from tidewater.functions import rules as R
 from tidewater.functions import text as T
 from tidewater.functions.scores import age_score, grant_amount, previous_phase
 from tidewater.operators import resolve
+from tidewater.operators.enrichment import Source, enrich_deals
 from tidewater.sources.readers import study_summary
 
 c = F.col
@@ -44,34 +45,49 @@ def trial_signals(studies: DataFrame, signals: DataFrame, excluded: DataFrame, d
     return _seen(moved.union(ind).dropDuplicates(["company_name", "signal_type", "source_url"]), signals)
 
 
-def grant_signals(grants: DataFrame, signals: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Grants to industry: new awards by their activity codes, else renewals."""
+def _allowed(items: DataFrame, rules: DataFrame | None, signal_type, **values) -> DataFrame:
+    return items if rules is None else resolve.without_dismissed(items, rules, signal_type, **values)
+
+
+def grant_signals(grants: DataFrame, signals: DataFrame, excluded: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Grants to industry: new awards by their activity codes, else renewals; rules
+    (signal_type, rule_type, rule_value, auto_exclude) dismiss companies."""
     g = grants.filter(~F.contains(F.lower(F.coalesce("org_url", F.lit(""))), F.lit(".edu")) & (c("org_name") != "") & ~T.has(c("org_name"), R.ACADEMIC_FUNDING)).withColumnRenamed("org_name", "company_name")
     gone = resolve.excluded(g.select(c("company_name").alias("name")), excluded).withColumnRenamed("name", "company_name")
     kind = F.when(c("activity_code").isin("R43", "R41", "U43"), "funding_new_award").otherwise("funding_renewal")
-    out = g.join(gone, "company_name", "left_anti").select("company_name", kind.alias("signal_type"), c("project_url").alias("source_url"), F.concat(F.lit("Award of "), grant_amount(c("award_amount")), F.lit(": "), c("project_title")).alias("summary"), F.lit(R.BASE_SCORES["grant"]).alias("priority_score"))
+    g = _allowed(g.join(gone, "company_name", "left_anti"), rules, kind, company=c("company_name"))
+    out = g.select("company_name", kind.alias("signal_type"), c("project_url").alias("source_url"), F.concat(F.lit("Award of "), grant_amount(c("award_amount")), F.lit(": "), c("project_title")).alias("summary"), F.lit(R.BASE_SCORES["grant"]).alias("priority_score"))
     return _seen(out.dropDuplicates(["company_name", "signal_type", "source_url"]), signals)
 
 
-def filing_signals(filings: DataFrame, bodies: DataFrame, seen_accessions: DataFrame, excluded: DataFrame, as_of: str) -> DataFrame:
-    """Deals of life-science filers; accessions seen in 180 days don't come again."""
+def filing_signals(filings: DataFrame, bodies: DataFrame, seen_accessions: DataFrame, excluded: DataFrame, as_of: str, rules: DataFrame | None = None, posts: DataFrame | None = None, sources: tuple[Source, ...] = ()) -> DataFrame:
+    """Deals of life-science filers; accessions seen in 180 days don't come again, rules
+    dismiss companies before anything is asked about them. With posts and sources, deals
+    are enriched, and a deal that no filing or source tells of gets a plain summary."""
     f = filings.filter(T.has(c("company_name"), R.LIFE_SCIENCES) & ~T.has(c("company_name"), R.NON_US_ENTITY, case=True) & ~T.has(c("company_name"), R.ACADEMIC_FUNDING))
     f = f.filter(T.has(c("company_name"), R.INDUSTRY) | (F.size(F.split(F.trim("company_name"), r"\s+")) <= 3))
     recent = seen_accessions.filter(c("created_at") >= F.date_sub(F.lit(as_of).cast("date"), 180)).select("accession_number")
     f = f.join(recent, "accession_number", "left_anti")
     gone = resolve.excluded(f.select(c("company_name").alias("name")), excluded).withColumnRenamed("name", "company_name")
-    f = f.join(gone, "company_name", "left_anti").join(bodies.select("accession_number", "text"), "accession_number", "left")
-    return T.with_deal(f, "text", "company_name").withColumn("signal_type", F.lit("ma_transaction")).withColumn("priority_score", F.lit(R.BASE_SCORES["transaction"])).drop("text")
+    f = _allowed(f.join(gone, "company_name", "left_anti"), rules, F.lit("ma_transaction"), company=c("company_name"))
+    f = T.with_deal(f.join(bodies.select("accession_number", "text"), "accession_number", "left"), "text", "company_name").drop("text")
+    if posts is not None:
+        own = f.withColumnsRenamed({"acquired_name": "counterparty", "deal_summary": "__own"})
+        f = enrich_deals(own, posts, list(sources)).withColumn("acquired_name", F.coalesce("counterparty", F.lit(""))).drop("counterparty")
+        f = f.withColumn("deal_summary", F.coalesce("deal_summary", F.nullif("__own", F.lit("")))).withColumn("enrichment_source", F.coalesce("enrichment_source", F.lit("sec_8k_filing"))).drop("__own")
+    return f.withColumn("signal_type", F.lit("ma_transaction")).withColumn("priority_score", F.lit(R.BASE_SCORES["transaction"]))
 
 
-def headline_signals(cards: DataFrame, funding_page: bool, excluded: DataFrame) -> DataFrame:
+def headline_signals(cards: DataFrame, funding_page: bool, excluded: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Deals of headlines (title, article_url): venture funds are no targets on the
-    funding page, large pharma none in partnerships on the deals page."""
+    funding page, large pharma none in partnerships on the deals page; rules dismiss
+    companies."""
     h = cards.withColumn("deal", T.headline_deal(c("title"))).withColumn("company_name", T.headline_company(c("title")))
     h = h.filter(c("deal").isNotNull() & (c("deal") != "ma") & ~T.has(c("title"), R.NON_US_ENTITY, case=True) & ~T.has(c("company_name"), R.ACADEMIC_FUNDING))
     h = h.filter(~T.has(c("company_name"), R.VC_FUND)) if funding_page else h.filter((c("deal") != "pharma_partnership") | ~T.has(c("company_name"), R.LARGE_PHARMA))
     gone = resolve.excluded(h.select(c("company_name").alias("name")), excluded).withColumnRenamed("name", "company_name")
-    return h.join(gone, "company_name", "left_anti").select("company_name", F.lit("funding_new_award").alias("signal_type"), c("article_url").alias("source_url"), "deal", T.amount(c("title")).alias("amount"), F.lit(R.BASE_SCORES["deal"]).alias("priority_score"))
+    h = _allowed(h.join(gone, "company_name", "left_anti"), rules, F.lit("funding_new_award"), company=c("company_name"))
+    return h.select("company_name", F.lit("funding_new_award").alias("signal_type"), c("article_url").alias("source_url"), "deal", T.amount(c("title")).alias("amount"), F.lit(R.BASE_SCORES["deal"]).alias("priority_score"))
 
 
 #: Why a job card is passed over, in the order of the tests.
@@ -85,27 +101,30 @@ def reject_reason(by_client: bool = False):
     )
 
 
-def stale_job_signals(cards: DataFrame, seen_urls: DataFrame, excluded: DataFrame, per_query: int = 5, per_run: int = 100) -> DataFrame:
+def stale_job_signals(cards: DataFrame, seen_urls: DataFrame, excluded: DataFrame, per_query: int = 5, per_run: int = 100, rules: DataFrame | None = None) -> DataFrame:
     """Stale jobs of cards (query_no, position, title, company, location, job_url,
-    days_posted): a url counts once, at its first place, before the tests; then at
-    most `per_query` of a query and `per_run` in all, caps that are the feature."""
+    days_posted): a url counts once, at its first place, before the tests; rules dismiss
+    companies, titles and places; then at most `per_query` of a query and `per_run` in
+    all, caps that are the feature."""
     from tidewater.operators.tables import keep_first, top_per_key
 
     first = keep_first(cards.join(seen_urls.select("job_url"), "job_url", "left_anti"), ["job_url"], ["query_no", "position"])
     good = first.withColumn("reason", reject_reason()).filter("reason IS NULL").drop("reason")
     gone = resolve.excluded(good.select(c("company").alias("name")), excluded).withColumnRenamed("name", "company")
-    good = good.join(gone, "company", "left_anti")
+    good = _allowed(good.join(gone, "company", "left_anti"), rules, F.lit("stale_job_posting"), company=c("company"), role_title=c("title"), location=c("location"))
     some = top_per_key(good, ["query_no"], ["position"], per_query).orderBy("query_no", "position").limit(per_run)
     return some.withColumn("priority_score", age_score(c("days_posted"))).withColumn("signal_type", F.lit("stale_job_posting"))
 
 
-def competitor_job_signals(cards: DataFrame, seen_urls: DataFrame, per_firm: int = 3) -> DataFrame:
-    """The first cards of each firm, then the tests."""
+def competitor_job_signals(cards: DataFrame, seen_urls: DataFrame, per_firm: int = 3, rules: DataFrame | None = None) -> DataFrame:
+    """The first cards of each firm, then the tests and the rules for titles and
+    places."""
     from tidewater.operators.tables import top_per_key
 
     some = top_per_key(cards, ["firm"], ["position"], per_firm)
     good = T.has(c("title"), T.role_pattern()) & ~T.has(c("title"), R.EXCLUDED_ROLES) & ~T.has(c("location"), R.NON_US_BOARD) & ~T.has(c("company"), R.CRO_BOARD)
-    return some.filter(good).join(seen_urls.select("job_url"), "job_url", "left_anti").withColumn("priority_score", F.lit(R.BASE_SCORES["competitor_job"])).withColumn("signal_type", F.lit("competitor_job_posting"))
+    some = _allowed(some.filter(good), rules, F.lit("competitor_job_posting"), role_title=c("title"), location=c("location"))
+    return some.join(seen_urls.select("job_url"), "job_url", "left_anti").withColumn("priority_score", F.lit(R.BASE_SCORES["competitor_job"])).withColumn("signal_type", F.lit("competitor_job_posting"))
 
 
 def cleanup_rules(signals: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
+from tidewater.operators.enrichment import Source, enrich_deals
 from tidewater.plans import agents, scans
 from tidewater.plans.registry import query
 from tidewater.plans.views import cte, read, view
@@ -49,11 +50,17 @@ _ORG = "CASE o_orderkey % 5 WHEN 0 THEN 'Acme Bio ' || o_custkey WHEN 1 THEN 'Du
 
 @query("L17_grant_signals", f"""WITH g AS (SELECT o_orderkey AS k, {_ORG} AS company_name, o_totalprice AS x FROM orders WHERE o_orderkey % 7 <> 0)
 SELECT company_name, CASE WHEN k % 4 = 0 THEN 'funding_new_award' ELSE 'funding_renewal' END AS signal_type, 'https://grants.example/' || k AS source_url, 'Award of $' || floor(x / 1000 + 0.5)::BIGINT || 'K: Title ' || k AS summary, 20 AS priority_score
-FROM g WHERE company_name NOT IN ('', 'Duke University', 'Zeta Labs') AND k % 10 <> 5""")
+FROM g WHERE company_name NOT IN ('', 'Duke University', 'Zeta Labs') AND k % 10 <> 5 AND NOT (company_name = 'Rho Therapeutics' AND k % 4 <> 0) AND company_name <> 'Acme Bio 7'""")
 def l17b(spark, sf):
+    """Dismissed: renewals of Rho, new awards and renewals of one Acme; a rule that is off."""
     g = read(spark, sf, "orders").selectExpr(f"{_ORG} AS org_name", "CASE WHEN o_orderkey % 7 = 0 THEN 'https://x.edu/a' END AS org_url", "CASE o_orderkey % 4 WHEN 0 THEN 'R43' WHEN 1 THEN 'R44' END AS activity_code", "o_totalprice AS award_amount", "'Title ' || o_orderkey AS project_title", "'https://grants.example/' || o_orderkey AS project_url", "o_orderkey AS k")
     seen = g.filter("k % 10 = 5").select(c("org_name").alias("company_name"), F.when(c("k") % 4 == 0, "funding_new_award").otherwise("funding_renewal").alias("signal_type"), c("project_url").alias("source_url"))
-    return agents.grant_signals(g, seen, spark.createDataFrame([("Zeta",)], "name string"))
+    rules = _rules(spark, ("funding_renewal", "company", "RHO therapeutics", True), *[(t, "company", "acme bio 7", True) for t in ("funding_renewal", "funding_new_award")], ("funding_new_award", "company", "Rho Therapeutics", False), ("funding_new_award", "location", "Acme Bio 8", True))
+    return agents.grant_signals(g, seen, spark.createDataFrame([("Zeta",)], "name string"), rules)
+
+
+def _rules(spark, *rows):
+    return spark.createDataFrame(list(rows), "signal_type string, rule_type string, rule_value string, auto_exclude boolean")
 
 
 _FILER = "CASE o_orderkey % 5 WHEN 0 THEN 'Acme Therapeutics ' || o_custkey WHEN 1 THEN 'Plain Stores Inc' WHEN 2 THEN 'Maple Pharma Canada' WHEN 3 THEN 'Duke University Oncology' ELSE 'Zeta Biologics Inc' END"
@@ -61,16 +68,56 @@ _FILER = "CASE o_orderkey % 5 WHEN 0 THEN 'Acme Therapeutics ' || o_custkey WHEN
 
 @query("L17_filing_signals", f"""WITH f AS (SELECT o_orderkey AS k, {_FILER} AS company_name FROM orders)
 SELECT company_name, 'A-' || k AS accession_number, CASE k % 3 WHEN 0 THEN 'merger' WHEN 1 THEN 'partnership' ELSE 'acquisition' END AS transaction_type, CASE k % 3 WHEN 0 THEN '$2B' END AS deal_value, CASE k % 3 WHEN 0 THEN 'Omega Corp' ELSE '' END AS other, 27 AS priority_score
-FROM f WHERE starts_with(company_name, 'Acme') AND NOT (k % 6 = 5 AND k % 12 <> 5)""")
+FROM f WHERE starts_with(company_name, 'Acme') AND NOT (k % 6 = 5 AND k % 12 <> 5) AND company_name NOT IN ('Acme Therapeutics 10', 'Acme Therapeutics 25')""")
 def l17c(spark, sf):
-    """Accessions that were seen within 180 days don't come again."""
+    """Accessions that were seen within 180 days don't come again; two filers are
+    dismissed."""
+    rules = _rules(spark, *[("ma_transaction", "company", f"acme THERAPEUTICS {i}", True) for i in (10, 25)])
     text = "CASE o_orderkey % 3 WHEN 0 THEN 'The merger agreement with Omega Corp. for $2 billion was signed' WHEN 1 THEN 'a license agreement was made' ELSE '' END"
     f = read(spark, sf, "orders").selectExpr(f"{_FILER} AS company_name", "'A-' || o_orderkey AS accession_number", f"{text} AS text", "o_orderkey AS k")
     seen = f.filter("k % 6 = 5").select("accession_number", F.when(c("k") % 12 == 5, F.lit("2023-01-01")).otherwise("2024-01-01").cast("timestamp").alias("created_at"))
-    out = agents.filing_signals(f.select("company_name", "accession_number", "k"), f.select("accession_number", "text"), seen, spark.createDataFrame([("Zeta",)], "name string"), "2024-02-01")
+    out = agents.filing_signals(f.select("company_name", "accession_number", "k"), f.select("accession_number", "text"), seen, spark.createDataFrame([("Zeta",)], "name string"), "2024-02-01", rules)
     return out.select("company_name", "accession_number", "transaction_type", "deal_value", c("acquired_name").alias("other"), "priority_score")
 
 
+# five sources that know some of the firms by their number k: posts, then pages
+_FIRM = "'Firm ' || (o_custkey % 300)"
+_KINDS = "CASE k % 8 WHEN 1 THEN 'ipo' WHEN 3 THEN 'acquisition' WHEN 5 THEN 'merger' WHEN 7 THEN 'partnership' END"
+
+
+@query("L17_I68_enriched_deals", f"""WITH s AS (SELECT o_orderkey AS id, {_FIRM} AS company_name, (o_custkey % 300)::BIGINT AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'merger' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN '$1M' WHEN 1 THEN '' END AS v, CASE o_orderkey % 3 WHEN 0 THEN 'Given Co' WHEN 1 THEN '' END AS p FROM orders),
+a AS (SELECT id, company_name, k, coalesce(kind, {_KINDS}) AS kind, nullif(v, '') AS v, nullif(p, '') AS p, NULL AS d, CASE WHEN k % 2 = 1 THEN 'https://posts.example/' || k END AS u, CASE WHEN nullif(v, '') IS NOT NULL OR nullif(p, '') IS NOT NULL THEN 'filing' WHEN k % 2 = 1 THEN 'posts' END AS f, 0 AS n FROM s),
+b AS (SELECT id, company_name, k, kind, CASE WHEN k % 3 = 0 THEN coalesce(v, CASE WHEN k % 2 = 0 THEN '$7M' ELSE '$3B' END) ELSE v END AS v, CASE WHEN k % 6 = 0 AND n >= 0 AND (v IS NULL OR p IS NULL) THEN coalesce(p, 'Beta Labs') ELSE p END AS p, CASE WHEN k % 6 = 0 THEN 'We have acquired Beta Labs, a firm' END AS d,
+ CASE WHEN k % 3 = 0 THEN coalesce(u, CASE WHEN k % 2 = 0 THEN 'https://www.f' || k || '.example/news' ELSE 'https://ir.example/' || k END) ELSE u END AS u, CASE WHEN k % 3 = 0 AND (f IS NULL OR f = 'filing') THEN 'investor_relations' ELSE f END AS f, 1 AS n FROM a WHERE v IS NULL OR p IS NULL UNION ALL SELECT * FROM a WHERE v IS NOT NULL AND p IS NOT NULL),
+e AS (SELECT id, company_name, k, kind, CASE WHEN k % 4 = 0 THEN coalesce(v, '$9M') ELSE v END AS v, p, CASE WHEN k % 4 = 0 THEN coalesce(d, 'News of Firm ' || k || ' today') ELSE d END AS d, CASE WHEN k % 4 = 0 THEN coalesce(u, 'https://n.example/' || k) ELSE u END AS u, CASE WHEN k % 4 = 0 AND (f IS NULL OR f = 'filing') THEN 'search' ELSE f END AS f, n + 1 AS n FROM b WHERE v IS NULL OR p IS NULL
+ UNION ALL SELECT * FROM b WHERE v IS NOT NULL AND p IS NOT NULL),
+g AS (SELECT id, company_name, k, kind, CASE WHEN k % 5 < 2 THEN coalesce(v, CASE k % 5 WHEN 0 THEN '$45M' ELSE '$2B' END) ELSE v END AS v, CASE WHEN k % 5 = 0 THEN coalesce(p, 'Omega Bio') ELSE p END AS p, CASE k % 5 WHEN 0 THEN coalesce(d, 'Firm acquires Omega Bio for $45 million & more') WHEN 1 THEN coalesce(d, 'A licensing pact') ELSE d END AS d,
+ CASE k % 5 WHEN 0 THEN coalesce(u, 'https://dive.example/a' || k) WHEN 1 THEN coalesce(u, 'https://o.example/b') ELSE u END AS u, CASE WHEN k % 5 < 2 AND (f IS NULL OR f = 'filing') THEN 'dive' ELSE f END AS f, n + 1 AS n FROM e WHERE v IS NULL OR p IS NULL UNION ALL SELECT * FROM e WHERE v IS NOT NULL AND p IS NOT NULL),
+h AS (SELECT id, company_name, k, kind, CASE WHEN k % 7 = 0 THEN coalesce(v, '$88M') ELSE v END AS v, CASE WHEN k % 7 = 0 THEN coalesce(p, 'Delta Works') ELSE p END AS p, CASE WHEN k % 7 = 0 THEN coalesce(d, 'Firm partners with Delta Works for $88 million') ELSE d END AS d, CASE WHEN k % 7 = 0 THEN coalesce(u, 'https://trade.example/t' || k) ELSE u END AS u,
+ CASE WHEN k % 7 = 0 AND (f IS NULL OR f = 'filing') THEN 'trade' ELSE f END AS f, n + 1 AS n FROM g WHERE v IS NULL OR p IS NULL UNION ALL SELECT * FROM g WHERE v IS NOT NULL AND p IS NOT NULL)
+SELECT id, company_name, kind AS transaction_type, v AS deal_value, p AS counterparty, d AS deal_summary, u AS enrichment_url, f AS enrichment_source, n AS n_asked FROM h""")
+def l17d(spark, sf):
+    """Five sources over the customers' numbers; rows stop at each of them."""
+    signals = read(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_FIRM} AS company_name", "CASE WHEN o_orderkey % 2 = 0 THEN 'merger' END AS transaction_type", "CASE o_orderkey % 4 WHEN 0 THEN '$1M' WHEN 1 THEN '' END AS deal_value", "CASE o_orderkey % 3 WHEN 0 THEN 'Given Co' WHEN 1 THEN '' END AS counterparty")
+    firms = read(spark, sf, "orders").select((c("o_custkey") % 300).alias("k")).distinct().withColumn("company_name", F.expr("'FIRM ' || k"))
+    some = lambda test, html: firms.filter(test).withColumn("html", F.expr(html))
+    posts = firms.filter("k % 2 = 1").selectExpr("company_name", f"{_KINDS} AS transaction_type", "'https://posts.example/' || k AS source_url")
+    investors = some("k % 3 = 0", "CASE WHEN k % 2 = 0 THEN '<a href=\"/x\">Our careers page is here</a><a href=\"news\">We have acquired Beta Labs, a firm</a> for $7 million' ELSE 'A transaction of $3 billion <a href=\"/y\">Something else at all</a>' END || repeat('<p>filler</p>', 60)")
+    search = some("k % 4 = 0", "'<a aria-label=\"Some other article\" href=\"/1\">x</a><a aria-label=\"News of Firm ' || k || ' today\" href=\"/' || k || '\">x</a>'").withColumn("page", F.lit("<p>It paid</p> <b>$9</b>M <b>$9 million</b>"))
+    dive = some("k % 5 < 2", "CASE k % 5 WHEN 0 THEN '<article><h3>Firm acquires Omega Bio for $45 million &amp; more</h3><a href=\"/a' || k || '\">x</a>January 5, 2024</article>' ELSE '<article><span class=\"c title\">A licensing pact</span><a href=\"https://o.example/b\">x</a><p class=\"summary\">It is worth two or $2 billion at most</p></article>' END")
+    trade = some("k % 7 = 0", "'<article><h2>Firm partners with Delta Works for $88 million</h2><a href=\"/t' || k || '\">x</a></article>'")
+    since = F.lit("2024-01-01").cast("date")
+    pages = [
+        Source("search", search, readers.search_deal(readers.search_choice(c("html"), c("company_name"), "https://n.example", "n.example"), c("page"))),
+        Source("dive", dive, readers.trade_deal(c("html"), "dive", "https://dive.example", since)), Source("trade", trade, readers.trade_deal(c("html"), "teaser", "https://trade.example", since)),
+    ]
+    # an investors' page has its firm's domain: the address is put in behind the reading
+    domain = readers.investor_deal(c("html"), "FIRM.example", F.concat(F.lit("https://ir.example/"), c("k").cast("string")))
+    at = F.replace(domain["source_url"], F.lit("FIRM.example"), F.concat(F.lit("f"), c("k").cast("string"), F.lit(".example")))
+    own = Source("investor_relations", investors, F.when(domain.isNotNull(), F.struct(domain["deal_value"].alias("deal_value"), domain["counterparty"].alias("counterparty"), domain["deal_summary"].alias("deal_summary"), at.alias("source_url"))))
+    return enrich_deals(signals, posts, [own, *pages])
+
+
 _TRIAL_SPONSOR = "CASE WHEN o_custkey % 8 = 0 THEN 'ACME ' || o_custkey || ' INC' ELSE 'Nobody ' || o_custkey END"
 
 

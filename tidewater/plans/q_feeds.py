@@ -9,7 +9,6 @@ from tidewater.functions import text as T
 from tidewater.operators import tables as O
 from tidewater.operators.resolve import match_company
 from tidewater.plans import agents
-from tidewater.plans.q_joins import _NAMES, _names
 from tidewater.plans.q_text import q, sql_clean, sql_has, sql_specialties, sql_strip
 from tidewater.plans.registry import query
 from tidewater.plans.views import cte, read, view
@@ -116,20 +115,25 @@ def l18(spark, sf):
 
 @query("L18_stale_jobs", f"""WITH j AS (SELECT p_partkey % 40 AS query_no, p_partkey AS position, p_partkey % 900 AS u, {_CARDS} AS title, {_FIRMS} AS company, CASE WHEN p_size % 6 = 0 THEN 'Toronto, Canada' ELSE 'Boston, MA' END AS location, p_size * 2 AS d FROM part),
 f AS (SELECT * FROM j WHERE u NOT IN (SELECT u FROM j WHERE position % 13 = 0) QUALIFY row_number() OVER (PARTITION BY u ORDER BY query_no, position) = 1),
-g AS (SELECT * FROM f WHERE d >= 30 AND {sql_has('title', T.role_pattern())} AND NOT {sql_has('title', R.EXCLUDED_ROLES)} AND starts_with(company, 'Omega Therapeutics') AND company <> 'Omega Therapeutics 3' AND location <> 'Toronto, Canada'),
+g AS (SELECT * FROM f WHERE d >= 30 AND {sql_has('title', T.role_pattern())} AND NOT {sql_has('title', R.EXCLUDED_ROLES)} AND starts_with(company, 'Omega Therapeutics') AND company <> 'Omega Therapeutics 3' AND location <> 'Toronto, Canada' AND company <> 'Omega Therapeutics 4' AND title <> 'Drug Safety Associate'),
 h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY position) <= 5)
 SELECT query_no, position, title, company, CASE WHEN d >= 60 THEN 18 ELSE 17 END AS priority_score FROM h ORDER BY query_no, position LIMIT 100""")
 def l18b(spark, sf):
     cards = _cards(spark, sf)
     seen = cards.filter("position % 13 = 0").select("job_url")
     firms = read(spark, sf, "supplier").filter("s_suppkey = 1").select(F.lit("Omega Therapeutics 3").alias("name"))
-    return agents.stale_job_signals(cards, seen, firms).select("query_no", "position", "title", "company", "priority_score")
+    kind = "stale_job_posting"
+    rules = spark.createDataFrame([(kind, "company", "OMEGA therapeutics 4", True), (kind, "role_title", "drug safety associate", True), (kind, "location", "Nowhere", True), ("competitor_job_posting", "role_title", "SAS Programmer", True), (kind, "location", "boston, ma", False)], "signal_type string, rule_type string, rule_value string, auto_exclude boolean")
+    return agents.stale_job_signals(cards, seen, firms, rules=rules).select("query_no", "position", "title", "company", "priority_score")
 
 
-@query("L18_competitor_jobs", f"WITH j AS (SELECT p_partkey, 'Firm ' || (p_partkey % 60) AS firm, {_CARDS} AS title, {_FIRMS} AS company, CASE WHEN p_size % 6 = 0 THEN 'Toronto, Canada' ELSE 'Boston, MA' END AS location FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 60 ORDER BY p_partkey) <= 3) SELECT p_partkey AS position, firm FROM j WHERE {sql_has('title', T.role_pattern())} AND NOT {sql_has('title', R.EXCLUDED_ROLES)} AND NOT {sql_has('location', R.NON_US_BOARD)} AND NOT {sql_has('company', R.CRO_BOARD)}")
+@query("L18_competitor_jobs", f"WITH j AS (SELECT p_partkey, p_partkey % 900 AS u, 'Firm ' || (p_partkey % 60) AS firm, {_CARDS} AS title, {_FIRMS} AS company, CASE WHEN p_size % 6 = 0 THEN 'Toronto, Canada' ELSE 'Boston, MA' END AS location FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 60 ORDER BY p_partkey) <= 3) SELECT p_partkey AS position, firm FROM j WHERE {sql_has('title', T.role_pattern())} AND NOT {sql_has('title', R.EXCLUDED_ROLES)} AND NOT {sql_has('location', R.NON_US_BOARD)} AND NOT {sql_has('company', R.CRO_BOARD)} AND title <> 'SAS Programmer' AND u NOT IN (SELECT p_partkey % 900 FROM part WHERE p_partkey % 13 = 0)")
 def l18c(spark, sf):
+    """Every thirteenth job's url has been seen; one title is dismissed."""
     cards = _cards(spark, sf)
-    return agents.competitor_job_signals(cards, cards.filter("false").select("job_url")).select("position", "firm")
+    kind = "competitor_job_posting"
+    rules = spark.createDataFrame([(kind, "role_title", "sas programmer", True), (kind, "company", "Kelly", True), ("stale_job_posting", "location", "Boston, MA", True)], "signal_type string, rule_type string, rule_value string, auto_exclude boolean")
+    return agents.competitor_job_signals(cards, cards.filter("position % 13 = 0").select("job_url"), rules=rules).select("position", "firm")
 
 
 @query("L20_filing_scan", cte("directory") + f", n AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'ACME ' || (o_custkey * 8) || ' INC' WHEN 1 THEN 'zeta ' || (o_custkey % 60) || ' /CA/' ELSE 'Nobody ' || o_custkey END AS company_name FROM orders WHERE o_orderstatus = 'P'), d AS (SELECT {sql_clean('name')} AS e, min(name) AS name FROM directory WHERE {sql_clean('name')} <> '' GROUP BY 1) SELECT DISTINCT id, company_name FROM n JOIN d ON d.e = {sql_clean('company_name')}")
@@ -165,5 +169,3 @@ def a10(spark, sf):
     listing = read(spark, sf, "pages").groupBy((c("page_id") % 50).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("html"))
     return readers.news_cards(listing, "html", "promo", "2026-05-01")
 
-
-assert q and _NAMES and _names

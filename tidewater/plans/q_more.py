@@ -173,7 +173,7 @@ def _sql_l17() -> str:
     return (
         f"WITH h AS (SELECT {_HEADLINES} AS title, 'https://n/' || o_orderkey AS source_url FROM orders), d AS (SELECT *, {deal} AS deal, {_sql_headline('title')} AS company_name FROM h) "
         f"SELECT company_name, source_url, deal, {_sql_amount('title')} AS amount FROM d WHERE deal <> 'ma' AND NOT {sql_has('title', R.NON_US_ENTITY, True)} AND NOT {sql_has('company_name', R.ACADEMIC_FUNDING)} "
-        f"AND NOT {sql_has('company_name', R.VC_FUND)} AND NOT ({plain} <> '' AND (starts_with({plain}, 'alpha') OR starts_with('alpha', {plain})))"
+        f"AND NOT {sql_has('company_name', R.VC_FUND)} AND NOT ({plain} <> '' AND (starts_with({plain}, 'alpha') OR starts_with('alpha', {plain}))) AND lower(company_name) <> 'zeta bio'"
     )
 
 
@@ -184,7 +184,8 @@ def l17(spark, sf):
 
     cards = read(spark, sf, "orders").selectExpr(f"{_HEADLINES.replace(chr(39) * 2, chr(92) + chr(39))} AS title", "'https://n/' || o_orderkey AS article_url")
     gone = view(spark, sf, "clients").filter("rank = 1").select(F.lit("Alpha").alias("name"))
-    return agents.headline_signals(cards, True, gone).select("company_name", "source_url", "deal", "amount")
+    rules = spark.createDataFrame([("funding_new_award", "company", "ZETA Bio", True), ("funding_renewal", "company", "Delta", True)], "signal_type string, rule_type string, rule_value string, auto_exclude boolean")
+    return agents.headline_signals(cards, True, gone, rules).select("company_name", "source_url", "deal", "amount")
 
 
 @query("J9_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
