@@ -122,7 +122,8 @@ def test_job_cards(spark):
 def test_sinks(spark, tmp_path):
     p = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
-    assert sinks.append_new(df, p, ["k"], ["v"]) == 2 and sinks.append_new(df, p, ["k"], ["v"]) == 0
+    counted = lambda: sinks.append_new(df, p, ["k"], ["v"], n_a=F.count_if(c("v") == "a"))
+    assert counted() == {"n_new": 2, "n_a": 1} and counted() == {"n_new": 0, "n_a": 0}
     sinks.replace(spark.read.parquet(p).filter("k = 2"), p)
     assert rows(spark.read.parquet(p)) == [(2, "c")]
     log = str(tmp_path / "log")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import tables as O
-from tidewater.sources import readers, schemas, sinks
+from tidewater.sources import buckets, readers, rollup, schemas, sinks
 from tidewater.streaming import ingest
 
 
@@ -18,7 +18,8 @@ def lines(folder, name, rows):
 def test_contact_stream(spark, tmp_path):
     table, folder = str(tmp_path / "contacts"), tmp_path / "in"
     kinds = "linkedin_url string, original_title string, original_company string, current_title string, current_company string, current_location string, job_history array<struct<role: string, company: string>>, last_change_type string, last_enrichment_date date"
-    spark.createDataFrame([("u1", "CRA", "Old", "CRA", "Old", "X", [], None, None), ("u2", "A", "B", "A", "B", None, [], None, None)], kinds).write.parquet(table)
+    start = spark.createDataFrame([("u1", "CRA", "Old", "CRA", "Old", "X", [], None, None), ("u2", "A", "B", "A", "B", None, [], None, None)], kinds)
+    buckets.create(start, table, ingest.contact_key())
     lines(folder, "1.json", [{"linkedin_url": "U1", "title": t, "company": "New", "location": "X", "received_at": f"2026-01-0{i}T00:00:00Z"} for i, t in enumerate(("Lead", "Head"), 1)])
     run = lambda: ingest.ingest_contacts(spark, str(folder), table, str(tmp_path / "cp"), "2026-02-01").awaitTermination()
     run()
@@ -109,3 +110,100 @@ def test_ranked(spark):
 
 def test_schema_of_leads():
     assert "full_name" in schemas.LEAD_CONTACTS
+
+
+def files(table):
+    return {str(f.relative_to(table)): f.stat().st_mtime_ns for f in table.rglob("*.parquet")}
+
+
+def test_an_update_rewrites_touched_buckets_only(spark, tmp_path):
+    table = tmp_path / "t"
+    df = spark.range(500).select(F.concat(F.lit("u"), "id").alias("k"), F.lit(0).alias("v"))
+    buckets.create(df, str(table), F.col("k"), 16)
+    before = files(table)
+    keys = spark.createDataFrame([("u1",), ("u2",), ("nobody",)], "k string")
+    change = lambda rows: rows.withColumn("v", F.when(F.col("k").isin("u1", "u2"), F.col("v") + 1).otherwise(F.col("v")))
+    run = lambda n: buckets.update(spark, str(table), keys, F.col("k"), change, ("q", n), 16)
+    hit = run(0)
+    after = files(table)
+    assert 1 <= len(hit) <= 3
+    for f, at in before.items():
+        assert (f in after and after[f] == at) == (int(f.split("/")[0].removeprefix("bucket=")) not in hit)
+    # a replay changes nothing, the next batch does
+    assert run(0) == [] and files(table) == after
+    assert run(1) == hit
+    got = {r.k: r.v for r in spark.read.parquet(str(table)).collect()}
+    assert len(got) == 500 and {k for k, v in got.items() if v} == {"u1", "u2"} and got["u1"] == 2
+
+
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_a_crash_inside_an_update(spark, tmp_path, monkeypatch, step):
+    """At the first write, after it, and after the second: the batch comes again and
+    is applied once."""
+    table = str(tmp_path / "t")
+    buckets.create(spark.range(50).select("id", F.lit(0).alias("v")), table, F.col("id"), 4)
+    change = lambda rows: rows.withColumn("v", F.col("v") + 1)
+    run = lambda: buckets.update(spark, table, spark.range(50), F.col("id"), change, ("q", 7), 4)
+    real, calls = buckets._write, []
+
+    def failing(df, path, mode, *how):
+        calls.append(path)
+        if step == len(calls) == 1:
+            (tmp_path / "t.q-7").mkdir()
+            raise OSError
+        real(df, path, mode, *how)
+        if len(calls) == step - 1 or step == len(calls) == 2:
+            raise OSError
+
+    monkeypatch.setattr(buckets, "_write", failing)
+    with pytest.raises(OSError):
+        run()
+    monkeypatch.setattr(buckets, "_write", real)
+    run()
+    assert {(r.v, r["count"]) for r in spark.read.parquet(table).groupBy("v").count().collect()} == {(1, 50)}
+    assert not (tmp_path / "t.q-7").exists() and run() == []
+
+
+def test_rollup_of_changes(spark, tmp_path):
+    path, keys = str(tmp_path / "r"), ["k"]
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
+    now = lambda: sorted(tuple(r) for r in rollup.current(spark, path, keys).collect())
+    full = lambda rows: sorted((r.k, r["count"]) for r in rows.groupBy("k").count().collect())
+    with pytest.raises(ValueError):
+        now()
+    rollup.add_batch(path, 0, keys, df.filter("id < 40"))
+    rollup.add_batch(path, 1, keys, df.filter("id >= 40"))
+    assert now() == full(df)
+    rollup.add_batch(path, 1, keys, df.filter("id >= 40"))
+    assert now() == full(df)
+    rollup.add_batch(path, 2, keys, df.limit(0), df.filter("k = 3"))
+    assert now() == full(df.filter("k <> 3"))
+    rollup.compact(spark, path, keys, 1)
+    assert now() == full(df.filter("k <> 3")) and len(list((tmp_path / "r" / "batches").iterdir())) == 1
+    # a batch of the base that comes again, a half-written base and a half-written batch
+    rollup.add_batch(path, 1, keys, df)
+    (tmp_path / "r" / "base" / "upto=9").mkdir()
+    (tmp_path / "r" / "batches" / "batch=5").mkdir()
+    assert now() == full(df.filter("k <> 3"))
+    rollup.compact(spark, path, keys, 4)
+    rollup.compact(spark, path, keys, 4)
+    assert now() == full(df.filter("k <> 3"))
+
+
+def test_companies_rewrite_the_buckets_of_their_names(spark, tmp_path):
+    jobs, table, directory, companies = tmp_path / "in", tmp_path / "jobs", str(tmp_path / "dir"), tmp_path / "companies"
+    spark.createDataFrame([("Acme Inc.", "10", "a.com")], "name string, size string, domain string").write.parquet(directory)
+    lines(jobs, "1.json", [{"job_title": "QA", "company_name": n, "job_url": f"http://j/{i}", "received_at": "2026-01-01T00:00:00Z"} for i, n in enumerate([*[f"Firm{x} Labs" for x in "abcdefghij"], "Beta Gamma Inc", "Gamma Beta"])])
+    ingest.ingest_jobs(spark, str(jobs), str(table), directory, str(tmp_path / "cp")).awaitTermination()
+    before = files(table)
+    lines(companies, "1.json", [{"name": "Beta Gamma LLC", "company_size": "5", "domain": "b.com", "received_at": "2026-01-01T00:00:00Z"}])
+    run = lambda: ingest.ingest_companies(spark, str(companies), directory, str(table), str(tmp_path / "cp2")).awaitTermination()
+    run()
+    got = {r.company_name: r.matched_via for r in spark.read.parquet(str(table)).collect()}
+    assert (got["Beta Gamma Inc"], got["Gamma Beta"], got["Firma Labs"]) == ("exact_name", "keyword", None) and len(got) == 12
+    after = files(table)
+    assert 0 < len(before.items() & after.items()) < len(before)
+    for f in (tmp_path / "cp2" / "commits").iterdir():
+        f.unlink()
+    run()
+    assert files(table) == after

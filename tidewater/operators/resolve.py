@@ -22,6 +22,13 @@ def best_by(directory: DataFrame, key: Column, alias: str, *more: str) -> DataFr
     return d.groupBy(alias).agg(F.min(rank).alias("__b")).select(alias, *[F.col(f"__b.{c}").alias(f"{alias}_{c}") for c in ("name", *more)])
 
 
+def match_key(name: Column) -> Column:
+    """What two names have in common if match_company() matches them without an alternate
+    name: the key of significant words, or where there is none the cleaned name."""
+    cleaned = T.clean_name(name)
+    return F.coalesce(F.nullif(T.word_key(cleaned), F.lit("")), cleaned, F.lit(""))
+
+
 def match_company(names: DataFrame, directory: DataFrame, name: str = "company_name", alternates: DataFrame | None = None) -> DataFrame:
     """names with matched_name and matched_via: an alternate name (given and not
     no_match), the cleaned name, or the key of significant words."""

@@ -23,13 +23,19 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder; what is written there is deleted like a stored table."""
+    path = f"{folder(spark)}/tidewater/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet and read back: computed once, whatever reads it, and safe
     from the loss of executors. Deleted when the program ends, or by release()."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/tidewater/{tag}-{uuid.uuid4().hex}"
+    path = place(spark, tag)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@ belongs to, and what was learnt about names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
@@ -11,6 +11,7 @@ from tidewater.functions.scores import parse_size
 from tidewater.operators import resolve
 from tidewater.operators import tables as O
 from tidewater.operators.state import age_queue
+from tidewater.sources import sinks
 
 c = F.col
 
@@ -59,11 +60,18 @@ def news_scan(cards: DataFrame, stored: DataFrame, directory: DataFrame, alterna
     return new.join(names, "article_url", "left")
 
 
-def scan_counts(fetched: DataFrame, rows: DataFrame) -> DataFrame:
-    """(fetched, new, matched, unmatched) of a scan; rows: what it keeps, with
-    matched_name."""
-    one = rows.agg(F.count(F.lit(1)).alias("new"), F.count("matched_name").alias("matched"))
-    return one.select(F.lit(None).cast("long").alias("fetched"), "new", "matched").union(fetched.agg(F.count(F.lit(1)), F.lit(0).cast("long"), F.lit(0).cast("long"))).agg(F.max("fetched").alias("fetched"), F.max("new").alias("new"), F.max("matched").alias("matched")).withColumn("unmatched", c("new") - c("matched"))
+def write_scan(rows: DataFrame, path: str) -> dict[str, int]:
+    """Stores what a scan keeps (rows with matched_name); returns new, matched and
+    unmatched as the write itself has counted them."""
+    name = c("matched_name")
+    kept, observed = sinks.counted(rows, new=F.count(F.lit(1)), matched=F.count(name), unmatched=F.count_if(name.isNull()))
+    kept.write.mode("append").parquet(path)
+    return observed.get
+
+
+def counted_fetch(fetched: DataFrame) -> tuple[DataFrame, Observation]:
+    """fetched, and how many rows of it the scan's write has read, as fetched."""
+    return sinks.counted(fetched, fetched=F.count(F.lit(1)))
 
 
 def orchestrate(signals: DataFrame, found: dict[str, DataFrame], as_of: str) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.tables import insert_new
@@ -21,19 +21,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, p).exists(p)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], order: list) -> int:
-    """Appends the rows whose key the table lacks, one for each; returns how many."""
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and counters that the action that runs it fills in: `get` has them then, and
+    no second pass is made."""
+    observed = Observation()
+    return df.observe(observed, *[m.alias(k) for k, m in metrics.items()]), observed
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], order: list, bucket: Column | None = None, **metrics: Column) -> dict[str, int]:
+    """Appends the rows whose key the table lacks, one for each; returns what the write
+    itself counted: n_new, and further metrics of the new rows. With `bucket`, the table
+    is in buckets of that key (sources.buckets)."""
+    from tidewater.sources import buckets
+
     spark = df.sparkSession
     if _exists(spark, path):
         df = insert_new(spark.read.schema(df.schema).parquet(path), df, keys, order)
     else:
         df = insert_new(df.limit(0), df, keys, order)
-    df = df.cache()
-    n = df.count()
-    if n:
+    df, observed = counted(df, n_new=F.count(F.lit(1)), **metrics)
+    if bucket is None:
         df.write.mode("append").parquet(path)
-    df.unpersist()
-    return n
+    else:
+        buckets.append(df, path, bucket)
+    return observed.get
 
 
 def query_id(spark: SparkSession, checkpoint: str) -> str:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.functions import text as T
 from tidewater.operators import resolve
-from tidewater.operators.state import update_contacts_in_turn
-from tidewater.sources import schemas, sinks
+from tidewater.operators.state import normal, update_contacts_in_turn
+from tidewater.sources import buckets, schemas, sinks
 
 
 def records(spark: SparkSession, folder: str, schema: str, watermark: str = "1 day") -> DataFrame:
@@ -23,7 +23,10 @@ def _run(df: DataFrame, each, checkpoint: str) -> StreamingQuery:
 def ingest_jobs(spark: SparkSession, folder: str, table: str, directory: str, checkpoint: str, overrides: str | None = None, blocked: str | None = None) -> StreamingQuery:
     """Jobs into a table: without blocked titles and stored urls, matched to the
     directory, with specialties. Directory, overrides and blocked titles are read
-    anew for each batch, so a change holds from the next one."""
+    anew for each batch, so a change holds from the next one. The table is in buckets of
+    the firm's match key. A url counts once within the watermark, and once in the table:
+    a row that comes later than the watermark is dropped by Spark, any other one whose url
+    the table has, by the table."""
     jobs = records(spark, folder, schemas.JOBS).filter("job_title <> '' AND job_url <> ''").withColumn("job_url", T.job_url(F.col("job_url"))).dropDuplicatesWithinWatermark(["job_url"])
 
     def each(batch: DataFrame, _: int) -> None:
@@ -37,23 +40,26 @@ def ingest_jobs(spark: SparkSession, folder: str, table: str, directory: str, ch
             rows, override = rows.join(o, "title_key", "left"), F.col("override")
         rows = rows.withColumn("specialty", T.specialties(F.col("job_title"), override))
         rows = resolve.match_company(rows.drop("title_key", "override"), s.read.parquet(directory))
-        sinks.append_new(rows, table, ["job_url"], ["received_at", "job_title"])
+        sinks.append_new(rows, table, ["job_url"], ["received_at", "job_title"], bucket=resolve.match_key(F.col("company_name")))
 
     return _run(jobs, each, checkpoint)
 
 
+def contact_key() -> Column:
+    return normal(F.col("linkedin_url"))
+
+
 def ingest_contacts(spark: SparkSession, folder: str, table: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Contact updates into a snapshot. A batch with several updates of a contact
-    applies them one after another, in order of arrival, in one pass. A batch that
-    comes again after a crash is passed over: its number is kept with the table."""
+    """Contact updates into a snapshot in buckets of the contact's key (contact_key),
+    of which a batch rewrites those that its contacts are in. A batch with several
+    updates of a contact applies them one after another, in order of arrival, in one
+    pass. A batch that comes again after a crash is applied once."""
     updates = records(spark, folder, schemas.CONTACT_UPDATES).filter("linkedin_url <> ''")
 
     def each(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        sinks.recover(s, table)
-        query = sinks.query_id(s, checkpoint)
-        if sinks.last_batch(s, table, query) < number:
-            sinks.replace(update_contacts_in_turn(s.read.parquet(table), batch, as_of), table, f"{query}-{number}")
+        change = lambda rows: update_contacts_in_turn(rows, batch, as_of)
+        buckets.update(s, table, batch, contact_key(), change, (sinks.query_id(s, checkpoint), number))
 
     return _run(updates, each, checkpoint)
 
@@ -76,16 +82,22 @@ def ingest_lead_contacts(spark: SparkSession, folder: str, table: str, checkpoin
 
 def ingest_companies(spark: SparkSession, folder: str, directory: str, jobs: str, checkpoint: str) -> StreamingQuery:
     """Companies into the directory, then stored jobs without a match are matched
-    again."""
+    again: a new company fits names of its own match key only, so that only these keys'
+    buckets of the jobs are rewritten. A batch that comes again is applied once: the
+    directory takes what it lacks, and the jobs know the batch."""
     companies = records(spark, folder, schemas.COMPANIES).filter("name <> ''")
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
         new = batch.select("name", F.col("company_size").alias("size"), "domain").dropDuplicates(["name"])
         sinks.append_new(new, directory, ["name"], ["size"])
-        stored = s.read.parquet(jobs)
-        open_ = stored.filter("matched_name IS NULL").drop("matched_name", "matched_via")
-        sinks.replace(stored.filter("matched_name IS NOT NULL").unionByName(resolve.match_company(open_, new)), jobs)
+
+        def change(rows: DataFrame) -> DataFrame:
+            open_ = rows.filter("matched_name IS NULL").drop("matched_name", "matched_via")
+            return rows.filter("matched_name IS NOT NULL").unionByName(resolve.match_company(open_, new))
+
+        keys = new.select(F.col("name").alias("company_name"))
+        buckets.update(s, jobs, keys, resolve.match_key(F.col("company_name")), change, (sinks.query_id(s, checkpoint), number))
 
     return _run(companies, each, checkpoint)
 
