@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, stored
+from tidewater.llm.common import discard, discard_since, mark, stored
 
 #: Rows of a task, and the most such tasks, of a table with few rows.
 ROWS, TASKS = 50_000, 16
 
 
+def _few(df: DataFrame, rows: int) -> bool:
+    return rows // ROWS + 1 < min(TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """df dealt by its keys to as few tasks as its rows need; a table that is large
-    enough is left to Spark, which splits a hot key."""
-    n = rows // ROWS + 1
-    return df.repartition(n, *keys) if n < min(TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) else df
+    """df dealt by its keys to as few tasks as its rows need, each of bounded size; a
+    table that is large enough is left to Spark, which splits a hot key."""
+    return df.repartition(rows // ROWS + 1, *keys) if _few(df, rows) else df
+
+
+def _minima(df: DataFrame, rows: int) -> DataFrame:
+    """(u, m): the least v of each u. Minima of many rows are stored before they are
+    joined to these: only where both sides are read by key does Spark split a hot node."""
+    least = df.groupBy("u").agg(F.min("v").alias("m"))
+    return least if _few(df, rows) else stored(least, "least")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,18 +39,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: neighbours greater than u go to the least of u's neighbours and u
         both = _dealt(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n, "u")
-        # minima are stored before the joins: where both sides are read by key, Spark splits a hot node
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        place = mark()
+        least = _minima(both, 2 * n).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: neighbours not greater than u, and u, go to the least of them
         large = stored(_dealt(large, n, "u", "v").distinct(), "large")
         mine = _dealt(large, n, "u")
-        low = stored(mine.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = _minima(mine, n)
         small = mine.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         after = stored(_dealt(small, n, "u", "v").distinct(), "edges")
-        for used in (large, least, low, e):
-            discard(used)
+        discard_since(place, after)
+        discard(e)
         # a star forest: each greater node has one edge, and no least node is a greater one
         n, greater = after.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if n == greater and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
