@@ -53,7 +53,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(e)
         # a star forest: each greater node has one edge, and no least node is a greater one
         n, greater = after.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        if n == greater and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        if n == greater and after.select("v").distinct().join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = after
 
