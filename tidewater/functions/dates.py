@@ -62,3 +62,18 @@ def iso_date(c: Column) -> Column:
 def weeks(start: Column, end: Column) -> Column:
     """Array of (start, end): spans of at most seven days that cover the range."""
     return F.transform(F.sequence(start, end, F.expr("INTERVAL 7 DAYS")), lambda d: F.struct(d.alias("start"), F.least(F.date_add(d, 6), end).alias("end")))
+
+
+def days_from(as_of: Column, days: int) -> Column:
+    """So many days after (before, if negative) an as-of date."""
+    return F.date_add(as_of, days)
+
+
+def months_from(as_of: Column, months: int) -> Column:
+    """So many months on; a day that the month lacks runs over into the next one."""
+    first = F.add_months(F.trunc(as_of, "month"), months)
+    return F.date_add(first, F.dayofmonth(as_of) - 1)
+
+
+def slashed(day: Column) -> Column:
+    return F.date_format(day, "MM/dd/yyyy")

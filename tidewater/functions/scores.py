@@ -55,6 +55,23 @@ def phase(phases: Column) -> Column:
     return F.struct(label.alias("label"), F.array_max(F.transform(norm, number)).alias("number"), (F.coalesce(F.size(phases), F.lit(0)) > 1).alias("combined"))
 
 
+def stored_phase(label: Column) -> Column:
+    """A stored label in the form of phase()'s: PHASE2 -> Phase 2, PRE_CLINICAL ->
+    Pre-Clinical, others as they are."""
+    t = F.trim(label)
+    return F.when(t.rlike(r"(?i)^PHASE\d+\z"), F.regexp_replace(t, "(?i)^PHASE", "Phase ")).when(t.rlike(r"(?i)^PRE[-_]CLINICAL\z"), "Pre-Clinical").otherwise(t)
+
+
+def phase_of_label(label: Column) -> Column:
+    """The number of a label's first phase."""
+    return F.regexp_extract(label, r"Phase (\d+)", 1).try_cast("int")
+
+
+def scan_phase(phases: Column) -> Column:
+    """Phases one after another, each in words: Phase 1/Phase 2; null if there is none."""
+    return F.nullif(F.array_join(F.transform(phases, lambda p: F.regexp_replace(p, "(?i)^PHASE", "Phase ")), "/"), F.lit(""))
+
+
 def previous_phase(number: Column) -> Column:
     return F.when(number == 2, "Phase 1").when(number == 3, "Phase 2").when(number == 4, "Phase 3").otherwise("Pre-Clinical")
 

@@ -6,6 +6,7 @@ also matches before a last line feed."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -430,6 +431,23 @@ def page_company(html: Column) -> Column:
     return F.coalesce(F.when((F.length(title) > 1) & (F.lower(title) != "linkedin"), title), nth(plain, 1))
 
 
+def significant_word(c: Column) -> Column:
+    """The first word of two letters or more that is no stop word, else the first."""
+    w = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: x != "")
+    return F.coalesce(nth(F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(*R.PAGE_STOP_WORDS)), 1), nth(w, 1), F.lit(""))
+
+
+def same_company(name: Column, page: Column) -> Column:
+    """A page that names no company, or one with the same first significant word."""
+    a, b = significant_word(name), F.coalesce(significant_word(page), F.lit(""))
+    return (a == "") | (b == "") | (a == b)
+
+
+def has_phrases(c: Column, *phrases: str) -> Column:
+    """All phrases are in the text, as whole words in any case."""
+    return reduce(Column.__and__, [c.rlike(r"(?i)(?<![\p{Alnum}])" + re.escape(p).replace("\\ ", r"\s+") + r"(?![\p{Alnum}])") for p in phrases])
+
+
 def display_case(c: Column) -> Column:
     """A name without the places after its legal suffix, words capitalised; short
     words in capitals that are no legal suffix stay."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.staging import stored
+
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
     """One row of each key: the first in the order, which must be total."""
@@ -62,17 +64,30 @@ def like_any_case(c: Column, pattern: str) -> Column:
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with each row's place in a total order, from 1. Rows are dealt by ranges of
     the order and sorted there; a part's first place comes from the sizes of those
-    before it, one number a part. No task sees all rows. The sorted rows are kept
-    (in memory or on the executors' disks), as sizes and rows must agree."""
+    before it, one number a part. No task sees all rows. The sorted rows are stored, as
+    sizes and rows must agree; staging.release() deletes them."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    parts = parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
+    parts = stored(parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranked")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     out = parts.join(F.broadcast(sizes.select("__part", "__before")), "__part")
     return out.withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
+def shuffled(df: DataFrame, keys: list[str], seed: str, name: str = "rank") -> DataFrame:
+    """df with each row's place in a random order that the seed fixes: by a digest of
+    seed and keys, ties by keys. The same on each run and at any number of partitions."""
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return ranked(df.withColumn("__digest", F.md5(text)), ["__digest", *keys], name).drop("__digest")
+
+
+def update_ids(df: DataFrame, ids: DataFrame, key: str, **values: Column) -> DataFrame:
+    """df; rows whose key is among the ids get new values, made from the row."""
+    marked = df.join(ids.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    return marked.select(*[F.when(F.col("__hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
 def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     """All rows, each with its part's name; columns that a part lacks are null."""
     out = None

@@ -22,7 +22,7 @@ def _load() -> None:
     """The modules register their queries as they are imported."""
     import importlib
 
-    for name in ("q_agents", "q_composites", "q_feeds", "q_joins", "q_more", "q_tables", "q_text"):
+    for name in ("q_agents", "q_composites", "q_feeds", "q_joins", "q_more", "q_tables", "q_text", "q_upkeep"):
         importlib.import_module(f"tidewater.plans.{name}")
 
 

@@ -16,7 +16,18 @@ c = F.col
 
 def studies(spark: SparkSession, path: str) -> DataFrame:
     """One row for each study of paged JSON files, flattened, with defaults."""
-    raw = spark.read.schema(schemas.STUDIES).option("multiLine", True).json(path)
+    return _studies(spark.read.schema(schemas.STUDIES).option("multiLine", True).json(path))
+
+
+def studies_updated(spark: SparkSession, path: str, as_of: str, days: int = 30, chunk_days: int = 7) -> DataFrame:
+    """Studies with a place in the United States, or none, that were updated in the days
+    before a date, from pages in folders chunk=<first day of a chunk>."""
+    day = F.lit(as_of).cast("date")
+    pages = saved_pages(spark, path, schemas.STUDIES, "chunk date").filter(c("chunk").between(F.date_sub(day, days + chunk_days - 1), day))
+    return _studies(pages).filter(c("in_us") & D.iso_date(c("last_update")).between(F.date_sub(day, days), day))
+
+
+def _studies(raw: DataFrame) -> DataFrame:
     s = raw.select(F.explode("studies").alias("s")).select("s.protocolSection.*")
     m = lambda x: c(x)
     text = lambda x: F.coalesce(m(x), F.lit(""))
@@ -70,15 +81,41 @@ def recent_grants(df: DataFrame, as_of: str, days: int, codes: tuple[str, ...] =
     return df.orderBy(c("date_added").desc(), "appl_id")
 
 
+def saved_pages(spark: SparkSession, path: str, schema: str, by: str) -> DataFrame:
+    """Saved pages of a service, a page a line, in folders that name what was asked for (`by`, such as
+    "form string, chunk date"): a filter on these columns picks the folders, and pages
+    outside of it are never opened."""
+    return spark.read.schema(f"{schema}, {by}").json(path)
+
+
 def filings(spark: SparkSession, path: str) -> DataFrame:
-    h = spark.read.schema(schemas.FILINGS).option("multiLine", True).json(path).select(F.explode("hits.hits").alias("h")).select("h._source.*")
+    return _filings(spark.read.schema(schemas.FILINGS).option("multiLine", True).json(path))
+
+
+def filings_of(spark: SparkSession, path: str, forms: tuple[str, ...], as_of: str, days: int, chunk_days: int = 7) -> DataFrame:
+    """Filings of these forms in the days before a date, from pages in folders form=.../
+    chunk=<first day of a chunk>."""
+    day = F.lit(as_of).cast("date")
+    pages = saved_pages(spark, path, schemas.FILINGS, "form string, chunk date")
+    pages = pages.filter(c("form").isin(*forms) & c("chunk").between(F.date_sub(day, days + chunk_days - 1), day))
+    return _filings(pages, "form").filter(c("filing_date").between(F.date_sub(day, days), day))
+
+
+def _filings(pages: DataFrame, *more: str) -> DataFrame:
+    h = pages.select(F.explode("hits.hits").alias("h"), *more).select("h._source.*", *more)
     name = T.display_name(T.nth(c("display_names"), 1))
     return h.select(
         T.nth(c("ciks"), 1).alias("company_cik"), name["name"].alias("company_name"), name["ticker"].alias("ticker"), D.iso_date(c("file_date")).alias("filing_date"), c("adsh").alias("accession_number"),
-        T.filing_url(T.nth(c("ciks"), 1), c("adsh")).alias("filing_url"), F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"),
+        T.filing_url(T.nth(c("ciks"), 1), c("adsh")).alias("filing_url"), F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"), *more,
     )
 
 
+def filing_text(document, plain, chars: int = 5000):
+    """A filing's text, of its main document or, where that has none, of its .txt file."""
+    some = lambda x: F.nullif(plain_text(x, chars), F.lit(""))
+    return F.coalesce(some(document), some(plain), F.lit(""))
+
+
 def filing_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(path, body, item_summary, agreement_type) of filings of several documents."""
     t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), T.document_body(c("value")).alias("body"))
@@ -254,14 +291,26 @@ def search_deal(choice, page):
 
 
 def directory_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Companies of CSV files with a header: blanks are null, the first of each
-    (name, plain url) stays."""
-    raw = spark.read.schema(schemas.DIRECTORY).csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", enforceSchema=False)
+    """Companies of CSV files with a header: blanks are null, ragged rows are allowed
+    (what is missing is null, what is too much is left out), the first of each (name,
+    plain url) stays."""
+    return checked_directory_csv(spark, path)[0]
+
+
+def checked_directory_csv(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(companies, quarantine): quarantine has (record, reason) of each line that is
+    ragged, though its company is taken, or names no company, so that nothing is lost
+    unseen."""
+    schema = f"{schemas.DIRECTORY}, _record string"
+    # all fields are read, so that a line is found ragged whatever is asked for
+    raw = spark.read.schema(schema).option("columnPruning", False).csv(path, header=header, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_record", enforceSchema=True)
     blank = lambda x: F.nullif(F.trim(c(x)), F.lit(""))
-    d = raw.select(blank("Name").alias("name"), blank("Domain").alias("domain"), blank("Size").alias("company_size"), blank("Primary Industry").alias("primary_industry"), blank("Type").alias("company_type"), blank("Location").alias("location"), blank("Country").alias("country"), blank("LinkedIn URL").alias("linkedin_url"))
+    d = raw.select(blank("Name").alias("name"), blank("Domain").alias("domain"), blank("Size").alias("company_size"), blank("Primary Industry").alias("primary_industry"), blank("Type").alias("company_type"), blank("Location").alias("location"), blank("Country").alias("country"), blank("LinkedIn URL").alias("linkedin_url"), "_record")
+    line = F.coalesce("_record", F.to_csv(F.struct("name", "primary_industry", "company_size", "company_type", "location", "country", "domain", "linkedin_url")))
+    bad = d.select(line.alias("record"), F.when(c("name").isNull(), "no name").when(c("_record").isNotNull(), "ragged").alias("reason")).filter("reason IS NOT NULL")
     d = d.filter("name IS NOT NULL").withColumn("k", F.lower("name")).withColumn("u", T.plain_url(F.coalesce("linkedin_url", F.lit(""))))
     w = Window.partitionBy("k", "u").orderBy(F.col("domain").asc_nulls_last(), F.col("company_size").asc_nulls_last(), "name")
-    return d.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "k", "u")
+    return d.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "k", "u", "_record"), bad
 
 
 def contacts_csv(spark: SparkSession, path: str) -> DataFrame:
