@@ -1,10 +1,13 @@
 """Scalar functions on the edge rows, expected values by hand."""
 
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from tidewater.functions import dates as D
+from tidewater.functions import rules as R
 from tidewater.functions import scores as S
 from tidewater.functions import text as T
 
@@ -89,3 +92,30 @@ def test_score_range(spark):
     df = spark.range(-3, 300).select(S.queue_score(c("id").cast("int"), F.lit(0), F.lit(None).cast("int"), F.lit(5), F.lit(5), F.lit(0), F.lit(15)).alias("s"))
     low, high = df.agg(F.min("s"), F.max("s")).first()
     assert low >= 10 and high <= 100
+
+
+def test_words_that_patterns_need():
+    need = T.needed_words
+    assert need(r"merger\s+agreement") == ("agreement",) and need(r"acquir\w+\s+(?:global|all)\s+rights?\b") == ("acquir",)
+    assert need(r"licensing\s+agreement|co-promotion") == ("licensing", "co-promotion") and need(r"ab|merger") == () and need(r"(?:merger|offer)") == ()
+    assert need(r"plans?\b") == ("plan",) and need(r"x{3}merge[rd]?") == ("merge",)
+    # every pattern that has such words fits no text without them
+    r = random.Random(2)
+    pieces = ["merger", "agreement", "and plan of", "acquired", "rights to", "exclusive", "license", "offering", "public", "initial", "price", "shares of common stock", "parent", "the", "tender offer", "co-promotion", "co-develop", "royalt", "milestone", "asset purchase", "(the parent)", "stock purchase agreement"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    gated = 0
+    for _, each in (*R.TRANSACTIONS, *R.TRANSACTIONS_BACKFILL):
+        for _, patterns, _ in each:
+            for p in (x.replace("[A-Z]", "[a-z]") for x in patterns):
+                words = need(p)
+                gated += bool(words)
+                assert all(any(w in t for w in words) for t in texts if words and re.search(p, t))
+    assert gated > 60
+
+
+def test_gates_change_no_kind(spark):
+    r = random.Random(5)
+    pieces = ["merger", "agreement and plan of merger", "acquired global rights to", "LYL273", "exclusive license", "initial public offering", "tender offer", "Big Pharma", "collaboration agreement", "asset purchase agreement", "definitive agreement to acquire", "shares of common stock", "offering price", "nothing"]
+    df = spark.createDataFrame([(" ".join(r.choice(pieces) for _ in range(r.randint(0, 6))),) for _ in range(400)] + [(None,)], "t string")
+    rows = df.select(T.transaction_kind(F.col("t")).alias("a"), T.transaction_kind(F.col("t"), gated=False).alias("b")).collect()
+    assert all(x.a == x.b for x in rows) and len({x.a for x in rows}) == 5

@@ -181,27 +181,71 @@ def headline_company(c: Column) -> Column:
     return nth(F.transform(F.array(t), lambda x: F.coalesce(nth(found(x), 1), F.array_join(F.slice(F.split(x, r"\s+"), 1, 3), " "))), 1)
 
 
-def transaction_kind(c: Column, rules: tuple = R.TRANSACTIONS) -> Column:
+def needed_words(pattern: str) -> tuple[str, ...]:
+    """Of each alternative of a pattern its longest run of plain letters, blanks and
+    hyphens: a text that the pattern fits has one of them. None (empty) if an alternative
+    has no run of four."""
+    out, runs, run, depth, i = [], [], "", 0, 0
+    text = pattern + "|"
+    while i < len(text):
+        ch, step = text[i], 1
+        if ch == "\\":
+            step = 2
+            plain = text[i + 1] if not text[i + 1].isalnum() else None
+        elif ch == "[":
+            step, plain = text.index("]", i + 2) - i + 1, None
+        else:
+            plain = ch if ch.isalpha() or ch in " -" else None
+        nxt = text[i + step : i + step + 1]
+        if depth == 0 and plain is not None and nxt not in ("?", "*", "{"):
+            run += plain
+        else:
+            runs.append(run)
+            run = ""
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if ch == "|" and depth == 0:
+            best = max(runs, key=len, default="")
+            if len(best) < 4:
+                return ()
+            out.append(best)
+            runs = []
+        i += step
+    return tuple(out)
+
+
+def transaction_kind(c: Column, rules: tuple = R.TRANSACTIONS, gated: bool = True) -> Column:
     """The kind whose rules weigh most; of equals the first; acquisition if none.
-    The text is put in lower case once, so that the patterns need not tell cases."""
+    The text is put in lower case once, so that the patterns need not tell cases, and
+    is searched once for the words that the patterns need: a pattern runs only on texts
+    that have one of its words (always, if not gated)."""
     compound = has(c, R.COMPOUND, case=True)
     names = F.array(*[F.lit(n) for n, _ in rules])
+    lower = lambda p: p.replace("[A-Z]", "[a-z]")
+    needs_of = {p: needed_words(lower(p)) if gated else () for _, each in rules for _, patterns, _ in each for p in patterns}
+    words = sorted({w for ws in needs_of.values() for w in ws})
 
-    def pick(t, named):
+    def pick(t, named, there):
         totals = []
         for _, each in rules:
             total = F.lit(0)
             for weight, patterns, needs in each:
-                ok = F.lit(True) if needs is None else (named if needs else ~named)
+                ok = F.lit(True)
                 for p in patterns:
-                    ok = ok & t.rlike(p.replace("[A-Z]", "[a-z]"))
+                    if needs_of[p]:
+                        ok = ok & reduce(Column.__or__, [there[f"w{words.index(w)}"] for w in needs_of[p]])
+                for p in patterns:
+                    ok = ok & t.rlike(lower(p))
+                if needs is not None:
+                    ok = ok & (named if needs else ~named)
                 total = total + F.when(ok, weight).otherwise(0)
             totals.append(total)
         best = lambda x: F.when(F.array_max(x) == 0, "acquisition").otherwise(F.get(names, (F.array_position(x, F.array_max(x)) - 1).cast("int")))
         return nth(F.transform(F.array(F.array(*totals)), best), 1)
 
     # an array of one: what is in it has a name and is made once
-    kind = F.transform(F.array(F.struct(F.lower(c).alias("t"), compound.alias("named"))), lambda x: pick(x["t"], x["named"]))
+    t = F.lower(c)
+    there = F.struct(F.lit(True).alias("any"), *[F.contains(t, F.lit(w)).alias(f"w{i}") for i, w in enumerate(words)])
+    kind = F.transform(F.array(F.struct(t.alias("t"), compound.alias("named"), there.alias("there"))), lambda x: pick(x["t"], x["named"], x["there"]))
     return F.when(F.coalesce(c, F.lit("")) == "", "acquisition").otherwise(nth(kind, 1))
 
 

@@ -211,6 +211,16 @@ def i22(spark, sf):
     return f.select("id", T.transaction_kind(c("t")).alias("kind"), T.agreement_kind(c("t")).alias("agreement"), T.amount(c("t")).alias("amount"))
 
 
+# whole documents, every other one with a filing's sentence behind it
+_FILED = f"text || CASE WHEN doc_id % 2 = 0 THEN ' ' || {_FILING.replace('o_orderkey % 8', '(doc_id // 2) % 8')} ELSE '' END"
+
+
+@query("I22_I23_document_kinds", f"WITH f AS (SELECT doc_id, {_FILED} AS t FROM documents) SELECT doc_id, {sql_kind('t')} AS kind, {sql_agreement('t')} AS agreement FROM f")
+def i22d(spark, sf):
+    f = read(spark, sf, "documents").selectExpr("doc_id", f"{_FILED.replace('doc_id // 2', 'doc_id DIV 2')} AS t")
+    return f.select("doc_id", T.transaction_kind(c("t")).alias("kind"), T.agreement_kind(c("t")).alias("agreement"))
+
+
 @query("I24_I26_deal_details")
 def i24(spark, sf):
     f = read(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_FILING} AS t", "'Filer ' || o_custkey AS filer")
