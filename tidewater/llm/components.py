@@ -51,9 +51,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = stored(_dealt(small, n, "u", "v").distinct(), "edges")
         discard_since(place, after)
         discard(e)
-        # a star forest: each greater node has one edge, and no least node is a greater one
-        n, greater = after.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        if n == greater and after.select("v").distinct().join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # a star forest: no node has two edges to lesser ones, or one and a greater neighbour
+        n = after.count()
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = after
 
