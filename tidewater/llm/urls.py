@@ -113,7 +113,8 @@ def lower_bound(a: Column, b: Column, deviations: float = DEVIATIONS) -> Column:
 def host_reputation(hosts: DataFrame, outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """hosts: (host); outcomes: (host, bad 0 or 1), one row for each labelled
     page. Returns host, domain, suffix, n_labelled, bad_rate (posterior mean),
-    bound (its lower bound) for each distinct host.
+    bound (its lower bound) for each distinct host. Outcomes of other hosts count too:
+    for the rates of their domains and suffixes.
 
     The rate of all pages is the prior of each suffix. A domain's prior is the
     posterior mean of its suffix without the domain's own pages, a host's that of
@@ -122,10 +123,12 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, suffixes: DataFrame |
     without labelled pages get their prior. Without any outcomes the rate and the
     bound are 0."""
     bad = outcomes.filter("bad IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("x"))
-    every = hosts.select("host").distinct().join(bad, "host", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("x", F.coalesce("x", F.lit(0).cast("long")))
+    asked = hosts.select("host", F.lit(True).alias("__asked")).union(bad.select("host", F.lit(False))).groupBy("host").agg(F.max("__asked").alias("__asked"))
+    every = asked.join(bad, "host", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("x", F.coalesce("x", F.lit(0).cast("long")))
     every = stored(with_domains(every, suffixes).withColumn("__one", F.lit(1)), "rates")
     sums = (F.sum("n").alias("n"), F.sum("x").alias("x"))
     top = every.groupBy("__one").agg(*sums).select("__one", F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.lit(0.0)).alias("__p"))
+    wanted = every.filter("__asked").select("host")
     parents, up, parent = ["__one"], every, top
     for key in ("suffix", "domain", "host"):
         groups = every.groupBy(*parents, key).agg(*sums)
@@ -143,17 +146,20 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, suffixes: DataFrame |
         parent = up.select(*parents, "__a", "__b", F.col("n").alias("__n"), F.col("x").alias("__x"))
     a, b = F.col("__a") + F.col("x"), F.col("__b") + F.col("n") - F.col("x")
     up = up.withColumn("__p", a / (a + b)).withColumn("__bound", lower_bound(a, b))
+    up = up.join(wanted, "host", "left_semi")
     return up.select("host", "domain", "suffix", F.col("n").alias("n_labelled"), F.col("__p").alias("bad_rate"), F.col("__bound").alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, *, url: str = "url", rules=RULES, lift: float = LIFT, suffixes: DataFrame | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, *, url: str = "url", rules=RULES, lift: float = LIFT, suffixes: DataFrame | None = None, least_labelled: int = 0) -> DataFrame:
     """All rows of pages with host, path, rule, verdict, domain, suffix,
     n_labelled, bad_rate and bound; input columns of these names are replaced.
 
     outcomes: (host, bad), a row for each labelled page; suffixes: (suffix), a table
     of public suffixes, if there is one. A url that a rule fits
     gets the longest rule's verdict; any other is blocked if the lower bound of
-    its host's bad rate is over `lift` times the rate of all labelled pages.
+    its host's bad rate is over `lift` times the rate of all labelled pages. A host
+    without labelled pages is judged by what its domain and suffix leave it, unless
+    `least_labelled` asks for pages of its own.
     Null url or none with "://": host and path empty, and a host like any other.
     Repeated rows are judged alike. Very long urls are taken whole. No outcomes: no
     host is blocked. No rows: no rows.
@@ -162,7 +168,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, *, url: str = "url", rule
     reputation = stored(host_reputation(rows.select("host"), outcomes, suffixes), "hosts")
     rate = outcomes.filter("bad IS NOT NULL").agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = F.when((F.col("bound") > F.lit(rate * lift)) & (F.col("n_labelled") > 0), "block").otherwise("allow")
+    judged = F.when((F.col("bound") > F.lit(rate * lift)) & (F.col("n_labelled") >= least_labelled), "block").otherwise("allow")
     out = join_small(rows, reputation, ["host"]).withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, judged))
     return unpacked(out, pages, OUT)
 
@@ -260,7 +266,7 @@ p_one AS (SELECT one, CASE WHEN sum(n) > 0 THEN sum(x) / sum(n)::DOUBLE ELSE 0.0
     + ",".join((_sql_level("suffix", ["one"], "p_one"), _sql_level("domain", ["one", "suffix"], "p_suffix"), _sql_level("host", ["one", "suffix", "domain"], "p_domain")))
     + f"""
 SELECT page_id, h.host, path, {_sql_rule(0)} AS rule,
-  coalesce({_sql_rule(1)}, CASE WHEN r.pn > 0 AND {_BOUND} > (SELECT coalesce(avg(bad), 0) FROM o) * {LIFT} THEN 'block' ELSE 'allow' END) AS verdict, r.pn AS n_labelled
+  coalesce({_sql_rule(1)}, CASE WHEN {_BOUND} > (SELECT coalesce(avg(bad), 0) FROM o) * {LIFT} THEN 'block' ELSE 'allow' END) AS verdict, r.pn AS n_labelled
 FROM h JOIN p_host r ON r.host = h.host
 """.replace("host = '", "h.host = '").replace("ends_with(host", "ends_with(h.host").replace("AND h.host = r.host", "AND host = r.host")
 )
