@@ -216,8 +216,8 @@ def test_archive_bytes(monkeypatch):
     assert numbers == sorted(numbers) and len(set(numbers)) > 1
 
 
-def test_external_merge(spark):
-    """Waves of few entries against one sort; ranges that cut a url's captures."""
+def test_external_merge(spark, monkeypatch):
+    """Few pieces at a time against one sort; ranges that cut a url's captures."""
     rng = random.Random(9)
     entry = lambda i, run: (f"k{rng.randrange(4)}", rng.randrange(5), rng.choice((None, rng.randrange(3))), "response", 0, "d", None, run, i)
     runs = {f"r{k}": sorted((entry(i, f"r{k}") for i in range(rng.randrange(40))), key=warc._key) for k in range(9)}
@@ -229,8 +229,9 @@ def test_external_merge(spark):
             for b in warc._pieces(borders)([batch]):
                 pieces += [(x["range"], warc._key((x["url_key"], x["captured"], x["page_id"])), x["run"], warc._rows(warc.pa.ipc.read_record_batch(warc.pa.py_buffer(x["entries"]), warc._SCHEMA))) for x in b.to_pylist()]
     pieces.sort(key=lambda x: x[:3])
-    for wave in (1, 7, 1000):
-        got = list(warc.merged(pieces, wave))
+    for least in (1, 7, 1000):
+        monkeypatch.setattr(warc, "LEAST", least)
+        got = list(warc.merged(pieces))
         assert list(map(warc._key, got)) == list(map(warc._key, every)) and sorted(map(str, got)) == sorted(map(str, every))
     df = spark.createDataFrame([r for run in runs.values() for r in run], warc._ENTRY).coalesce(1)
     assert [warc._key(tuple(r)) for r in warc.merge_index(df).collect()] == list(map(warc._key, every))

@@ -28,9 +28,9 @@ LEAST_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
 #: Bytes that are decompressed at a time.
 CHUNK = 1 << 16
-#: The most entries of a key range, on average; entries of a piece of a run; entries
-#: that a merge takes before it lets go of those that no later piece can precede.
-RANGE, PIECE, WAVE = 1 << 18, 64, 1 << 15
+#: The most entries of a key range, on average; entries of a piece of a run; the least
+#: pieces that come into a merge together.
+RANGE, PIECE, LEAST = 1 << 18, 64, 16
 #: Capture time of page 0, where no column gives one; later pages follow by the second.
 EPOCH = 1_577_836_800
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -216,32 +216,43 @@ def _pieces(borders: list[tuple]):
     return run
 
 
-def merged(pieces, wave: int = 0):
-    """The entries of pieces (range, first key, run, entries) in order of range and
-    first key, in one order. A run's pieces come in its order. Whenever `wave`
-    entries are held, those before the next piece's first key are let go."""
-    held: dict[str, list[tuple]] = {}
-    n, last = 0, None
-
-    def out(limit):
-        order = loser_tree.merge([[(*_key(r), i, j, r) for j, r in enumerate(held[run])] for i, run in enumerate(sorted(held))])
-        now, rest = [], []
-        for x in order:
-            (now if limit is None or x[:3] < limit else rest).append(x[-1])
-        held.clear()
-        if rest:
-            held[""] = rest
-        return now
-
-    for number, first, run, entries in pieces:
-        if last is not None and (number != last or n >= (wave or WAVE)):
-            yield from out(first if number == last else None)
-            n = sum(map(len, held.values()))
-        held.setdefault(run, []).extend(entries)
-        n += len(entries)
-        last = number
-    if held:
-        yield from out(None)
+class _Cursor:
+    """Where the merge stands in a piece of a run."""
+
+    def __init__(self, order: tuple, number: int, rows: list[tuple]):
+        self.order, self.number, self.rows, self.place = order, number, rows, 0
+
+    def items(self):
+        for j in range(self.place, len(self.rows)):
+            yield (self.number, _key(self.rows[j]), self.order, j, self)
+
+
+def merged(pieces):
+    """The entries of pieces (range, first key, run, entries), which come in order of
+    range and first key, in one order; equal keys in order of runs.
+
+    One loser tree holds a cursor for each piece that has begun. It runs until it comes
+    to the first key of the next piece; then that piece, and a share of those behind it
+    that follows the cursors held, come in. So each entry passes the tree once, however
+    many runs overlap, and the tree is set up anew once for as many pieces as a share of
+    its cursors."""
+    source, live, loaded = iter(pieces), [], 0
+    ahead = next(source, None)
+    while ahead is not None or live:
+        for _ in range(max(LEAST, len(live) // 4)):
+            if ahead is None:
+                break
+            number, _, run, rows = ahead
+            live.append(_Cursor((run, loaded), number, rows))
+            loaded, ahead = loaded + 1, next(source, None)
+        bound = None if ahead is None else (ahead[0], ahead[1])
+        for item in loser_tree.merge([c.items() for c in live]):
+            if bound is not None and item[:2] >= bound:
+                break
+            cursor = item[4]
+            cursor.place = item[3] + 1
+            yield cursor.rows[item[3]]
+        live = [c for c in live if c.place < len(c.rows)]
 
 
 def _merge(batches):
