@@ -172,7 +172,7 @@ def _hash_rows(shards: int):
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         h, n, at = _Block(t).hashes(shards)
-        rows = [(block, s, h[at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].tobytes()) for s in range(shards) if at[s] < at[s + 1]]
+        rows = [(block, s, h[at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(at)).tolist()]
         return _table(rows, block=pa.int64(), shard=pa.int64(), data=pa.binary(), counts=pa.binary())
 
     return run
@@ -204,10 +204,9 @@ def _piece_rows(hash_shards: int, shards: int):
             block = _Block(t)
             x = block.pieces(*block.flagged(_answers(answers, 0), hash_shards), shards)
             number = t.column("block")[0].as_py()
-            for s in range(shards):
+            for s in np.flatnonzero(np.diff(x.at)).tolist():
                 own = x.order[x.at[s] : x.at[s + 1]]
-                if len(own):
-                    rows.append((number, s, b"".join([x.names[i] for i in own.tolist()]), (x.strings[own] + LENGTH - 1).astype(np.int32).tobytes(), x.least[own].tobytes()))
+                rows.append((number, s, b"".join([x.names[i] for i in own.tolist()]), (x.strings[own] + LENGTH - 1).astype(np.int32).tobytes(), x.least[own].tobytes()))
         return _table(rows, block=pa.int64(), shard=pa.int64(), data=pa.binary(), lengths=pa.binary(), least=pa.binary())
 
     return run
