@@ -75,4 +75,4 @@ def to_sql(trees: list, names: list[str]) -> str:
             return f"{t!r}D" if t >= 0 else f"({t!r}D)"
         return f"CASE WHEN {names[t[0]]} <= {t[1]!r}D THEN {node(t[2])} ELSE {node(t[3])} END"
 
-    return "(" + " + ".join(node(t) for t in trees) + ")"
+    return "(" + (" + ".join(node(t) for t in trees) or "0D") + ")"

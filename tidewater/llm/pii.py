@@ -234,7 +234,9 @@ def _fit(labelled: list[tuple], precision: float) -> dict:
 
     rows = SparkSession.getActiveSession().createDataFrame(labelled, "i int, t string, what string, good int")
     found = rows.coalesce(1).selectExpr("i", "t", "what", f"inline({candidates('t')})").selectExpr("i", "instr(t, what) - 1 AS at", "length(what) AS n", "start", "end", f"inline(transform(array(named_struct('kind', kind, 's', s, 'before', before, 'after', after)), c -> named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in FEATURES.items())})))")
-    got = np.array([[float(v) for v in row] for row in found.collect()])
+    got = np.array([[float(v) for v in row] for row in found.collect()]).reshape(-1, 5 + len(FEATURES))
+    if not len(got):
+        return {"trees": [], "a": 0.0, "b": 0.0, "cut": 1.0, "precision": 0.0, "recall": 0.0, "brier": 0.0}
     # a candidate is personal if it covers most of what is, and little else
     cover = np.minimum(got[:, 1] + got[:, 2], got[:, 4]) - np.maximum(got[:, 1], got[:, 3])
     y = ((got[:, 2] > 0) & (cover >= 0.8 * np.maximum(got[:, 2], got[:, 4] - got[:, 3]))).astype(float)
@@ -248,13 +250,15 @@ def _fit(labelled: list[tuple], precision: float) -> dict:
     ok = np.flatnonzero(good >= precision)
     cut = float(round(max(p[order][ok[-1]], 0.5), 4)) if len(ok) else 1.0
     kept = p >= cut
-    return {"trees": trees, "a": a, "b": b, "cut": cut, "precision": float(y[held][kept].mean()), "recall": float(y[held][kept].sum() / y[held].sum()), "brier": float(np.mean((p - y[held]) ** 2))}
+    return {"trees": trees, "a": a, "b": b, "cut": cut, "precision": float(y[held][kept].sum() / max(kept.sum(), 1)), "recall": float(y[held][kept].sum() / max(y[held].sum(), 1)), "brier": float(np.mean((p - y[held]) ** 2)) if len(p) else 0.0}
 
 
 def model(spark, n: int = SAMPLE, seed: int = 7, precision: float = PRECISION, labelled: DataFrame | None = None) -> dict:
     """The boosted trees, their calibration and threshold. They are fitted on
     `labelled`, if given: rows (text, what: the personal part, empty if there is
-    none), of which n are taken, those with the least hash (a bounded sample). Else,
+    none), of which n are taken, those with the least hash (a bounded sample). If no
+    candidate is found in them, or none of those held out is personal, nothing is added
+    to the base spans (cut 1, precision and recall 0). Else,
     as there is no labelled personal data in the corpus, once a session on n
     invented texts."""
     if labelled is None:
