@@ -85,7 +85,7 @@ def mix_sources(
     salts = max(1, math.ceil(math.sqrt(n) / 16))
     sized = (
         rows.withColumn("__class", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log2(F.col("size").cast("double")) * CLASSES)).cast("int"))
-        .withColumn("__salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(salts)).cast("int"))
+        .withColumn("__salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.concat(F.lit("t"), "__hash"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(salts)).cast("int"))
     )
     block = ["__key", "__class", "__salt"]
     inside = Window.partitionBy(*block).orderBy("size", F.col("__id").asc_nulls_first(), "__hash")
