@@ -136,10 +136,10 @@ def l18c(spark, sf):
     return agents.competitor_job_signals(cards, cards.filter("position % 13 = 0").select("job_url"), rules=rules).select("position", "firm")
 
 
-@query("L20_filing_scan", cte("directory") + f", n AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'ACME ' || (o_custkey * 8) || ' INC' WHEN 1 THEN 'zeta ' || (o_custkey % 60) || ' /CA/' ELSE 'Nobody ' || o_custkey END AS company_name FROM orders WHERE o_orderstatus = 'P'), d AS (SELECT {sql_clean('name')} AS e, min(name) AS name FROM directory WHERE {sql_clean('name')} <> '' GROUP BY 1) SELECT DISTINCT id, company_name FROM n JOIN d ON d.e = {sql_clean('company_name')}")
+@query("L20_filing_scan", cte("directory") + f", n AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'ACME ' || (o_custkey * 8) || ' INC' WHEN 1 THEN 'zeta ' || (o_custkey % 60) || ' /CA/' ELSE 'Nobody ' || o_custkey END AS company_name FROM orders), d AS (SELECT {sql_clean('name')} AS e, min(name) AS name FROM directory WHERE {sql_clean('name')} <> '' GROUP BY 1) SELECT DISTINCT id, company_name FROM n JOIN d ON d.e = {sql_clean('company_name')}")
 def l20(spark, sf):
     """Filings that match the directory; the others are dropped."""
-    n = read(spark, sf, "orders").filter("o_orderstatus = 'P'").selectExpr("o_orderkey AS id", "CASE o_orderkey % 5 WHEN 0 THEN 'ACME ' || (o_custkey * 8) || ' INC' WHEN 1 THEN 'zeta ' || (o_custkey % 60) || ' /CA/' ELSE 'Nobody ' || o_custkey END AS company_name")
+    n = read(spark, sf, "orders").selectExpr("o_orderkey AS id", "CASE o_orderkey % 5 WHEN 0 THEN 'ACME ' || (o_custkey * 8) || ' INC' WHEN 1 THEN 'zeta ' || (o_custkey % 60) || ' /CA/' ELSE 'Nobody ' || o_custkey END AS company_name")
     return match_company(n, view(spark, sf, "directory")).filter("matched_name IS NOT NULL").select("id", "company_name")
 
 

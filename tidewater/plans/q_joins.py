@@ -145,12 +145,13 @@ def d12(spark, sf):
     return s.filter("id % 2 = 0").join(old, ["company_id", "signal_type", "u"], "left_anti").select("id")
 
 
-@query("D13_json_keyed_dedup", "SELECT event_id FROM events WHERE event_type = 'view' AND (props::JSON->>'k') NOT IN (SELECT props::JSON->>'k' FROM events WHERE event_type = 'purchase' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY AND (props::JSON->>'k') IS NOT NULL)")
+@query("D13_json_keyed_dedup", "SELECT event_id FROM events v WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY AND p.user_id = v.user_id AND (p.props::JSON->>'k') = (v.props::JSON->>'k'))")
 def d13(spark, sf):
+    """A user's key inside the JSON that has been seen in the last ten days."""
     e = read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    last = e.agg(F.max("ts").alias("last"))
-    seen = e.filter("event_type = 'purchase'").join(F.broadcast(last)).filter(c("ts") >= c("last") - F.expr("INTERVAL 10 DAYS")).select("k").distinct()
-    return e.filter("event_type = 'view'").join(seen, "k", "left_anti").select("event_id")
+    last = e.agg(F.max("ts")).first()[0]
+    seen = e.filter((c("event_type") == "purchase") & (c("ts") >= F.lit(last) - F.expr("INTERVAL 10 DAYS"))).select("user_id", "k").distinct()
+    return e.filter("event_type = 'view'").join(seen, ["user_id", "k"], "left_anti").select("event_id")
 
 
 @query("D14_client_to_directory", cte("directory", "clients") + f", x AS (SELECT DISTINCT name AS client, lower(trim(name)) AS a, {sql_clean('name', state=False, passes=4)} AS p FROM clients), d1 AS (SELECT lower(trim(name)) AS k, max(name) AS v FROM directory GROUP BY 1), d3 AS (SELECT {sql_clean('name', state=False, passes=4)} AS k, max(name) AS v FROM directory GROUP BY 1) SELECT client, coalesce(d1.v, d3.v) AS matched_name, CASE WHEN d1.v IS NOT NULL THEN 1 WHEN d3.v IS NOT NULL THEN 3 END AS layer FROM x LEFT JOIN d1 ON d1.k = a LEFT JOIN d3 ON d3.k = p AND p <> ''")
@@ -264,7 +265,7 @@ def j6(spark, sf):
     return state.exclusion_update(old, s.filter("s_suppkey % 3 = 0").select(c("s_name").alias("name"), (c("s_suppkey") * 500).cast("int").alias("members")))
 
 
-@query("J5_contact_update", """WITH t AS (SELECT conv_id, turn, role, substring(text, 1, 10) AS x FROM conversations), a AS (SELECT * FROM t WHERE turn = 0), b AS (SELECT * FROM t WHERE turn = 1),
+@query("J5_contact_update", """WITH t AS (SELECT conv_id, turn, role, text AS x FROM conversations), a AS (SELECT * FROM t WHERE turn = 0), b AS (SELECT * FROM t WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
 j AS (SELECT a.conv_id, a.role AS r0, a.x AS x0, b.conv_id IS NOT NULL AS hit, b.role AS r1, b.x AS x1, lower(trim(coalesce(b.role, ''))) <> lower(trim(coalesce(a.role, ''))) AS role, lower(trim(coalesce(b.x, ''))) <> lower(trim(coalesce(a.x, ''))) AS company, lower(trim(coalesce(a.x, ''))) <> 'old co' AS differ FROM a LEFT JOIN b ON a.conv_id = b.conv_id)
 SELECT conv_id::VARCHAR AS linkedin_url, r0 AS original_title, CASE WHEN hit AND (role OR company OR differ) THEN x0 ELSE 'Old Co' END AS original_company, CASE WHEN hit AND (role OR company) THEN r1 ELSE r0 END AS current_title, CASE WHEN hit AND (role OR company) THEN x1 ELSE x0 END AS current_company,
 'X' AS current_location, CASE WHEN hit AND (role OR company OR differ) AND trim(coalesce(r0, '')) <> '' THEN '[{"role":"' || r0 || '","company":"Old Co"}]' ELSE '[]' END AS job_history, CASE WHEN hit THEN CASE WHEN role AND company THEN 'both_changed' WHEN role THEN 'role_changed' WHEN company THEN 'company_changed' END END AS last_change_type,
@@ -273,8 +274,9 @@ def j5(spark, sf):
     t = read(spark, sf, "conversations")
     first = lambda n: t.filter(c("turn") == n)
     contacts = first(0).select(
-        c("conv_id").cast("string").alias("linkedin_url"), c("role").alias("original_title"), F.lit("Old Co").alias("original_company"), c("role").alias("current_title"), F.substring("text", 1, 10).alias("current_company"), F.lit("X").alias("current_location"),
+        c("conv_id").cast("string").alias("linkedin_url"), c("role").alias("original_title"), F.lit("Old Co").alias("original_company"), c("role").alias("current_title"), c("text").alias("current_company"), F.lit("X").alias("current_location"),
         F.expr("CAST(array() AS array<struct<role: string, company: string>>)").alias("job_history"), F.lit(None).cast("string").alias("last_change_type"), F.lit(None).cast("date").alias("last_enrichment_date"),
     )
-    new = first(1).select(c("conv_id").cast("string").alias("linkedin_url"), c("role").alias("title"), F.substring("text", 1, 10).alias("company"), F.lit("x").alias("location"))
+    last = t.filter("turn > 0").groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("b"))
+    new = last.select(c("conv_id").cast("string").alias("linkedin_url"), c("b.role").alias("title"), c("b.text").alias("company"), F.lit("x").alias("location"))
     return state.update_contacts(contacts, new, "1998-08-01").withColumn("job_history", F.to_json("job_history"))

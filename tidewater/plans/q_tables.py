@@ -96,9 +96,9 @@ def b7(spark, sf):
     return o.filter(c("items").isNull() | (F.size("items") == 0)).select("o_orderkey")
 
 
-@query("B8_ilike_pattern", "SELECT p_partkey FROM part WHERE p_type ILIKE '%br_ss'")
+@query("B8_ilike_pattern", "SELECT p_partkey FROM part WHERE p_type ILIKE '_%o_o%'")
 def b8(spark, sf):
-    return read(spark, sf, "part").filter(O.like_any_case(c("p_type"), "%br_ss")).select("p_partkey")
+    return read(spark, sf, "part").filter(O.like_any_case(c("p_type"), "_%o_o%")).select("p_partkey")
 
 
 @query("B9_contains_and_prefix", cte("directory") + "SELECT id, name FROM directory WHERE name ILIKE '%bio%' OR name ILIKE 'acme%'")
@@ -329,9 +329,9 @@ def h3(spark, sf):
     return read(spark, sf, "customer").select(F.lower("c_mktsegment").alias("name")).union(read(spark, sf, "nation").select(F.lower("n_name"))).distinct()
 
 
-@query("H4_except_by_key", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("H4_except_by_key", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-06-01')")
 def h4(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "orders").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return read(spark, sf, "customer").join(read(spark, sf, "orders").filter("o_orderdate >= DATE'1997-06-01'").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("H6_array_union", "SELECT l_orderkey AS id, array_to_string(list_sort(list_distinct(list_append(list(DISTINCT l_returnflag), 'Lead'))), ',') AS tags FROM lineitem GROUP BY 1")
