@@ -95,16 +95,16 @@ def test_deal_details(spark, sf):
         kind = kind_of(text)
         money = re.search(r"(?i)\$\s*(\d[\d.,]*)\s*(million|billion|M|B)\b", text)
         value = f"${money[1].replace(',', '')}{'B' if money[2].lower()[0] == 'b' else 'M'}" if money else None
-        parent = first_name(text, filer, T.PARENT) if kind == "merger" else ""
-        target = first_name(text, filer, T.TARGET, cut=True) if kind in ("merger", "acquisition", "partnership") and not parent else ""
-        seller = first_name(text, filer, T.SELLER) if kind == "product_acquisition" or kind == "partnership" and not target else ""
+        parent = first_name(text, filer, R.PARENT) if kind == "merger" else ""
+        target = first_name(text, filer, R.TARGET, cut=True) if kind in ("merger", "acquisition", "partnership") and not parent else ""
+        seller = first_name(text, filer, R.SELLER) if kind == "product_acquisition" or kind == "partnership" and not target else ""
         acquired = filer if parent else target or seller
         if kind == "ipo":
             acquired = ""
         elif not acquired:
-            acquired = first_name(text[:2000], filer, T.COUNTERPARTY)
+            acquired = first_name(text[:2000], filer, R.COUNTERPARTY)
         assert (r.transaction_type, r.deal_value, r.acquirer_name, r.acquired_name) == (kind, value, parent or filer, acquired), text
-        found = [m[1] for m in (re.search(p, text) for p in T.ASSET) if m and m[1]]
+        found = [m[1] for m in (re.search(p, text) for p in R.ASSET) if m and m[1]]
         assert r.acquired_asset == (found[0] if found and kind != "ipo" else None)
         assert filer in r.deal_summary and (not value or value in r.deal_summary or kind == "none")
 

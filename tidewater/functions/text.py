@@ -257,51 +257,6 @@ def agreement_kind(c: Column) -> Column:
     return out.otherwise("Other")
 
 
-_NAME = r"([A-Z][A-Za-z0-9\s,.&\-]+?)"
-#: Patterns of the other party, tried in turn (fixed values).
-TARGET = (
-    rf"definitive\s+agreement\s+to\s+acqui(?:re|red)\s+{_NAME}(?:\s*,|\s+for\s|\s+in\s+a|\s*\(|\.)",
-    rf"agreed\s+to\s+acqui(?:re|red)\s+{_NAME}(?:\s*,|\s+for\s|\s+in\s+a|\s*\(|\.)",
-    rf"to\s+acqui(?:re|red|ring)\s+{_NAME}(?:\s*,|\s+for\s|\s+in\s+a|\s*\(|\.)",
-    rf"(?:has|will)\s+acqui(?:re|red|ring)\s+{_NAME}(?:\s*,|\s+for\s|\s*\(|\.|\z)",
-    rf"(?i)acquisition\s+of\s+{_NAME}(?:\s*,|\s+for\s|\s*\(|\.|\z)",
-    rf"(?i)merger\s+agreement\s+with\s+{_NAME}(?:\s*,|\s+for\s|\s*\(|\.|\z)",
-    rf"(?i)merger\s+with\s+{_NAME}(?:\s*,|\s+for\s|\s*\(|\.|\z)",
-    rf"(?i)combination\s+with\s+{_NAME}(?:\s*,|\s+for\s|\s*\(|\.|\z)",
-)
-PARENT = (
-    rf"""{_NAME}\s*\(["']?(?:the\s+)?["']?Parent["']?\)""",
-    rf"by\s+and\s+among\s+the\s+Company,?\s+{_NAME}(?:\s*\(|\s*,\s*and\s+[A-Z][a-z]|\s+and\s+[A-Z][a-z]|\.)",
-    rf"(?i){_NAME},?\s+(?:and\s+)?[A-Z][a-z]+\s+Sub.{{0,50}}merger\s+of\s+Merger\s+Sub",
-    rf"Agreement\s+and\s+Plan\s+of\s+Merger.{{0,300}}(?:\bwith\b|by\s+and\s+among.{{0,100}}and)\s+{_NAME}(?:\s*\(|\s*,|\.)",
-)
-SELLER = (
-    rf"""{_NAME}\s*\(["']?(?:the\s+)?["']?Seller["']?\)""",
-    rf"(?i)acquir\w+\s+(?:global\s+|exclusive\s+|worldwide\s+)?rights?\s+to\s+\S+\s+from\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf"(?i)acquir\w+.{{0,300}}rights?\s+to.{{0,200}}from\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf"(?i)rights?\s+to\s+\S+.{{0,150}}from\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf"(?i)(?:purchased?|acquired?)\s+from\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf"(?i)(?:in-?licens\w+|licens\w+)\s+from\s+{_NAME}(?:\s*\(|\s*,|\.)",
-)
-SELLER_BACKFILL = (SELLER[0], rf"(?i)acquiring.{{0,300}}rights?\s+to.{{0,200}}from\s+{_NAME}(?:\s*\(|\s*,|\.)", SELLER[3], SELLER[4])
-COUNTERPARTY = (
-    rf"""{_NAME}\s*\(["']?(?:the\s+)?["']?(?:Seller|Purchaser|Buyer|Licensor|Counterparty)["']?\)""",
-    rf"entered\s+into\s+[^.]{{0,120}}with\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf"agreement\s+with\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf"between\s+{_NAME}\s+and\s+[A-Z]",
-    rf"between\s+[A-Z][A-Za-z0-9\s,.&\-]+?\s+and\s+{_NAME}(?:\s*\(|\s*,|\.)",
-    rf'with\s+"{_NAME}"',
-)
-_CODE = r"([A-Z]{2,6}[-]?\d{2,}[A-Z]{0,5})"
-ASSET = (
-    rf"acquiring.{{0,200}}rights?\s+to\s+{_CODE}\b",
-    rf"rights?\s+to\s+{_CODE}\b",
-    rf"\(formerly\s+{_CODE}\)",
-    rf"(?:product\s+candidate|compound|molecule|drug|asset|program|therapy)\s+(?:known\s+as\s+)?{_CODE}\b",
-    rf"{_CODE}.{{0,60}}from\s+[A-Z][a-z]",
-)
-
-
 def party(c: Column, filer: Column, patterns: tuple[str, ...], least: int = 3, most: int = 80, cut: bool = False) -> Column:
     """The first pattern's name that is long enough and not the filer's own; "" if
     there is none. With cut, what follows a legal suffix goes and longer names
@@ -314,7 +269,7 @@ def party(c: Column, filer: Column, patterns: tuple[str, ...], least: int = 3, m
 
 
 def asset(c: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in ASSET])
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in R.ASSET])
 
 
 def amount(c: Column) -> Column:
@@ -355,12 +310,12 @@ def with_deal(df: DataFrame, text: str, filer: str, backfill: bool = False) -> D
     col = F.col
     df = df.withColumn("transaction_type", transaction_kind(c, R.TRANSACTIONS_BACKFILL if backfill else R.TRANSACTIONS)).withColumn("deal_value", amount_words(c) if backfill else amount(c))
     kind = col("transaction_type")
-    df = df.withColumn("__parent", F.when(kind == "merger", party(c, f, PARENT)).otherwise(""))
-    df = df.withColumn("__target", F.when(kind.isin("merger", "acquisition", "partnership") & (col("__parent") == ""), party(c, f, TARGET, cut=True)).otherwise(""))
-    df = df.withColumn("__seller", F.when((kind == "product_acquisition") | (kind == "partnership") & (col("__target") == ""), party(c, f, SELLER_BACKFILL if backfill else SELLER)).otherwise(""))
+    df = df.withColumn("__parent", F.when(kind == "merger", party(c, f, R.PARENT)).otherwise(""))
+    df = df.withColumn("__target", F.when(kind.isin("merger", "acquisition", "partnership") & (col("__parent") == ""), party(c, f, R.TARGET, cut=True)).otherwise(""))
+    df = df.withColumn("__seller", F.when((kind == "product_acquisition") | (kind == "partnership") & (col("__target") == ""), party(c, f, R.SELLER_BACKFILL if backfill else R.SELLER)).otherwise(""))
     df = df.withColumn("acquirer_name", F.coalesce(none(col("__parent")), f))
     df = df.withColumn("__acquired", F.when(col("__parent") != "", f).otherwise(F.coalesce(none(col("__target")), col("__seller"))))
-    df = df.withColumn("acquired_name", F.when(kind == "ipo", "").when(col("__acquired") != "", col("__acquired")).otherwise(F.lit("") if backfill else party(F.substring(c, 1, 2000), f, COUNTERPARTY)))
+    df = df.withColumn("acquired_name", F.when(kind == "ipo", "").when(col("__acquired") != "", col("__acquired")).otherwise(F.lit("") if backfill else party(F.substring(c, 1, 2000), f, R.COUNTERPARTY)))
     df = df.withColumn("acquired_asset", F.when(kind != "ipo", asset(c)))
     with_ = lambda word, x: F.coalesce(F.concat(F.lit(word), none(x)), F.lit(""))
     value, other, what = col("deal_value"), col("acquired_name"), col("acquired_asset")

@@ -64,27 +64,26 @@ def l13(spark, sf):
     return fuzzy.union(dedup.near_richest(left, ["company"]).withColumn("why", F.lit("near")))
 
 
-_L14 = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'stale_job_posting' WHEN 1 THEN 'competitor_job_posting' WHEN 2 THEN 'ma_transaction' WHEN 3 THEN 'clinical_trial_phase_transition' WHEN 4 THEN 'target_company_job' ELSE 'funding_new_award' END AS signal_type, CASE WHEN user_id % 9 = 0 THEN 'State University' ELSE 'Company ' || user_id END AS company_name,
-CASE event_id % 6 WHEN 3 THEN '{"phase_from":"' || CASE WHEN event_id % 4 = 0 THEN 'Pre-Clinical' ELSE 'Phase 1' END || '","phase_to":"' || CASE WHEN event_id % 5 = 0 THEN 'NA' ELSE 'Phase 2' END || '"}' WHEN 0 THEN '{"job_board":"LinkedIn","job_title":"' || CASE WHEN event_id % 7 = 0 THEN 'From Protocol to Patient' ELSE 'CRA' END || '","job_url":"https://j/' || (event_id % 500) || '"}' ELSE '{"ats_source":"' || CASE WHEN event_id % 2 = 0 THEN 'linkedin' ELSE 'other' END || '"}' END AS detail,
-CASE WHEN event_id % 4 = 0 THEN 'feed' ELSE 'LinkedIn jobs' END AS source_name, 'https://s/' || (event_id % 900) AS source_url, CAST(ts AS TIMESTAMP) AS created_at FROM events"""
-
-
-@query("L14_signal_cleanup", f"""WITH s AS ({_L14}), k AS (SELECT *, CASE WHEN event_key THEN coalesce(nullif(detail::JSON->>'job_url', ''), source_url) END AS key FROM (SELECT *, signal_type IN ('stale_job_posting', 'competitor_job_posting') AS event_key FROM s)),
+# events as signals, by column: the same expressions in Spark and in DuckDB
+_L14 = {
+    "id": "event_id",
+    "signal_type": "CASE event_id % 6 WHEN 0 THEN 'stale_job_posting' WHEN 1 THEN 'competitor_job_posting' WHEN 2 THEN 'ma_transaction' WHEN 3 THEN 'clinical_trial_phase_transition' WHEN 4 THEN 'target_company_job' ELSE 'funding_new_award' END",
+    "company_name": "CASE WHEN user_id % 9 = 0 THEN 'State University' ELSE 'Company ' || user_id END",
+    "detail": """CASE event_id % 6 WHEN 3 THEN '{"phase_from":"' || CASE WHEN event_id % 4 = 0 THEN 'Pre-Clinical' ELSE 'Phase 1' END || '","phase_to":"' || CASE WHEN event_id % 5 = 0 THEN 'NA' ELSE 'Phase 2' END || '"}' WHEN 0 THEN '{"job_board":"LinkedIn","job_title":"' || CASE WHEN event_id % 7 = 0 THEN 'From Protocol to Patient' ELSE 'CRA' END || '","job_url":"https://j/' || (event_id % 500) || '"}' ELSE '{"ats_source":"' || CASE WHEN event_id % 2 = 0 THEN 'linkedin' ELSE 'other' END || '"}' END""",
+    "source_name": "CASE WHEN event_id % 4 = 0 THEN 'feed' ELSE 'LinkedIn jobs' END",
+    "source_url": "'https://s/' || (event_id % 900)",
+    "created_at": "CAST(ts AS TIMESTAMP)",
+}
+
+
+@query("L14_signal_cleanup", f"""WITH s AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _L14.items())} FROM events), k AS (SELECT *, CASE WHEN event_key THEN coalesce(nullif(detail::JSON->>'job_url', ''), source_url) END AS key FROM (SELECT *, signal_type IN ('stale_job_posting', 'competitor_job_posting') AS event_key FROM s)),
 n AS (SELECT *, CASE WHEN event_key THEN row_number() OVER (PARTITION BY event_key, key ORDER BY created_at DESC, id DESC) END AS rank FROM k),
 r AS (SELECT id, CASE WHEN signal_type IN ('clinical_trial_phase_transition', 'funding_new_award', 'ma_transaction') AND {sql_has('company_name', R.ACADEMIC_CLEANUP)} THEN 'academic_government' WHEN (detail::JSON->>'phase_from') = 'Pre-Clinical' OR (detail::JSON->>'phase_to') IN ('?', 'NA', 'N/A') THEN 'bad_phase_data'
 WHEN signal_type = 'stale_job_posting' AND NOT contains(lower(source_name || ' ' || coalesce(detail::JSON->>'job_board', '')), 'linkedin') THEN 'non_linkedin_stale_jobs' WHEN signal_type = 'target_company_job' THEN 'target_company_jobs'
 WHEN signal_type = 'competitor_job_posting' AND NOT contains(lower(coalesce(detail::JSON->>'ats_source', '')), 'linkedin') THEN 'non_linkedin_competitor' WHEN event_key AND {sql_has("coalesce(detail::JSON->>'job_title', '')", R.GARBAGE_TITLES)} THEN 'garbage_job_titles' WHEN event_key AND rank > 1 THEN 'duplicate_job_urls' END AS rule FROM n)
 SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule""")
 def l14(spark, sf):
-    cols = _L14.replace("\n", " ").removeprefix("SELECT ").removesuffix(" FROM events")
-    s = read(spark, sf, "events")
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(cols):
-        depth += {"(": 1, ")": -1}.get(ch, 0)
-        if ch == "," and depth == 0 and cols.count("'", 0, i) % 2 == 0:
-            parts.append(cols[start:i])
-            start = i + 1
-    s = s.selectExpr(*parts, cols[start:])
+    s = read(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in _L14.items()])
     return agents.cleanup_rules(s).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
