@@ -85,14 +85,17 @@ def leads_page(tracked: DataFrame, tables: dict[str, DataFrame], as_of: Column)
     (company: the article's least tracked one), contacts by company in any case.
     is_new: since seven days before the last midnight at UTC-5."""
     names = tracked.select(c("name").alias("company")).filter("company <> ''").distinct()
-    by_name = lambda t: t.select("id", c("matched_name").alias("company"), "created_at").join(names, "company", "left_semi")
+    # one list of keys for both ways to match, so that all feeds but news are one join
+    any_case = lambda x: F.concat(F.lit("any case|"), F.lower(x))
+    keys = names.select(F.concat(F.lit("name|"), "company").alias("__k")).union(names.select(any_case("company"))).distinct()
+    by_name = lambda t: t.select("id", c("matched_name").alias("company"), "created_at", F.concat(F.lit("name|"), "matched_name").alias("__k"))
+    contacts = tables["contacts"].select("id", c("company_name").alias("company"), "created_at", any_case("company_name").alias("__k"))
+    parts = {"trials": by_name(tables["trials"]), "filings": by_name(deal_filings(tables["eight_k"], tables["s1"])), "funding": by_name(tables["funding"]), "jobs": by_name(tables["jobs"]), "contacts": contacts}
+    matched = union_tagged(parts, "feed").join(keys, "__k", "left_semi").select("feed", "id", "company", "created_at")
     news = news_feed({k: t.select("id", "matched_names", "created_at") for k, t in tables.items() if k.startswith("news_")})
     news = news.select("source", "id", "created_at", F.explode("matched_names").alias("company")).join(names, "company", "left_semi")
-    news = news.groupBy("source", "id", "created_at").agg(F.min("company").alias("company")).drop("source")
-    low = names.select(F.lower("company").alias("__k")).distinct()
-    contacts = tables["contacts"].select("id", c("company_name").alias("company"), "created_at", F.lower("company_name").alias("__k")).join(low, "__k", "left_semi").drop("__k")
-    parts = {"trials": by_name(tables["trials"]), "filings": by_name(deal_filings(tables["eight_k"], tables["s1"])), "funding": by_name(tables["funding"]), "jobs": by_name(tables["jobs"]), "news": news, "contacts": contacts}
-    rows = union_tagged(parts, "feed")
+    news = news.groupBy("source", "id", "created_at").agg(F.min("company").alias("company"))
+    rows = matched.unionByName(news.select(F.lit("news").alias("feed"), "id", "company", "created_at"))
     return rows.select("feed", "id", "company", "created_at", F.coalesce(c("created_at") >= week_cutoff(as_of), F.lit(False)).alias("is_new"))
 
 
@@ -111,15 +114,20 @@ def badge_counts(tables: dict[str, DataFrame], leads: dict[str, DataFrame]) -> D
     """(badge, n): what each page would show, 0 for none: a row for each leads list
     and for trials, deals, funding, jobs, competitor jobs, news, changed buyers and
     changed candidates."""
-    clients = tables["clients"]
-    large = lambda t: without_large(t.select("matched_name", "company_size"), clients)
-    deals = tables["eight_k"].filter(F.array_contains("items", DEAL_ITEM)).select("matched_name", "company_size").unionByName(tables["s1"].select("matched_name", "company_size"))
-    parts = {f"leads_{k}": t for k, t in leads.items()} | {
-        "trials": large(tables["trials"]), "deals": large(deals), "funding": large(tables["funding"].filter("matched_name <> ''")), "jobs": large(tables["jobs"]), "competitor_jobs": tables["competitor_jobs"],
-        "news": news_feed({k: t.select("id") for k, t in tables.items() if k.startswith("news_")}), "buyers": changed_people(tables["buyers"]), "candidates": changed_people(tables["candidates"]),
+    sized = lambda t: t.select("matched_name", "company_size")
+    deals = sized(tables["eight_k"].filter(F.array_contains("items", DEAL_ITEM))).unionByName(sized(tables["s1"]))
+    # the feeds without large companies look for clients together, and all rows are counted together
+    feeds = union_tagged({"trials": sized(tables["trials"]), "deals": deals, "funding": sized(tables["funding"].filter("matched_name <> ''")), "jobs": sized(tables["jobs"])}, "badge")
+    others = {f"leads_{k}": t for k, t in leads.items()} | {
+        "competitor_jobs": tables["competitor_jobs"], "news": news_feed({k: t.select("id") for k, t in tables.items() if k.startswith("news_")}),
+        "buyers": changed_people(tables["buyers"]), "candidates": changed_people(tables["candidates"]),
     }
-    counts = {k: t.agg(F.count(F.lit(1)).alias("n")) for k, t in parts.items()}
-    return union_tagged(counts, "badge").select("badge", "n")
+    rows = without_large(feeds, tables["clients"]).select("badge")
+    for badge, t in others.items():
+        rows = rows.union(t.select(F.lit(badge)))
+    badges = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("trials", "deals", "funding", "jobs", *others)])).alias("badge"))
+    counts = rows.groupBy("badge").agg(F.count(F.lit(1)).alias("n"))
+    return badges.join(counts, "badge", "left").select("badge", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 #: Stages and momenta of accounts (fixed values), and the columns that count them.
