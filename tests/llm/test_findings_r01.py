@@ -187,8 +187,11 @@ def test_reputation_decides(spark):
     """A host over the lift is blocked, a host with as bad a rate on few pages isn't."""
     seen = [("bad.spam.com", 1)] * 45 + [("bad.spam.com", 0)] * 5 + [("few.shop.com", 1)] + [("good.org.uk", 0)] * 150 + [("mid.fair.com", 0)] * 600
     pages = spark.createDataFrame([(f"http://{h}/x",) for h in ("bad.spam.com", "few.shop.com", "good.org.uk", "new.spam.com", "mid.fair.com")], "url string")
-    got = {r.host: r.verdict for r in urls.filter_urls(pages, spark.createDataFrame(seen, "host string, bad int"), rules=(), lift=1.5).collect()}
+    got = {r.host: r.verdict for r in urls.filter_urls(pages, spark.createDataFrame(seen, "host string, bad int"), rules=(), lift=1.5, least_labelled=1).collect()}
     assert got == {"bad.spam.com": "block", "few.shop.com": "allow", "good.org.uk": "allow", "new.spam.com": "allow", "mid.fair.com": "allow"}
+    # by default a new host of the bad domain is judged by what the domain leaves it
+    got = {r.host: r.verdict for r in urls.filter_urls(pages, spark.createDataFrame(seen, "host string, bad int"), rules=(), lift=1.5).collect()}
+    assert got == {"bad.spam.com": "block", "few.shop.com": "allow", "good.org.uk": "allow", "new.spam.com": "block", "mid.fair.com": "allow"}
 
 
 def test_archives_can_be_sought(spark, tmp_path, monkeypatch):
