@@ -105,6 +105,9 @@ def grouped(batches, key: list[str]):
 
 #: With it, Spark deletes a query's shuffle files when the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch while a table is stored: texts are long, and a batch stands in
+#: the executor's memory twice, beside the JVM and in its Python worker.
+_ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -113,12 +116,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     writing go with it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tidewater/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    rows = int(spark.conf.get(_ARROW))
+    during = {_CLEANUP: "true", _ARROW: str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS)}
+    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _ARROW: str(rows)}
     try:
+        for key, value in during.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
