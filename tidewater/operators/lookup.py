@@ -17,17 +17,27 @@ def _given(df: DataFrame, key: str) -> Column:
     return here & (F.col(key) != "") if df.schema[key].dataType.simpleString() == "string" else here
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each computed once for a row: as they come of a generator,
+    what tests them later stays behind it and doesn't repeat them at the scan."""
+    own = df.withColumns({f"__of_{k}": v for k, v in columns.items()})
+    return own.select(*df.columns, F.inline(F.array(F.struct(*[F.col(f"__of_{k}").alias(k) for k in columns]))))
+
+
 def lookup(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """All rows of df with the columns of the row of `table`, unique in `on`, that has
     the same key; a null or empty key has none.
 
     Rows without a key are spread over places that the table doesn't have, so they
     don't meet in one task; rows of a common key are dealt over SALTS copies of the
-    table's row. A table that Spark finds small is broadcast instead, as it does."""
+    table's row. The copies come of a join, as Spark counts them then: an exploded table
+    of millions of names looks as small as its file and was broadcast eight times over.
+    What is small with its copies is broadcast, as Spark does."""
     row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
     given = reduce(Column.__and__, [_given(df, k) for k in on])
     dealt = df.withColumn("__salt", F.when(given, F.pmod(row, F.lit(SALTS))).otherwise(-1 - F.pmod(row, F.lit(PLACES))).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    salts = df.sparkSession.range(0, SALTS, 1, 1).select(F.col("id").cast("int").alias("__salt"))
+    copies = table.crossJoin(F.broadcast(salts))
     return dealt.join(copies, [*on, "__salt"], "left").drop("__salt")
 
 

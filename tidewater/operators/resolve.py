@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from tidewater.functions import rules as R
 from tidewater.functions import text as T
 from tidewater.functions.scores import client_boost, parse_size
-from tidewater.operators.lookup import lookup, prefixes_in
+from tidewater.operators.lookup import lookup, once, prefixes_in
 
 
-def best_by(directory: DataFrame, key: Column, alias: str, *more: str) -> DataFrame:
-    """(alias, name and more columns) of the best entry of each key; no null or
-    empty key. A partial aggregate, so that a common key is no hot task."""
-    rank = F.struct(-parse_size(F.col("size")), "name", *more)
-    d = directory.withColumn(alias, key).filter(F.col(alias).isNotNull() & (F.col(alias) != ""))
-    return d.groupBy(alias).agg(F.min(rank).alias("__b")).select(alias, *[F.col(f"__b.{c}").alias(f"{alias}_{c}") for c in ("name", *more)])
+def largest(directory: DataFrame, *by: str) -> DataFrame:
+    """(by, __s): the largest size of each name. A directory in few files is dealt out by
+    it, before its names are cleaned; the count of sizes alone needs no sort."""
+    return directory.groupBy(*by).agg(F.max(parse_size(F.col("size"))).alias("__s"))
+
+
+def best_by(sized: DataFrame, key: str, alias: str) -> DataFrame:
+    """(alias, alias_name): the best name of each key, of sized ones (largest()); no null
+    or empty key. A partial aggregate, so that a common key is no hot task."""
+    d = sized.withColumnRenamed(key, alias).filter(F.col(alias).isNotNull() & (F.col(alias) != ""))
+    return d.groupBy(alias).agg(F.min(F.struct(-F.col("__s"), "name")).alias("__b")).select(alias, F.col("__b.name").alias(f"{alias}_name"))
 
 
 def match_key(name: Column) -> Column:
@@ -32,10 +37,9 @@ def match_key(name: Column) -> Column:
 def match_company(names: DataFrame, directory: DataFrame, name: str = "company_name", alternates: DataFrame | None = None) -> DataFrame:
     """names with matched_name and matched_via: an alternate name (given and not
     no_match), the cleaned name, or the key of significant words."""
-    cleaned = T.clean_name(F.col(name))
-    df = names.withColumn("__e", cleaned).withColumn("__k", T.word_key(cleaned))
-    exact = best_by(directory, T.clean_name(F.col("name")), "__e")
-    keyed = best_by(directory, T.word_key(T.clean_name(F.col("name"))), "__k")
+    df = once(once(names, __e=T.clean_name(F.col(name))), __k=T.word_key(F.col("__e")))
+    sized = once(once(largest(directory, "name"), __e=T.clean_name(F.col("name"))), __k=T.word_key(F.col("__e")))
+    exact, keyed = best_by(sized, "__e", "__e"), best_by(sized, "__k", "__k")
     df = lookup(lookup(df, exact, ["__e"]), keyed, ["__k"])
     layers = [("exact_name", "__e_name"), ("keyword", "__k_name")]
     if alternates is not None:
@@ -56,18 +60,16 @@ def match_sponsor(sponsors: DataFrame, directory: DataFrame) -> DataFrame:
     Of a domain's largest companies, one with a word of three letters or more
     inside the domain comes first. All layers are lookups of equal keys: for the
     prefixes, entries are filed under each prefix as long as some sponsor's words."""
-    df = sponsors.withColumn("__d", T.email_domain(F.col("emails"))).withColumn("__e", T.clean_name(F.col("sponsor"), state=False))
-    core = T.core_words(F.col("__e"))
-    df = df.withColumn("__w", T.nth(core, 1)).withColumn("__n", F.size(core)).withColumn("__p", F.array_join(core, " "))
+    df = once(once(sponsors, __d=T.email_domain(F.col("emails")), __e=T.clean_name(F.col("sponsor"), state=False)), __core=T.core_words(F.col("__e")))
+    df = once(df, __w=T.nth(F.col("__core"), 1), __n=F.size("__core"), __p=F.array_join("__core", " ")).drop("__core")
     # a single short word must be the whole name
     short = (F.col("__n") == 1) & (F.length("__w") <= 4)
     df = df.withColumn("__p", F.when(~short, F.col("__p"))).withColumn("__x", F.when(short, F.col("__w"))).withColumn("__w", F.when(~short, F.col("__w")))
-    d = directory.withColumn("__d", F.lower(F.trim("domain"))).withColumn("__e", T.clean_name(F.col("name"), state=False)).filter("__e <> ''")
-    d = d.withColumn("__s", parse_size(F.col("size")))
+    d = once(largest(directory, "name", "domain"), __d=F.lower(F.trim("domain")), __e=T.clean_name(F.col("name"), state=False)).filter("__e <> ''")
     inside = F.exists(T.words(F.col("__e"), ()), lambda w: (F.length(w) >= 3) & F.contains(F.col("__d"), w))
     by_domain = d.filter("__d <> ''").groupBy("__d").agg(F.min(F.struct(-F.col("__s"), ~inside, "name")).alias("b")).select("__d", F.col("b.name").alias("__n1"))
     by_name = d.groupBy("__e").agg(F.min(F.struct(-F.col("__s"), "name")).alias("b")).select("__e", F.col("b.name").alias("__n2"))
-    entries = d.select(T.nth(T.words(F.col("__e"), R.SPONSOR_STOP_WORDS), 1).alias("__w"), F.col("__e").alias("__c"), "__s", "name").filter("__w IS NOT NULL AND startswith(__c, __w)")
+    entries = once(d, __w=T.nth(T.words(F.col("__e"), R.SPONSOR_STOP_WORDS), 1)).select("__w", F.col("__e").alias("__c"), "__s", "name").filter("__w IS NOT NULL AND startswith(__c, __w)")
     best = F.min(F.struct(-F.col("__s"), "name")).alias("b")
     whole = entries.filter("__c = __w").groupBy(F.col("__w").alias("__x")).agg(best).select("__x", F.col("b.name").alias("__n3"))
     # an entry that begins with both core words counts before one with the first only
