@@ -137,9 +137,9 @@ CARDS = {
 }
 
 
-def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str = "") -> DataFrame:
-    """(title, article_url, article_date), one row for each url: the first on the
-    pages. A date is looked for between a title and the next; a title attribute of
+def listed_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str = "") -> DataFrame:
+    """(at, title, article_url, article_date): each card of the pages, however often its
+    url occurs. A date is looked for between a title and the next; a title attribute of
     a link comes before its text, and links within the site get its origin."""
     head, end, must, date, relative = CARDS[layout]
     parts = pages.select(F.posexplode(F.split(F.concat(F.lit(" "), c(html)), head)).alias("at", "part")).filter("at > 0")
@@ -152,8 +152,14 @@ def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str
     raw = clean(F.regexp_extract("part", date, 1))
     day = D.relative_date(raw, F.lit(as_of).cast("date")) if relative else D.named_date(raw)
     cards = parts.select("at", title.alias("title"), F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(origin), href)).otherwise(href).alias("article_url"), day.alias("article_date"))
+    return cards.filter("title <> '' AND article_url <> ''")
+
+
+def news_cards(pages: DataFrame, html: str, layout: str, as_of: str, origin: str = "") -> DataFrame:
+    """(title, article_url, article_date), one row for each url of listed_cards(): the
+    first on the pages."""
     first = Window.partitionBy("article_url").orderBy("at", "title")
-    return cards.filter("title <> '' AND article_url <> ''").withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "at")
+    return listed_cards(pages, html, layout, as_of, origin).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "at")
 
 
 #: Cards that one listing page gives at most: part of the feature.
