@@ -113,16 +113,24 @@ def clean_title(c: Column) -> Column:
     return _cut(F.lower(F.coalesce(c, F.lit(""))), r"\([^)]*\)")
 
 
+def let(x: Column, then) -> Column:
+    """then(x), where x is computed once however often it is used: in plain expressions
+    each use of x is computed again, in conditions and in lambdas."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def specialties(title: Column, override: Column | None = None) -> Column:
     """All specialties whose words are found, ["Other"] if none; a non-empty
     override array comes first, but not for a blank title."""
-    t = clean_title(title)
-    found = F.array(*[F.when(has_any(t, anywhere) | has_whole(t, whole), name) for name, anywhere, whole in R.SPECIALTIES])
-    found = F.filter(found, lambda x: x.isNotNull())
-    out = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Other")))
-    if override is not None:
-        out = F.when(F.size(override) > 0, override).otherwise(out)
-    return F.when(strip(t) == "", F.array(F.lit("Other"))).otherwise(out)
+
+    def among(t: Column) -> Column:
+        found = F.array(*[F.when(has_any(t, anywhere) | has_whole(t, whole), name) for name, anywhere, whole in R.SPECIALTIES])
+        out = let(F.filter(found, lambda x: x.isNotNull()), lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("Other"))))
+        if override is not None:
+            out = F.when(F.size(override) > 0, override).otherwise(out)
+        return F.when(strip(t) == "", F.array(F.lit("Other"))).otherwise(out)
+
+    return let(clean_title(title), among)
 
 
 def has_any(c: Column, parts: tuple[str, ...]) -> Column:
@@ -472,12 +480,10 @@ def post_deal(html: Column) -> Column:
 def lead_specialty(title: Column, specialty: Column) -> Column:
     """Null for a blocked title (human resources), else the specialties, and
     Talent Acquisition where the title says so."""
-    t = clean_title(title)
-    talent = F.contains(t, F.lit("talent acquisition"))
-    base = F.when((F.size(specialty) == 1) & (nth(specialty, 1) == "Other"), F.slice(specialty, 1, 0)).otherwise(specialty)
-    return F.when(F.contains(t, F.lit("human resources")) & ~talent, None).when(talent, F.array_union(base, F.array(F.lit("Talent Acquisition")))).otherwise(specialty)
 
+    def among(t: Column, own: Column) -> Column:
+        talent = F.contains(t, F.lit("talent acquisition"))
+        base = F.when((F.size(own) == 1) & (nth(own, 1) == "Other"), F.slice(own, 1, 0)).otherwise(own)
+        return F.when(F.contains(t, F.lit("human resources")) & ~talent, None).when(talent, F.array_union(base, F.array(F.lit("Talent Acquisition")))).otherwise(own)
 
-def company_url(c: Column) -> Column:
-    """Whether a url is a company's page, not one below it."""
-    return has(c, r"^https://www\.linkedin\.com/company/[^/?#]+/?\z")
+    return let(clean_title(title), lambda t: let(specialty, lambda own: among(t, own)))

@@ -8,6 +8,7 @@ from tidewater.functions import rules as R
 from tidewater.functions import text as T
 from tidewater.operators import resolve, staging, state
 from tidewater.operators import tables as O
+from tidewater.operators.lookup import once
 from tidewater.plans.q_text import q, sql_clean, sql_has
 from tidewater.plans.registry import query
 from tidewater.plans.views import cte, read, view
@@ -31,7 +32,7 @@ def c18(spark, sf):
 def c22(spark, sf):
     t = read(spark, sf, "part").selectExpr("p_partkey AS id", "CASE p_partkey % 5 WHEN 0 THEN 'Human Resources Lead' WHEN 1 THEN 'Talent Acquisition (Human Resources)' WHEN 2 THEN 'Talent Acquisition Writer' WHEN 3 THEN 'Chef' ELSE 'Quality Lead' END AS title")
     blocked = spark.range(1).select(F.lit("chef").alias("k"))
-    t = t.withColumn("k", T.strip(T.clean_title(c("title")))).join(blocked, "k", "left_anti").withColumn("s", T.lead_specialty(c("title"), T.specialties(c("title"))))
+    t = once(t.withColumn("k", T.strip(T.clean_title(c("title")))).join(blocked, "k", "left_anti"), s=T.lead_specialty(c("title"), T.specialties(c("title"))))
     return t.filter("s IS NOT NULL").select("id", F.array_join("s", ",").alias("specialty"))
 
 
