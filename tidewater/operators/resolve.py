@@ -106,19 +106,19 @@ def match_titles(titles: DataFrame, directory: DataFrame, alternates: DataFrame,
     words; null if none. Titles are exploded into stretches of words that are as long
     as some name, which are joined to whole names: what comes out is matches, and names
     whose first place in the title breaks a word."""
-    t = titles.select(F.col(key).alias("__id"), F.lower(F.col(title)).alias("__t")).filter("__t <> ''")
+    t = once(titles.select(F.col(key).alias("__id"), F.col(title).alias("__title")), __t=F.lower("__title")).filter("__t <> ''")
     # each run of letters and digits with its place
     letter = lambda x: x.between("0", "9") | x.between("a", "z")
-    t = t.withColumn("__c", F.split("__t", ""))
+    t = once(t.select("__id", "__t"), __c=F.split("__t", F.lit("")))
     begins = F.filter(F.sequence(F.lit(1), F.size("__c")), lambda i: letter(F.get("__c", i - 1)) & ~F.coalesce(letter(F.get("__c", i - 2)), F.lit(False)))
-    t = t.select("__id", "__t", F.zip_with(F.regexp_extract_all("__t", F.lit("[a-z0-9]+"), F.lit(0)), begins, lambda w, i: F.struct(w.alias("word"), i.alias("place"))).alias("__words"))
+    t = once(t, __words=F.zip_with(F.regexp_extract_all("__t", F.lit("[a-z0-9]+"), F.lit(0)), begins, lambda w, i: F.struct(w.alias("word"), i.alias("place")))).drop("__c")
     names = directory.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
-    one = names.withColumn("__x", F.lower(T.news_name(F.col("name")))).filter((F.length("__x") >= 3) & ~F.col("__x").isin(*R.GENERIC_TERMS))
-    one = one.withColumn("__w", T.first_word(F.col("__x"))).filter("__w <> ''").withColumn("__core", _core(F.col("__x")))
+    one = once(names, __x=F.lower(T.news_name(F.col("name")))).filter((F.length("__x") >= 3) & ~F.col("__x").isin(*R.GENERIC_TERMS))
+    one = once(one, __w=T.first_word(F.col("__x")), __core=_core(F.col("__x"))).filter("__w <> ''")
     starts = title_spans(t.withColumn("__words", F.slice("__words", 1, 1)), one).join(one, ["__w", "__core"]).filter(F.startswith("__t", "__x"))
     starts = starts.select("__id", F.lit(1).alias("layer"), F.lit(0).alias("at"), (-F.length("__x")).alias("long"), "name")
     two = alternates.select(F.lower(F.trim("alternate_name")).alias("__x"), F.trim("directory_name").alias("name")).filter((F.length("__x") >= 3) & (F.col("name") != "")).distinct()
-    two = two.withColumn("__w", T.first_word(F.col("__x"))).filter("__w <> ''").withColumn("__core", _core(F.col("__x")))
+    two = once(two, __w=T.first_word(F.col("__x")), __core=_core(F.col("__x"))).filter("__w <> ''")
     # only the first place is tested for word breaks
     place = F.expr("locate(__x, __t)")
     before, after = F.substr("__t", F.greatest(place - 1, F.lit(1)), F.lit(1)), F.substr("__t", place + F.length("__x"), F.lit(1))
