@@ -10,6 +10,7 @@ from tidewater.functions import text as T
 from tidewater.functions.scores import parse_size
 from tidewater.operators import resolve
 from tidewater.operators import tables as O
+from tidewater.operators.lookup import lookup
 from tidewater.operators.state import age_queue
 from tidewater.sources import sinks
 
@@ -22,6 +23,14 @@ def sizes(directory: DataFrame) -> DataFrame:
     return best.select("matched_name", c("b.size").alias("company_size"))
 
 
+def with_size(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """rows with the company_size of their matched_name, which comes first. A lookup: by
+    its file alone a directory of short rows looks small, and its names were broadcast
+    whole; rows without a match don't meet in one task."""
+    out = lookup(rows, sizes(directory), ["matched_name"])
+    return out.select("matched_name", *[x for x in out.columns if x != "matched_name"])
+
+
 def trial_scan(trials: DataFrame, stored: DataFrame, alternates: DataFrame, directory: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trials, alternates to add). trials: nct_id, sponsor, emails and more; they get
     matched_name, company_size and action: updated if `stored` has the nct_id, else
@@ -38,7 +47,7 @@ def trial_scan(trials: DataFrame, stored: DataFrame, alternates: DataFrame, dire
     learnt = matched.select(c("matched_name").alias("directory_name"), c("sponsor").alias("alternate_name"), "matched_via")
     names = known.select("k", "known.directory_name", "known.matched_via").union(learnt.select(F.lower(F.trim("alternate_name")), "directory_name", "matched_via"))
     names = names.filter("matched_via <> 'no_match'").select("k", c("directory_name").alias("matched_name"))
-    out = trials.withColumn("k", key).join(names, "k", "left").drop("k").join(sizes(directory), "matched_name", "left")
+    out = with_size(trials.withColumn("k", key).join(names, "k", "left").drop("k"), directory)
     there = stored.select("nct_id").distinct().withColumn("there", F.lit(True))
     return out.join(there, "nct_id", "left").withColumn("action", F.when(c("there"), "updated").otherwise("inserted")).drop("there"), learnt
 
@@ -47,7 +56,7 @@ def grant_scan(grants: DataFrame, stored: DataFrame, directory: DataFrame) -> Da
     """Grants (appl_id, org_name and more) that are not stored yet, each appl_id
     once, with matched_name, matched_via and company_size, null if none."""
     new = O.insert_new(stored, grants.filter("appl_id <> ''"), ["appl_id"], ["org_name"])
-    return resolve.match_company(new, directory, "org_name").join(sizes(directory), "matched_name", "left")
+    return with_size(resolve.match_company(new, directory, "org_name"), directory)
 
 
 def news_scan(cards: DataFrame, stored: DataFrame, directory: DataFrame, alternates: DataFrame, since: Column | None = None) -> DataFrame:
