@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, discard_since, mark, stored
@@ -21,6 +23,32 @@ def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(rows // ROWS + 1, *keys) if _few(df, rows) else df
 
 
+@contextmanager
+def _as_planned(spark: SparkSession):
+    """Queries run as they are planned, each as one job: where rows are dealt out already
+    there is nothing to adapt, and the driver would plan and report each step anew."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _stored(df: DataFrame, rows: int, tag: str) -> DataFrame:
+    """stored() of what is made of a table of so many rows by _dealt()."""
+    if not _few(df, rows):
+        return stored(df, tag)
+    with _as_planned(df.sparkSession):
+        return stored(df, tag)
+
+
+def _count(df: DataFrame) -> int:
+    with _as_planned(df.sparkSession):
+        return df.count()
+
+
 def _minima(df: DataFrame, rows: int) -> DataFrame:
     """(u, m): the least v of each u. Minima of many rows are stored before they are
     joined to these: only where both sides are read by key does Spark split a hot node."""
@@ -35,7 +63,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     becomes a star after about log n rounds. No node's neighbours are gathered:
     a step is a minimum by node and a join."""
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    n = e.count()
+    n = _count(e)
     while True:
         # large star: neighbours greater than u go to the least of u's neighbours and u
         both = _dealt(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n, "u")
@@ -43,16 +71,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = _minima(both, 2 * n).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: neighbours not greater than u, and u, go to the least of them
-        large = stored(_dealt(large, n, "u", "v").distinct(), "large")
+        large = _stored(_dealt(large, n, "u", "v").distinct(), 2 * n, "large")
         mine = _dealt(large, n, "u")
         low = _minima(mine, n)
         small = mine.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        after = stored(_dealt(small, n, "u", "v").distinct(), "edges")
+        after = _stored(_dealt(small, n, "u", "v").distinct(), n, "edges")
         discard_since(place, after)
         discard(e)
         # a star forest: no node has two edges to lesser ones, or one and a greater neighbour
-        n = after.count()
+        n = _count(after)
         ends = after.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
