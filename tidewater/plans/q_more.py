@@ -39,7 +39,7 @@ def c22(spark, sf):
 @query("C25_C28_url_rules", "SELECT page_id, contains(lower(url), '.org') AS is_org, regexp_matches('https://www.linkedin.com/company/' || page_id || CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/jobs' ELSE '' END, '(?i)^https://www\\.linkedin\\.com/company/[^/?#]+/?$') AS is_company FROM pages")
 def c25(spark, sf):
     u = F.expr("'https://www.linkedin.com/company/' || page_id || CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/jobs' ELSE '' END")
-    return read(spark, sf, "pages").select("page_id", F.contains(F.lower("url"), F.lit(".org")).alias("is_org"), T.company_url(u).alias("is_company"))
+    return read(spark, sf, "pages").select("page_id", F.contains(F.lower("url"), F.lit(".org")).alias("is_org"), F.when(u.isNotNull(), T.company_url(u)).alias("is_company"))
 
 
 _DETAIL = """'{"enrichment_source":"' || CASE WHEN event_id % 2 = 0 THEN 'sec_8k_filing' ELSE 'other' END || '","transaction_type":"' || CASE WHEN event_id % 3 = 0 THEN 'ipo' ELSE 'merger' END || '","acquired_name":"' || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'X' END || '"}'"""
